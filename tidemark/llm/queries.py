@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import contamination, contamination_report
 from .quality import quality_rules
+from .secret_scan import find_secrets, secret_report
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(find_secrets(table(spark, sf_dir, "documents")))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
