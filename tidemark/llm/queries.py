@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import shared_path, table
 from .decontaminate import contamination, contamination_report
 from .line_dedup import line_dedup
@@ -15,6 +16,19 @@ from .secret_scan import find_secrets, secret_report
 from .warc import read_archive, write_archive
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, P.PATTERN)
+    return bpe.decode(ids, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.ids_text(), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)

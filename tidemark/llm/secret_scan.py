@@ -39,12 +39,16 @@ RULES = (
 RULE_VERSION = "1"
 
 
-def _matches(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, rule, i, match, gap): every match of a rule and the text between it and the one before."""
+def _matches(blobs: DataFrame, rules: tuple[Rule, ...], fenced: bool) -> DataFrame:
+    """(blob, rule, i, match, gap): every match of a rule and the text between it and the one before.
+
+    Unfenced, Catalyst may move the test for any match before the joins, which spares the shuffle of texts without
+    one. That would scan what the ledger has, so with a ledger the test stays in the generator, which is not moved.
+    """
     any_rule = None
     for r in rules:
         any_rule = F.col("__text").rlike(r.pattern) if any_rule is None else any_rule | F.col("__text").rlike(r.pattern)
-    hit = blobs.where(any_rule)
+    hit = blobs if fenced else blobs.where(any_rule)
     per_rule = [
         F.struct(
             F.lit(n).alias("rule"),
@@ -56,19 +60,19 @@ def _matches(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         )
         for n, r in enumerate(rules)
     ]
-    rows = hit.select("blob", F.explode(F.array(*per_rule)).alias("r")).select(
+    rows = hit.select("blob", F.explode(F.when(any_rule, F.array(*per_rule))).alias("r")).select(
         "blob", "r.rule", F.posexplode("r.found").alias("i", "f")
     )
     # The text after the last match is a gap without a match.
     return rows.where(F.col("f.match").isNotNull()).select("blob", "rule", "i", "f.match", "f.gap", "f.value")
 
 
-def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, fenced: bool = False) -> DataFrame:
     """(blob, kind, order, start, end) for blobs (blob, __text); places in code points, end exclusive.
 
     Starts are running sums of gaps and matches, so a text with many matches costs in proportion to them.
     """
-    m = _matches(blobs, rules)
+    m = _matches(blobs, rules, fenced)
     before = W.partitionBy("blob", "rule").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     length = F.length("match").cast("long")
     start = F.coalesce(F.sum(length + F.length("gap")).over(before), F.lit(0)) + F.length("gap")
@@ -98,7 +102,7 @@ def update_ledger(
         seen = ledger.where(F.col("rule_version") == rule_version).select("blob").distinct()
         bearer = bearer.join(seen, "blob", "left_anti")
     new = v.join(bearer, ["blob", "__key"]).select("blob", "__text")
-    found = scan_blobs(new, rules).distinct().withColumn("rule_version", F.lit(rule_version))
+    found = scan_blobs(new, rules, ledger is not None).distinct().withColumn("rule_version", F.lit(rule_version))
     return bearer.select("blob", F.lit(rule_version).alias("rule_version")), found
 
 
