@@ -12,6 +12,7 @@ import base64
 import heapq
 import json
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,10 +23,10 @@ from pyspark.sql import types as T
 
 from .common import stash
 
-#: Documents of a block; a block's texts and pieces are in one task's memory together.
-BLOCK_ROWS = 1024
+#: Text of a block, in bytes. A block's texts and pieces are in one task's memory together; one longer text is a block.
+BLOCK_BYTES = 24 << 20
 #: Longer pieces (runs without a word's shape) are merged with a heap in the worker, for a fold is quadratic in their length.
-FOLD_BYTES = 64
+FOLD_BYTES = 60
 #: White space as Unicode's property has it; the regex library's \s counts separators 1C to 1F too.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -148,58 +149,141 @@ def _texts(column: pa.ChunkedArray | pa.Array) -> Iterator[str]:
     return (x or "" for x in column.to_pylist())
 
 
-def distinct_pieces(blocks: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(block, piece) of every piece that is no token and short enough to fold; distinct within batches only."""
-    known = frozenset(ranks)
+def _put(items: list[bytes]) -> bytes:
+    """Byte strings of under 256 bytes, each after its length, compressed."""
+    import zstandard
+
+    return zstandard.compress(b"".join(bytes((len(x),)) + x for x in items), 3)
+
+
+def _taken(blob: bytes) -> Iterator[bytes]:
+    import zstandard
+
+    data, at = zstandard.decompress(blob), 0
+    while at < len(data):
+        end = at + 1 + data[at]
+        yield data[at + 1 : end]
+        at = end
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[int, pa.Table]]:
+    """(block, rows): the partition's rows, cut whenever their texts reach BLOCK_BYTES; the same on every reading."""
+    import numpy as np
+    import pyarrow.compute as pc
+    from pyspark import TaskContext
+
+    n, held, size = 0, [], 0
+    first = TaskContext.get().partitionId() << 20
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = base = 0
+        while at < len(ends):
+            stop = min(len(ends), int(np.searchsorted(ends, base + BLOCK_BYTES - size)) + 1)
+            held.append(batch.slice(at, stop - at))
+            size, base, at = size + int(ends[stop - 1]) - base, int(ends[stop - 1]), stop
+            if size >= BLOCK_BYTES:
+                yield first + n, pa.Table.from_batches(held)
+                n, held, size = n + 1, [], 0
+    if held:
+        yield first + n, pa.Table.from_batches(held)
+
+
+def _pieces(docs: DataFrame, known: frozenset[bytes], pattern: str, parts: int) -> DataFrame:
+    """(part, block, blob): a block's distinct pieces that are no tokens and short enough to fold, dealt by CRC-32."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = cutter(pattern)
-        for batch in batches:
-            seen: dict[int, tuple[set[str], set[str]]] = {}
-            for block, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
+        for block, rows in _blocks(batches, 0):
+            firsts, rests = set(), set()
+            for text in _texts(rows.column(0)):
                 first, rest = units(text)
-                firsts, rests = seen.setdefault(block, (set(), set()))
                 firsts.add(first)
                 rests.update(rest)
-            for block, (firsts, rests) in seen.items():
-                found = {p for u in firsts for p in cut(u)}
-                for u in rests:
-                    found.update(cut(" " + u))
-                found = [p for p in found - known if len(p) <= FOLD_BYTES]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array(found, pa.binary())], ["block", "piece"])
+            found = {p for u in firsts for p in cut(u)}
+            for u in rests:
+                found.update(cut(" " + u))
+            dealt: dict[int, list[bytes]] = {}
+            for p in sorted(p for p in found - known if len(p) <= FOLD_BYTES):
+                dealt.setdefault(zlib.crc32(p) % parts, []).append(p)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(dealt), pa.int32()), pa.array([block] * len(dealt), pa.int64()), pa.array(map(_put, dealt.values()), pa.binary())],
+                ["part", "block", "blob"],
+            )
+
+    return docs.select("__text").mapInArrow(find, "part int, block long, blob binary")
 
-    return blocks.select("block", "__text").mapInArrow(find, "block long, piece binary")
+
+def _folded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(block, blob): each block's pieces with their ids in turn. A piece is folded once for all blocks that hold it.
+
+    A part holds a share of the distinct pieces, each with at most one row per block, never one per occurrence.
+    """
+
+    def meet(rows: pa.Table) -> pa.Table:
+        held: dict[bytes, list[int]] = {}
+        for block, blob in zip(rows.column("block").to_pylist(), rows.column("blob").to_pylist(), strict=True):
+            for p in _taken(blob):
+                held.setdefault(p, []).append(block)
+        return pa.table([pa.array(list(held), pa.binary()), pa.array(held.values(), pa.list_(pa.int64()))], names=["piece", "blocks"])
+
+    unit = "I" if max(ranks.values(), default=0) >= 65536 else "H"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, list[bytes]] = {}
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(map(_put, out.values()), pa.binary())], ["block", "blob"])
+
+        for batch in batches:
+            for blocks, piece, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                pair = piece, struct.pack(f"<{len(ids)}{unit}", *ids)
+                for b in blocks:
+                    out.setdefault(b, []).extend(pair)
+                size += len(blocks)
+            if size > 1_000_000:
+                yield rows()
+                out, size = {}, 0
+        yield rows()
+
+    distinct = pieces.groupBy("part").applyInArrow(meet, "piece binary, blocks array<long>")
+    folded = distinct.select("blocks", "piece", fold_merges(F.col("piece"), rank_lookup(ranks)).alias("ids"))
+    return folded.mapInArrow(pack, "block long, blob binary")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs without `text`, with `ids` array<int>: what encode_ordinary of the same vocabulary gives for the whole text.
 
     Null or empty texts have no ids. Any other columns are carried, whatever their names; rows are independent, so
-    repeated rows and ids, or nulls in them, need no care. Empty table: empty result.
+    repeated rows and ids, or nulls in them, need no care. Empty table: empty result. The rows are read twice, once for
+    the pieces and once for the ids; a frame that shuffles is written to the shared folder first, so that both
+    readings have the same blocks. Blocks travel compressed.
     """
     carried = [c for c in docs.columns if c != text]
-    packed = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)]) if carried else F.struct(F.lit(0).alias("c0"))
-    blocks = docs.select(
-        F.shiftright(F.monotonically_increasing_id(), BLOCK_ROWS.bit_length() - 1).alias("block"),
-        F.coalesce(F.col(text), F.lit("")).alias("__text"),
-        packed.alias("__row"),
-    )
-    blocks = stash(blocks, "bpe")
-    pieces = stash(distinct_pieces(blocks, ranks, pattern).distinct(), "pieces")
-    rank = rank_lookup(ranks)
-    folded = pieces.select("piece").distinct().select("piece", fold_merges(F.col("piece"), rank).alias("ids"))
-    known = pieces.join(folded, "piece").select("block", "piece", "ids")
-    row_type = blocks.schema["__row"].dataType
-    schema = T.StructType([T.StructField("__row", row_type), T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)]) if carried else F.struct(F.lit(0).alias("c0"))
+    docs = docs.select(F.col(text).cast("string").alias("__text"), row.alias("__row"))
+    if re.search(r"Exchange|QueryStage|Sample", docs._jdf.queryExecution().executedPlan().toString()):
+        docs = stash(docs, "bpe")
+    parts = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = _folded(_pieces(docs, frozenset(ranks), pattern, parts), ranks)
+    schema = T.StructType([T.StructField("__row", docs.schema["__row"].dataType), T.StructField(ids, T.ArrayType(T.IntegerType()))])
+
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _blocks(batches, 0):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
 
     def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
-        import struct
-
         import numpy as np
 
-        pack = lambda x: struct.pack(f"<{len(x)}i", *x)
-        at = {k: struct.pack("<i", v) for k, v in ranks.items()}
-        at.update((k, pack(v)) for k, v in zip(words.column("piece").to_pylist(), words.column("ids").to_pylist(), strict=True))
+        wide = max(ranks.values(), default=0) >= 65536
+        pack = lambda x: struct.pack(f"<{len(x)}{'I' if wide else 'H'}", *x)
+        at = {k: pack([v]) for k, v in ranks.items()}
+        for blob in words.column("blob").to_pylist():
+            taken = _taken(blob)
+            at.update(zip(taken, taken, strict=True))
         cut = cutter(pattern)
 
         class Memo(dict):
@@ -208,24 +292,27 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 self[unit] = out
                 return out
 
-        class After(Memo):
+        class After(dict):
             def __missing__(self, unit: str) -> bytes:
-                self[unit] = out = begin[" " + unit]
+                self[unit] = out = b"".join(at[p] if p in at else pack(merge_long(p, ranks)) for p in cut(" " + unit))
                 return out
 
         begin, after = Memo(), After()
-        out, lengths = [], [0]
-        for text in _texts(docs.column("__text")):
-            first, rest = units(text)
-            row = begin[first] + b"".join(map(after.__getitem__, rest))
-            out.append(row)
-            lengths.append(len(row) // 4)
-        values = pa.array(np.frombuffer(b"".join(out), "<i4"))
+        made, lengths, held = [], [0], []
+        for blob in docs.column("rows"):
+            rows = pa.ipc.open_stream(blob.as_buffer()).read_all()
+            held.append(rows.column("__row").combine_chunks() if rows.num_rows else rows.column("__row"))
+            for text in _texts(rows.column("__text")):
+                first, rest = units(text)
+                made.append(begin[first] + b"".join(map(after.__getitem__, rest)))
+                lengths.append(len(made[-1]) // (4 if wide else 2))
+        values = pa.array(np.frombuffer(b"".join(made), "<u4" if wide else "<u2").astype(np.int32))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), values)
-        return pa.table([docs.column("__row").combine_chunks(), lists], names=["__row", ids])
+        rows = pa.chunked_array(held).combine_chunks()
+        return pa.table([rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows, lists], names=["__row", ids])
 
-    # A block always has documents, so a block without pieces to fold still comes.
-    done = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(assemble, schema)
+    shipped = docs.select("__text", "__row").mapInArrow(ship, "block long, rows binary")
+    done = shipped.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(assemble, schema)
     return done.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(carried)], ids)
 
 
