@@ -11,6 +11,7 @@ from . import bpe
 from .common import shared_path, table
 from .decontaminate import contamination, contamination_report
 from .line_dedup import line_dedup
+from .near_dup import near_duplicates
 from .quality import quality_rules
 from .secret_scan import find_secrets, secret_report
 from .warc import read_archive, write_archive
@@ -29,6 +30,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
+
+
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
