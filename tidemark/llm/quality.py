@@ -184,18 +184,24 @@ def fit_groups(stats: DataFrame) -> DataFrame:
     return params.join(edges.select(*key, F.col("__n").alias("group_rows")), key)
 
 
-def quality_rules(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def quality_rules(
+    docs: DataFrame, text: str = "text", carry: list[str] | None = None, keep_text: bool = False
+) -> DataFrame:
     """Statistics, base rule and MCD verdict of every row.
 
-    carry: columns of docs to return (default doc_id). A row is kept unless base_failed or its squared Mahalanobis
+    carry: columns of docs to return (default doc_id), under their names; keep_text: they may hold the text, which is
+    then written with the statistics, so that verdicts need no join by id. A row is kept unless base_failed or its squared Mahalanobis
     distance in its (lang, source) group exceeds the chi-square quantile 1 - 1e-6. Null lang or source is a group of
     its own; missing columns too. Groups under 40 rows get no outlier verdict. Empty table: empty result.
     The text is read once: statistics are written to the shared folder and only the narrow columns are read per step.
     """
     carry = ["doc_id"] if carry is None else carry
+    if text in carry and not keep_text:
+        raise ValueError("keep_text must be set to carry the text")
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("__row")
     names = {"__lang": "lang", "__source": "source"}
     keyed = docs.select(
-        *carry,
+        row,
         F.col(text).alias("__text"),
         *[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")).alias(k) for k, c in names.items()],
     )
@@ -208,7 +214,7 @@ def quality_rules(docs: DataFrame, text: str = "text", carry: list[str] | None =
     out = base.join(params, ["__lang", "__source"], "left").withColumn("mahalanobis_sq", _distance())
     far = (F.col("group_rows") >= MIN_GROUP) & (F.col("mahalanobis_sq") > cutoff)
     return out.select(
-        *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        *[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(carry)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"),
         "mahalanobis_sq",
     )
