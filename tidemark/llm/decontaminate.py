@@ -7,20 +7,34 @@ offset-adjusted to the windows' starts and intersected with the words at the oth
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, extract_all, lower_ascii, small
+from .common import BROADCAST_ROWS, cut, lower_ascii, small
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are lower-cased, for counting.
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words once A-Z is lower-cased, and before. Latin classes like these are bitmaps in Java's engine.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LENGTH = 10
 
 
+def _inner(text: Column, between: str) -> Column:
+    """The text without what stands before its first and after its last word."""
+    return F.btrim(text, F.lit("".join(c for c in map(chr, range(128)) if re.match(between, c))))
+
+
 def words_of(text: Column) -> Column:
-    return extract_all(lower_ascii(F.coalesce(text, F.lit(""))), WORD)
+    inner = _inner(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN)
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, BETWEEN, -1))
+
+
+def count_words(text: Column) -> Column:
+    """As many as words_of gives, without making them."""
+    inner = _inner(F.coalesce(text, F.lit("")), BETWEEN_ANY_CASE)
+    return F.when(inner == "", 0).otherwise(F.regexp_count(inner, F.lit(BETWEEN_ANY_CASE)) + 1).cast("long")
 
 
 def windows_of(items: DataFrame, item: str, text: str, length: int) -> tuple[DataFrame, DataFrame]:
@@ -122,8 +136,7 @@ def contamination(
     of = matches.select("doc", "wid").distinct().join(small(owners), "wid").select("doc", F.col("item").cast("string").alias("item"))
     of = of.distinct().groupBy("doc").agg(F.array_sort(F.collect_list("item")).alias("items"))
     # Count without building the words; documents are shuffled by this narrow row only.
-    n_words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(ANY_CASE_WORD)).cast("long")
-    all_docs = docs.select(F.col(doc).alias("doc"), n_words.alias("n_words"))
+    all_docs = docs.select(F.col(doc).alias("doc"), count_words(F.col(text)).alias("n_words"))
     found = small(cut(hit.join(of, "doc", "left")))
     found = found.withColumnRenamed("doc", "__doc")
     out = all_docs.join(found, F.col("doc").eqNullSafe(F.col("__doc")), "left")
