@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import evaluation, simulation, summaries
+
+MODULES = (summaries, evaluation, simulation)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: v for m in MODULES for k, (v, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for m in MODULES for k, (_, sql) in m.QUERIES.items() if sql}
