@@ -11,6 +11,7 @@ from . import bpe
 from .common import shared_path, table
 from .decontaminate import contamination, contamination_report
 from .line_dedup import line_dedup
+from .lm import score_texts
 from .near_dup import near_duplicates
 from .quality import quality_rules
 from .secret_scan import find_secrets, secret_report
@@ -60,6 +61,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
