@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import shared_path, table
+from .common import shared_path, stash, table
 from .decontaminate import contamination, contamination_report
 from .line_dedup import line_dedup
 from .lm import score_texts
 from .near_dup import near_duplicates
+from .packing import pack, tokenised
 from .quality import quality_rules
 from .secret_scan import find_secrets, secret_report
 from .warc import read_archive, write_archive
@@ -65,6 +66,14 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    # The ids are written once: the number of bins is known before the rows are dealt.
+    return pack(stash(tokenised(table(spark, sf_dir, "documents"), ranks, P.PATTERN), "ids"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
