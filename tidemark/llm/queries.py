@@ -16,6 +16,7 @@ from .near_dup import near_duplicates
 from .packing import pack, tokenised
 from .quality import quality_rules
 from .secret_scan import find_secrets, secret_report
+from .suffix_dedup import suffix_dedup
 from .warc import read_archive, write_archive
 
 
@@ -32,6 +33,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
