@@ -162,7 +162,7 @@ def _keys(reps: DataFrame, chunks: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, set) of the given documents, one row each."""
+    """(id, set) of the given documents; an id that repeats does no harm below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
@@ -171,7 +171,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
     found = docs.select("id", "text").join(small(ids), "id").mapInArrow(run, "id long, set binary")
-    return stash(found, "sets").dropDuplicates(["id"])
+    return stash(found, "sets")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -230,25 +230,40 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _active(rows: DataFrame, bound: int) -> DataFrame:
-    """(key, lo, hi, id, root): members that have one of another component within the distance, in their block pair."""
+def _candidates(rows: DataFrame, bound: int) -> DataFrame:
+    """(a, b): within each block pair of a bucket, spanning links of the members of different components that are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 3):
-            root = t.column("root").to_numpy()
+            root, ids = t.column("root").to_numpy(), t.column("id").to_numpy()
             if len(root) < 2 or (root == root[0]).all():
                 continue
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(root), -1)
-            keep = np.zeros(len(root), bool)
+            label, a, b = np.arange(len(root)), [], []
             step = max(1, 4_000_000 // (len(root) * sig.shape[1]))
-            for i in range(0, len(root), step):
-                near = (sig[i : i + step, None, :] != sig[None, :, :]).sum(2, dtype=np.uint16) <= bound
-                keep[i : i + step] = (near & (root[i : i + step, None] != root[None, :])).any(1)
-            if keep.any():
-                yield from t.select(["key", "lo", "hi", "id", "root"]).filter(pa.array(keep)).combine_chunks().to_batches()
+            for lo in range(0, len(root), step):
+                near = (sig[lo : lo + step, None, :] != sig[None, :, :]).sum(2, dtype=np.uint16) <= bound
+                near &= root[lo : lo + step, None] != root[None, :]
+                for i in range(lo, min(lo + step, len(root))):
+                    others = np.flatnonzero(near[i - lo, :i])
+                    for j in others[np.unique(label[others], return_index=True)[1]].tolist():
+                        if label[i] != label[j]:
+                            label[label == label[i]] = label[j]
+                            a.append(ids[i])
+                            b.append(ids[j])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     at = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return at.select("key", "lo", "hi", "id", "root", "sig").mapInArrow(run, "key long, lo int, hi int, id long, root long")
+    return at.select("key", "lo", "hi", "id", "root", "sig").mapInArrow(run, "a long, b long")
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (key, size, id, ..) with lo and hi: groups of over BLOCK members meet block by block, each pair of blocks once."""
+    at = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    at = at.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return at.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
 
 
 def _within(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -324,13 +339,15 @@ def near_duplicates(
     # Buckets that still hold several components, in blocks where they are large.
     at = shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     split = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    at = at.join(split, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    at = at.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    at = at.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
-    active = stash(_active(at.join(sig, "id"), bound), "active")
-    sets = _sets(d, active.select("id").distinct(), words)
-    more = _within(active.join(sets, "id"), num, den)
+    near = cut(_candidates(_in_blocks(at.join(split, "key").join(sig, "id")), bound).distinct())
+    # What is near by any bucket is one cluster; each of its members brings its set once.
+    clusters = components(near).withColumnRenamed("root", "key")
+    clusters = clusters.union(clusters.select(F.col("key").alias("id"), "key").distinct())
+    sizes = clusters.groupBy("key").agg(F.count("*").alias("size"))
+    clusters = clusters.join(sizes, "key").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    clusters = cut(clusters.select("key", "size", "id", "root"))
+    sets = _sets(d, clusters.select("id"), words)
+    more = _within(_in_blocks(clusters.join(sets, "id")), num, den)
     roots = components(links.union(more))
 
     found = members.join(roots.withColumnRenamed("id", "class"), "class", "left")
