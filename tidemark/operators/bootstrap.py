@@ -21,7 +21,7 @@ def draw(replicate: Column, k: Column, n: Column) -> Column:
 
 def draws(spark: SparkSession, replicates: int, n: int) -> DataFrame:
     """(rep, k, pick): n draws with replacement for each replicate."""
-    grid = spark.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("k"))
+    grid = spark.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
     return grid.withColumn("pick", draw(F.col("rep"), F.col("k"), F.lit(n)))
 
 

@@ -1 +1,294 @@
-QUERIES = {}
+"""Queries on splits, features, models, scores and resampling."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.scalar import clip, d, logit, smoothed_rate
+from ..operators import bootstrap, features, metrics, models
+from .adapters import DRAW, E_P, E_T, K, event_blocks, event_scored, event_split, resource_blocks, rounded, table
+
+QUERIES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a function as a query under its name, with its SQL."""
+    def add(f):
+        QUERIES[f.__name__] = ((lambda spark, sf_dir: rounded(f(spark, sf_dir))), sql)
+        return f
+
+    return add
+
+
+def _test(spark, sf_dir):
+    return event_scored(spark, sf_dir).where("split = 'test'")
+
+
+@query(E_T + " select panel, split, count(*) as rows, cast(sum(target) as bigint) as positives, min(window_id) as first, max(window_id) as last from t group by all")
+def temporal_split(spark, sf_dir):
+    return event_split(spark, sf_dir).groupBy("panel", "split").agg(F.count("*").alias("rows"), F.sum("target").alias("positives"), F.min("window_id").alias("first"), F.max("window_id").alias("last"))
+
+
+@query(E_T + """, a as (select *, row_number() over (partition by panel order by window_id) - 1 as k, count(*) over (partition by panel) as nt from o where nxt = window_id + 1)
+select panel, cast(count(*) filter (where k < greatest(20, floor(cast(0.7 as double) * nt))) as bigint) as train, cast(count(*) filter (where k >= greatest(20, floor(cast(0.7 as double) * nt))) as bigint) as test from a group by panel""")
+def ordered_split(spark, sf_dir):
+    t = features.ordered_split(features.transitions(event_blocks(spark, sf_dir), ["panel"]), ["panel"])
+    return t.groupBy("panel").agg(F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "test").alias("test"))
+
+
+@query("select case when ('0x' || substr(md5(cast(s_suppkey as varchar)), 1, 8))::bigint % 1000 < 700 then 'train' else 'test' end as split, count(*) as entities, cast(sum(s_suppkey) as bigint) as checksum from supplier group by 1")
+def panel_disjoint(spark, sf_dir):
+    s = features.disjoint_split(table(spark, sf_dir, "supplier"), "s_suppkey")
+    return s.groupBy("split").agg(F.count("*").alias("entities"), F.sum("s_suppkey").alias("checksum"))
+
+
+_LATE = "(cast(snapshot >= 1 as int) + cast(snapshot_late >= 1 as int))"
+_FEATURES = {
+    "offset": ("two_snapshots", ["snapshot", "snapshot_late", "greatest(snapshot, snapshot_late)", f"{_LATE} / 2.0", f"cast({_LATE} > 0 as int)"]),
+    "multi": ("maximum_count", ["maximum", "cnt / 12.0", "cast(maximum >= 1 as int)"]),
+    "ablation": ("full", ["maximum", "cnt / 12.0", "cast(maximum >= 1 as int)"]),
+    "external": ("snapshot", ["snapshot", "cast(snapshot >= 1 as int)"]),
+}
+
+
+def _feature_query(family: str, scheme: str, sql: list[str]) -> None:
+    text = ", ".join(f"round(cast({x} as double), 6) as f{i}" for i, x in enumerate(sql))
+
+    def run(spark, sf_dir):
+        return event_split(spark, sf_dir).select("panel", "window_id", "target", *features.features(family, scheme))
+
+    run.__name__ = f"features_{family}"
+    query(E_T + f" select panel, window_id, target, {text} from t")(run)
+
+
+for _family, (_scheme, _sql) in _FEATURES.items():
+    _feature_query(_family, _scheme, _sql)
+
+
+@query(E_T + ", k as (select panel, cast(sum(target) as bigint) as k, count(*) as n from t where split = 'train' group by panel) select panel, k, n, round((k + 0.5::double) / (n + 1), 6) as rate from k")
+def priors(spark, sf_dir):
+    return features.priors(event_split(spark, sf_dir), ["panel"])
+
+
+@query(E_T + """, g as (select avg(maximum) filter (where split = 'train') as a, stddev_pop(maximum) filter (where split = 'train') as s from t)
+select panel, window_id, round((maximum - a) / case when s < 1e-8 then 1 else s end, 6) as maximum from t, g""")
+def standardise(spark, sf_dir):
+    return features.standardise(event_split(spark, sf_dir), ["maximum"]).select("panel", "window_id", "maximum")
+
+
+@query(E_T + " select round(quantile_cont(maximum, 0.95), 6) as threshold from t")
+def leaky_threshold(spark, sf_dir):
+    return features.leaky_snapshot_threshold(event_split(spark, sf_dir))
+
+
+_T = E_P + ", y as (select * from p where split = 'test')"
+_AP = "select {k} sum(k * tp / nn::double) / nullif(sum(k), 0) as v from (select *, sum(k) over ({w} order by p desc) as tp, sum(n) over ({w} order by p desc) as nn from (select {k} p, count(*) as n, sum(target) as k from {t} group by {k} p)) {g}"
+
+
+@query(_T + ", a as (" + _AP.format(k="panel,", w="partition by panel", t="y", g="group by panel") + ") select panel, round(v, 6) as average_precision from a")
+def average_precision(spark, sf_dir):
+    return metrics.average_precision(_test(spark, sf_dir), ["panel"])
+
+
+@query(_T + """, r as (select panel, target, sum(target) over (partition by panel order by p desc, window_id rows unbounded preceding) as tp, row_number() over (partition by panel order by p desc, window_id) as n from y)
+select panel, round(avg(case when target = 1 then tp / n::double end), 6) as average_precision_stable from r group by panel""")
+def average_precision_stable(spark, sf_dir):
+    return metrics.average_precision_stable(_test(spark, sf_dir), ["panel"], ["window_id"])
+
+
+@query(_T + """, r as (select *, rank() over (partition by panel order by p) + (count(*) over (partition by panel, p) - 1) / 2.0 as rk from y),
+g as (select panel, sum(case when target = 1 then rk end) as s, cast(sum(target) as double) as k, count(*) - sum(target)::double as m from r group by panel)
+select panel, round((s - k * (k + 1) / 2) / nullif(k * m, 0), 6) as roc_auc from g""")
+def roc_auc(spark, sf_dir):
+    return metrics.roc_auc(_test(spark, sf_dir), ["panel"])
+
+
+@query(_T + """ select panel, count(*) as rows, cast(sum(target) as bigint) as positives, round(avg(target), 6) as prevalence, round(avg((target - p) * (target - p)), 6) as brier,
+round(avg(target * ln(p) + (1 - target) * ln(1 - p)), 6) as mean_log_score from y group by panel""")
+def brier_log_score(spark, sf_dir):
+    return metrics.point_scores(_test(spark, sf_dir), ["panel"])
+
+
+@query(_T + """, b as (select panel, count(*) as n, abs(avg(p) - avg(target)) as gap from y group by panel, """ + " + ".join(f"cast(p > {i / 10}::double as int)" for i in range(1, 10)) + """)
+select panel, round(sum(n * gap) / sum(n), 6) as ece_10 from b group by panel""")
+def ece_10(spark, sf_dir):
+    return metrics.calibration_error(_test(spark, sf_dir), ["panel"])
+
+
+@query(_T + ", b as (select *, ntile(10) over (partition by panel order by p, window_id) as bin from y) select panel, bin, count(*) as rows, round(avg(p), 6) as mean_p, round(avg(target), 6) as observed from b group by all")
+def reliability_bins(spark, sf_dir):
+    return metrics.reliability_bins(_test(spark, sf_dir), ["panel"], ["window_id"])
+
+
+@query(_T + """, r as (select *, row_number() over (partition by panel order by p desc, window_id) as rk, count(*) over (partition by panel) as n from y),
+g as (select panel, cast(count(*) filter (where rk <= ceil(0.05::double * n)) as bigint) as alerts, sum(target) filter (where rk <= ceil(0.05::double * n)) as tp, sum(target) as k from r group by panel)
+select panel, alerts, round(tp / nullif(k, 0)::double, 6) as alert_recall, round(tp / alerts::double, 6) as alert_precision from g""")
+def alert_topk(spark, sf_dir):
+    return metrics.alerts(_test(spark, sf_dir), ["panel"], ["window_id"], 0.05)
+
+
+@query(_T + " select panel, window_id, round(p, 6) as p from y order by p desc, panel, window_id limit 25")
+def best_budget(spark, sf_dir):
+    return metrics.best_budget(_test(spark, sf_dir), 25, ["panel", "window_id"]).select("panel", "window_id", "p")
+
+
+#: The other score of comparisons: a panel's smoothed training rate.
+_TWO = E_P + """, kk as (select panel, (sum(target) + 0.5::double) / (count(*) + 1) as prior from t where split = 'train' group by panel),
+y as (select p.*, prior from p join kk on p.panel = kk.panel where split = 'test')"""
+
+
+def _two(spark, sf_dir):
+    return features.with_prior(event_scored(spark, sf_dir), ["panel"]).where("split = 'test'")
+
+
+_GAIN = ", g as (select panel, cast(sum(target) as bigint) as positives, avg(target * ln(p) + (1 - target) * ln(1 - p)) - avg(target * ln(prior) + (1 - target) * ln(1 - prior)) as gain from y group by panel)"
+
+
+@query(_TWO + _GAIN + " select panel, positives, round(gain, 6) as gain from g")
+def per_panel_gain(spark, sf_dir):
+    return metrics.entity_gain(_two(spark, sf_dir), "panel", "prior", "p")
+
+
+@query(_TWO + _GAIN + " select count(*) as entities, cast(count(*) filter (where gain > 0) as bigint) as wins, round(quantile_cont(gain, 0.5), 6) as median_gain from g where positives > 0")
+def gain_summary(spark, sf_dir):
+    return metrics.gain_summary(metrics.entity_gain(_two(spark, sf_dir), "panel", "prior", "p"))
+
+
+@query(None)
+def sign_test(spark, sf_dir):
+    g = metrics.gain_summary(metrics.entity_gain(_two(spark, sf_dir), "panel", "prior", "p")).first()
+    return spark.createDataFrame([(g.wins, g.entities, metrics.sign_test(g.wins, g.entities))], "wins long, entities long, p_value double")
+
+
+_REPS = 200
+_DRAWS = ", dr as (select rep, " + DRAW.format(a="rep", b="k", n="{n}") + " as pick from range({reps}) a(rep), range({n}) b(k))"
+_CI = "round(avg(v), 6) as mean, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high"
+
+
+@query(_TWO + ", c as (select row_number() over (order by panel) - 1 as pick, sum((target - prior) * (target - prior) - (target - p) * (target - p)) as s, count(*) as n from y group by panel)"
+       + _DRAWS.format(n="(select count(*) from c)", reps=_REPS) + f", r as (select rep, sum(s) / sum(n) as v from dr join c on dr.pick = c.pick group by rep) select {_CI} from r")
+def cluster_bootstrap(spark, sf_dir):
+    gain = F.pow(F.col("target") - F.col("prior"), 2) - F.pow(F.col("target") - F.col("p"), 2)
+    c = _two(spark, sf_dir).groupBy("panel").agg(F.sum(gain).alias("s"), F.count("*").alias("n"))
+    return bootstrap.cluster_ratio(c, "panel", "s", "n", _REPS)
+
+
+@query(_TWO + ", c as (select row_number() over (order by panel) - 1 as pick, avg((target - prior) * (target - prior) - (target - p) * (target - p)) as s from y group by panel)"
+       + _DRAWS.format(n="(select count(*) from c)", reps=_REPS) + f", r as (select rep, avg(s) as v from dr join c on dr.pick = c.pick group by rep) select {_CI} from r")
+def cluster_mean_bootstrap(spark, sf_dir):
+    gain = F.pow(F.col("target") - F.col("prior"), 2) - F.pow(F.col("target") - F.col("p"), 2)
+    c = _two(spark, sf_dir).groupBy("panel").agg(F.avg(gain).alias("s"))
+    return bootstrap.cluster_mean(c, "panel", "s", _REPS)
+
+
+@query(_TWO + ", c as (select panel, row_number() over (order by panel) - 1 as pick from (select distinct panel from y))" + _DRAWS.format(n="(select count(*) from c)", reps=50)
+       + ", m as (select rep, p, target from dr join c on dr.pick = c.pick join y on y.panel = c.panel), a as (" + _AP.format(k="rep,", w="partition by rep", t="m", g="group by rep") + f") select {_CI} from a")
+def pooled_precision_bootstrap(spark, sf_dir):
+    return bootstrap.pooled_precision(_two(spark, sf_dir), "panel", 50)
+
+
+@query(_TWO.replace("prior from p join", "0.02 + 0.9 * (window_id % 7) / 7.0 as other, prior from p join") + ", e as (select panel from y group by panel having min(target) <> max(target)), q as (select y.* from y join e on y.panel = e.panel), l as ("
+       + _AP.format(k="panel,", w="partition by panel", t="(select panel, other as p, target from q)", g="group by panel") + "), h as (" + _AP.format(k="panel,", w="partition by panel", t="q", g="group by panel")
+       + "), c as (select row_number() over (order by l.panel) - 1 as pick, h.v - l.v as s from l join h on l.panel = h.panel)" + _DRAWS.format(n="(select count(*) from c)", reps=_REPS)
+       + f", r as (select rep, avg(s) as v from dr join c on dr.pick = c.pick group by rep) select {_CI} from r")
+def precision_gain_bootstrap(spark, sf_dir):
+    t = _two(spark, sf_dir).withColumn("other", d(0.02) + d(0.9) * (F.col("window_id") % 7) / d(7))
+    return bootstrap.precision_gain(t, "panel", "other", "p", _REPS)
+
+
+_ONE = ", z as (select *, row_number() over (order by window_id) - 1 as at from y where panel = 'click'), nz as (select count(*) as n from z)"
+_BLOCKS = (", st as (select rep, k, " + DRAW.format(a="rep", b="k", n="n") + " as pick0, n from range(100) a(rep), nz, range(1000) b(k) where k < ceil(n / 12.0)),"
+           " st2 as (select rep, k, n, " + DRAW.format(a="rep", b="k", n="n") + " as start from st), bl as (select rep, (start + j) % n as at from st2, range(12) c(j) where k * 12 + j < n)")
+
+
+@query(_TWO + _ONE + _BLOCKS + f", r as (select rep, sum(case when event = 1 and snapshot >= 1 then 1.0 else 0 end) / nullif(sum(event), 0) as v from bl join z on bl.at = z.at group by rep) select {_CI} from r")
+def moving_block_recall(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    z = _two(spark, sf_dir).where("panel = 'click'").withColumn("at", F.row_number().over(W.orderBy("window_id")) - 1)
+    return bootstrap.block_recall(z, "at", F.col("snapshot") >= 1, "event", 100)
+
+
+@query(_TWO + _ONE + _BLOCKS + ", m as (select rep, p, prior, target from bl join z on bl.at = z.at), h as (" + _AP.format(k="rep,", w="partition by rep", t="m", g="group by rep") + "), l as ("
+       + _AP.format(k="rep,", w="partition by rep", t="(select rep, prior as p, target from m)", g="group by rep") + f"), r as (select h.v - l.v as v from h join l on h.rep = l.rep) select {_CI} from r")
+def moving_block_precision(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    z = _two(spark, sf_dir).where("panel = 'click'").withColumn("at", F.row_number().over(W.orderBy("window_id")) - 1)
+    return bootstrap.block_precision_gain(z, "at", "prior", "p", 100)
+
+
+def _fit_frame(spark, sf_dir, scheme="maximum_count", family="multi"):
+    f = features.features(family, scheme)
+    t = features.with_prior(event_split(spark, sf_dir), ["panel"])
+    names = [f"f{i}" for i in range(len(f))]
+    return t.select("panel", "window_id", "split", "target", logit(clip("prior", 1e-6, 1 - 1e-6)).alias("offset"), *f), names
+
+
+@query(None)
+def offset_logistic(spark, sf_dir):
+    t, names = _fit_frame(spark, sf_dir, "maximum_count", "offset")
+    m = models.fit_logistic(t.where("split = 'train'"), names, offset="offset")
+    scored = t.where("split = 'test'").withColumn("p", m.score(names, F.col("offset")))
+    return metrics.point_scores(scored, []).join(F.broadcast(metrics.average_precision(scored, [])))
+
+
+@query(None)
+def logistic_coefficients(spark, sf_dir):
+    rows = []
+    for scheme in ("persistence", "snapshot", "maximum", "maximum_count"):
+        t, names = _fit_frame(spark, sf_dir, scheme)
+        rows.append(models.fit_logistic(t.where("split = 'train'"), names).row(scheme=scheme))
+    return models.coefficient_table(spark, rows)
+
+
+@query(None)
+def frozen_transfer(spark, sf_dir):
+    """Fitted on the events' panels, scored on the orders' without any refit."""
+    from ..operators import clean, windows
+
+    t, names = _fit_frame(spark, sf_dir)
+    m = models.fit_mean_loss(t.where("split = 'train'"), names)
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("panel"), "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("x"))
+    o = clean.normalise_bursts(clean.in_order(o, ["panel"], ["o_orderdate", "o_orderkey"]), ["panel"])
+    blocks = windows.summarise(windows.positional(o, K), ["panel"], K)
+    other = features.temporal_split(blocks, ["panel"]).where("split = 'test'").select("panel", "target", *features.features("multi", "maximum_count"))
+    scored = other.withColumn("p", m.score(names))
+    out = metrics.point_scores(scored, ["panel"])
+    for more in (metrics.average_precision, metrics.roc_auc, metrics.calibration_error):
+        out = out.join(more(scored, ["panel"]), "panel")
+    return out
+
+
+@query(None)
+def calibration_line(spark, sf_dir):
+    a, b = models.calibration_line(_test(spark, sf_dir))
+    return spark.createDataFrame([(a, b)], "intercept double, slope double")
+
+
+@query(None)
+def boosted_trees(spark, sf_dir):
+    t, names = _fit_frame(spark, sf_dir)
+    score = models.fit_trees(t.where("split = 'train'").withColumn("target", F.col("target").cast("double")), names)
+    return metrics.point_scores(score(t.where("split = 'test'")), ["panel"])
+
+
+@query(None)
+def resource_forecast(spark, sf_dir):
+    """Per resource: a model on the training transitions, scored on the test ones."""
+    b = features.temporal_split(resource_blocks(spark, sf_dir), ["panel", "resource"], windows=20, train=10, test=3).persist()
+    out = None
+    for r in ("cpu", "memory", "disk", "network"):
+        t = b.where(F.col("resource") == r).select("resource", "split", "target", *features.features("multi", "maximum_count"))
+        names = ["f0", "f1", "f2"]
+        m = models.fit_logistic(t.where("split = 'train'"), names)
+        s = metrics.point_scores(t.where("split = 'test'").withColumn("p", m.score(names)), ["resource"])
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@query(E_T + ", g as (select (sum(target) + 0.5::double) / (count(*) + 1) as r from t where split = 'train') select split, round(avg(r), 6) as prior from t, g group by split")
+def global_prior(spark, sf_dir):
+    t = event_split(spark, sf_dir)
+    g = t.where("split = 'train'").agg(smoothed_rate(F.sum("target"), F.count("*")).alias("r"))
+    return t.join(F.broadcast(g)).groupBy("split").agg(F.avg("r").alias("prior"))  # one row
