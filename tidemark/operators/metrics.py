@@ -11,20 +11,19 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clip_p, d
 
 
-def _grouped(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows and positives per distinct score, so that the ranking is over distinct scores only."""
-    return df.groupBy(*keys, "p").agg(F.count("*").alias("n"), F.sum("target").alias("k"))
+def _grouped(df: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """Rows __n and positives __k per distinct score, so that the ranking is over distinct scores only."""
+    n = F.sum(weight) if weight else F.count("*")
+    k = F.sum(F.col(weight) * F.col("target")) if weight else F.sum("target")
+    return df.groupBy(*keys, "p").agg(n.alias("__n"), k.alias("__k"))
 
 
 def average_precision(df: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
     """Precision at each distinct score, weighted by its positives; ties are one step. weight: multiplicity of rows."""
-    if weight:
-        g = df.groupBy(*keys, "p").agg(F.sum(weight).alias("n"), F.sum(F.col(weight) * F.col("target")).alias("k"))
-    else:
-        g = _grouped(df, keys)
     upto = W.partitionBy(*keys).orderBy(F.col("p").desc()).rowsBetween(W.unboundedPreceding, 0)
-    g = g.withColumn("tp", F.sum("k").over(upto)).withColumn("nn", F.sum("n").over(upto))
-    return g.groupBy(*keys).agg(F.try_divide(F.sum(F.try_divide(F.col("k") * F.col("tp").cast("double"), F.col("nn"))), F.sum("k")).alias("average_precision"))
+    g = _grouped(df, keys, weight).withColumns({"__tp": F.sum("__k").over(upto), "__nn": F.sum("__n").over(upto)})
+    step = F.try_divide(F.col("__k") * F.col("__tp").cast("double"), F.col("__nn"))
+    return g.groupBy(*keys).agg(F.try_divide(F.sum(step), F.sum("__k")).alias("average_precision"))
 
 
 def average_precision_stable(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -37,11 +36,11 @@ def average_precision_stable(df: DataFrame, keys: list[str], order: list[str]) -
 
 def roc_auc(df: DataFrame, keys: list[str]) -> DataFrame:
     """By average ranks, from counts per distinct score."""
-    g = _grouped(df, keys)
     below = W.partitionBy(*keys).orderBy("p").rowsBetween(W.unboundedPreceding, -1)
-    g = g.withColumn("neg_below", F.coalesce(F.sum(F.col("n") - F.col("k")).over(below), F.lit(0)))
-    wins = F.sum(F.col("k") * (F.col("neg_below") + d(0.5) * (F.col("n") - F.col("k"))))
-    return g.groupBy(*keys).agg(F.try_divide(wins, F.sum("k") * F.sum(F.col("n") - F.col("k")).cast("double")).alias("roc_auc"))
+    g = _grouped(df, keys).withColumn("__neg", F.col("__n") - F.col("__k"))
+    g = g.withColumn("__below", F.coalesce(F.sum("__neg").over(below), F.lit(0)))
+    wins = F.sum(F.col("__k") * (F.col("__below") + d(0.5) * F.col("__neg")))
+    return g.groupBy(*keys).agg(F.try_divide(wins, F.sum("__k") * F.sum("__neg").cast("double")).alias("roc_auc"))
 
 
 def brier() -> Column:
@@ -64,9 +63,9 @@ def calibration_error(df: DataFrame, keys: list[str], bins: int = 10) -> DataFra
     """Mean absolute gap of equal-width bins (low, high], weighted by their rows."""
     at = sum((F.when(F.col("p") > d(i / bins), 1).otherwise(0) for i in range(1, bins)), F.lit(0))
     b = df.withColumn("__bin", at).groupBy(*keys, "__bin").agg(
-        F.count("*").alias("n"), F.abs(F.avg("p") - F.avg(F.col("target").cast("double"))).alias("gap")
+        F.count("*").alias("__n"), F.abs(F.avg("p") - F.avg(F.col("target").cast("double"))).alias("__gap")
     )
-    return b.groupBy(*keys).agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias(f"ece_{bins}"))
+    return b.groupBy(*keys).agg((F.sum(F.col("__n") * F.col("__gap")) / F.sum("__n")).alias(f"ece_{bins}"))
 
 
 def reliability_bins(df: DataFrame, keys: list[str], order: list[str], bins: int = 10) -> DataFrame:
