@@ -1,0 +1,385 @@
+"""Training-data operators on small cases: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, decontaminate, line_dedup, lm, near_dup, packing, quality, secret_scan, suffix_dedup, warc
+
+RANKS = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+TOKENS = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, texts, first=0):
+    return spark.createDataFrame([(first + i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], SCHEMA)
+
+
+def clashing(df):
+    """The frame with columns named as the operators might name their own."""
+    return df.withColumns({c: F.lit(7) for c in ("id", "doc", "rank", "key", "block", "part", "words", "n", "term", "pos", "digest", "set", "sig", "__n", "__text")})
+
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(n))
+
+
+# 1
+
+def test_units_and_merges_match_the_library():
+    rng = random.Random(1)
+    letters = [*"ab  \n\té.,'ss 1２　\x1c\x85\xa0漢字#$ \r", "'s", "'ll", " the", " ", " ", " "]
+    cut = bpe.cutter(P.PATTERN)
+    for _ in range(3000):
+        t = "".join(rng.choices(letters, k=rng.randint(0, 30)))
+        first, rest = bpe.units(t)
+        pieces = [p for u in (first, *(" " + r for r in rest)) for p in cut(u)]
+        assert [i for p in pieces for i in ([RANKS[p]] if p in RANKS else bpe.merge_long(p, RANKS))] == TOKENS.encode_ordinary(t), repr(t)
+
+
+def test_encode_and_decode(spark):
+    texts = [None, "", " ", "  x  y\n\n z ", "x" * 5000 + " #$%" * 30, "it's they'll a.b, é.", "unseenword " * 3, "\x1c a\x85b", "thhorontea ndthe.\nThore"]
+    df = clashing(frame(spark, texts))
+    got = {r.doc_id: r for r in bpe.encode(df, RANKS, P.PATTERN, decoded="back").collect()}
+    for i, t in enumerate(texts):
+        assert list(got[i].ids) == TOKENS.encode_ordinary(t or "") and bytes(got[i].back) == (t or "").encode() and got[i].key == 7
+    two = bpe.decode(spark.createDataFrame([(1, [RANKS[b"a"], RANKS[b"b"]]), (2, None)], "k long, ids array<int>"), RANKS)
+    assert {r.k: r.decoded for r in two.collect()} == {1: bytearray(b"ab"), 2: None}
+    assert bpe.encode(df.limit(0), RANKS, P.PATTERN).count() == 0
+
+
+def test_rows_that_shuffle_are_encoded_alike(spark):
+    df = frame(spark, ["some words here"] * 3).repartition(3, "doc_id")
+    assert [list(r.ids) for r in bpe.encode(df, RANKS, P.PATTERN).collect()] == [TOKENS.encode_ordinary("some words here")] * 3
+
+
+# 2
+
+def removed(docs, length=50):
+    first, out = {}, {}
+    for i, t in sorted(docs.items()):
+        b = t.encode()
+        for p in range(len(b) - length + 1):
+            first.setdefault(b[p : p + length], i)
+    for i, t in docs.items():
+        b, gone = t.encode(), bytearray(len(t.encode()))
+        for p in range(len(b) - length + 1):
+            if first[b[p : p + length]] < i:
+                gone[p : p + length] = b"\1" * length
+        out[i] = bytes(x for x, g in zip(b, gone) if not g), sum(gone), len(re.findall(b"\1+", bytes(gone)))
+    return out
+
+
+@pytest.mark.parametrize("block", [400, 6 << 20])
+def test_suffix_dedup(spark, monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
+    rng = random.Random(2)
+    shared = [prose(rng, 12) for _ in range(4)]
+    texts = [None, "", "x" * 49, "x" * 200, "y" * 30 + "x" * 60 + "z" * 60 + "x" * 60, "z" * 55, "é" * 60, "aé" * 40]
+    for _ in range(40):
+        texts.append(" ".join(rng.choice([prose(rng, 6), rng.choice(shared)]) for _ in range(4)))
+    texts += texts[10:20]
+    df = clashing(frame(spark, texts)).unionByName(clashing(frame(spark, ["x" * 99])).withColumn("doc_id", F.lit(None).cast("long")))
+    got = suffix_dedup.suffix_dedup(df).collect()
+    want = removed({i: t or "" for i, t in enumerate(texts)})
+    for r in got:
+        if r.doc_id is None:
+            assert r.n_removed == 0
+        else:
+            assert (bytes(r.kept), r.n_removed, r.n_spans) == want[r.doc_id]
+    assert len(got) == len(texts) + 1 and suffix_dedup.suffix_dedup(df.limit(0)).count() == 0
+
+
+def test_window_order_is_a_suffix_order():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 400).astype(np.uint8)
+    at = np.arange(300)
+    order, group = suffix_dedup.window_order(np.append(data, np.zeros(8, np.uint8)), at)
+    keys = [bytes(data[i : i + 50]) for i in at[order]]
+    assert keys == sorted(keys) and [a == b for a, b in zip(keys, keys[1:])] == (np.diff(group) == 0).tolist()
+
+
+# 3
+
+def near(docs, words, num, den):
+    sets = {}
+    for i, t in docs.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))) if w else frozenset()
+    lead = {i: i for i in sets}
+
+    def top(x):
+        while lead[x] != x:
+            x = lead[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            n = len(sets[i] & sets[j])
+            if j < i and n and den * n >= num * (len(sets[i]) + len(sets[j]) - n):
+                a, b = top(i), top(j)
+                lead[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), top(i)) for i in sets}
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_near_duplicates(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "HUB_ROWS", 5)
+    rng = random.Random(4)
+    texts = [None, "", "   ", "one", "One", "two words", "Two Words"]
+    for n in (60, 150):
+        base = prose(rng, n).split()
+        for _ in range(30):  # copies with a few changed words: links to some of the others only
+            own = list(base)
+            for k in rng.sample(range(n), rng.randint(0, n // 20)):
+                own[k] = "new" + str(rng.randint(0, 10**6))
+            texts.append(" ".join(own))
+    texts += [prose(rng, 50) for _ in range(20)] + texts[7:12]
+    want = near(dict(enumerate(texts)), 3, 85, 100)
+    df = clashing(frame(spark, texts)).unionByName(clashing(frame(spark, ["null id"])).withColumn("doc_id", F.lit(None).cast("long")))
+    got = near_dup.near_duplicates(df, 3, 85, 100).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        if r.doc_id is None:
+            assert r.kept and r.component_id is None
+        else:
+            assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.component_id == r.doc_id)
+    assert near_dup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_signature_distance_bound_and_keys():
+    t = near_dup.distance_bound(0.85)
+    assert t // (t // 2 + 1) == 1
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 2**16, (200, 64)).astype(np.uint16)
+    b = a.copy()
+    for row in b:
+        row[rng.choice(64, t, replace=False)] += 1
+    same = near_dup.chunk_keys(a, t // 2 + 1) == near_dup.chunk_keys(b, t // 2 + 1)
+    assert same.any(1).all()
+
+
+# 4
+
+def test_warc(spark, tmp_path):
+    big = "b" * 2000
+    pages = [(1, "http://a/", big), (2, None, None), (3, "u\r\nWARC-Type: x", "small"), (4, "http://b/", "small"), (5, "http://c/", big), (5, "http://c/", big), (None, "http://d/", big)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1))
+    warc.write_archive(df, str(tmp_path / "a"))
+    got = warc.read_archive(spark, str(tmp_path / "a")).collect()
+    key = lambda r: (r.page, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest)
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    want = [(1, "revisit", 5, 2000, sha(big)), (2, "response", None, 0, sha("")), (3, "response", None, 5, sha("small")), (4, "response", None, 5, sha("small"))]
+    want += [(5, "response", None, 2000, sha(big))] * 2 + [(None, "response", None, 2000, sha(big))]
+    assert sorted(map(key, got), key=str) == sorted(want, key=str)
+    records = {r.page: bytes(r.record) for r in warc.rebuild_records(spark, str(tmp_path / "a")).collect()}
+    assert records[5].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and records[5].endswith(big.encode() + b"\r\n\r\n")
+    assert b"WARC-Target-URI: u%0D%0AWARC-Type: x\r\n" in records[3] and b"Content-Length: 0\r\n" in records[1]
+    assert spark.read.parquet(str(tmp_path / "a/blobs")).select("digest").distinct().count() == 3
+    assert {bytes(r.payload) for r in warc.payloads(spark, str(tmp_path / "a")).where("page = 1").collect()} == {big.encode()}
+    warc.write_archive(df.limit(0), str(tmp_path / "e"))
+    assert warc.read_archive(spark, str(tmp_path / "e")).count() == 0
+
+
+# 5
+
+def lines_left(docs, n):
+    seen, out = set(), {}
+    for i, t in sorted(docs.items()):
+        ls = (t or "").split("\n")
+        at = [k for k, x in enumerate(ls) if re.search(r"[^\x20\x09-\x0D]", x)]
+        gone = set()
+        for k in range(len(at) - n + 1):
+            w = tuple(ls[j] for j in at[k : k + n])
+            gone |= set(at[k : k + n]) if w in seen else set()
+            seen.add(w)
+        out[i] = "\n".join(x for k, x in enumerate(ls) if k not in gone), len(at), len(gone)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 6])
+def test_line_dedup(spark, n):
+    rng = random.Random(6)
+    pool = [f"line {k}" for k in range(12)] + ["", "  "]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for _ in range(60)] + ["", "same\nsame\nsame\nsame", "one\n" * 400]
+    df = clashing(frame(spark, texts)).unionByName(clashing(frame(spark, [None], 1000)))
+    want = lines_left(dict(enumerate(texts)) | {1000: None}, n)
+    for r in line_dedup.line_dedup(df, min_lines=n).collect():
+        assert ((r.text or ""), r.n_lines, r.n_removed) == want[r.doc_id] and r.rank == 7
+        assert r.doc_id != 1000 or r.text is None
+    assert line_dedup.line_dedup(df.limit(0)).count() == 0
+
+
+# 6
+
+def test_contamination(spark):
+    rng = random.Random(7)
+    items = [prose(rng, 15), prose(rng, 12), "Short Item", None, "", "the the the the the the the the the the the", prose(rng, 10)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("wid", F.lit(1))
+    w = items[0].split()
+    texts = [None, "", "!!", items[0].upper(), prose(rng, 5) + " " + " ".join(w[2:12]) + " " + prose(rng, 5), " ".join(w[2:11]), "a SHORT-item b", "the " * 40, prose(rng, 60), items[1] + "." + items[6] + "." + items[1]]
+    df = clashing(frame(spark, texts))
+    got = {r.doc_id: r for r in decontaminate.contamination_report(decontaminate.contamination(df, bench)).collect()}
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {}
+    for k, t in enumerate(items):
+        own = word(t)
+        for s in range(max(1, len(own) - 9)) if own else ():
+            windows.setdefault(tuple(own[s : s + 10]), set()).add(str(k))
+    for i, t in enumerate(texts):
+        own, hit, found = word(t), set(), set()
+        for s in range(len(own)):
+            for n in {len(k) for k in windows}:
+                if tuple(own[s : s + n]) in windows and s + n <= len(own):
+                    hit |= set(range(s, s + n))
+                    found |= windows[tuple(own[s : s + n])]
+        r = got[i]
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(own), len(hit), len(found), bool(hit)), t
+        assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+    assert decontaminate.contamination(df.limit(0), bench).count() == 0
+    assert not decontaminate.contamination(df, bench.limit(0)).where("contaminated").count()
+
+
+def test_proximity(spark):
+    windows, _ = decontaminate.windows_of(spark.createDataFrame([(1, "red fox jumps")], "item long, text string"), "item", "text", 3)
+    words = decontaminate.document_words(frame(spark, ["a fox that jumps red b", "fox x x x x jumps red", "red fox"]), "doc_id", "text")
+    anchors = decontaminate.anchors_of(windows, decontaminate.term_counts(words, windows.select(F.explode("phrase").alias("term"))))
+    post = decontaminate.postings_of(words, anchors.select("term").distinct(), 6)
+    assert {r.doc for r in decontaminate.proximity_matches(post, anchors, 2).collect()} == {0}
+
+
+# 7
+
+def test_secrets(spark):
+    texts = [None, "", "password: hunter22", "é token='abcdef' secret=abc API_KEY = x.y-z_1", "AKIA" + "A" * 16 + " AKIA" + "B" * 15, "f" * 24 + " " + "0" * 23, "secret: token:abcdefgh", "passwd=AKIA" + "C" * 20, "password: hunter22"]
+    df = clashing(frame(spark, texts))
+    rules = {"assign": r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
+    least = {"assign": 6, "access": 20, "hex": 24}
+    for r in secret_scan.secret_report(secret_scan.find_secrets(df)).collect():
+        t, want = texts[r.doc_id] or "", []
+        for k, (kind, p) in enumerate(rules.items()):
+            want += [(m.start(), k, kind, m.end()) for m in re.finditer(p, t) if len(m[2] if kind == "assign" else m[0]) >= least[kind]]
+        assert r.spans == ",".join(f"{k}:{a}:{z}" for a, _, k, z in sorted(want))
+        assert r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
+    assert secret_scan.find_secrets(df.limit(0)).count() == 0
+
+
+def test_ledger_scans_what_is_new(spark):
+    v = lambda rows: spark.createDataFrame(rows, "path long, content string")
+    done, found = secret_scan.update_ledger(v([(1, "password: hunter22"), (2, "password: hunter22"), (3, "clean")]))
+    assert done.count() == 2 and found.count() == 1
+    done2, found2 = secret_scan.update_ledger(v([(1, "password: hunter22"), (4, "token=abcdefg")]), done)
+    assert done2.count() == 1 and found2.count() == 1
+    assert secret_scan.update_ledger(v([(1, "clean")]), done, rule_version="2")[0].count() == 1
+
+
+# 8
+
+def stats(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    hit = {j for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality(spark):
+    rng = random.Random(8)
+    texts = [None, "", "  \n ", "few words", "é# " * 30, ("a b c d e f g h " * 5) + prose(rng, 40), "x\nx\n\n \n \nx\n" + prose(rng, 30)]
+    texts += [prose(rng, rng.randint(40, 200)) for _ in range(100)] + [" ".join(w + "$$$###%%%&&&" for w in prose(rng, 60).split())]
+    df = clashing(frame(spark, texts)).withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.lit(None)).otherwise("s"))
+    got = {r.doc_id: r for r in quality.quality_rules(df).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == stats(t), t
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+        assert not (r.base_failed and r.kept)
+    assert not got[len(texts) - 1].kept and all(got[i].kept for i in range(7, len(texts) - 1))
+    assert quality.quality_rules(df.limit(0)).count() == 0
+
+
+def test_chi2_quantile():
+    assert abs(quality.chi2_quantile(0.95, 5) - 11.0705) < 1e-3
+
+
+# 9
+
+def test_scores(spark):
+    rng = random.Random(9)
+    texts = [None, "", "Unseen ONE"] + [prose(rng, rng.randint(1, 60)) for _ in range(80)]
+    df = clashing(frame(spark, texts))
+    tokens = {i: (t or "").encode().lower().split() + [b""] for i, t in enumerate(texts)}
+    one, two = Counter(), Counter()
+    for i, t in tokens.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            one.update(t)
+            two.update(zip([b""] + t, t))
+    n, v = sum(one.values()), len(one)
+    gap = []
+    for r in lm.score_texts(df).collect():
+        t = tokens[r.doc_id]
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(one[w] > 0 for w in t), n)
+        own = [(one[w] + 1) / (n + v + 1) for w in t]
+        assert abs(r.base_score - np.log10(own).sum()) < 1e-9 * max(1, abs(r.base_score))
+        exact = sum(np.log10((two[a, b] + lm.PRIOR_WEIGHT * p) / (one[a] + lm.PRIOR_WEIGHT)) for a, b, p in zip([b""] + t, t, own))
+        gap.append(abs(exact - r.score) / len(t))
+    assert np.mean(gap) < 0.05
+    assert lm.score_texts(df.limit(0)).count() == 0
+
+
+def test_filter_has_every_entry_and_few_others():
+    h = np.unique(np.random.default_rng(1).integers(0, 2**63, 4000).astype(np.uint64))
+    import pyarrow as pa
+
+    c = np.tile([1, 2, 5, 40], len(h))[: len(h)].astype(np.uint32)
+    t = pa.table([[1], [0], [0], [lm.packed(np.diff(h, prepend=np.uint64(0)), c)]], names=["kind", "part", "block", "blob"])
+    seg = lm._merge(1, 1 << 20)(t)
+    f = lm.Filter([(0, seg.column("m")[0].as_py(), seg.column("blob")[0].as_py())], 1)
+    assert (f.counts(h) >= c * 0.6).all() and np.median(np.abs(np.log(f.counts(h) / c))) < 0.35
+    assert (f.counts(h + np.uint64(12345)) > 0).mean() < 0.03
+
+
+# 10
+
+def test_best_fit_decreasing_against_a_list():
+    rng = random.Random(3)
+    for _ in range(200):
+        cap = rng.choice([1, 5, 16, 33])
+        sizes = np.array([rng.randint(1, cap) for _ in range(rng.randint(0, 40))], np.int64)
+        free = []
+        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+            fits = [f for f in free if f >= sizes[i]]
+            if fits:
+                free.remove(min(fits))
+            free.append((min(fits) if fits else cap) - sizes[i])
+        rows, n = packing.best_fit_decreasing(sizes, cap)
+        assert sorted(np.bincount(rows, sizes, minlength=n).astype(int).tolist()) == sorted(cap - f for f in free)
+
+
+def test_packing_is_lossless(spark):
+    texts = [None, "", "word " * 700, "a", "b c d", prose(random.Random(1), 90)]
+    df = clashing(frame(spark, texts))
+    got = {}
+    for r in packing.pack(packing.tokenised(df, RANKS, P.PATTERN), row=64, bin_tokens=400).collect():
+        assert len(r.ids) == len(r.positions) == 64 and r.cu_seqlens[-1] == r.n_tokens
+        for a, b, d, k in zip(r.cu_seqlens, r.cu_seqlens[1:], r.doc_ids, r.pieces, strict=False):
+            got[d, k] = r.ids[a:b]
+            assert r.positions[a:b] == list(range(b - a))
+    for i, t in enumerate(texts):
+        want = TOKENS.encode_ordinary(t or "")
+        assert [x for k in range(-(-len(want) // 64)) for x in got[i, k]] == want
+    assert packing.pack(packing.tokenised(df.limit(0), RANKS, P.PATTERN)).count() == 0

@@ -69,8 +69,8 @@ def line_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_lin
     """
     body = F.coalesce(F.col(text), F.lit(""))
     runs = repeated_runs(docs, doc, body, min_lines)
-    per_doc = runs.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("__runs"))
-    out = docs.join(per_doc, F.col(doc).eqNullSafe(F.col("doc")), "left").drop("doc")
+    per_doc = runs.groupBy(F.col("doc").alias("__doc")).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("__runs"))
+    out = docs.join(per_doc, F.col(doc).eqNullSafe(F.col("__doc")), "left").drop("__doc")
     lines = F.split(body, "\n", -1)
     word = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(SPACE_WORD), i)), lambda i: i.isNotNull())
     out = out.withColumn("__n", F.size(F.filter(lines, lambda x: x.rlike(SPACE_WORD))).cast("long"))
