@@ -137,8 +137,9 @@ def contamination(
     of = of.distinct().groupBy("doc").agg(F.array_sort(F.collect_list("item")).alias("items"))
     # Count without building the words; documents are shuffled by this narrow row only.
     all_docs = docs.select(F.col(doc).alias("doc"), count_words(F.col(text)).alias("n_words"))
-    found = small(cut(hit.join(of, "doc", "left")))
-    found = found.withColumnRenamed("doc", "__doc")
+    of = of.withColumnRenamed("doc", "__of")
+    found = hit.join(of, F.col("doc").eqNullSafe(F.col("__of")), "left").select(F.col("doc").alias("__doc"), "n_hit", "items")
+    found = small(cut(found))
     out = all_docs.join(found, F.col("doc").eqNullSafe(F.col("__doc")), "left")
     return out.select(
         F.col("doc").alias(doc), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
