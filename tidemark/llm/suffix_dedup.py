@@ -181,8 +181,9 @@ def window_order(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tupl
     data must hold 8 bytes beyond the last suffix's length.
     """
     word = np.ndarray(len(data) - 7, ">u8", data, strides=(1,))
-    order = np.argsort(word[at].astype(np.uint64), kind="stable")
-    first = word[at[order]].astype(np.uint64)
+    first = word[at].astype(np.uint64)
+    order = np.argsort(first)
+    first = first[order]
     head = np.ones(len(at), bool)
     head[1:] = first[1:] != first[:-1]
     depths = [*range(8, length - 7, 8)]
@@ -194,9 +195,13 @@ def window_order(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tupl
         todo = np.flatnonzero(~alone)
         if not len(todo):
             break
-        group = np.cumsum(head)[todo]
+        group = np.cumsum(head)[todo].astype(np.uint64)
         key = word[at[order[todo]] + depth].astype(np.uint64)
-        by = np.lexsort((key, group))
+        # One number of the group and the word's rank: two plain sorts take less than a sort by two keys.
+        by = np.argsort(key)
+        rank = np.empty(len(key), np.uint64)
+        rank[by] = np.cumsum(np.diff(key[by], prepend=key[by[:1]]) != 0)
+        by = np.argsort((group << np.uint64(32)) | rank)
         order[todo] = order[todo][by]
         key, group = key[by], group[by]
         new = np.ones(len(todo), bool)
@@ -208,31 +213,44 @@ def window_order(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tupl
 def _sources(rows: pa.Table) -> pa.Table:
     """(block, part, blob): windows that an earlier document has, as (run, offset, windows, source) of the blocks' texts."""
     got = [unpacked(b, np.uint8, np.uint8, np.uint8, np.uint8, np.uint8) for b in rows.column("blob").to_pylist()]
-    body = np.concatenate([x[0] for x in got])
     sizes = np.concatenate([x[1] for x in got]).astype(np.int64)
     run, least, most = (np.concatenate([_numbers(x[i], np.int64) for x in got]) for i in (2, 3, 4))
     owner = np.repeat(np.arange(len(got)), [len(x[1]) for x in got])
-    windows = sizes - LENGTH + 1
-    text = np.repeat(np.arange(len(sizes)), windows)
+    # Equal texts of several blocks are one.
+    body, ends = b"".join(x[0].tobytes() for x in got), np.cumsum(sizes)
+    seen: dict[bytes, int] = {}
+    code = np.array([seen.setdefault(body[a:b], len(seen)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], np.int64)
+    first, last = np.full(len(seen), np.iinfo(np.int64).max), np.full(len(seen), np.iinfo(np.int64).min)
+    np.minimum.at(first, code, least)
+    np.maximum.at(last, code, most)
+    own = np.fromiter(map(len, seen), np.int64, len(seen))
+    body = np.frombuffer(b"".join(seen) + bytes(8), np.uint8)
+    windows = own - LENGTH + 1
+    text = np.repeat(np.arange(len(own)), windows)
     offset = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = np.repeat(np.cumsum(sizes) - sizes, windows) + offset
-    order, group = window_order(np.append(body, np.zeros(8, np.uint8)), at)
+    order, group = window_order(body, np.repeat(np.cumsum(own) - own, windows) + offset)
     heads = np.flatnonzero(np.diff(group, prepend=-1))
-    source = np.empty(len(at), np.int64)
-    source[order] = np.minimum.reduceat(least[text[order]], heads)[group] if len(at) else 0
-    hit = np.flatnonzero(source < most[text])
+    source = np.empty(len(text), np.int64)
+    source[order] = np.minimum.reduceat(first[text[order]], heads)[group] if len(text) else 0
+    hit = np.flatnonzero(source < last[text])
     new = np.ones(len(hit), bool)
     new[1:] = (np.diff(hit) != 1) | (np.diff(text[hit]) != 0) | (np.diff(source[hit]) != 0)
     begin = hit[new]
     count = np.diff(np.append(np.flatnonzero(new), len(hit)))
+    # Each block's text with all stretches of its kind that have an earlier source.
+    edge = np.searchsorted(text[begin], np.arange(len(own) + 1))
+    times = (edge[1:] - edge[:-1])[code]
+    row = np.repeat(np.arange(len(code)), times)
+    at = edge[code[row]] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    later = source[begin[at]] < most[row]
+    row, at = row[later], at[later]
     out = []
     part = rows.column("part")[0].as_py()
-    of = owner[text[begin]]
-    edges = np.searchsorted(of, np.arange(len(got) + 1))
+    edges = np.searchsorted(owner[row], np.arange(len(got) + 1))
     for i, number in enumerate(rows.column("block").to_pylist()):
-        b, c = begin[edges[i] : edges[i + 1]], count[edges[i] : edges[i + 1]]
-        if len(b):
-            out.append((number, part, packed(*(_planes(x.astype(np.int64)) for x in (run[text[b]], offset[b], c, source[b])))))
+        r, k = row[edges[i] : edges[i + 1]], at[edges[i] : edges[i + 1]]
+        if len(r):
+            out.append((number, part, packed(*(_planes(x.astype(np.int64)) for x in (run[r], offset[begin[k]], count[k], source[begin[k]])))))
     return pa.Table.from_batches([_emit(out, ["block", "part", "blob"])])
 
 
