@@ -49,10 +49,10 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", digest.alias("digest"), "text"), ranks, P.PATTERN)
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", digest.alias("digest"), "text"), ranks, P.PATTERN, decoded="decoded")
     back = F.sha2("decoded", 256) == F.col("digest")
     whole = F.when(back, F.col("ids")).otherwise(F.raise_error(F.lit("ids do not decode to their text")).cast("array<int>"))
-    return bpe.decode(ids, ranks).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), whole.alias("ids"))
+    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), whole.alias("ids"))
 
 
 STAGES = [

@@ -5,6 +5,8 @@ No dictionary then grows with the corpus, and a block's text travels compressed.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -48,7 +50,7 @@ def shipped(docs: DataFrame, limit: int, text: int = 0) -> DataFrame:
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in blocks_of(batches, text, limit):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 4))) as out:
                 out.write_table(rows)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
 
@@ -61,6 +63,13 @@ def received(table: pa.Table) -> Iterator[pa.Table]:
         yield pa.ipc.open_stream(blob.as_buffer()).read_all()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker is used again, beside others, and would keep what a large block took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value; an increasing array of 64-bit numbers packs best as its differences."""
     import zstandard

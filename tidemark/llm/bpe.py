@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash
+from .blocks import blocks_of, give_back, packed, received, same_on_every_reading, shipped, unpacked
 
 #: Text of a block, in bytes. A block's texts and pieces are in one task's memory together; one longer text is a block.
 BLOCK_BYTES = 12 << 20
@@ -45,25 +45,25 @@ def portable(pattern: str) -> str:
 
 
 def cutter(pattern: str) -> Callable[[str], list[bytes]]:
-    """Cuts a unit into pieces. A word, or a word and a stop, behind one space needs no search if the pattern takes it whole."""
     import regex
 
     find = regex.compile(portable(pattern)).findall
-    simple = find(" é") == [" é"] and find(" ab.") == [" ab", "."] and find(" ab,") == [" ab", ","]
+    return lambda unit: [x.encode() for x in find(unit)]
 
-    def cut(unit: str) -> list[bytes]:
-        if simple and unit[0:1] == " ":
-            if unit[1:].isalpha():
-                return [unit.encode()]
-            if unit[-1] in ".," and unit[1:-1].isalpha():
-                return [unit[:-1].encode(), unit[-1].encode()]
-        return [x.encode() for x in find(unit)]
 
-    return cut
+def remembered(cut: Callable[[str], list[bytes]]) -> Callable[[str], list[bytes]]:
+    """The same, for a block whose units are cut twice."""
+    known: dict[str, list[bytes]] = {}
+
+    def again(unit: str) -> list[bytes]:
+        if unit not in known:
+            known[unit] = cut(unit)
+        return known[unit]
+
+    return again
 
 
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s |  | \s|\A |\s\Z")
 
 
 def units(text: str) -> tuple[str, list[str]]:
@@ -72,7 +72,7 @@ def units(text: str) -> tuple[str, list[str]]:
     No piece spans a break from the left, and the space begins a piece with what follows it, so units are cut alike
     wherever they stand.
     """
-    first, *rest = _BREAK.split(text) if _ODD.search(text) else text.split(" ")
+    first, *rest = _BREAK.split(text)
     return first, rest
 
 
@@ -118,12 +118,12 @@ def rank_lookup(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
     return rank
 
 
-def fold_merges(piece: Column, rank: Callable[[Column], Column]) -> Column:
-    """Ids of a binary column: its bytes, folded by merging the pair of least rank, leftmost first, until none has one.
+def fold_merges(text: Column, rank: Callable[[Column], Column]) -> Column:
+    """Ids of a string of bytes (a character each), folded by merging the pair of least rank, leftmost first, until none has one.
 
-    The state is where each part starts, with the end last, and the rank of each part joined to the next.
+    The state is where each part starts, with the end last, and the rank of each part joined to the next. text should be
+    a column of the frame, for an expression would be computed anew at each look-up.
     """
-    text = F.decode(piece, "ISO-8859-1")
     none = F.lit(2**31 - 1)
     empty = F.array().cast("array<int>")
     # The one-element transforms name a value, so that it is computed once.
@@ -150,16 +150,13 @@ def fold_merges(piece: Column, rank: Callable[[Column], Column]) -> Column:
 
     n = F.length(text)
     places = F.sequence(F.lit(1), n + 1)
-    start = let(places, lambda s: F.struct(s.alias("starts"), F.transform(F.slice(s, F.lit(1), n), lambda i: pair_rank(s, i)).alias("ranks")))
+    pairs = F.transform(F.slice(places, F.lit(1), n - 1), lambda i: F.coalesce(rank(F.substring(text, i, F.lit(2))), none))
+    start = F.struct(places.alias("starts"), F.concat(pairs, F.array(none)).alias("ranks"))
     rounds = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(empty)
     ends = F.aggregate(rounds, start, step, lambda s: s["starts"])
     return let(ends, lambda s: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda b, i: rank(F.substring(text, b, F.get(s, i + 1) - b))))
 
 
-def _texts(column: pa.ChunkedArray | pa.Array) -> Iterator[str]:
-    return (x or "" for x in column.to_pylist())
-
-
 def _put(items: list[bytes]) -> bytes:
     """Byte strings of under 256 bytes, each after its length, compressed."""
     import zstandard
@@ -177,154 +174,225 @@ def _taken(blob: bytes) -> Iterator[bytes]:
         at = end
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[int, pa.Table]]:
-    """(block, rows): the partition's rows, cut whenever their texts reach BLOCK_BYTES; the same on every reading."""
-    import numpy as np
-    import pyarrow.compute as pc
-    from pyspark import TaskContext
-
-    n, held, size = 0, [], 0
-    first = TaskContext.get().partitionId() << 20
-    for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = base = 0
-        while at < len(ends):
-            stop = min(len(ends), int(np.searchsorted(ends, base + BLOCK_BYTES - size)) + 1)
-            held.append(batch.slice(at, stop - at))
-            size, base, at = size + int(ends[stop - 1]) - base, int(ends[stop - 1]), stop
-            if size >= BLOCK_BYTES:
-                yield first + n, pa.Table.from_batches(held)
-                n, held, size = n + 1, [], 0
-    if held:
-        yield first + n, pa.Table.from_batches(held)
-
-
-def _pieces(docs: DataFrame, known: frozenset[bytes], pattern: str, parts: int) -> DataFrame:
+class Units:
+    """A block's texts as units by number.
+
+    Units are split and numbered by Arrow; the rare texts with other white space than single spaces between words are
+    cut one by one. Entries are, in this order: what follows a space, each distinct; texts' beginnings; odd texts.
+    """
+
+    def __init__(self, texts: pa.Array) -> None:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        starts = lists.offsets.to_numpy()[:-1]
+        coded = lists.flatten().dictionary_encode()
+        self.after = coded.dictionary
+        codes = coded.indices.to_numpy().astype(np.int64)
+        edge = [pc.utf8_is_space(pc.utf8_slice_codeunits(self.after, *at)) for at in ((0, 1), (-1, None))]
+        odd_unit = pc.or_(pc.equal(self.after, ""), pc.or_(*edge)).to_numpy(zero_copy_only=False)
+        odd = np.logical_or.reduceat(odd_unit[codes], starts) if len(starts) else np.empty(0, bool)
+        k = len(self.after)
+        firsts, place = np.unique(codes[starts], return_inverse=True)
+        self.begin = [self.after[i].as_py() for i in firsts.tolist()]
+        self.odd = [texts[i].as_py() or "" for i in np.flatnonzero(odd).tolist()]
+        codes[starts] = k + place
+        codes[starts[odd]] = k + len(firsts) + np.arange(len(self.odd))
+        sizes = np.diff(np.append(starts, len(codes)))
+        keep = ~np.repeat(odd, sizes)
+        keep[starts] = True
+        #: Entries of the texts one after another, and how many each has.
+        self.codes, self.sizes = codes[keep], np.where(odd, 1, sizes)
+
+    def _kinds(self) -> tuple[pa.Array, pa.Array]:
+        """Which of `after` are a word, and which a word and a stop."""
+        import pyarrow.compute as pc
+
+        return pc.match_substring_regex(self.after, r"^\pL+$"), pc.match_substring_regex(self.after, r"^\pL+[.,]$")
+
+    def _others(self, cut: Callable[[str], list[bytes]]) -> Iterator[list[bytes]]:
+        """Pieces of the beginnings and of the odd texts, each in turn."""
+        for u in self.begin:
+            yield cut(u)
+        for text in self.odd:
+            first, rest = units(text)
+            yield [p for v in (first, *(" " + r for r in rest)) for p in cut(v)]
+
+    def unknown(self, cut: Callable[[str], list[bytes]], known: pa.Array) -> list[bytes]:
+        """Distinct pieces that are no tokens and short enough to fold, in order."""
+        import pyarrow.compute as pc
+
+        word, stop = self._kinds()
+        words = pa.concat_arrays([self.after.filter(word), pc.utf8_slice_codeunits(self.after.filter(stop), 0, -1)])
+        words = pc.unique(pc.binary_join_element_wise(pa.scalar(" "), words, pa.scalar("")).cast(pa.binary()))
+        rest = {p for u in self.after.filter(pc.invert(pc.or_(word, stop))).to_pylist() for p in cut(" " + u)}
+        rest.update(p for own in self._others(cut) for p in own)
+        found = pc.unique(pa.concat_arrays([words, pa.array(list(rest), pa.binary())]))
+        found = found.filter(pc.and_(pc.invert(pc.is_in(found, value_set=known)), pc.less_equal(pc.binary_length(found), FOLD_BYTES)))
+        return sorted(found.to_pylist())
+
+    def coded(self, cut: Callable[[str], list[bytes]], at: dict[bytes, bytes], long: Callable[[bytes], bytes]) -> list[bytes]:
+        """The packed ids of each entry, in turn; long: of a piece that was not folded."""
+        import pyarrow.compute as pc
+
+        import numpy as np
+
+        word, stop = self._kinds()
+        spaced = pc.binary_join_element_wise(pa.scalar(" "), self.after, pa.scalar("")).cast(pa.binary())
+        of = lambda pieces: b"".join([at[p] if p in at else long(p) for p in pieces])
+        made = np.empty(len(spaced), object)
+
+        def fill(mask: pa.Array, values: list[bytes]) -> None:
+            made[np.flatnonzero(mask.to_numpy(zero_copy_only=False))] = np.fromiter(values, object, len(values))
+
+        words = spaced.filter(word).to_pylist()
+        fill(word, [long(u) if x is None else x for u, x in zip(words, map(at.get, words), strict=True)])
+        fill(stop, [of((u[:-1], u[-1:])) for u in spaced.filter(stop).to_pylist()])
+        other = pc.invert(pc.or_(word, stop))
+        fill(other, [of(cut(" " + u)) for u in self.after.filter(other).to_pylist()])
+        return [*made.tolist(), *map(of, self._others(cut))]
+
+
+def _dealt(pieces: list[bytes], parts: int) -> dict[int, list[bytes]]:
+    """Pieces by part, those of a part in their order."""
+    out: dict[int, list[bytes]] = {}
+    for p in pieces:
+        out.setdefault(zlib.crc32(p) % parts, []).append(p)
+    return out
+
+
+def _pieces(docs: DataFrame, known: list[bytes], pattern: str, parts: int) -> DataFrame:
     """(part, block, blob): a block's distinct pieces that are no tokens and short enough to fold, dealt by CRC-32."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = cutter(pattern)
-        for block, rows in _blocks(batches, 0):
-            firsts, rests = set(), set()
-            for text in _texts(rows.column(0)):
-                first, rest = units(text)
-                firsts.add(first)
-                rests.update(rest)
-            found = {p for u in firsts for p in cut(u)}
-            for u in rests:
-                found.update(cut(" " + u))
-            dealt: dict[int, list[bytes]] = {}
-            for p in sorted(p for p in found - known if len(p) <= FOLD_BYTES):
-                dealt.setdefault(zlib.crc32(p) % parts, []).append(p)
+        cut, tokens = cutter(pattern), pa.array(known, pa.binary())
+        for block, rows in blocks_of(batches, 0, BLOCK_BYTES):
+            dealt = _dealt(Units(rows.column(0).combine_chunks()).unknown(cut, tokens), parts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(dealt), pa.int32()), pa.array([block] * len(dealt), pa.int64()), pa.array(map(_put, dealt.values()), pa.binary())],
                 ["part", "block", "blob"],
             )
+            give_back()
 
     return docs.select("__text").mapInArrow(find, "part int, block long, blob binary")
 
 
 def _folded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(block, blob): each block's pieces with their ids in turn. A piece is folded once for all blocks that hold it.
+    """(block, part, blob): places of a block's pieces within the part, and their ids. Each distinct piece is folded once.
 
     A part holds a share of the distinct pieces, each with at most one row per block, never one per occurrence.
     """
 
     def meet(rows: pa.Table) -> pa.Table:
-        held: dict[bytes, list[int]] = {}
-        for block, blob in zip(rows.column("block").to_pylist(), rows.column("blob").to_pylist(), strict=True):
-            for p in _taken(blob):
-                held.setdefault(p, []).append(block)
-        return pa.table([pa.array(list(held), pa.binary()), pa.array(held.values(), pa.list_(pa.int64()))], names=["piece", "blocks"])
+        import numpy as np
 
-    unit = "I" if max(ranks.values(), default=0) >= 65536 else "H"
+        seen: dict[bytes, int] = {}
+        codes = [np.array([seen.setdefault(p, len(seen)) for p in _taken(b)], np.int64) for b in rows.column("blob").to_pylist()]
+        sizes = [len(c) for c in codes]
+        code = np.concatenate(codes)
+        order = np.argsort(code, kind="stable")
+        ends = pa.array(np.searchsorted(code[order], np.arange(len(seen) + 1)), pa.int32())
+        block = np.repeat(rows.column("block").to_numpy(), sizes)[order]
+        place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])[order]
+        part = pa.array(np.full(len(seen), rows.column("part")[0].as_py(), np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (block, place)]
+        out = pa.table([part, pa.array(list(seen), pa.binary()), *lists], names=["part", "piece", "blocks", "places"])
+        del seen, codes, code, order
+        give_back()
+        return out
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[int, list[bytes]] = {}
-        size = 0
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(map(_put, out.values()), pa.binary())], ["block", "blob"])
+        """A batch's pieces by block and part."""
+        import numpy as np
 
         for batch in batches:
-            for blocks, piece, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                pair = piece, struct.pack(f"<{len(ids)}{unit}", *ids)
-                for b in blocks:
-                    out.setdefault(b, []).extend(pair)
-                size += len(blocks)
-            if size > 1_000_000:
-                yield rows()
-                out, size = {}, 0
-        yield rows()
-
-    distinct = pieces.groupBy("part").applyInArrow(meet, "piece binary, blocks array<long>")
-    folded = distinct.select("blocks", "piece", fold_merges(F.col("piece"), rank_lookup(ranks)).alias("ids"))
-    return folded.mapInArrow(pack, "block long, blob binary")
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+            part, blocks, places, ids = (batch.column(i) for i in range(4))
+            count = np.diff(blocks.offsets.to_numpy())
+            row = np.repeat(np.arange(len(count)), count)
+            block, place = blocks.flatten().to_numpy(), places.flatten().to_numpy()
+            part = part.to_numpy()[row]
+            order = np.lexsort((place, part, block))
+            row, block, place, part = row[order], block[order], place[order], part[order]
+            values, ends = ids.flatten().to_numpy().astype(np.uint32), ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py()
+            length = np.diff(ends)
+            size = length[row]
+            upto = np.cumsum(size)
+            flat = values[np.repeat(ends[row] - upto + size, size) + np.arange(int(size.sum()))]
+            new = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+            stop = np.append(new[1:], len(row))
+            begin = upto - size
+            blobs = [packed(place[i:j], size[i:j].astype(np.uint8), flat[begin[i] : upto[j - 1]]) for i, j in zip(new.tolist(), stop.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(part[new]), pa.array(blobs, pa.binary())], ["block", "part", "blob"])
+        give_back()
+
+    distinct = pieces.groupBy("part").applyInArrow(meet, "part int, piece binary, blocks array<long>, places array<int>")
+    text = distinct.select("part", "blocks", "places", F.decode("piece", "ISO-8859-1").alias("text"))
+    folded = text.select("part", "blocks", "places", fold_merges(F.col("text"), rank_lookup(ranks)).alias("ids"))
+    return folded.mapInArrow(pack, "block long, part int, blob binary")
+
+
+def encode(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None
+) -> DataFrame:
     """docs without `text`, with `ids` array<int>: what encode_ordinary of the same vocabulary gives for the whole text.
 
     Null or empty texts have no ids. Any other columns are carried, whatever their names; rows are independent, so
     repeated rows and ids, or nulls in them, need no care. Empty table: empty result. The rows are read twice, once for
     the pieces and once for the ids; a frame that shuffles is written to the shared folder first, so that both
-    readings have the same blocks. Blocks travel compressed.
+    readings have the same blocks. Blocks travel compressed. decoded: name of a further column with the ids' bytes, made
+    by the same worker.
     """
     carried = [c for c in docs.columns if c != text]
     row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)]) if carried else F.struct(F.lit(0).alias("c0"))
-    docs = docs.select(F.col(text).cast("string").alias("__text"), row.alias("__row"))
-    if re.search(r"Exchange|QueryStage|Sample", docs._jdf.queryExecution().executedPlan().toString()):
-        docs = stash(docs, "bpe")
-    parts = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = _folded(_pieces(docs, frozenset(ranks), pattern, parts), ranks)
-    schema = T.StructType([T.StructField("__row", docs.schema["__row"].dataType), T.StructField(ids, T.ArrayType(T.IntegerType()))])
-
-    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in _blocks(batches, 0):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
-                out.write_table(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+    docs = same_on_every_reading(docs.select(F.col(text).cast("string").alias("__text"), row.alias("__row")))
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = _folded(_pieces(docs, list(ranks), pattern, parts), ranks)
+    fields = [T.StructField("__row", docs.schema["__row"].dataType), T.StructField(ids, T.ArrayType(T.IntegerType()))]
+    fields += [T.StructField(decoded, T.BinaryType())] if decoded else []
 
     def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
         import numpy as np
 
-        wide = max(ranks.values(), default=0) >= 65536
-        pack = lambda x: struct.pack(f"<{len(x)}{'I' if wide else 'H'}", *x)
-        at = {k: pack([v]) for k, v in ranks.items()}
-        for blob in words.column("blob").to_pylist():
-            taken = _taken(blob)
-            at.update(zip(taken, taken, strict=True))
-        cut = cutter(pattern)
-
-        class Memo(dict):
-            def __missing__(self, unit: str) -> bytes:
-                out = b"".join(at[p] if p in at else pack(merge_long(p, ranks)) for p in cut(unit))
-                self[unit] = out
-                return out
-
-        class After(dict):
-            def __missing__(self, unit: str) -> bytes:
-                self[unit] = out = b"".join(at[p] if p in at else pack(merge_long(p, ranks)) for p in cut(" " + unit))
-                return out
-
-        begin, after = Memo(), After()
-        made, lengths, held = [], [0], []
-        for blob in docs.column("rows"):
-            rows = pa.ipc.open_stream(blob.as_buffer()).read_all()
-            held.append(rows.column("__row").combine_chunks() if rows.num_rows else rows.column("__row"))
-            for text in _texts(rows.column("__text")):
-                first, rest = units(text)
-                made.append(begin[first] + b"".join(map(after.__getitem__, rest)))
-                lengths.append(len(made[-1]) // (4 if wide else 2))
-        values = pa.array(np.frombuffer(b"".join(made), "<u4" if wide else "<u2").astype(np.int32))
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), values)
-        rows = pa.chunked_array(held).combine_chunks()
-        return pa.table([rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows, lists], names=["__row", ids])
-
-    shipped = docs.select("__text", "__row").mapInArrow(ship, "block long, rows binary")
-    done = shipped.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(assemble, schema)
-    return done.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(carried)], ids)
+        tokens, tables = pa.array(list(ranks), pa.binary()), []
+        long = lambda p: np.array(merge_long(p, ranks), np.int32).tobytes()
+        for rows in received(docs):
+            cut = remembered(cutter(pattern))
+            units = Units(rows.column("__text").combine_chunks())
+            dealt = _dealt(units.unknown(cut, tokens), parts)
+            at = {k: struct.pack("<i", v) for k, v in ranks.items()}
+            for part, blob in zip(words.column("part").to_pylist(), words.column("blob").to_pylist(), strict=True):
+                places, lengths, values = unpacked(blob, np.int32, np.uint8, np.uint32)
+                raw, ends = values.tobytes(), np.cumsum(lengths, dtype=np.int64) * 4
+                own = dealt[part]
+                for k, a, b in zip(places.tolist(), (ends - lengths.astype(np.int64) * 4).tolist(), ends.tolist(), strict=True):
+                    at[own[k]] = raw[a:b]
+            made = units.coded(cut, at, long)
+            del at, dealt
+            values = np.frombuffer(b"".join(made), np.int32)
+            lengths = np.array([len(x) for x in made], np.int64) // 4
+            del made
+            begin, size = (np.cumsum(lengths) - lengths)[units.codes], lengths[units.codes]
+            upto = np.cumsum(size)
+            values = values[np.repeat(begin - upto + size, size) + np.arange(int(size.sum()))]
+            ends = np.append(0, upto)[np.append(0, np.cumsum(units.sizes))]
+            del units, begin, size, upto, cut
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+            out = [rows.column("__row").combine_chunks(), lists]
+            out += [pa.array(_bytes_of(values, ends, {v: k for k, v in ranks.items()}), pa.binary())] if decoded else []
+            tables.append(pa.table(out, names=[f.name for f in fields]))
+        del rows
+        give_back()
+        return pa.concat_tables(tables)
+
+    done = shipped(docs, BLOCK_BYTES).groupBy("block").cogroup(words.groupBy("block")).applyInArrow(assemble, T.StructType(fields))
+    return done.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(carried)], *[f.name for f in fields[1:]])
+
+
+def _bytes_of(values, ends, token: dict[int, bytes]) -> Iterator[bytes]:
+    """The concatenated tokens of each list of ids."""
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield b"".join(map(token.__getitem__, values[a:b].tolist()))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into: str = "decoded") -> DataFrame:

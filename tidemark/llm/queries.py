@@ -24,8 +24,8 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, P.PATTERN)
-    return bpe.decode(ids, ranks).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, ranks, P.PATTERN, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(bpe.ids_text(), 256).alias("ids_sha256"),
