@@ -353,6 +353,21 @@ def test_filter_has_every_entry_and_few_others():
     assert (f.counts(h + np.uint64(12345)) > 0).mean() < 0.03
 
 
+def test_filter_grows_with_its_entries_whatever_the_parts():
+    import pyarrow as pa
+
+    h = np.unique(np.random.default_rng(2).integers(0, 2**63, 8000).astype(np.uint64))
+    seen, c = h[::2], np.tile([1, 2, 5, 40], len(h))[: len(h[::2])].astype(np.uint32)
+    blob = lambda x, c: lm.packed(np.diff(x, prepend=np.uint64(0)), c)
+    # A block of the training texts and one that only asks; one part of so many that an equal share of 128 MB is 16 bits.
+    t = pa.table([[1, 1], [0, 0], [3, 4], [blob(seen, c), blob(h, np.zeros(len(h), np.uint32))]], names=["kind", "part", "block", "blob"])
+    got = {r["block"]: r for r in lm._merge(1 << 26)(t).to_pylist()}
+    assert got[-1]["m"] >= 10 * got[-1]["n"]
+    level = {b: lm.unpacked(got[b]["blob"], np.uint8)[0] for b in (3, 4)}
+    assert (level[3] >= lm._levels(c)).all() and (level[4][::2] == level[3]).all()
+    assert (level[4][1::2] > 0).mean() < 0.03
+
+
 # 10
 
 def test_best_fit_decreasing_against_a_list():

@@ -1,9 +1,10 @@
 """LM scoring by a log-frequency Bloom filter.
 
 Counts of token pairs are quantised on a logarithmic scale; a pair of level q is in the filter q times, once for each
-level up to its own. The filter is built in segments by hash, gathered and broadcast; its size is bounded by a
-parameter. A pair's count is read back by probing levels until one is missing, and its probability is smoothed with
-the token's own, whose counts are exact: a block of documents meets the counts of its own tokens only.
+level up to its own. The filter stands in segments by hash, each built and probed where it is: a block of documents
+sends its pairs to their segments and gets their levels back, so the filter grows with its entries and is never
+gathered. A pair's count is read back by probing levels until one is missing, and its probability is smoothed with
+the token's own, whose counts are exact: a block meets the counts of its own tokens only.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ BLOCK_BYTES = 12 << 20
 FOLDS, HELD_OUT = 7, 2
 #: Bits of the filter for each entry, and probes for each; about 1.2 % of absent entries seem present.
 ENTRY_BITS, PROBES = 10, 4
-#: Most bytes of the broadcast filter. Beyond, entries share fewer bits each: none is left out, but more seem present.
-FILTER_BYTES = 128 << 20
 #: Counts c have level 1 + floor(log c / log LEVEL_BASE).
 LEVEL_BASE = 1.6
 #: Weight of a token's own probability against the pairs' counts.
@@ -73,8 +72,15 @@ def _pairs(codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return _mix(before * np.uint64(0x9FB21C651E98DF25) + h)
 
 
+def _dealt(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of increasing hashes in order of their part, and where each part starts among them."""
+    part = (h % np.uint64(parts)).astype(np.int32)
+    by = np.argsort(part, kind="stable")
+    return by, np.searchsorted(part[by], np.arange(parts + 1))
+
+
 def _count_blocks(docs: DataFrame, parts: int) -> DataFrame:
-    """(kind, part, block, blob): per block its tokens (0) with training counts, and its training pairs (1) with counts."""
+    """(kind, part, block, blob): per block its tokens (0) and its pairs (1), each with its training count, 0 included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in blocks_of(batches, 0, BLOCK_BYTES):
@@ -82,12 +88,11 @@ def _count_blocks(docs: DataFrame, parts: int) -> DataFrame:
             train = np.repeat([not held_out(i) for i in rows.column(1).to_pylist()], lengths)
             counts = np.bincount(codes[train], minlength=len(hashes))
             order = np.argsort(hashes)
-            pairs, times = np.unique(_pairs(codes, hashes)[train], return_counts=True)
+            pairs, back = np.unique(_pairs(codes, hashes), return_inverse=True)
+            times = np.bincount(back[train], minlength=len(pairs))
             out = []
             for kind, h, c in ((0, hashes[order], counts[order]), (1, pairs, times)):
-                part = (h % np.uint64(parts)).astype(np.int32)
-                by = np.argsort(part, kind="stable")
-                edges = np.searchsorted(part[by], np.arange(parts + 1))
+                by, edges = _dealt(h, parts)
                 for p in range(parts):
                     own = by[edges[p] : edges[p + 1]]
                     if len(own):
@@ -113,8 +118,10 @@ def _places(h: np.ndarray, level: int, size: np.ndarray | np.uint64) -> Iterator
         a = a + b
 
 
-def _merge(parts: int, filter_bytes: int):
-    """Per (kind, part): total counts sent back to the blocks of the tokens, or a segment of the filter."""
+def _merge(parts: int, filter_bytes: int | None = None):
+    """Per (kind, part): total counts of the tokens for the blocks they came from; or a segment of the filter (block -1)
+    and the levels it shows of the pairs, for their blocks. filter_bytes: bound on all segments, None: what entries need.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
         kind, part = rows.column("kind")[0].as_py(), rows.column("part")[0].as_py()
@@ -123,21 +130,30 @@ def _merge(parts: int, filter_bytes: int):
         c = np.concatenate([y for _, y in got]).astype(np.int64)
         keys, back = np.unique(h, return_inverse=True)
         total = np.bincount(back, weights=c).astype(np.int64)
+        edges = np.cumsum([0, *[len(y) for _, y in got]])
+        n, m = np.zeros(len(got), np.int64), np.zeros(len(got), np.int64)
+        blocks, first = rows.column("block").to_pylist(), None
         if kind == 0:
-            edges = np.cumsum([0, *[len(y) for _, y in got]])
             own = total[back]
-            blobs = [packed(own[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-            n, m = np.zeros(len(got), np.int64), np.zeros(len(got), np.int64)
             n[0], m[0] = total.sum(), (total > 0).sum()
-            out = (rows.column("block").to_pylist(), n, m, blobs)
         else:
-            level = _levels(total)
-            size = min(int(level.sum()) * ENTRY_BITS, filter_bytes * 8 // parts) // 64 * 64 + 64
+            there = total > 0
+            seen, level = keys[there], _levels(total[there])
+            size = int(level.sum()) * ENTRY_BITS
+            if filter_bytes is not None:
+                size = min(size, filter_bytes * 8 // parts)
+            size = size // 64 * 64 + 64
             bits = np.zeros(size, bool)
-            for q in range(1, int(level.max()) + 1):
-                for at in _places(keys[level >= q], q, np.uint64(size)):
+            for q in range(1, int(level.max(initial=0)) + 1):
+                for at in _places(seen[level >= q], q, np.uint64(size)):
                     bits[at] = True
-            out = ([-1], [int(level.sum())], [size], [np.packbits(bits, bitorder="little").tobytes()])
+            first = np.packbits(bits, bitorder="little").tobytes()
+            del bits
+            own = Filter([(0, size, first)], 1).levels(keys).astype(np.uint8)[back]
+        blobs = [packed(own[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        out = (blocks, n, m, blobs)
+        if first is not None:
+            out = ([-1, *blocks], [int(level.sum()), *n], [size, *m], [first, *blobs])
         n = len(out[0])
         return pa.table(
             [pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(out[0], pa.int64()),
@@ -149,7 +165,7 @@ def _merge(parts: int, filter_bytes: int):
 
 
 class Filter:
-    """The broadcast filter: segments by hash, one after another."""
+    """Segments of the filter by hash, one after another."""
 
     def __init__(self, segments: list[tuple[int, int, bytes]], parts: int) -> None:
         self.parts, self.size, self.start = parts, np.full(parts, 64, np.uint64), np.zeros(parts, np.int64)
@@ -162,8 +178,8 @@ class Filter:
         self.empty[[p for p, _, _ in segments]] = False
         self.bits = np.frombuffer(b"".join(held), np.uint8)
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """A count for each hash: the middle of the highest level that is there with all below it, 0 if none is."""
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """For each hash the highest level that is there with all below it, 0 if none is."""
         part = (h % np.uint64(self.parts)).astype(np.int64)
         level = np.zeros(len(h), np.int64)
         live = np.flatnonzero(~self.empty[part])
@@ -177,10 +193,19 @@ class Filter:
             if not len(live):
                 break
             level[live] = q
-        return np.where(level > 0, (LEVEL_BASE ** (level - 1.0) + np.maximum(LEVEL_BASE**level - 1, 1)) / 2, 0.0)
+        return level
 
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        return _counts(self.levels(h))
 
-def score_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
+
+def _counts(level: np.ndarray) -> np.ndarray:
+    """The middle of each level, 0 for level 0."""
+    level = level.astype(float)
+    return np.where(level > 0, (LEVEL_BASE ** (level - 1) + np.maximum(LEVEL_BASE**level - 1, 1)) / 2, 0.0)
+
+
+def score_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, held_out, n_tokens, n_known, train_tokens, base_score, score) per row.
 
     Learnt from the documents whose crc32(id as text) mod 7 is not 2; tokens are words with A-Z lower-cased, and one
@@ -192,31 +217,31 @@ def score_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text", filter
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     merged = stash(
         _count_blocks(d, parts).groupBy("kind", "part").applyInArrow(
-            _merge(parts, filter_bytes), "kind int, part int, block long, n long, m long, blob binary"
-        ),
+            _merge(parts), "kind int, part int, block long, n long, m long, blob binary"
+        ).where("block >= 0"),
         "counts",
     )
     total = merged.where("kind = 0").agg(F.sum("n"), F.sum("m")).first()
     n, v = int(total[0] or 0), int(total[1] or 0)
-    # At most filter_bytes, and a rounding of 8 bytes for each part.
-    segments = [(r.part, r.m, bytes(r.blob)) for r in merged.where("kind = 1").select("part", "m", "blob").toLocalIterator()]
-    held = spark.sparkContext.broadcast(Filter(segments, parts))
-    del segments
 
     def score(docs: pa.Table, counts: pa.Table) -> pa.Table:
         out = []
         for rows in received(docs):
             codes, lengths, hashes = _sequences(rows.column(0).to_pylist())
             ids = rows.column(1)
-            c = np.zeros(len(hashes), np.int64)
             order = np.argsort(hashes)
-            of = (hashes[order] % np.uint64(parts)).astype(np.int64)
-            for p, blob in zip(counts.column("part").to_pylist(), counts.column("blob").to_pylist(), strict=True):
-                c[order[of == p]] = unpacked(blob, np.int64)[0]
+            pairs, back = np.unique(_pairs(codes, hashes), return_inverse=True)
+            c, level = np.zeros(len(hashes), np.int64), np.zeros(len(pairs), np.uint8)
+            by, edges = _dealt(hashes[order], parts)
+            pair_by, pair_edges = _dealt(pairs, parts)
+            for kind, p, blob in zip(*[counts.column(x).to_pylist() for x in ("kind", "part", "blob")], strict=True):
+                if kind == 0:
+                    c[order[by[edges[p] : edges[p + 1]]]] = unpacked(blob, np.int64)[0]
+                else:
+                    level[pair_by[pair_edges[p] : pair_edges[p + 1]]] = unpacked(blob, np.uint8)[0]
             own = (c + 1) / (n + v + 1)
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            pairs, back = np.unique(_pairs(codes, hashes), return_inverse=True)
-            pair = held.value.counts(pairs)[back]
+            pair = _counts(level)[back]
             before = np.concatenate([[0], codes[:-1]])
             pair = np.minimum(pair, c[before])
             p = (pair + PRIOR_WEIGHT * own[codes]) / (c[before] + PRIOR_WEIGHT)
@@ -229,6 +254,6 @@ def score_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text", filter
         return pa.concat_tables(out)
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    counts = merged.where("kind = 0").select("block", "part", "blob")
+    counts = merged.select("block", "kind", "part", "blob")
     done = shipped(d, BLOCK_BYTES).groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(score, schema)
     return done.withColumnRenamed("id", doc)
