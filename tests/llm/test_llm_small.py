@@ -311,6 +311,19 @@ def test_quality(spark):
     assert quality.quality_rules(df.limit(0)).count() == 0
 
 
+def test_small_groups_are_judged_by_a_pooled_estimate(spark):
+    rng = random.Random(18)
+    junk = lambda: " ".join(w + "$$$###%%%&&&" for w in prose(rng, 60).split())
+    rows = [(prose(rng, rng.randint(40, 200)), "en", "large") for _ in range(100)] + [(prose(rng, rng.randint(40, 200)), "en", "tiny") for _ in range(5)]
+    rows += [(prose(rng, 80), "de", None), (prose(rng, 80), None, "s"), (junk(), "en", "tiny"), (junk(), "en", "alone"), (junk(), "de", None), (junk(), None, "s")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality.quality_rules(df).collect()}
+    assert len(got) == len(rows) and sorted(i for i in got if not got[i]) == list(range(len(rows) - 4, len(rows)))
+    # Many small groups alone, of many languages.
+    many = df.withColumns({"lang": F.col("doc_id").cast("string"), "source": F.lit("s")})
+    assert sorted(r.doc_id for r in quality.quality_rules(many).where("not kept").collect()) == list(range(len(rows) - 4, len(rows)))
+
+
 def test_chi2_quantile():
     assert abs(quality.chi2_quantile(0.95, 5) - 11.0705) < 1e-3
 

@@ -184,6 +184,31 @@ def fit_groups(stats: DataFrame) -> DataFrame:
     return params.join(edges.select(*key, F.col("__n").alias("group_rows")), key)
 
 
+def fit_or_pool(stats: DataFrame) -> DataFrame:
+    """A row per group as of fit_groups; a group under MIN_GROUP rows has its language's fit, or that of all rows if
+    the language too is under it. group_rows: the rows behind the fit.
+    """
+    key = ["__lang", "__source"]
+    sizes = stats.groupBy(*key).agg(F.count("*").alias("__n"))
+    langs = sizes.groupBy("__lang").agg(F.sum("__n").alias("__m"))
+    level = F.when(F.col("__n") >= MIN_GROUP, 0).when(F.col("__m") >= MIN_GROUP, 1).otherwise(2)
+    judged = cut(sizes.join(langs, "__lang").select(*key, level.alias("__level")))
+    fits = []
+    for level, pooled in enumerate(([], ["__source"], ["__lang", "__source"])):
+        own = judged.where(F.col("__level") == level).drop("__level")
+        if level and own.isEmpty():
+            continue
+        kept = [c for c in key if c not in pooled]
+        # All rows of what the fit is of: of the group, of the language with its large groups, or of everything.
+        rows = stats.join(small(own.select(*kept).distinct()), kept, "left_semi") if kept else stats
+        fit = fit_groups(rows.withColumns({c: F.lit("") for c in pooled})).drop(*pooled)
+        fits.append(own.join(fit, kept) if kept else own.crossJoin(small(fit)))
+    out = fits[0]
+    for more in fits[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def quality_rules(
     docs: DataFrame, text: str = "text", carry: list[str] | None = None, keep_text: bool = False
 ) -> DataFrame:
@@ -192,7 +217,8 @@ def quality_rules(
     carry: columns of docs to return (default doc_id), under their names; keep_text: they may hold the text, which is
     then written with the statistics, so that verdicts need no join by id. A row is kept unless base_failed or its squared Mahalanobis
     distance in its (lang, source) group exceeds the chi-square quantile 1 - 1e-6. Null lang or source is a group of
-    its own; missing columns too. Groups under 40 rows get no outlier verdict. Empty table: empty result.
+    its own; missing columns too. Groups under 40 usable rows are judged by their language's
+    estimate, or that of all rows; only a table of under 40 usable rows gets no outlier verdict. Empty table: empty result.
     The text is read once: statistics are written to the shared folder and only the narrow columns are read per step.
     """
     carry = ["doc_id"] if carry is None else carry
@@ -209,7 +235,7 @@ def quality_rules(
     base = base.select("*", *[f.alias(f"__f{i}") for i, f in enumerate(_features())])
     base = stash(base, "quality")
     usable = base.where(~F.col("base_failed")).select("__lang", "__source", *[f"__f{i}" for i in range(D)])
-    params = small(cut(fit_groups(usable)))
+    params = small(cut(fit_or_pool(usable)))
     cutoff = chi2_quantile(1 - TAIL, D)
     out = base.join(params, ["__lang", "__source"], "left").withColumn("mahalanobis_sq", _distance())
     far = (F.col("group_rows") >= MIN_GROUP) & (F.col("mahalanobis_sq") > cutoff)
