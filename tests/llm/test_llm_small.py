@@ -285,6 +285,19 @@ def test_ledger_scans_what_is_new(spark):
     assert secret_scan.update_ledger(v([(1, "clean")]), done, rule_version="2")[0].count() == 1
 
 
+def test_rows_that_repeat_path_and_text_are_one_blob(spark):
+    t = "password: hunter22 then token=abcdefg " + "f" * 24
+    v = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    want = [r.spans for r in secret_scan.secret_report(secret_scan.find_secrets(v([(1, t)]))).collect()]
+    rows = [(1, t), (1, t), (1, "clean"), (None, t), (None, t), (None, t)]
+    got = secret_scan.secret_report(secret_scan.find_secrets(v(rows))).collect()
+    assert [(r.n_assign, r.n_access, r.n_hex, r.spans) for r in got if r.spans] == [(2, 0, 1, want[0])] * 5 and len(got) == 6
+    # With a ledger as well.
+    named = v(rows).toDF("path", "content")
+    done = spark.createDataFrame([], "blob string, rule_version string")
+    assert sorted((r.start, r.end) for r in secret_scan.update_ledger(named, done)[1].collect()) == [(0, 18), (24, 37), (38, 62)]
+
+
 # 8
 
 def stats(t):

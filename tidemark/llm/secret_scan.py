@@ -39,15 +39,20 @@ RULES = (
 RULE_VERSION = "1"
 
 
+def _any_rule(rules: tuple[Rule, ...]) -> Column:
+    any_rule = None
+    for r in rules:
+        any_rule = F.col("__text").rlike(r.pattern) if any_rule is None else any_rule | F.col("__text").rlike(r.pattern)
+    return any_rule
+
+
 def _matches(blobs: DataFrame, rules: tuple[Rule, ...], fenced: bool) -> DataFrame:
     """(blob, rule, i, match, gap): every match of a rule and the text between it and the one before.
 
     Unfenced, Catalyst may move the test for any match before the joins, which spares the shuffle of texts without
     one. That would scan what the ledger has, so with a ledger the test stays in the generator, which is not moved.
     """
-    any_rule = None
-    for r in rules:
-        any_rule = F.col("__text").rlike(r.pattern) if any_rule is None else any_rule | F.col("__text").rlike(r.pattern)
+    any_rule = _any_rule(rules)
     hit = blobs if fenced else blobs.where(any_rule)
     per_rule = [
         F.struct(
@@ -93,7 +98,8 @@ def update_ledger(
     """Scan what is new. versions: (path, content); a null content is empty, repeated rows are one blob.
 
     ledger: (blob, rule_version) already scanned. Returns (blob, rule_version) newly scanned and their findings.
-    One bearer of each new blob is chosen from (path, blob) alone, so copies never meet in one task with their texts.
+    One bearer of each new blob is chosen from (path, blob) alone, so copies never meet in one task with their texts;
+    rows that repeat path and content, which this can't tell apart, are joined to one.
     """
     v = versions.select(F.col("path"), F.coalesce(F.col("content"), F.lit("")).alias("__text"))
     v = v.withColumn("blob", F.sha2("__text", 256)).withColumn("__key", F.xxhash64("path"))
@@ -101,8 +107,13 @@ def update_ledger(
     if ledger is not None:
         seen = ledger.where(F.col("rule_version") == rule_version).select("blob").distinct()
         bearer = bearer.join(seen, "blob", "left_anti")
-    new = v.join(bearer, ["blob", "__key"]).select("blob", "__text")
-    found = scan_blobs(new, rules, ledger is not None).distinct().withColumn("rule_version", F.lit(rule_version))
+    one = ["blob", "__key"]
+    if ledger is None:
+        # Texts without a match leave before the repeats are joined, for no filter moves below that.
+        new = v.where(_any_rule(rules)).dropDuplicates(one).join(bearer, one)
+    else:
+        new = v.join(bearer, one).dropDuplicates(one)
+    found = scan_blobs(new.select("blob", "__text"), rules, ledger is not None).withColumn("rule_version", F.lit(rule_version))
     return bearer.select("blob", F.lit(rule_version).alias("rule_version")), found
 
 
