@@ -15,6 +15,9 @@ from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.quality import quality_rules
 
+#: A line of so many words is a repeated passage by itself.
+LONG_LINE = 51
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and are no outlier of their language and source."""
@@ -22,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go; a document without any line left goes, one that had none stays."""
-    out = line_dedup(docs)
+    """Later copies of repeated line runs, and of single lines of over 50 words, go; a document without any line left goes, one that had none stays."""
+    out = line_dedup(docs, long_words=LONG_LINE)
     emptied = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))
     chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.where(~emptied).withColumn("n_chars", chars).select(*docs.columns)

@@ -222,6 +222,19 @@ def test_line_dedup(spark, n):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_long_lines_are_runs_by_themselves(spark):
+    import corpus_pipeline as c
+
+    rng = random.Random(16)
+    passage, short = prose(rng, 51), prose(rng, 50)
+    new = [prose(rng, 9) for _ in range(6)]
+    texts = ["\n".join([new[0], passage, new[1], short]), "\n".join([new[2], passage, "", new[3]]), passage, short, "\n".join([new[4], short, new[5]])]
+    texts.append("\n".join([passage, new[4], short]))
+    want = {0: texts[0], 1: "\n".join([new[2], "", new[3]]), 3: short, 4: texts[4]}
+    got = {r.doc_id: r.text for r in c.lines(spark, frame(spark, texts), "").collect()}
+    assert got == want
+
+
 # 6
 
 def test_contamination(spark):

@@ -28,20 +28,30 @@ def _ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return df.join(found.withColumnRenamed("__id", name), keys)
 
 
-def _lines(docs: DataFrame, doc: str, text: Column) -> DataFrame:
-    """(doc, no, a, b): the lines with a word, numbered within their document without the blank ones; a, b: digest."""
+def _lines(docs: DataFrame, doc: str, text: Column, long_words: int | None) -> DataFrame:
+    """(doc, no, a, b, long): the lines with a word, numbered within their document without the blank ones; a, b: digest."""
     kept = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(SPACE_WORD))
     e = docs.select(F.col(doc).alias("doc"), F.posexplode(kept).alias("no", "line"))
-    return e.select("doc", "no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), F.col("line")).alias("b"))
+    long = F.lit(False) if long_words is None else F.regexp_count("line", F.lit(SPACE_WORD)) >= long_words
+    return e.select("doc", "no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), F.col("line")).alias("b"), long.alias("long"))
 
 
-def repeated_runs(docs: DataFrame, doc: str, text: Column, min_lines: int = MIN_LINES) -> DataFrame:
+def _later(cur: DataFrame, n: int) -> DataFrame:
+    """(doc, no, n): the places of each rank but its first."""
+    first = cur.groupBy("rank").agg(F.min(F.struct("doc", "no")).alias("first"))
+    return cur.join(first, "rank").where(F.struct("doc", "no") != F.col("first")).select("doc", "no", F.lit(n).alias("n"))
+
+
+def repeated_runs(docs: DataFrame, doc: str, text: Column, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """(doc, from, to): maximal runs of non-blank lines, numbered without the blank ones, that are later copies.
 
     A line goes if it stands in min_lines consecutive lines that also start at a smaller (doc, line). Ranks at depth
     p and p' <= p + p give depth p + p' by pairs, so any min_lines takes about log2 of it rounds.
+    A line of long_words words or more is a run by itself.
     """
-    cur = _ranked(_lines(docs, doc, text), ["a", "b"], "rank").select("doc", "no", "rank")
+    cur = _ranked(_lines(docs, doc, text, long_words), ["a", "b"], "rank")
+    alone = None if long_words is None else cur.where("long").select("doc", "no", "rank")
+    cur = cur.select("doc", "no", "rank")
     depth = 1
     while depth < min_lines:
         step = min(depth, min_lines - depth)
@@ -51,24 +61,26 @@ def repeated_runs(docs: DataFrame, doc: str, text: Column, min_lines: int = MIN_
         cur = _ranked(pairs.withColumnRenamed("rank", "a").withColumnRenamed("next", "b"), ["a", "b"], "rank")
         cur = cur.select("doc", "no", "rank")
         depth += step
-    first = cur.groupBy("rank").agg(F.min(F.struct("doc", "no")).alias("first"))
-    later = cur.join(first, "rank").where(F.struct("doc", "no") != F.col("first")).select("doc", "no")
-    later = later.distinct()
-    end = F.col("no") + min_lines
+    later = _later(cur, min_lines)
+    if alone is not None:
+        later = later.unionByName(_later(alone, 1))
+    later = later.groupBy("doc", "no").agg(F.max("n").alias("n"))
+    end = F.col("no") + F.col("n")
     before = W.partitionBy("doc").orderBy("no").rowsBetween(W.unboundedPreceding, -1)
     gone = later.withColumn("__new", (F.col("no") > F.coalesce(F.max(end).over(before), F.lit(-1))).cast("int"))
     gone = gone.withColumn("__run", F.sum("__new").over(W.partitionBy("doc").orderBy("no")))
     return gone.groupBy("doc", "__run").agg(F.min("no").alias("from"), F.max(end).alias("to")).drop("__run")
 
 
-def line_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def line_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """docs with `text` without later copies of repeated line runs, and n_lines, n_removed, n_runs.
 
+    A run has min_lines lines, or is one line of long_words words or more (None: no line is a run by itself).
     Lines are split at \\n; blank ones are no lines and stay. First copies, by (doc, line), stay. Null texts stay null
     with 0 lines; doc must be unique (rows that repeat an id and a text count as one document). Empty table: empty.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    runs = repeated_runs(docs, doc, body, min_lines)
+    runs = repeated_runs(docs, doc, body, min_lines, long_words)
     per_doc = runs.groupBy(F.col("doc").alias("__doc")).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("__runs"))
     out = docs.join(per_doc, F.col(doc).eqNullSafe(F.col("__doc")), "left").drop("__doc")
     lines = F.split(body, "\n", -1)
