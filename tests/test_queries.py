@@ -23,3 +23,12 @@ def test_entry(spark):
     got = {r.scheme: r for r in e.entry(spark).collect()}
     assert got["maximum"].recall == 1 and got["maximum"].false_positive_rate == 0
     assert got["maximum"].windows == 80 and got["maximum"].events == 11
+
+
+def test_manifest_holds_every_file(spark):
+    import hashlib
+    from pathlib import Path
+
+    want = {str(p.relative_to(SF)): (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in Path(SF).rglob("*.parquet")}
+    got = catalog.queries()["table_manifest"](spark, SF).collect()
+    assert len(got) == len(want) and {r.file: (r.length, r.sha256) for r in got} == want

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -385,7 +386,9 @@ def stream_export(spark, sf_dir):
 
 @query(None)
 def table_manifest(spark, sf_dir):
-    return readers.inventory(spark, sf_dir, "region*.parquet").unionByName(readers.inventory(spark, sf_dir, "nation*.parquet")).select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), "length", "sha256")
+    """All files of the tables, by their path below sf_dir."""
+    below = rf".*/{re.escape(sf_dir.rstrip('/').rpartition('/')[2])}/(.+)$"
+    return readers.inventory(spark, sf_dir, "*.parquet").select(F.regexp_extract("path", below, 1).alias("file"), "length", "sha256")
 
 
 @query(None)
