@@ -136,7 +136,7 @@ def threshold_search(spark, sf_dir):
 @query(None)
 def seeded_controllers(spark, sf_dir):
     """Seeded schedules, a model per seed, and its policy's coverage with no delay."""
-    e = policy.arrivals_telemetry(readers.arrival_schedules(spark, 20), ["seed", "epoch"])
+    e = policy.arrivals_telemetry(readers.arrival_schedules(spark, 100), ["seed", "epoch"])
     fit = policy.fit_controllers(e, "seed", ["maximum", "cnt"], 30)
     order = W.partitionBy("seed").orderBy("epoch")
     acted = fit.withColumn("a", F.coalesce(F.lag("trigger").over(order), F.lit(0))).join(e, ["seed", "epoch"]).where("epoch >= 30")
