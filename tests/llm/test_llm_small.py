@@ -59,6 +59,31 @@ def test_encode_and_decode(spark):
     assert bpe.encode(df.limit(0), RANKS, P.PATTERN).count() == 0
 
 
+OTHER = r"\p{L}+|\p{N}| |[^\p{L}\p{N} ]+|\s+$"
+
+
+@pytest.mark.parametrize("pattern", [P.PATTERN, OTHER])
+def test_encode_matches_the_library_on_random_and_very_long_texts(spark, pattern):
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=RANKS, special_tokens={})
+    rng = random.Random(21)
+    letters = [*"ab  \n\té.,'ss 1２　\x1c\x85\xa0漢字#$ \r", "'s", "'ll", " the", " ", " ", "thhoro", "Zqxj", "0123"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(1500)]
+    texts += [None, " ".join(rng.choice(WORDS) + rng.choice(["", "q", "xz,", " é", "\n\n", "77"]) for _ in range(180_000)), "漢字" * 3000, "a" * 5000]
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(frame(spark, texts), RANKS, pattern).collect()}
+    assert len(texts[-3]) > 1_000_000 and all(got[i] == library.encode_ordinary(t or "") for i, t in enumerate(texts))
+
+
+def test_plans_of_encode_are_small(spark):
+    q = bpe.encode(frame(spark, ["some words zqxj"]), RANKS, P.PATTERN)
+    assert len(q._jdf.queryExecution().toString()) < 100_000
+
+
+def test_portable_pattern():
+    assert bpe.portable(r"[^\s\p{L}]\s\S$") == rf"[^{bpe.WHITE}\p{{L}}][{bpe.WHITE}][^{bpe.WHITE}]\Z"
+    with pytest.raises(ValueError):
+        bpe.portable(r"[\S]")
+
+
 def test_rows_that_shuffle_are_encoded_alike(spark):
     df = frame(spark, ["some words here"] * 3).repartition(3, "doc_id")
     assert [list(r.ids) for r in bpe.encode(df, RANKS, P.PATTERN).collect()] == [TOKENS.encode_ordinary("some words here")] * 3

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import stash
 
@@ -25,6 +26,12 @@ def same_on_every_reading(docs: DataFrame) -> DataFrame:
     return stash(docs, "blocks") if re.search(r"Exchange|QueryStage|Sample|Python|Arrow", plan) else docs
 
 
+def parts_for(docs: DataFrame, text: str, each: int) -> int:
+    """How many parts of about `each` bytes of text there are; never fewer than the session's shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // each))
+
+
 def blocks_of(batches: Iterator[pa.RecordBatch], text: int, limit: int) -> Iterator[tuple[int, pa.Table]]:
     """(block, rows): the partition's rows, cut whenever their texts (a column's place) reach `limit` bytes."""
     n, held, size = 0, [], 0

@@ -2,7 +2,8 @@
 
 Texts are cut into pieces by the vocabulary's pattern; a piece that is a token needs no merges. The other distinct
 pieces of the corpus are folded once each by Spark higher-order functions, which look up ranks of byte strings in a
-literal map. A block of documents then meets the ids of its own pieces only, so no dictionary grows with the corpus.
+map that is read once, as a scalar subquery, and reaches tasks as a literal: plans stay small whatever the vocabulary.
+A block of documents then meets the ids of its own pieces only, so no dictionary grows with the corpus.
 Decoding concatenates the tokens' bytes.
 """
 
@@ -17,16 +18,26 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import blocks_of, give_back, packed, received, same_on_every_reading, shipped, unpacked
+from .blocks import blocks_of, give_back, packed, parts_for, received, same_on_every_reading, shipped, unpacked
 
 #: Text of a block, in bytes. A block's texts and pieces are in one task's memory together; one longer text is a block.
 BLOCK_BYTES = 12 << 20
 #: Longer pieces (runs without a word's shape) are merged with a heap in the worker, for a fold is quadratic in their length.
 FOLD_BYTES = 60
+#: Pieces that are folded in one row, which holds them and the rank map together.
+FOLD_ROWS = 2048
+#: Text whose pieces are dealt to one part.
+PART_BYTES = 8 << 20
+#: Patterns by which a space before a word is part of the word's piece, and nothing else spans it: texts are cut at
+#: such spaces first. By any other pattern each text is cut whole. Fixed values.
+SPACED_PATTERNS = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+)
 #: White space as Unicode's property has it; the regex library's \s counts separators 1C to 1F too.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -38,10 +49,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def portable(pattern: str) -> str:
-    """The pattern with white space spelled out."""
-    for old, new in ((r"[^\s\p{L}\p{N}]", rf"[^{WHITE}\p{{L}}\p{{N}}]"), (r"(?!\S)", rf"(?![^{WHITE}])"), (r"\s", f"[{WHITE}]")):
-        pattern = pattern.replace(old, new)
-    return pattern
+    """The pattern with white space spelled out, and with ends that are the text's own, as the tokenizer library has them."""
+    out, inside, at = [], 0, 0
+    while at < len(pattern):
+        one = pattern[at : at + 2] if pattern[at] == "\\" else pattern[at]
+        at += len(one)
+        if one == "\\s":
+            one = WHITE if inside else f"[{WHITE}]"
+        elif one == "\\S":
+            if inside:
+                raise ValueError(r"\S within a class has no portable form")
+            one = f"[^{WHITE}]"
+        elif one == "$" and not inside:
+            one = r"\Z"
+        inside += (one == "[") - (one == "]" and inside > 0)
+        out.append(one)
+    return "".join(out)
 
 
 def cutter(pattern: str) -> Callable[[str], list[bytes]]:
@@ -103,26 +126,31 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in parts if x is not None]
 
 
-def rank_lookup(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
-    """Rank of a string of bytes (a character each), null where it has none: a literal array of small maps, indexed by CRC-32."""
-    size = 1 << max(1, len(ranks).bit_length() - 2)
+def slots_of(ranks: dict[bytes, int]) -> int:
+    return 1 << max(1, len(ranks).bit_length() - 2)
+
+
+def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """array<map<string, int>>: small maps by CRC-32 of their strings of bytes (a character each), as a scalar subquery."""
+    size = slots_of(ranks)
     slots: list[dict[str, int]] = [{} for _ in range(size)]
     for token, rank in ranks.items():
         key = token.decode("latin-1")
         slots[zlib.crc32(key.encode()) & (size - 1)][key] = rank
-    literal = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,int>>")
+    one = spark.createDataFrame([(json.dumps(slots, separators=(",", ":")),)], "ranks string")
+    return one.select(F.from_json("ranks", "array<map<string,int>>").alias("ranks")).scalar()
 
-    def rank(x: Column) -> Column:
-        return F.try_element_at(F.get(literal, F.crc32(x.cast("binary")).bitwiseAND(F.lit(size - 1)).cast("int")), x)
 
-    return rank
+def rank_lookup(slots: Column, size: int) -> Callable[[Column], Column]:
+    """Rank of a string of bytes, null where it has none."""
+    return lambda x: F.try_element_at(F.get(slots, F.crc32(x.cast("binary")).bitwiseAND(F.lit(size - 1)).cast("int")), x)
 
 
 def fold_merges(text: Column, rank: Callable[[Column], Column]) -> Column:
     """Ids of a string of bytes (a character each), folded by merging the pair of least rank, leftmost first, until none has one.
 
     The state is where each part starts, with the end last, and the rank of each part joined to the next. text should be
-    a column of the frame, for an expression would be computed anew at each look-up.
+    a column or a lambda's value, for an expression would be computed anew at each look-up.
     """
     none = F.lit(2**31 - 1)
     empty = F.array().cast("array<int>")
@@ -179,12 +207,18 @@ class Units:
 
     Units are split and numbered by Arrow; the rare texts with other white space than single spaces between words are
     cut one by one. Entries are, in this order: what follows a space, each distinct; texts' beginnings; odd texts.
+    By a pattern that is not spaced every text is odd, and is cut whole.
     """
 
-    def __init__(self, texts: pa.Array) -> None:
+    def __init__(self, texts: pa.Array, spaced: bool) -> None:
         import numpy as np
         import pyarrow.compute as pc
 
+        self.spaced = spaced
+        if not spaced:
+            self.after, self.begin, self.odd = pa.array([], pa.string()), [], [t or "" for t in texts.to_pylist()]
+            self.codes, self.sizes = np.arange(len(self.odd)), np.ones(len(self.odd), np.int64)
+            return
         lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
         starts = lists.offsets.to_numpy()[:-1]
         coded = lists.flatten().dictionary_encode()
@@ -216,7 +250,7 @@ class Units:
         for u in self.begin:
             yield cut(u)
         for text in self.odd:
-            first, rest = units(text)
+            first, rest = units(text) if self.spaced else (text, [])
             yield [p for v in (first, *(" " + r for r in rest)) for p in cut(v)]
 
     def unknown(self, cut: Callable[[str], list[bytes]], known: pa.Array) -> list[bytes]:
@@ -262,29 +296,37 @@ def _dealt(pieces: list[bytes], parts: int) -> dict[int, list[bytes]]:
     return out
 
 
+def _sum(pieces: list[bytes]) -> int:
+    """A checksum of a list of pieces: ids are matched to pieces by place, so both readings of a block must have the same."""
+    return zlib.crc32(b"".join(bytes((len(x),)) + x for x in pieces))
+
+
 def _pieces(docs: DataFrame, known: list[bytes], pattern: str, parts: int) -> DataFrame:
-    """(part, block, blob): a block's distinct pieces that are no tokens and short enough to fold, dealt by CRC-32."""
+    """(part, block, sum, blob): a block's distinct pieces that are no tokens and short enough to fold, dealt by CRC-32."""
+    spaced = pattern in SPACED_PATTERNS
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, tokens = cutter(pattern), pa.array(known, pa.binary())
         for block, rows in blocks_of(batches, 0, BLOCK_BYTES):
-            dealt = _dealt(Units(rows.column(0).combine_chunks()).unknown(cut, tokens), parts)
+            dealt = _dealt(Units(rows.column(0).combine_chunks(), spaced).unknown(cut, tokens), parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(dealt), pa.int32()), pa.array([block] * len(dealt), pa.int64()), pa.array(map(_put, dealt.values()), pa.binary())],
-                ["part", "block", "blob"],
-            )
+                [pa.array(list(dealt), pa.int32()), pa.array([block] * len(dealt), pa.int64()), pa.array(map(_sum, dealt.values()), pa.int64()),
+                 pa.array(map(_put, dealt.values()), pa.binary())],
+                ["part", "block", "sum", "blob"],
+            )
             give_back()
 
-    return docs.select("__text").mapInArrow(find, "part int, block long, blob binary")
+    return docs.select("__text").mapInArrow(find, "part int, block long, sum long, blob binary")
 
 
 def _folded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(block, part, blob): places of a block's pieces within the part, and their ids. Each distinct piece is folded once.
+    """(block, part, sum, blob): places of a block's pieces within the part, and their ids. Each distinct piece is folded once.
 
     A part holds a share of the distinct pieces, each with at most one row per block, never one per occurrence.
     """
 
     def meet(rows: pa.Table) -> pa.Table:
+        """Rows of FOLD_ROWS distinct pieces, and who has each: (block, its sum, place in the block's list), packed."""
         import numpy as np
 
         seen: dict[bytes, int] = {}
@@ -292,44 +334,54 @@ def _folded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         sizes = [len(c) for c in codes]
         code = np.concatenate(codes)
         order = np.argsort(code, kind="stable")
-        ends = pa.array(np.searchsorted(code[order], np.arange(len(seen) + 1)), pa.int32())
-        block = np.repeat(rows.column("block").to_numpy(), sizes)[order]
+        ends = np.searchsorted(code[order], np.arange(len(seen) + 1))
+        block, sums = (np.repeat(rows.column(c).to_numpy(), sizes)[order] for c in ("block", "sum"))
         place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])[order]
-        part = pa.array(np.full(len(seen), rows.column("part")[0].as_py(), np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (block, place)]
-        out = pa.table([part, pa.array(list(seen), pa.binary()), *lists], names=["part", "piece", "blocks", "places"])
+        cuts = [*range(0, len(seen), FOLD_ROWS), len(seen)]
+        owners = [
+            packed(np.diff(ends[i : j + 1]).astype(np.int64), *(x[ends[i] : ends[j]] for x in (block, sums, place)))
+            for i, j in zip(cuts, cuts[1:], strict=False)
+        ]
+        part = pa.array([rows.column("part")[0].as_py()] * len(owners), pa.int32())
+        lists = pa.ListArray.from_arrays(pa.array(cuts[: len(owners)] + [len(seen)] if owners else [0], pa.int32()), pa.array(list(seen), pa.binary()))
+        out = pa.table([part, lists, pa.array(owners, pa.binary())], names=["part", "pieces", "owners"])
         del seen, codes, code, order
         give_back()
         return out
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A batch's pieces by block and part."""
+        """A row's pieces by block."""
         import numpy as np
 
         for batch in batches:
-            part, blocks, places, ids = (batch.column(i) for i in range(4))
-            count = np.diff(blocks.offsets.to_numpy())
-            row = np.repeat(np.arange(len(count)), count)
-            block, place = blocks.flatten().to_numpy(), places.flatten().to_numpy()
-            part = part.to_numpy()[row]
-            order = np.lexsort((place, part, block))
-            row, block, place, part = row[order], block[order], place[order], part[order]
-            values, ends = ids.flatten().to_numpy().astype(np.uint32), ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py()
-            length = np.diff(ends)
-            size = length[row]
-            upto = np.cumsum(size)
-            flat = values[np.repeat(ends[row] - upto + size, size) + np.arange(int(size.sum()))]
-            new = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
-            stop = np.append(new[1:], len(row))
-            begin = upto - size
-            blobs = [packed(place[i:j], size[i:j].astype(np.uint8), flat[begin[i] : upto[j - 1]]) for i, j in zip(new.tolist(), stop.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(part[new]), pa.array(blobs, pa.binary())], ["block", "part", "blob"])
+            out = []
+            for part, owners, ids in zip(*(batch.column(i) for i in range(3)), strict=True):
+                count, blocks, sums, places = unpacked(owners.as_py(), np.int64, np.int64, np.int64, np.int32)
+                row = np.repeat(np.arange(len(count)), count)
+                order = np.lexsort((places, blocks))
+                row, block, place, own = row[order], blocks[order], places[order], sums[order]
+                values, ends = ids.values.flatten().to_numpy().astype(np.uint32), np.cumsum(np.diff(ids.values.offsets.to_numpy()), dtype=np.int64)
+                length = np.diff(ends, prepend=0)
+                size = length[row]
+                upto = np.cumsum(size)
+                flat = values[np.repeat((ends - length)[row] - upto + size, size) + np.arange(int(size.sum()))]
+                begin = upto - size
+                new = np.flatnonzero(np.diff(block, prepend=-1) != 0)
+                for i, j in zip(new.tolist(), [*new[1:].tolist(), len(row)], strict=True):
+                    blob = packed(place[i:j], size[i:j].astype(np.uint8), flat[begin[i] : upto[j - 1]])
+                    out.append((int(block[i]), part.as_py(), int(own[i]), blob))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["block", "part", "sum", "blob"])
         give_back()
 
-    distinct = pieces.groupBy("part").applyInArrow(meet, "part int, piece binary, blocks array<long>, places array<int>")
-    text = distinct.select("part", "blocks", "places", F.decode("piece", "ISO-8859-1").alias("text"))
-    folded = text.select("part", "blocks", "places", fold_merges(F.col("text"), rank_lookup(ranks)).alias("ids"))
-    return folded.mapInArrow(pack, "block long, part int, blob binary")
+    distinct = pieces.groupBy("part").applyInArrow(meet, "part int, pieces array<binary>, owners binary")
+    size = slots_of(ranks)
+    # The map is a column of these rows, each with many pieces: a subquery can't stand within a higher-order function.
+    texts = distinct.select(
+        "part", "owners", F.transform("pieces", lambda p: F.decode(p, "ISO-8859-1")).alias("texts"), rank_map(pieces.sparkSession, ranks).alias("ranks")
+    )
+    ids = F.transform("texts", lambda t: fold_merges(t, rank_lookup(F.col("ranks"), size)))
+    return texts.select("part", "owners", ids.alias("ids")).mapInArrow(pack, "block long, part int, sum long, blob binary")
 
 
 def encode(
@@ -340,13 +392,14 @@ def encode(
     Null or empty texts have no ids. Any other columns are carried, whatever their names; rows are independent, so
     repeated rows and ids, or nulls in them, need no care. Empty table: empty result. The rows are read twice, once for
     the pieces and once for the ids; a frame that shuffles is written to the shared folder first, so that both
-    readings have the same blocks. Blocks travel compressed. decoded: name of a further column with the ids' bytes, made
-    by the same worker.
+    readings have the same blocks, and pieces that differ between them all the same fail the query. Blocks travel
+    compressed. By a pattern that is not among SPACED_PATTERNS texts are cut whole, which takes longer. decoded: name of
+    a further column with the ids' bytes, made by the same worker.
     """
     carried = [c for c in docs.columns if c != text]
     row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)]) if carried else F.struct(F.lit(0).alias("c0"))
     docs = same_on_every_reading(docs.select(F.col(text).cast("string").alias("__text"), row.alias("__row")))
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts, spaced = parts_for(docs, "__text", PART_BYTES), pattern in SPACED_PATTERNS
     words = _folded(_pieces(docs, list(ranks), pattern, parts), ranks)
     fields = [T.StructField("__row", docs.schema["__row"].dataType), T.StructField(ids, T.ArrayType(T.IntegerType()))]
     fields += [T.StructField(decoded, T.BinaryType())] if decoded else []
@@ -357,11 +410,14 @@ def encode(
         tokens, tables = pa.array(list(ranks), pa.binary()), []
         long = lambda p: np.array(merge_long(p, ranks), np.int32).tobytes()
         for rows in received(docs):
-            cut = remembered(cutter(pattern))
-            units = Units(rows.column("__text").combine_chunks())
+            cut = remembered(cutter(pattern)) if spaced else cutter(pattern)
+            units = Units(rows.column("__text").combine_chunks(), spaced)
             dealt = _dealt(units.unknown(cut, tokens), parts)
             at = {k: struct.pack("<i", v) for k, v in ranks.items()}
-            for part, blob in zip(words.column("part").to_pylist(), words.column("blob").to_pylist(), strict=True):
+            sums = {part: _sum(own) for part, own in dealt.items()}
+            for part, total, blob in zip(*(words.column(c).to_pylist() for c in ("part", "sum", "blob")), strict=True):
+                if sums.get(part) != total:
+                    raise ValueError("two readings of a block differ: write the table first")
                 places, lengths, values = unpacked(blob, np.int32, np.uint8, np.uint32)
                 raw, ends = values.tobytes(), np.cumsum(lengths, dtype=np.int64) * 4
                 own = dealt[part]
