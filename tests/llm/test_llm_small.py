@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import join_hot, stash
 from tidemark.llm import bpe, decontaminate, line_dedup, lm, near_dup, packing, quality, secret_scan, suffix_dedup, warc
 
 RANKS = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
@@ -25,7 +26,7 @@ def frame(spark, texts, first=0):
 
 def clashing(df):
     """The frame with columns named as the operators might name their own."""
-    return df.withColumns({c: F.lit(7) for c in ("id", "doc", "rank", "key", "block", "part", "words", "n", "term", "pos", "digest", "set", "sig", "__n", "__text")})
+    return df.withColumns({c: F.lit(7) for c in ("id", "doc", "rank", "key", "block", "part", "words", "n", "term", "pos", "digest", "set", "sig", "row", "runs", "lines", "gone", "edges", "from", "to", "no", "first", "first.of", "times", "__n", "__text", "__lines", "__gone", "__runs", "__edges", "__parts")})
 
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -242,11 +243,34 @@ def test_line_dedup(spark, n):
     df = clashing(frame(spark, texts)).unionByName(clashing(frame(spark, [None], 1000)))
     want = lines_left(dict(enumerate(texts)) | {1000: None}, n)
     for r in line_dedup.line_dedup(df, min_lines=n).collect():
-        assert ((r.text or ""), r.n_lines, r.n_removed) == want[r.doc_id] and r.rank == 7
+        assert ((r.text or ""), r.n_lines, r.n_removed) == want[r.doc_id] and {r[c] for c in df.columns if c not in SCHEMA} == {7}
         assert r.doc_id != 1000 or r.text is None
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    rows = [(None, "p one\nq two"), (None, "q two\nr three\nx\ny"), (2, "a b\nf"), (2, "a b\ng"), (3, "a b\nf"), (5, "p one\ny\nr three"), (None, "x\ny"), (4, "x\ny"), (4, "x\ny")]
+    got = line_dedup.line_dedup(spark.createDataFrame([r + (7,) for r in rows], "doc_id int, text string, n_removed int")).collect()
+    left = sorted(((r.doc_id, r.text) for r in got), key=str)
+    # Documents 2 are two texts; a null id comes after all others, so what document 4 has is taken from it.
+    want = [(None, "p one\nq two"), (None, "q two\nr three"), (2, "a b\nf"), (2, "a b\ng"), (3, ""), (5, "p one\ny\nr three"), (None, ""), (4, "x\ny"), (4, "x\ny")]
+    assert left == sorted(want, key=str)
+
+
+def test_runs_name_their_source_at_the_greatest_depth(spark):
+    texts = ["\n".join(map(str, range(20))), "new\n" + "\n".join(map(str, range(3, 14))) + "\nother", "5\n6"]
+    d = frame(spark, texts).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"), "text")
+    got = {r.id: (r["from"], r.to, r.depth, r.source.id, r.source.no) for r in line_dedup.repeated_runs(d).collect()}
+    assert got == {1: (1, 12, 8, 0, 3), 2: (0, 2, 2, 0, 5)}
+
+
+def test_hot_keys_are_joined_in_parts(spark):
+    many = spark.range(2000).select(F.when(F.col("id") < 1500, 1).otherwise(F.col("id")).alias("k"), "id")
+    one = stash(many.groupBy("k").agg(F.count("*").alias("c"), F.max("id").alias("top")), "one")
+    got = join_hot(many, one, ["k"], "c", F.col("id")).collect()
+    assert len(got) == 2000 and {(r.k, r.top) for r in got} == {(1, 1499)} | {(i, i) for i in range(1500, 2000)}
+
+
 def test_long_lines_are_runs_by_themselves(spark):
     import corpus_pipeline as c
 

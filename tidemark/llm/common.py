@@ -27,7 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = sc._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="tidemark-")
+        if held.isDefined():
+            found = held.get()
+        elif sc.master.startswith("local[") or sc.master == "local":
+            found = tempfile.mkdtemp(prefix="tidemark-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
     return found
@@ -66,6 +71,40 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+#: A key with more than one in so many of all rows is hot; there are at most as many hot keys, whatever the table.
+HOT_SHARE = 1000
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def as_row(docs: DataFrame) -> Column:
+    """All columns in one struct with fields c0, c1, ..: nothing an operator adds can clash with them."""
+    return F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+
+
+def from_row(docs: DataFrame, row: str) -> list[Column]:
+    """The columns of as_row(docs) again."""
+    return [F.col(f"{row}.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+
+
+def join_hot(many: DataFrame, one: DataFrame, keys: list[str], count: str, spread: Column) -> DataFrame:
+    """Inner join of many with one, which has a row per key and in `count` how many rows of many it meets.
+
+    Hot keys are cut into parts of a thousandth of all rows: rows of many go to one by `spread`, and one's row is
+    repeated for each. Hot keys are at most HOT_SHARE, so their list is broadcast. one should be written or cached.
+    """
+    each = F.greatest(F.lit(64), F.ceil((one.agg(F.sum(count)).first()[0] or 0) / F.lit(HOT_SHARE)))
+    parts = F.when(F.col(count) > each, F.ceil(F.col(count) / each)).otherwise(1).cast("int")
+    one = one.withColumn("__parts", parts)
+    hot = F.broadcast(one.where("__parts > 1").select(*keys, F.col("__parts").alias("__of")))
+    many = many.join(hot, keys, "left").withColumn("__part", F.pmod(spread, F.coalesce("__of", F.lit(1)))).drop("__of")
+    one = one.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts", count)
+    return many.withColumn("__part", F.col("__part").cast("int")).join(one, [*keys, "__part"]).drop("__part")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     ascii_only = F.octet_length(text) == F.length(text)
