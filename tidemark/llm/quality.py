@@ -1,8 +1,8 @@
 """Quality rules: robust multivariate outliers of text statistics per language and source (native).
 
-Per group the minimum-covariance-determinant estimate is found by concentration steps: from a start by
-medians and absolute deviations, mean and covariance are refitted to the h rows of least Mahalanobis distance.
-All of it is aggregates and column expressions; the h-th distance comes from a mergeable histogram.
+Per group the minimum-covariance-determinant estimate is found by concentration steps from several starts: mean and
+covariance are refitted to the h rows of least Mahalanobis distance, and the start whose covariance ends with the least
+determinant is taken. All of it is aggregates and column expressions; the h-th distance comes from a mergeable histogram.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, cut, extract_all, small, stash
+from .common import SPACE_WORD, as_row, cut, extract_all, from_row, quoted, small, stash
 
 WINDOW = 8
 #: Least spread of each feature, in its own unit: below it a difference is no sign of junk.
@@ -22,6 +22,9 @@ D = len(FLOORS)
 MIN_GROUP = 40
 ALPHA = 0.75
 STEPS = 3
+#: Starts by a share of the rows, beside those by medians and by all rows: rows whose features' hash has each of these rests by 4.
+SUBSETS = (0, 1)
+KEY = ["__lang", "__source"]
 TAIL = 1e-6
 
 
@@ -105,11 +108,13 @@ def _features() -> list[Column]:
     ]
 
 
+_NAMES = [f"m{i}" for i in range(D)] + [f"v{i}{j}" for i in range(D) for j in range(i + 1)]
+
+
 def _params(df: DataFrame) -> DataFrame:
-    """A row per group with mean m_i and the inverse Cholesky factor v_i_j of the covariance plus floors."""
+    """A row per group and start with mean m_i, the inverse Cholesky factor v_i_j of the covariance plus floors, and its log determinant."""
     x = lambda i: F.col(f"__f{i}")
-    p = df.groupBy("__lang", "__source").agg(
-        F.count("*").alias("n"),
+    p = df.groupBy(*KEY, "__start").agg(
         *[F.avg(x(i)).alias(f"m{i}") for i in range(D)],
         *[F.covar_pop(x(i), x(j)).alias(f"c{i}{j}") for i in range(D) for j in range(i + 1)],
     )
@@ -127,8 +132,8 @@ def _params(df: DataFrame) -> DataFrame:
             for k in range(j, i):
                 s = s - F.col(f"l{i}{k}") * F.col(f"v{k}{j}")
             p = p.withColumn(f"v{i}{j}", s / F.col(f"l{i}{i}"))
-    keep = [f"m{i}" for i in range(D)] + [f"v{i}{j}" for i in range(D) for j in range(i + 1)]
-    return p.select("__lang", "__source", *keep)
+    logdet = 2 * sum((F.log(f"l{i}{i}") for i in range(1, D)), F.log("l00"))
+    return p.select(*KEY, "__start", *_NAMES, logdet.alias("logdet"))
 
 
 def _distance() -> Column:
@@ -141,54 +146,54 @@ def _distance() -> Column:
     return total
 
 
+def _starts(stats: DataFrame) -> DataFrame:
+    """Parameters per group and start: 0 by medians and absolute deviations, 1 by all rows, then by shares of the rows."""
+    med = stats.groupBy(*KEY).agg(*[F.percentile_approx(f"__f{i}", 0.5, 1000).alias(f"m{i}") for i in range(D)])
+    mad = stats.join(small(cut(med)), KEY).groupBy(*KEY).agg(
+        *[F.first(f"m{i}").alias(f"m{i}") for i in range(D)],
+        *[F.percentile_approx(F.abs(F.col(f"__f{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i in range(D)],
+    )
+    factor = [
+        (1 / F.sqrt(F.pow(F.col(f"s{i}") * 1.4826, 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i in range(D) for j in range(i + 1)
+    ]
+    robust = mad.select(*KEY, F.lit(0).alias("__start"), *[f"m{i}" for i in range(D)], *factor)
+    rest = F.pmod(F.xxhash64(*[f"__f{i}" for i in range(D)]), F.lit(4))
+    own = F.filter(F.array(F.lit(1), *[F.when(rest == k, F.lit(2 + n)) for n, k in enumerate(SUBSETS)]), lambda x: x.isNotNull())
+    others = _params(stats.withColumn("__start", F.explode(own))).drop("logdet")
+    return robust.unionByName(others)
+
+
 def fit_groups(stats: DataFrame) -> DataFrame:
-    """MCD parameters per group from a table with __lang, __source, __f0.. ; the last step's fit, with n rows per group.
+    """MCD parameters per group from a table with __lang, __source, __f0.. ; that of the start of least determinant.
 
     A group's h-th distance is taken at a histogram edge (1/64 in the logarithm), so ties stay together and
-    no group is ever gathered in one task.
+    no group is ever gathered in one task. group_rows: the group's rows.
     """
-    key = ["__lang", "__source"]
-    med = stats.groupBy(*key).agg(*[F.percentile_approx(f"__f{i}", 0.5, 1000).alias(f"m{i}") for i in range(D)])
-    mad = (
-        stats.join(small(cut(med)), key)
-        .groupBy(*key)
-        .agg(
-            *[F.first(f"m{i}").alias(f"m{i}") for i in range(D)],
-            *[F.percentile_approx(F.abs(F.col(f"__f{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i in range(D)],
-        )
-    )
-    params = mad.select(
-        *key,
-        *[f"m{i}" for i in range(D)],
-        *[
-            (1 / F.sqrt(F.pow(F.col(f"s{i}") * 1.4826, 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"v{i}{j}")
-            for i in range(D)
-            for j in range(i + 1)
-        ],
-    )
+    each = [*KEY, "__start"]
+    params = _starts(stats)
     for _ in range(STEPS):
-        near = stats.join(small(cut(params)), key).withColumn(
-            "__bin", F.floor(F.log(_distance() + 1e-6) * 64).cast("long")
-        )
-        counts = near.groupBy(*key, "__bin").count()
-        by = W.partitionBy(*key)
+        near = stats.join(small(cut(params)), KEY).withColumn("__bin", F.floor(F.log(_distance() + 1e-6) * 64).cast("long"))
+        counts = near.groupBy(*each, "__bin").count()
+        by = W.partitionBy(*each)
         edges = (
             counts.withColumn("__upto", F.sum("count").over(by.orderBy("__bin")))
             .withColumn("__all", F.sum("count").over(by))
             .where(F.col("__upto") >= F.lit(ALPHA) * F.col("__all"))
-            .groupBy(*key)
+            .groupBy(*each)
             .agg(F.min("__bin").alias("__edge"), F.first("__all").alias("__n"))
         )
         edges = cut(edges)
-        params = _params(near.join(small(edges), key).where(F.col("__bin") <= F.col("__edge")).select(*stats.columns))
-    return params.join(edges.select(*key, F.col("__n").alias("group_rows")), key)
+        params = _params(near.join(small(edges), each).where(F.col("__bin") <= F.col("__edge")).select(*stats.columns, "__start"))
+    least = F.min(F.struct("logdet", "__start", F.struct("__n", *_NAMES).alias("fit")))
+    best = params.join(edges.select(*each, "__n"), each).groupBy(*KEY).agg(least["fit"].alias("fit"))
+    return best.select(*KEY, *[f"fit.{c}" for c in _NAMES], F.col("fit.__n").alias("group_rows"))
 
 
 def fit_or_pool(stats: DataFrame) -> DataFrame:
     """A row per group as of fit_groups; a group under MIN_GROUP rows has its language's fit, or that of all rows if
     the language too is under it. group_rows: the rows behind the fit.
     """
-    key = ["__lang", "__source"]
+    key = KEY
     sizes = stats.groupBy(*key).agg(F.count("*").alias("__n"))
     langs = sizes.groupBy("__lang").agg(F.sum("__n").alias("__m"))
     level = F.when(F.col("__n") >= MIN_GROUP, 0).when(F.col("__m") >= MIN_GROUP, 1).otherwise(2)
@@ -209,38 +214,47 @@ def fit_or_pool(stats: DataFrame) -> DataFrame:
     return out
 
 
-def quality_rules(
-    docs: DataFrame, text: str = "text", carry: list[str] | None = None, keep_text: bool = False
-) -> DataFrame:
-    """Statistics, base rule and MCD verdict of every row.
+STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
-    carry: columns of docs to return (default doc_id), under their names; keep_text: they may hold the text, which is
-    then written with the statistics, so that verdicts need no join by id. A row is kept unless base_failed or its squared Mahalanobis
-    distance in its (lang, source) group exceeds the chi-square quantile 1 - 1e-6. Null lang or source is a group of
-    its own; missing columns too. Groups under 40 usable rows are judged by their language's
-    estimate, or that of all rows; only a table of under 40 usable rows gets no outlier verdict. Empty table: empty result.
-    The text is read once: statistics are written to the shared folder and only the narrow columns are read per step.
-    """
-    carry = ["doc_id"] if carry is None else carry
-    if text in carry and not keep_text:
-        raise ValueError("keep_text must be set to carry the text")
-    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("__row")
-    names = {"__lang": "lang", "__source": "source"}
-    keyed = docs.select(
-        row,
-        F.col(text).alias("__text"),
-        *[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")).alias(k) for k, c in names.items()],
-    )
+
+def judged(rows: DataFrame) -> DataFrame:
+    """(row, statistics, base_failed, kept, mahalanobis_sq) of rows (row, text, lang, source), where row is anything."""
+    keyed = rows.select(
+        F.col("row").alias("__row"), F.col("text").alias("__text"),
+        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"__{c}") for c in ("lang", "source")],
+    )
     base = text_stats(keyed, "__text").drop("__text")
-    base = base.select("*", *[f.alias(f"__f{i}") for i, f in enumerate(_features())])
-    base = stash(base, "quality")
-    usable = base.where(~F.col("base_failed")).select("__lang", "__source", *[f"__f{i}" for i in range(D)])
+    base = stash(base.select("*", *[f.alias(f"__f{i}") for i, f in enumerate(_features())]), "quality")
+    usable = base.where(~F.col("base_failed")).select(*KEY, *[f"__f{i}" for i in range(D)])
     params = small(cut(fit_or_pool(usable)))
     cutoff = chi2_quantile(1 - TAIL, D)
-    out = base.join(params, ["__lang", "__source"], "left").withColumn("mahalanobis_sq", _distance())
+    out = base.join(params, KEY, "left").withColumn("mahalanobis_sq", _distance())
     far = (F.col("group_rows") >= MIN_GROUP) & (F.col("mahalanobis_sq") > cutoff)
-    return out.select(
-        *[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(carry)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"),
-        "mahalanobis_sq",
-    )
+    kept = ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))
+    return out.select(F.col("__row").alias("row"), *STATS, kept.alias("kept"), "mahalanobis_sq")
+
+
+def rows_of(docs: DataFrame, text: str, row: Column) -> DataFrame:
+    group = [(quoted(c) if c in docs.columns else F.lit(None)).cast("string").alias(c) for c in ("lang", "source")]
+    return docs.select(row.alias("row"), quoted(text).cast("string").alias("text"), *group)
+
+
+def quality_rules(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
+    """(doc, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, mahalanobis_sq) of every row.
+
+    A row is kept unless base_failed or its squared Mahalanobis distance in its (lang, source) group exceeds the
+    chi-square quantile 1 - 1e-6. Null lang or source is a group of its own; missing columns too. Groups under 40
+    usable rows are judged by their language's estimate, or that of all rows; only a table of under 40 usable rows gets
+    no outlier verdict. Rows are judged one by one, so ids may repeat or be null. Empty table: empty result.
+    The text is read once: statistics are written to the shared folder and only the narrow columns are read per step.
+    """
+    out = judged(rows_of(docs, text, quoted(doc)))
+    return out.select(F.col("row").alias(doc), *STATS, "kept", "mahalanobis_sq")
+
+
+def kept_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs, with all columns whatever their names, without the rows that quality_rules would not keep.
+
+    The rows are written with their statistics, so that verdicts need no join by id.
+    """
+    return judged(rows_of(docs, text, as_row(docs))).where("kept").select(*from_row(docs, "row"))
