@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe
-from tidemark.llm.common import cut, shared_path, small, table
+from tidemark.llm.common import as_row, cut, from_row, shared_path, small, table
 from tidemark.llm.decontaminate import contamination
-from tidemark.llm.line_dedup import line_dedup
+from tidemark.llm.line_dedup import dedup_rows, rows_of
 from tidemark.llm.near_dup import near_duplicates
-from tidemark.llm.quality import quality_rules
+from tidemark.llm.quality import kept_rows
 
 #: A line of so many words is a repeated passage by itself.
 LONG_LINE = 51
@@ -21,29 +21,34 @@ LONG_LINE = 51
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and are no outlier of their language and source."""
-    return quality_rules(docs, carry=docs.columns, keep_text=True).where("kept").select(*docs.columns)
+    return kept_rows(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs, and of single lines of over 50 words, go; a document without any line left goes, one that had none stays."""
-    out = line_dedup(docs, long_words=LONG_LINE)
+    out = dedup_rows(rows_of(docs, "doc_id", "text"), long_words=LONG_LINE)
     emptied = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))
-    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.where(~emptied).withColumn("n_chars", chars).select(*docs.columns)
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    now = [F.when(F.col("n_removed") > 0, changed[c]).otherwise(r).alias(c) if c in changed else r for c, r in zip(docs.columns, from_row(docs, "row"), strict=True)]
+    return out.where(~emptied).select(*now)
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in gone (doc_id); null ids stay."""
+    gone = small(cut(gone.select(F.col("doc_id").alias("gone")).distinct()))
+    rows = docs.select(as_row(docs).alias("row"), F.col("doc_id").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select(*from_row(docs, "row"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with five-word shingles of similarity 0.8 or more stays: that of the least id."""
-    verdict = near_duplicates(docs, words=5, num=80, den=100)
-    gone = small(cut(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return _without(docs, near_duplicates(docs, words=5, num=80, den=100).where(~F.col("kept")))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of ten words of a benchmark item go."""
-    verdict = contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = small(cut(verdict.where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    rows = docs.select(as_row(docs).alias("row"), "text")
+    return contamination(rows, table(spark, sf_dir, "benchmark"), doc="row").where(~F.col("contaminated")).select(*from_row(docs, "row"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
