@@ -315,11 +315,14 @@ def test_contamination(spark):
 
 
 def test_proximity(spark):
-    windows, _ = decontaminate.windows_of(spark.createDataFrame([(1, "red fox jumps")], "item long, text string"), "item", "text", 3)
-    words = decontaminate.document_words(frame(spark, ["a fox that jumps red b", "fox x x x x jumps red", "red fox"]), "doc_id", "text")
-    anchors = decontaminate.anchors_of(windows, decontaminate.term_counts(words, windows.select(F.explode("phrase").alias("term"))))
-    post = decontaminate.postings_of(words, anchors.select("term").distinct(), 6)
-    assert {r.doc for r in decontaminate.proximity_matches(post, anchors, 2).collect()} == {0}
+    items = spark.createDataFrame([(1, "red fox jumps"), (2, "word word")], "item long, text string")
+    terms, windows, owners = decontaminate.windows_of(items, "item", "text", 3)
+    docs = frame(spark, ["a fox that jumps red b", "fox x x x x jumps red", "red fox", "a word", "red a fox b b jumps", "a fox that jumps red b"])
+    index = decontaminate.build_index(docs, "text", terms)
+    found = decontaminate.proximity_matches(index, decontaminate.by_rarity(index, windows), 2, 3).join(owners, "wid")
+    of = docs.select("doc_id", *decontaminate.keyed(F.col("text")))
+    got = {(r.doc_id, r.item) for r in of.join(found, ["k0", "k1"]).collect()}
+    assert got == {(0, 1), (5, 1), (3, 2)} and found.count() == 2
 
 
 # 7

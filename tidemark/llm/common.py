@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 # Functions given to Python workers travel by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
 
-#: A table of at most this many rows may be broadcast; each caller counts before it hints.
+#: A table of at most so many rows, and of so many bytes where rows can be wide, may be broadcast; each caller counts before it hints.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -66,9 +67,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if it holds at most `limit` rows, else as it is."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, width: Column | None = None) -> DataFrame:
+    """The table with a broadcast hint if it holds at most `limit` rows, else as it is; df should be written or cut.
+
+    width: bytes of a row, where that has no bound of its own; all rows together must then stay within BROADCAST_BYTES.
+    """
+    rows, size = df.agg(F.count("*"), F.lit(0) if width is None else F.sum(width)).first()
+    return F.broadcast(df) if rows <= limit and (size or 0) <= BROADCAST_BYTES else df
 
 
 #: A key with more than one in so many of all rows is hot; there are at most as many hot keys, whatever the table.
