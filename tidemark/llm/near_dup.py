@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, stash
+from .common import cut, join_hot, small, stash
 
 SIZE = 64
 #: Chance that a pair right at the threshold is further apart than t symbols.
 MISS = 1e-6
 #: Members of a bucket that are in one task's memory together; larger buckets are compared block by block.
 BLOCK = 4096
+#: The same for the bytes of their shingle sets.
+BLOCK_BYTES = 32 << 20
 #: Members that share a hub's row in one task.
 HUB_ROWS = 20_000
 
@@ -111,13 +113,15 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = lambda d: tuple(d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     last = mark(e)
+    star = lambda d, least: join_hot(d, least, ["u"], "times", F.xxhash64("v"))
     while last[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        e = cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).where("u <> v").distinct())
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("times")))
+        large = star(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(large)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times")))
+        small_star = star(large, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(small_star.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = mark(e)
         if now == last:
             break
@@ -184,10 +188,11 @@ def _confirm(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
     A hub with many members is dealt to several tasks, each with a copy of its set.
     """
-    parts = stars.groupBy("hub").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("parts"))
+    parts = cut(stars.groupBy("hub").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("parts")))
     heads = parts.join(sets.withColumnRenamed("id", "hub"), "hub")
     heads = heads.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("id"), "set")
-    rows = stars.join(parts, "hub").join(sets, "id")
+    stars = stars.join(small(parts.where("parts > 1")), "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = stars.join(sets, "id")
     rows = rows.select("hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,11 +264,28 @@ def _candidates(rows: DataFrame, bound: int) -> DataFrame:
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
-    """Rows (key, size, id, ..) with lo and hi: groups of over BLOCK members meet block by block, each pair of blocks once."""
-    at = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    at = at.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return at.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+    """Rows (key, id, root, bytes) with lo and hi: blocks of a group that meet.
+
+    Members of a group's commonest root need not meet each other: each of their blocks meets each block of the others, and
+    those meet one another. A group with few others is thus no more than its size and the others once a block.
+    """
+    rows = cut(rows)
+    roots = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    top = F.max(F.struct("n", "root", "bytes"))
+    groups = roots.groupBy("key").agg(top.alias("top"), F.sum("n").alias("times"), F.sum("bytes").alias("bytes"))
+    groups = groups.select(
+        "key", "times", F.col("top.root").alias("most"), blocks(F.col("top.n"), F.col("top.bytes")).alias("ours"),
+        blocks(F.col("times") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("others"),
+    )
+    at = join_hot(rows, cut(groups.where("others > 0")), ["key"], "times", F.xxhash64("id"))
+    ours = F.col("root") == F.col("most")
+    at = at.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(ours, F.col("ours")).otherwise(F.col("others"))).cast("int"))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
+    others, above = F.sequence(F.lit(0), F.col("others") - 1), F.sequence(F.col("others"), F.col("others") + F.col("ours") - 1)
+    mine = F.when(ours, F.transform(others, lambda i: pair(i, F.col("others") + F.col("mine")))).otherwise(
+        F.transform(F.concat(others, above), lambda i: pair(F.col("mine"), i)))
+    return at.withColumn("at", F.explode(mine)).select("key", "at.lo", "at.hi", "id", "root")
 
 
 def _within(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -321,33 +343,34 @@ def near_duplicates(
     classes = known.where("n > 0").groupBy("digest").agg(F.min("id").alias("class"))
     members = known.join(classes, "digest", "left").select("id", F.coalesce("class", "id").alias("class"), "n")
     members = members.dropDuplicates(["id"])
-    reps = stash(known.join(classes.select(F.col("class").alias("id")), "id").dropDuplicates(["id"]).select("id", "sig"), "reps")
+    reps = stash(known.join(classes.select(F.col("class").alias("id")), "id").dropDuplicates(["id"]).select("id", "sig", "n"), "reps")
 
     keys = _keys(reps, chunks)
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
-    shared = stash(keys.join(buckets, "key").select("key", "size", "hub", "id"), "buckets")
+    shared = stash(join_hot(keys, stash(buckets, "keys"), ["key"], "size", F.xxhash64("id")).select("key", "hub", "id"), "buckets")
     # First each member is tried against the hub that it shares most buckets with; the rest comes below.
     stars = shared.where("hub <> id").groupBy("hub", "id").agg(F.count("*").alias("times"))
     stars = stars.groupBy("id").agg(F.max(F.struct("times", -F.col("hub"))).alias("best")).select("id", (-F.col("best")["col2"]).alias("hub"))
     sig = reps.select("id", "sig")
-    stars = stars.join(sig, "id").join(sig.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-    stars = cut(_near(stars, bound))
+    stars = cut(stars)
+    hubs = stars.groupBy("hub").agg(F.count("*").alias("times")).join(sig.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+    stars = cut(_near(join_hot(stars.join(sig, "id"), stash(hubs, "hubs"), ["hub"], "times", F.xxhash64("id")), bound))
     sets = _sets(d, stars.select("id").union(stars.select("hub")).distinct(), words)
     links = cut(_confirm(stars, sets, num, den))
     roots = components(links)
 
     # Buckets that still hold several components, in blocks where they are large.
-    at = shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    near = cut(_candidates(_in_blocks(at.join(split, "key").join(sig, "id")), bound).distinct())
+    at = stash(shared.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "open")
+    split = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
+    open_ = join_hot(at, stash(split, "split"), ["key"], "size", F.xxhash64("id")).withColumn("bytes", F.lit(SIZE * 2))
+    near = cut(_candidates(_in_blocks(open_).join(sig, "id"), bound).distinct())
     # What is near by any bucket is one cluster; each of its members brings its set once.
     clusters = components(near).withColumnRenamed("root", "key")
     clusters = clusters.union(clusters.select(F.col("key").alias("id"), "key").distinct())
-    sizes = clusters.groupBy("key").agg(F.count("*").alias("size"))
-    clusters = clusters.join(sizes, "key").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    clusters = cut(clusters.select("key", "size", "id", "root"))
+    clusters = clusters.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    clusters = cut(clusters.join(reps.select("id", (F.col("n") * 8).alias("bytes")), "id"))
     sets = _sets(d, clusters.select("id"), words)
-    more = _within(_in_blocks(clusters.join(sets, "id")), num, den)
+    more = _within(_in_blocks(clusters).join(sets, "id"), num, den)
     roots = components(links.union(more))
 
     found = members.join(roots.withColumnRenamed("id", "class"), "class", "left")
