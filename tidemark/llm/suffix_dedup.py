@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocks_of, packed, received, same_on_every_reading, shipped, unpacked
+from .blocks import blocks_of, packed, parts_for, received, same_on_every_reading, shipped, unpacked
 
 LENGTH = 50
 ANCHOR = 24
 BLOCK_BYTES = 6 << 20
+#: Text whose anchors are dealt to one part.
+PART_BYTES = 8 << 20
 #: Low bits of an anchor's value that hold its place in the block; a block's texts must be shorter.
 PLACE_BITS = 31
 
@@ -94,10 +96,9 @@ def _numbers(x: np.ndarray, kind: type) -> np.ndarray:
 def _by_part(values: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     part = (values % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
-        if edges[p] < edges[p + 1]:
-            yield p, order[edges[p] : edges[p + 1]]
+    there, begin = np.unique(part[order], return_index=True)
+    for p, a, b in zip(there.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
+        yield p, order[a:b]
 
 
 def _anchors(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +307,7 @@ def suffix_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     no source. Rows of one id don't take from each other. A block sends each distinct string once, whatever its copies.
     """
     d = same_on_every_reading(docs.select(F.col(text).cast("string").alias("text"), F.col(doc).cast("long").alias("id")))
-    parts = 2 * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(d, "text", PART_BYTES)
     three = "part long, block long, blob binary"
     bits = _anchor_lists(d, parts).groupBy("part").applyInArrow(_shared_anchors, "block long, part long, blob binary")
     blocks = shipped(d, BLOCK_BYTES)
