@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 REVISIT_BYTES = 1000
 DATE = "1970-01-01T00:00:00Z"
 CRLF = "\r\n"
+#: The standard's name for a revisit of an equal payload. Fixed value.
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _field(name: str, value: Column) -> Column:
@@ -30,8 +32,10 @@ def write_archive(
     """Write a record per row of pages below `path`.
 
     Null bodies are empty. Of equal payloads of at least 1000 bytes the greatest page is the response and the others
-    are revisits of it; rows without a page id are responses. Line ends within a url are percent-encoded; a null url has
-    no target line. Payloads travel by (page, digest), never together with their copies.
+    are revisits of it; rows without a page id are responses, with an id made of their digest. Rows that repeat a page
+    are records of their own. Line ends within a url are percent-encoded; a null url has no target line. A header
+    holds the record's fields and the HTTP message's, which is what a revisit's block consists of. Every digest has one
+    blob, whatever repeats. Payloads travel by (page, digest), never together with other pages' copies.
     """
     p = pages.select(
         F.col(page).alias("page"), F.col(url).alias("url"),
@@ -40,27 +44,29 @@ def write_archive(
     p = p.withColumn("digest", F.sha2("payload", 256))
     narrow = p.select("page", "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
     bearer = p.groupBy("digest").agg(F.max("page").alias("bearer"))
-    # The blobs: one bearer's bytes for each digest.
-    blobs = p.select("page", "digest", "payload").join(
-        bearer.withColumnRenamed("digest", "d"),
-        (F.col("digest") == F.col("d")) & F.col("page").eqNullSafe(F.col("bearer")),
-    )
+    # The blobs: one bearer's bytes for each digest, by one exchange for the join and for rows that repeat.
+    at = F.concat_ws(":", "digest", "page")
+    wanted = bearer.select(F.concat_ws(":", "digest", "bearer").alias("at"))
+    blobs = p.select(at.alias("at"), "digest", "payload").join(wanted, "at").dropDuplicates(["at"])
     blobs.select("digest", "payload").write.parquet(f"{path}/blobs")
     r = narrow.join(bearer, "digest")
     refers = F.when((F.col("bytes") >= REVISIT_BYTES) & (F.col("page") < F.col("bearer")), F.col("bearer"))
     target = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    length = F.when(refers.isNull(), F.col("bytes")).otherwise(F.lit(0))
+    message = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}"), _field("Content-Type", F.lit("text/html;charset=utf-8")), _field("Content-Length", F.col("bytes")), F.lit(CRLF))
+    length = F.octet_length(message) + F.when(refers.isNull(), F.col("bytes")).otherwise(F.lit(0))
+    nameless = F.concat(F.lit("<urn:sha256:"), F.col("digest"), F.lit(">"))
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         _field("WARC-Type", F.when(refers.isNull(), F.lit("response")).otherwise(F.lit("revisit"))),
-        _field("WARC-Record-ID", _record_id(F.col("page"))),
+        _field("WARC-Record-ID", F.coalesce(_record_id(F.col("page")), nameless)),
         _field("WARC-Target-URI", target),
         _field("WARC-Date", F.lit(date)),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
+        _field("WARC-Profile", F.when(refers.isNotNull(), F.lit(SAME_PAYLOAD))),
         _field("WARC-Refers-To", _record_id(refers)),
-        _field("Content-Type", F.lit("text/html;charset=utf-8")),
+        _field("Content-Type", F.lit("application/http;msgtype=response")),
         _field("Content-Length", length),
-        F.lit(CRLF),
+        F.lit(CRLF), message,
     )
     r.select(F.encode(header, "UTF-8").alias("header"), "digest").write.parquet(f"{path}/records")
 
@@ -87,7 +93,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     blobs = spark.read.parquet(f"{path}/blobs").select(
         "digest", (F.sha2("payload", 256) == F.col("digest")).alias("sound"), F.sha1("payload").alias("payload_digest"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
-    ).distinct()
+    )
     r = _parsed(spark.read.parquet(f"{path}/records")).join(blobs, "digest", "left")
     sound = F.coalesce(F.col("sound") & (F.col("payload_digest") == F.col("said_sha1")), F.lit(False))
     checked = F.when(sound, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("bad blob "), F.col("digest"))))
@@ -96,7 +102,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def rebuild_records(spark: SparkSession, path: str) -> DataFrame:
     """(page, record): the record's bytes, header, payload and closing line ends; a revisit has no payload of its own."""
-    blobs = spark.read.parquet(f"{path}/blobs").dropDuplicates(["digest"])
+    blobs = spark.read.parquet(f"{path}/blobs")
     r = _parsed(spark.read.parquet(f"{path}/records")).join(blobs, "digest")
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.encode(F.lit(""), "UTF-8"))
     return r.select("page", F.concat("header", block, F.encode(F.lit(CRLF * 2), "UTF-8")).alias("record"))
@@ -104,5 +110,5 @@ def rebuild_records(spark: SparkSession, path: str) -> DataFrame:
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
     """(page, payload): the full payload of every record, revisits included."""
-    blobs = spark.read.parquet(f"{path}/blobs").dropDuplicates(["digest"])
+    blobs = spark.read.parquet(f"{path}/blobs")
     return _parsed(spark.read.parquet(f"{path}/records")).join(blobs, "digest").select("page", "payload")
