@@ -212,8 +212,12 @@ def test_warc(spark, tmp_path):
     assert sorted(map(key, got), key=str) == sorted(want, key=str)
     records = {r.page: bytes(r.record) for r in warc.rebuild_records(spark, str(tmp_path / "a")).collect()}
     assert records[5].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and records[5].endswith(big.encode() + b"\r\n\r\n")
-    assert b"WARC-Target-URI: u%0D%0AWARC-Type: x\r\n" in records[3] and b"Content-Length: 0\r\n" in records[1]
-    assert spark.read.parquet(str(tmp_path / "a/blobs")).select("digest").distinct().count() == 3
+    assert b"WARC-Target-URI: u%0D%0AWARC-Type: x\r\n" in records[3] and b"\r\nWARC-Profile: " in records[1] and b"WARC-Profile" not in records[5]
+    for record in records.values():
+        head, block = record.removesuffix(b"\r\n\r\n").split(b"\r\n\r\n", 1)
+        fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+        assert int(fields[b"Content-Length"]) == len(block) and fields[b"WARC-Record-ID"] and block.startswith(b"HTTP/1.1 200 OK\r\n")
+    assert spark.read.parquet(str(tmp_path / "a/blobs")).count() == 3
     assert {bytes(r.payload) for r in warc.payloads(spark, str(tmp_path / "a")).where("page = 1").collect()} == {big.encode()}
     warc.write_archive(df.limit(0), str(tmp_path / "e"))
     assert warc.read_archive(spark, str(tmp_path / "e")).count() == 0
@@ -476,16 +480,19 @@ def test_best_fit_decreasing_against_a_list():
         assert sorted(np.bincount(rows, sizes, minlength=n).astype(int).tolist()) == sorted(cap - f for f in free)
 
 
-def test_packing_is_lossless(spark):
+def test_packing_is_lossless(spark, tmp_path):
     texts = [None, "", "word " * 700, "a", "b c d", prose(random.Random(1), 90)]
     df = clashing(frame(spark, texts))
-    got = {}
-    for r in packing.pack(packing.tokenised(df, RANKS, P.PATTERN), row=64, bin_tokens=400).collect():
+    got, times = {}, Counter()
+    packing.write_packed(packing.tokenised(df.unionByName(df.where("doc_id = 5")), RANKS, P.PATTERN), str(tmp_path / "p"), row=64, bin_tokens=400)
+    for r in packing.as_arrays(packing.read_packed(spark, str(tmp_path / "p"))).collect():
         assert len(r.ids) == len(r.positions) == 64 and r.cu_seqlens[-1] == r.n_tokens
         for a, b, d, k in zip(r.cu_seqlens, r.cu_seqlens[1:], r.doc_ids, r.pieces, strict=False):
-            got[d, k] = r.ids[a:b]
+            assert got.setdefault((d, k), r.ids[a:b]) == r.ids[a:b]
+            times[d, k] += 1
             assert r.positions[a:b] == list(range(b - a))
     for i, t in enumerate(texts):
         want = TOKENS.encode_ordinary(t or "")
         assert [x for k in range(-(-len(want) // 64)) for x in got[i, k]] == want
+        assert all(times[i, k] == 1 + (i == 5) for k in range(-(-len(want) // 64)))
     assert packing.pack(packing.tokenised(df.limit(0), RANKS, P.PATTERN)).count() == 0

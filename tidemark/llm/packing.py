@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import packed, unpacked
@@ -88,9 +88,11 @@ def tokenised(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
 def pack(tokens: DataFrame, row: int = ROW, pad: int = PAD, bin_tokens: int = BIN_TOKENS) -> DataFrame:
     """(bin, row, ids, cu_seqlens, positions, doc_ids, pieces, n_tokens): a matrix row each, from (doc, n, ids).
 
-    ids: `row` numbers, padded at the end; cu_seqlens: 0 and the end of each segment; positions: from 0 again in each
-    segment, 0 in the padding; doc_ids and pieces: the document of each segment and which of its pieces it is. Documents
-    without ids take no place; a null id is carried. The number of bins follows the number of tokens.
+    ids: `row` numbers of 32 bits, least byte first, padded at the end; cu_seqlens: 0 and the end of each segment;
+    positions: like ids, from 0 again in each segment, 0 in the padding; doc_ids and pieces: the document of each segment
+    and which of its pieces it is. Documents without ids take no place; a null id is carried; rows that repeat an id
+    are packed one by one, in the order of their ids' bytes, so equal input gives equal output. The number of bins follows
+    the number of tokens. Empty table: empty result.
     """
     total = tokens.agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-int(total) // bin_tokens))
@@ -98,9 +100,9 @@ def pack(tokens: DataFrame, row: int = ROW, pad: int = PAD, bin_tokens: int = BI
 
     def run(t: pa.Table) -> pa.Table:
         docs = t.column("doc").to_pylist()
-        order = sorted(range(len(docs)), key=lambda i: (docs[i] is None, docs[i] or 0))
-        pieces, owner, number = [], [], []
         blobs = t.column("ids")
+        order = sorted(range(len(docs)), key=lambda i: (docs[i] is None, docs[i] or 0, blobs[i].as_py()))
+        pieces, owner, number = [], [], []
         for i in order:
             ids = unpacked(blobs[i].as_py(), np.int32)[0]
             for k in range(0, len(ids), row):
@@ -112,7 +114,7 @@ def pack(tokens: DataFrame, row: int = ROW, pad: int = PAD, bin_tokens: int = BI
         held: list[list[int]] = [[] for _ in range(n)]
         for i, r in enumerate(at.tolist()):
             held[r].append(i)
-        matrix, positions = np.full((n, row), pad, np.int32), np.zeros((n, row), np.int32)
+        matrix, positions = np.full((n, row), pad, "<i4"), np.zeros((n, row), "<i4")
         ends = []
         for r, own in enumerate(held):
             edge = [0]
@@ -122,12 +124,41 @@ def pack(tokens: DataFrame, row: int = ROW, pad: int = PAD, bin_tokens: int = BI
                 positions[r, edge[-1] : edge[-1] + size] = np.arange(size)
                 edge.append(edge[-1] + size)
             ends.append(edge)
-        fixed = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, row), pa.int32()), pa.array(m.ravel()))
+        fixed = lambda m: pa.Array.from_buffers(
+            pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * row * 4, row * 4, dtype=np.int32)), pa.py_buffer(m)])
         return pa.table([
             pa.array([t.column("bin")[0].as_py()] * n, pa.int32()), pa.array(range(n), pa.int32()), fixed(matrix),
             pa.array(ends, pa.list_(pa.int32())), fixed(positions), pa.array([[owner[i] for i in own] for own in held], pa.list_(pa.int64())),
             pa.array([[number[i] for i in own] for own in held], pa.list_(pa.int32())), pa.array([e[-1] for e in ends], pa.int64()),
         ], names=["bin", "row", "ids", "cu_seqlens", "positions", "doc_ids", "pieces", "n_tokens"])
 
-    schema = "bin int, row int, ids array<int>, cu_seqlens array<int>, positions array<int>, doc_ids array<long>, pieces array<int>, n_tokens long"
-    return dealt.groupBy("bin").applyInArrow(run, schema)
+    return dealt.groupBy("bin").applyInArrow(run, SCHEMA)
+
+
+SCHEMA = "bin int, row int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, pieces array<int>, n_tokens long"
+
+
+def write_packed(tokens: DataFrame, path: str, row: int = ROW, pad: int = PAD, bin_tokens: int = BIN_TOKENS) -> None:
+    """Write the packed matrix as Parquet."""
+    pack(tokens, row, pad, bin_tokens).write.option("compression", "zstd").parquet(path)
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
+def as_arrays(packed: DataFrame) -> DataFrame:
+    """Rows of the matrix with ids and positions as array<int>; buffers are taken over as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = []
+            for name, column in zip(batch.schema.names, batch.columns, strict=True):
+                if name in ("ids", "positions"):
+                    flat = np.frombuffer(b"".join(column.to_pylist()), "<i4")
+                    ends = np.cumsum([0, *(len(x.as_py()) // 4 for x in column)])
+                    column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                columns.append(column)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return packed.mapInArrow(run, SCHEMA.replace("ids binary", "ids array<int>").replace("positions binary", "positions array<int>"))

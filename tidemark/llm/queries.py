@@ -13,7 +13,7 @@ from .decontaminate import contamination, contamination_report
 from .line_dedup import line_dedup
 from .lm import score_texts
 from .near_dup import near_duplicates
-from .packing import pack, tokenised
+from .packing import read_packed, tokenised, write_packed
 from .quality import quality_rules
 from .secret_scan import find_secrets, secret_report
 from .suffix_dedup import suffix_dedup
@@ -77,7 +77,9 @@ def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     # The ids are written once: the number of bins is known before the rows are dealt.
-    return pack(stash(tokenised(table(spark, sf_dir, "documents"), ranks, P.PATTERN), "ids"))
+    path = shared_path(spark, "packed")
+    write_packed(stash(tokenised(table(spark, sf_dir, "documents"), ranks, P.PATTERN), "ids"), path)
+    return read_packed(spark, path)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
