@@ -97,7 +97,8 @@ def _by_part(values: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]
     part = (values % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     there, begin = np.unique(part[order], return_index=True)
-    for p, a, b in zip(there.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
+    edges = [*begin.tolist(), len(order)]
+    for p, a, b in zip(there.tolist(), edges, edges[1:], strict=False):
         yield p, order[a:b]
 
 
