@@ -417,11 +417,12 @@ def test_scores(spark):
     texts = [None, "", "Unseen ONE"] + [prose(rng, rng.randint(1, 60)) for _ in range(80)]
     df = clashing(frame(spark, texts))
     tokens = {i: (t or "").encode().lower().split() + [b""] for i, t in enumerate(texts)}
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for i, t in tokens.items():
         if zlib.crc32(str(i).encode()) % 7 != 2:
             one.update(t)
             two.update(zip([b""] + t, t))
+            three.update(zip([b"", b""] + t, [b""] + t, t))
     n, v = sum(one.values()), len(one)
     gap = []
     for r in lm.score_texts(df).collect():
@@ -430,7 +431,10 @@ def test_scores(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(one[w] > 0 for w in t), n)
         own = [(one[w] + 1) / (n + v + 1) for w in t]
         assert abs(r.base_score - np.log10(own).sum()) < 1e-9 * max(1, abs(r.base_score))
-        exact = sum(np.log10((two[a, b] + lm.PRIOR_WEIGHT * p) / (one[a] + lm.PRIOR_WEIGHT)) for a, b, p in zip([b""] + t, t, own))
+        exact, k = 0, lm.PRIOR_WEIGHT
+        for j, (a, b, c, p) in enumerate(zip([b"", b""] + t, [b""] + t, t, own)):
+            p = (two[b, c] + k * p) / (one[b] + k)
+            exact += np.log10((three[a, b, c] + k * p) / (two[a, b] + k) if j else p)
         gap.append(abs(exact - r.score) / len(t))
     assert np.mean(gap) < 0.05
     assert lm.score_texts(df.limit(0)).count() == 0
@@ -441,7 +445,7 @@ def test_filter_has_every_entry_and_few_others():
     import pyarrow as pa
 
     c = np.tile([1, 2, 5, 40], len(h))[: len(h)].astype(np.uint32)
-    t = pa.table([[1], [0], [0], [lm.packed(np.diff(h, prepend=np.uint64(0)), c)]], names=["kind", "part", "block", "blob"])
+    t = pa.table([[1], [0], [0], [lm.packed(lm.planes(np.diff(h, prepend=np.uint64(0))), c)]], names=["kind", "part", "block", "blob"])
     seg = lm._merge(1, 1 << 20)(t)
     f = lm.Filter([(0, seg.column("m")[0].as_py(), seg.column("blob")[0].as_py())], 1)
     assert (f.counts(h) >= c * 0.6).all() and np.median(np.abs(np.log(f.counts(h) / c))) < 0.35
@@ -453,7 +457,7 @@ def test_filter_grows_with_its_entries_whatever_the_parts():
 
     h = np.unique(np.random.default_rng(2).integers(0, 2**63, 8000).astype(np.uint64))
     seen, c = h[::2], np.tile([1, 2, 5, 40], len(h))[: len(h[::2])].astype(np.uint32)
-    blob = lambda x, c: lm.packed(np.diff(x, prepend=np.uint64(0)), c)
+    blob = lambda x, c: lm.packed(lm.planes(np.diff(x, prepend=np.uint64(0))), c)
     # A block of the training texts and one that only asks; one part of so many that an equal share of 128 MB is 16 bits.
     t = pa.table([[1, 1], [0, 0], [3, 4], [blob(seen, c), blob(h, np.zeros(len(h), np.uint32))]], names=["kind", "part", "block", "blob"])
     got = {r["block"]: r for r in lm._merge(1 << 26)(t).to_pylist()}

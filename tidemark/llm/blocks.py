@@ -95,3 +95,13 @@ def unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
         out.append(np.frombuffer(data[at : at + size], kind))
         at += size
     return out
+
+
+def planes(x: np.ndarray) -> np.ndarray:
+    """Numbers by significance of their bytes, which packs better."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.copy()
+
+
+def numbers(x: np.ndarray, kind: type) -> np.ndarray:
+    """The numbers of planes()."""
+    return x.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()

@@ -1,10 +1,10 @@
 """LM scoring by a log-frequency Bloom filter.
 
-Counts of token pairs are quantised on a logarithmic scale; a pair of level q is in the filter q times, once for each
-level up to its own. The filter stands in segments by hash, each built and probed where it is: a block of documents
-sends its pairs to their segments and gets their levels back, so the filter grows with its entries and is never
-gathered. A pair's count is read back by probing levels until one is missing, and its probability is smoothed with
-the token's own, whose counts are exact: a block meets the counts of its own tokens only.
+Counts of token sequences up to ORDER long are quantised on a logarithmic scale; one of level q is in the filter q times,
+once for each level up to its own. The filter stands in segments by hash, each built and probed where it is: a block of
+documents sends its sequences to their segments and gets their levels back, so the filter grows with its entries and is
+never gathered. A count is read back by probing levels until one is missing; each order's probability is smoothed with
+that of the order below, down to the token's own, whose counts are exact: a block meets the counts of its own tokens only.
 """
 
 from __future__ import annotations
@@ -17,16 +17,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocks_of, packed, received, same_on_every_reading, shipped, unpacked
+from .blocks import blocks_of, give_back, numbers, packed, parts_for, planes, received, same_on_every_reading, shipped, unpacked
 from .common import stash
 
 BLOCK_BYTES = 12 << 20
+#: Text whose tokens are dealt to one part.
+PART_BYTES = 4 << 20
+#: Tokens of the longest sequences that are counted.
+ORDER = 3
 FOLDS, HELD_OUT = 7, 2
 #: Bits of the filter for each entry, and probes for each; about 1.2 % of absent entries seem present.
 ENTRY_BITS, PROBES = 10, 4
 #: Counts c have level 1 + floor(log c / log LEVEL_BASE).
 LEVEL_BASE = 1.6
-#: Weight of a token's own probability against the pairs' counts.
+#: Low bits of a sequence's hash that choose its part; the others are its name there. A part holds some million names
+#: of 2 ** 40, at any size of the corpus, so two sequences share one about once in a million.
+PART_BITS = 24
+#: Weight of the order below against a sequence's count.
 PRIOR_WEIGHT = 4.0
 END = b""
 
@@ -64,23 +71,41 @@ def _sequences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(codes) if codes else np.empty(0, np.int32), np.array(lengths, np.int64), hashes
 
 
-def _pairs(codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """A hash per token of it and the one before; the first of a text follows the end of another."""
-    h = hashes[codes]
-    before = np.empty_like(h)
-    before[1:], before[:1] = h[:-1], hashes[0]
-    return _mix(before * np.uint64(0x9FB21C651E98DF25) + h)
+def _places_in(lengths: np.ndarray) -> np.ndarray:
+    """The place of each token in its text."""
+    return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def _dealt(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of increasing hashes in order of their part, and where each part starts among them."""
-    part = (h % np.uint64(parts)).astype(np.int32)
+def _sequences_of(codes: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the sequences of 2 to ORDER tokens that end at each token, order by order; before a text stand ends."""
+    h, at = hashes[codes], _places_in(lengths)
+    out, last = [], h
+    for m in range(1, ORDER):
+        before = np.full_like(h, hashes[0])
+        before[at >= m] = h[np.flatnonzero(at >= m) - m]
+        last = _mix(last * np.uint64(0x9FB21C651E98DF25) + before + np.uint64(m))
+        out.append(last)
+    return np.concatenate(out)
+
+
+def _dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places), in order of the parts and of places."""
     by = np.argsort(part, kind="stable")
-    return by, np.searchsorted(part[by], np.arange(parts + 1))
+    there, begin = np.unique(part[by], return_index=True)
+    edges = [*begin.tolist(), len(by)]
+    for p, a, b in zip(there.tolist(), edges, edges[1:], strict=False):
+        yield p, by[a:b]
+
+
+def _named(h: np.ndarray, kind: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(part, name in the part) of increasing hashes of tokens (kind 0) or sequences (1); names increase in a part."""
+    if kind == 0:
+        return (h % np.uint64(parts)).astype(np.int64), h
+    return ((h & np.uint64((1 << PART_BITS) - 1)) % np.uint64(parts)).astype(np.int64), h >> np.uint64(PART_BITS)
 
 
 def _count_blocks(docs: DataFrame, parts: int) -> DataFrame:
-    """(kind, part, block, blob): per block its tokens (0) and its pairs (1), each with its training count, 0 included."""
+    """(kind, part, block, blob): per block its tokens (0) and its sequences (1), each with its training count, 0 included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in blocks_of(batches, 0, BLOCK_BYTES):
@@ -88,15 +113,14 @@ def _count_blocks(docs: DataFrame, parts: int) -> DataFrame:
             train = np.repeat([not held_out(i) for i in rows.column(1).to_pylist()], lengths)
             counts = np.bincount(codes[train], minlength=len(hashes))
             order = np.argsort(hashes)
-            pairs, back = np.unique(_pairs(codes, hashes), return_inverse=True)
-            times = np.bincount(back[train], minlength=len(pairs))
+            grams, back = np.unique(_sequences_of(codes, lengths, hashes), return_inverse=True)
+            times = np.bincount(back[np.tile(train, ORDER - 1)], minlength=len(grams))
             out = []
-            for kind, h, c in ((0, hashes[order], counts[order]), (1, pairs, times)):
-                by, edges = _dealt(h, parts)
-                for p in range(parts):
-                    own = by[edges[p] : edges[p + 1]]
-                    if len(own):
-                        out.append((kind, p, block, packed(np.diff(h[own], prepend=np.uint64(0)), c[own].astype(np.uint32))))
+            for kind, h, c in ((0, hashes[order], counts[order]), (1, grams, times)):
+                part, name = _named(h, kind, parts)
+                for p, own in _dealt(part):
+                    out.append((kind, p, block, packed(planes(np.diff(name[own], prepend=np.uint64(0))), c[own].astype(np.uint32))))
+            give_back()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)],
                 ["kind", "part", "block", "blob"],
@@ -120,13 +144,13 @@ def _places(h: np.ndarray, level: int, size: np.ndarray | np.uint64) -> Iterator
 
 def _merge(parts: int, filter_bytes: int | None = None):
     """Per (kind, part): total counts of the tokens for the blocks they came from; or a segment of the filter (block -1)
-    and the levels it shows of the pairs, for their blocks. filter_bytes: bound on all segments, None: what entries need.
+    and the levels it shows of the sequences, for their blocks. filter_bytes: bound on all segments, None: what entries need.
     """
 
     def run(rows: pa.Table) -> pa.Table:
         kind, part = rows.column("kind")[0].as_py(), rows.column("part")[0].as_py()
-        got = [unpacked(b, np.uint64, np.uint32) for b in rows.column("blob").to_pylist()]
-        h = np.concatenate([np.cumsum(x, dtype=np.uint64) for x, _ in got])
+        got = [unpacked(b, np.uint8, np.uint32) for b in rows.column("blob").to_pylist()]
+        h = np.concatenate([np.cumsum(numbers(x, np.uint64), dtype=np.uint64) for x, _ in got])
         c = np.concatenate([y for _, y in got]).astype(np.int64)
         keys, back = np.unique(h, return_inverse=True)
         total = np.bincount(back, weights=c).astype(np.int64)
@@ -209,12 +233,13 @@ def score_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     """(doc, held_out, n_tokens, n_known, train_tokens, base_score, score) per row.
 
     Learnt from the documents whose crc32(id as text) mod 7 is not 2; tokens are words with A-Z lower-cased, and one
-    end per text. base_score: tokens' smoothed own probabilities, from exact counts; score: of each token after the one
-    before it, (count of the pair + 4 p) / (count of the one before + 4). Null texts are empty; a null id is in training.
+    end per text. base_score: tokens' smoothed own probabilities, from exact counts; score: of each token after the
+    ones before it, for each order (count of the sequence + 4 p) / (count of its beginning + 4), p from the order below, and the
+    sequence's count at most that of its beginning. Null texts are empty; a null id is in training; rows that repeat an
+    id are texts of their own. Empty table: empty result.
     """
-    spark = docs.sparkSession
     d = same_on_every_reading(docs.select(F.col(text).cast("string").alias("__text"), F.col(doc).cast("long").alias("__id")))
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(d, "__text", PART_BYTES)
     merged = stash(
         _count_blocks(d, parts).groupBy("kind", "part").applyInArrow(
             _merge(parts), "kind int, part int, block long, n long, m long, blob binary"
@@ -230,21 +255,24 @@ def score_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
             codes, lengths, hashes = _sequences(rows.column(0).to_pylist())
             ids = rows.column(1)
             order = np.argsort(hashes)
-            pairs, back = np.unique(_pairs(codes, hashes), return_inverse=True)
-            c, level = np.zeros(len(hashes), np.int64), np.zeros(len(pairs), np.uint8)
-            by, edges = _dealt(hashes[order], parts)
-            pair_by, pair_edges = _dealt(pairs, parts)
+            grams, back = np.unique(_sequences_of(codes, lengths, hashes), return_inverse=True)
+            c, level = np.zeros(len(hashes), np.int64), np.zeros(len(grams), np.uint8)
+            own = [dict(_dealt(_named(h, kind, parts)[0])) for kind, h in enumerate((hashes[order], grams))]
             for kind, p, blob in zip(*[counts.column(x).to_pylist() for x in ("kind", "part", "blob")], strict=True):
                 if kind == 0:
-                    c[order[by[edges[p] : edges[p + 1]]]] = unpacked(blob, np.int64)[0]
+                    c[order[own[0][p]]] = unpacked(blob, np.int64)[0]
                 else:
-                    level[pair_by[pair_edges[p] : pair_edges[p + 1]]] = unpacked(blob, np.uint8)[0]
+                    level[own[1][p]] = unpacked(blob, np.uint8)[0]
             own = (c + 1) / (n + v + 1)
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            pair = _counts(level)[back]
-            before = np.concatenate([[0], codes[:-1]])
-            pair = np.minimum(pair, c[before])
-            p = (pair + PRIOR_WEIGHT * own[codes]) / (c[before] + PRIOR_WEIGHT)
+            first = np.zeros(len(codes), bool)
+            first[starts] = True
+            p, beginning = own[codes], c[np.concatenate([[0], codes[:-1]])].astype(float)
+            for times in _counts(level)[back].reshape(ORDER - 1, -1):
+                times = np.minimum(times, beginning)
+                p = (times + PRIOR_WEIGHT * p) / (beginning + PRIOR_WEIGHT)
+                # Nothing begins before a text but with its end token.
+                beginning = np.where(first, 0.0, np.concatenate([[0.0], times[:-1]]))
             sums = [np.add.reduceat(x, starts) for x in ((c > 0)[codes].astype(np.int64), np.log10(own)[codes], np.log10(p))]
             out.append(pa.table(
                 [ids.combine_chunks(), pa.array([held_out(i) for i in ids.to_pylist()]), pa.array(lengths), pa.array(sums[0]),

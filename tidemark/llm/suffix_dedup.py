@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocks_of, packed, parts_for, received, same_on_every_reading, shipped, unpacked
+from .blocks import blocks_of, numbers, packed, parts_for, planes, received, same_on_every_reading, shipped, unpacked
 
 LENGTH = 50
 ANCHOR = 24
@@ -84,15 +84,6 @@ def _doc_of(block: Block, doc: np.ndarray) -> np.ndarray:
     return block.ids[doc]
 
 
-def _planes(x: np.ndarray) -> np.ndarray:
-    """Numbers by significance of their bytes, which packs better."""
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.copy()
-
-
-def _numbers(x: np.ndarray, kind: type) -> np.ndarray:
-    return x.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
-
-
 def _by_part(values: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     part = (values % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
@@ -124,7 +115,7 @@ def _anchor_lists(docs: DataFrame, parts: int) -> DataFrame:
         for number, rows in blocks_of(batches, 0, BLOCK_BYTES):
             anchor, several = _anchors(Block(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
             yield _emit(
-                [(p, number, packed(_planes(np.diff(anchor[own], prepend=np.uint64(0))), several[own])) for p, own in _by_part(anchor, parts)],
+                [(p, number, packed(planes(np.diff(anchor[own], prepend=np.uint64(0))), several[own])) for p, own in _by_part(anchor, parts)],
                 ["part", "block", "blob"],
             )
 
@@ -134,7 +125,7 @@ def _anchor_lists(docs: DataFrame, parts: int) -> DataFrame:
 def _shared_anchors(rows: pa.Table) -> pa.Table:
     """Per block of a part, a bit for each of its anchors: another document has it."""
     got = [unpacked(b, np.uint8, bool) for b in rows.column("blob").to_pylist()]
-    lists = [np.cumsum(_numbers(x, np.uint64), dtype=np.uint64) for x, _ in got]
+    lists = [np.cumsum(numbers(x, np.uint64), dtype=np.uint64) for x, _ in got]
     merged = np.sort(np.concatenate(lists))
     again = merged[1:][merged[1:] == merged[:-1]]
     out = []
@@ -172,7 +163,7 @@ def _strings(docs: pa.Table, bits: pa.Table, parts: int) -> pa.Table:
         for p, own in _by_part(anchor[run], parts):
             body = b"".join([texts[i] for i in own.tolist()])
             sizes = np.array([len(texts[i]) for i in own.tolist()], np.uint8)
-            out.append((p, number, packed(np.frombuffer(body, np.uint8), sizes, _planes(run[own]), _planes(least[own]), _planes(most[own]))))
+            out.append((p, number, packed(np.frombuffer(body, np.uint8), sizes, planes(run[own]), planes(least[own]), planes(most[own]))))
     return pa.Table.from_batches([_emit(out, ["part", "block", "blob"])])
 
 
@@ -216,7 +207,7 @@ def _sources(rows: pa.Table) -> pa.Table:
     """(block, part, blob): windows that an earlier document has, as (run, offset, windows, source) of the blocks' texts."""
     got = [unpacked(b, np.uint8, np.uint8, np.uint8, np.uint8, np.uint8) for b in rows.column("blob").to_pylist()]
     sizes = np.concatenate([x[1] for x in got]).astype(np.int64)
-    run, least, most = (np.concatenate([_numbers(x[i], np.int64) for x in got]) for i in (2, 3, 4))
+    run, least, most = (np.concatenate([numbers(x[i], np.int64) for x in got]) for i in (2, 3, 4))
     owner = np.repeat(np.arange(len(got)), [len(x[1]) for x in got])
     # Equal texts of several blocks are one.
     body, ends = b"".join(x[0].tobytes() for x in got), np.cumsum(sizes)
@@ -252,7 +243,7 @@ def _sources(rows: pa.Table) -> pa.Table:
     for i, number in enumerate(rows.column("block").to_pylist()):
         r, k = row[edges[i] : edges[i + 1]], at[edges[i] : edges[i + 1]]
         if len(r):
-            out.append((number, part, packed(*(_planes(x.astype(np.int64)) for x in (run[r], offset[begin[k]], count[k], source[begin[k]])))))
+            out.append((number, part, packed(*(planes(x.astype(np.int64)) for x in (run[r], offset[begin[k]], count[k], source[begin[k]])))))
     return pa.Table.from_batches([_emit(out, ["block", "part", "blob"])])
 
 
@@ -261,7 +252,7 @@ def _removed(docs: pa.Table, found: pa.Table) -> pa.Table:
     out = []
     hits = [unpacked(b, *[np.uint8] * 4) for b in found.column("blob").to_pylist()]
     run, offset, count, source = (
-        np.concatenate([_numbers(x[i], np.int64) for x in hits]) if hits else np.empty(0, np.int64) for i in range(4)
+        np.concatenate([numbers(x[i], np.int64) for x in hits]) if hits else np.empty(0, np.int64) for i in range(4)
     )
     for rows in received(docs):
         block = Block(rows.column(0).to_pylist(), rows.column(1).to_pylist())
