@@ -142,13 +142,20 @@ OP7_SQL = f"""
 with t as (select doc_id, coalesce(text, '') as text from documents),
 s as ({" union all ".join(_OP7_KIND.format(k=k, kind=kind, p=p.replace("'", "''"), group=group, least=least) for k, (kind, p, group, least) in enumerate((
     ("assign", r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6),
-    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20), ("hex", r"[0-9a-f]{24,}", 0, 24))))}),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20), ("hex", r"[0-9a-f]{24,}", 0, 24),
+    ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1), ("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("maps", r"AIza[A-Za-z0-9_-]{35}", 0, 1), ("payment", r"[rs]k_live_[A-Za-z0-9]{16,}", 0, 1),
+    ("login_url", r"(?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/@]+@", 0, 1),
+)))}),
 a as (select doc_id, count(*) filter (where ord = 0) as n_assign, count(*) filter (where ord = 1) as n_access,
              count(*) filter (where ord = 2) as n_hex,
-             string_agg(kind || ':' || cast(cast(start as bigint) as varchar) || ':' || cast(cast(start as bigint) + length(m) as varchar), ',' order by start, ord) as spans
-      from s group by doc_id)
+             string_agg(span, ',' order by start, ord) filter (where ord < 3) as base, string_agg(span, ',' order by start, ord) as spans
+      from (select *, kind || ':' || cast(cast(start as bigint) as varchar) || ':' || cast(cast(start as bigint) + length(m) as varchar) as span from s)
+      group by doc_id)
 select t.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
-       sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from t left join a on t.doc_id = a.doc_id"""
 
 

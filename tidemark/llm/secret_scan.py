@@ -1,18 +1,20 @@
 """Secret scans: an incremental blob ledger (native).
 
 Every version of a text is addressed by its content. Only (blob, rule version) pairs that the ledger lacks are
-scanned, each once; findings join back to all paths that hold the blob.
+scanned, each once; findings join back to all paths that hold the blob. The ledger is two tables in one folder: what
+was scanned, and what was found.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import extract_all
+from .common import extract_all, quoted, shared_path
 
 
 @dataclass(frozen=True)
@@ -31,12 +33,25 @@ class Rule:
 VALUE = r"[A-Za-z0-9+/_.=-]+"
 #: In the order in which findings at one place are listed. A run of hex digits or of an access key's
 #: characters is maximal, so its least length may stand in the pattern: shorter runs never match inside.
-RULES = (
+BASE = (
     Rule("assign", rf"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?({VALUE})", VALUE, 6),
     Rule("access", r"AKIA[A-Z0-9]{16,}", None, 20),
     Rule("hex", r"[0-9a-f]{24,}", None, 24),
 )
+#: Kinds beyond the base ones; the formats are fixed values.
+MORE = (
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", None, 1),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", None, 1),
+    Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}", None, 1),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", None, 1),
+    Rule("maps", r"AIza[A-Za-z0-9_-]{35}", None, 1),
+    Rule("payment", r"[rs]k_live_[A-Za-z0-9]{16,}", None, 1),
+    Rule("login_url", r"(?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/@]+@", None, 1),
+)
+RULES = BASE + MORE
 RULE_VERSION = "1"
+#: Rule versions in the ledger; a changed or added rule is a new version, and only that is scanned anew.
+RULE_SETS = (("base-1", BASE), ("more-1", MORE))
 
 
 def _any_rule(rules: tuple[Rule, ...]) -> Column:
@@ -73,7 +88,7 @@ def _matches(blobs: DataFrame, rules: tuple[Rule, ...], fenced: bool) -> DataFra
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, fenced: bool = False) -> DataFrame:
-    """(blob, kind, order, start, end) for blobs (blob, __text); places in code points, end exclusive.
+    """(blob, kind, order, start, end) for blobs (blob, __text); places in code points, end exclusive; order: of the rule.
 
     Starts are running sums of gaps and matches, so a text with many matches costs in proportion to them.
     """
@@ -123,24 +138,48 @@ def _listed(spans: Column) -> Column:
     )
 
 
-def find_secrets(docs: DataFrame, text: str = "text", path: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # nothing was scanned yet
+        return None
+
+
+def scan_history(versions: DataFrame, ledger: str, rule_sets: tuple[tuple[str, tuple[Rule, ...]], ...] = RULE_SETS) -> DataFrame:
+    """(blob, kind, order, start, end): findings of all versions (path, content) under the rule sets, kept in the ledger's folder.
+
+    What the ledger lacks is scanned and added. Findings are written before the pairs they belong to: a run that dies
+    between the two scans those again, and findings that stand twice are read once. order follows the rule sets.
+    """
+    spark, first, parts = versions.sparkSession, 0, []
+    for version, rules in rule_sets:
+        seen = _ledger(spark, f"{ledger}/scanned/{version}")
+        scanned, found = update_ledger(versions, seen, rules, version)
+        found.withColumn("order", F.col("order") + first).write.mode("append").parquet(f"{ledger}/found/{version}")
+        scanned.write.mode("append").parquet(f"{ledger}/scanned/{version}")
+        parts.append(f"{ledger}/found/{version}")
+        first += len(rules)
+    return spark.read.parquet(*parts).select("blob", "kind", "order", "start", "end").distinct()
+
+
+def find_secrets(docs: DataFrame, text: str = "text", path: str = "doc_id", ledger: str | None = None) -> DataFrame:
     """A row for each row of docs: path, blob, spans array<struct<start, order, end, kind>> in order of start and rule.
 
-    Null or empty texts, and texts without a finding, have an empty array. Empty table: empty result.
+    ledger: folder of the ledger, which stays; None: a new one in the shared folder, gone with the driver. Null or empty
+    texts, and texts without a finding, have an empty array. Paths may repeat or be null. Empty table: empty result.
     """
-    _, found = update_ledger(docs.select(F.col(path).alias("path"), F.col(text).alias("content")), None, rules)
-    spans = found.groupBy("blob").agg(
-        F.array_sort(F.collect_list(F.struct("start", "order", "end", "kind"))).alias("spans")
-    )
-    paths = docs.select(F.col(path), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
+    versions = docs.select(quoted(path).alias("path"), quoted(text).cast("string").alias("content"))
+    found = scan_history(versions, ledger or shared_path(docs.sparkSession, "ledger"))
+    spans = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "order", "end", "kind"))).alias("spans"))
+    paths = versions.select("path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("blob"))
     none = F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string>>")
-    return paths.join(spans, "blob", "left").select(path, "blob", F.coalesce("spans", none).alias("spans"))
+    return paths.join(spans, "blob", "left").select(F.col("path").alias(path), "blob", F.coalesce("spans", none).alias("spans"))
 
 
 def secret_report(found: DataFrame, path: str = "doc_id") -> DataFrame:
-    """Counts per kind, the spans as text and their digest, from find_secrets' rows."""
+    """Counts per base kind, all spans as text, and the digest of the base kinds' spans, from find_secrets' rows."""
     n = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda x: x["order"] < len(BASE))
     return found.select(
-        path, n("assign"), n("access"), n("hex"), F.sha2(_listed(F.col("spans")), 256).alias("base_sha256"),
-        _listed(F.col("spans")).alias("spans"),
-    )
+        path, *[n(r.kind) for r in BASE], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans")
+    )
