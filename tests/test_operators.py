@@ -75,21 +75,24 @@ def test_cut_index_is_pythons(spark):
     assert all(r.c == int(0.7 * r.id) for r in df.collect())
 
 
-def test_expected_recall_of_samples():
-    for m, c in ((12, 3), (12, 1), (6, 6)):
-        hit = sum(any(i < c for i in s) for s in itertools.combinations(range(m), 2)) / math.comb(m, 2)
-        assert abs(hit - (1 - (m - c) * (m - c - 1) / (m * (m - 1)))) < 1e-12
+def test_expected_recall_of_samples(spark):
+    blocks = spark.createDataFrame([(5,), (1,), (12,)], "cnt long")
+    r = fidelity.random_sample_recall(blocks, []).first()
+    seen = [[i < c or j < c for i in range(12) for j in range(12) if i != j] for c in (5, 1, 12)]
+    assert abs(r.recall_one - np.mean([5, 1, 12]) / 12) < 1e-12 and abs(r.recall_two - np.mean(seen)) < 1e-12
 
 
 def test_best_budget_maximises_capture(spark):
-    p = [0.1, 0.8, 0.4, 0.7, 0.2]
+    rng = random.Random(12)
+    p = [rng.choice([0.25, 0.5, 0.75]) for _ in range(30)]
     df = spark.createDataFrame(list(enumerate(p)), "i long, p double")
-    assert collect(metrics.best_budget(df, 2, ["i"]), "i") == [(1,), (3,)]
+    got = sorted(r.i for r in metrics.best_budget(df, 7, ["i"]).collect())
+    assert got == sorted(sorted(range(30), key=lambda i: (-p[i], i))[:7])
 
 
 def test_persistence_rates(spark):
-    r = fidelity.persistence_rates(spark.createDataFrame([(747251, 2452, 2991, 8602)], "n00 long, n01 long, n10 long, n11 long")).first()
-    assert abs(r.p0 - 0.00327063) < 1e-8 and abs(r.p1 - 0.74199948) < 1e-8 and abs(r.risk_ratio - 226.8676) < 1e-3
+    r = fidelity.persistence_rates(spark.createDataFrame([(75, 25, 1, 3)], "n00 long, n01 long, n10 long, n11 long")).first()
+    assert (r.p0, r.p1, r.risk_ratio) == (0.25, 0.75, 3.0)
 
 
 def test_log_key_of_threshold(spark):
@@ -169,9 +172,11 @@ def test_hysteresis_takes_names_it_uses_itself(spark):
     assert policy.hysteresis(df, ["key"], F.col("high") > 0.5, F.col("high") < 0.2).first().active == 1
 
 
-def test_block_draws_cover_the_series(spark):
-    got = bootstrap.block_draws(spark, 3, 40, 12).groupBy("rep").count().collect()
-    assert [r["count"] for r in got] == [40] * 3
+def test_block_draws_cover_each_series(spark):
+    series = spark.range(57).select(F.when(F.col("id") < 40, "a").otherwise("b").alias("k"), F.col("id").alias("t"))
+    numbered, drawn = bootstrap.block_multiplicities(series, "k", "t", 3)
+    assert {(r.k, r.rep, r.n) for r in drawn.groupBy("k", "rep").agg(F.sum("times").alias("n")).collect()} == {("a", i, 40) for i in range(3)} | {("b", i, 17) for i in range(3)}
+    assert numbered.where("k = 'b'").agg(F.max("at")).first()[0] == 16 and drawn.where("k = 'b' and at > 16").count() == 0
 
 
 def test_one_to_one_fails_on_repeats(spark):
@@ -222,5 +227,101 @@ def test_external_series_cache_and_manifest(spark, tmp_path):
     readers.verify_sha256(spark, str(tmp_path / "e.csv"), found.sha256)
     with pytest.raises(ValueError):
         readers.verify_sha256(spark, str(tmp_path / "e.csv"), "0")
-    readers.write_csv(e, str(tmp_path / "csv"))
-    readers.write_summary(e.limit(1), str(tmp_path / "json"))
+    readers.write_csv(e.select("x"), str(tmp_path / "csv"))
+    assert sorted(r.x for r in spark.read.option("header", True).schema("x double").csv(str(tmp_path / "csv")).collect()) == [0.25, 0.5]
+    readers.write_summary(e.where("x = 0.5").selectExpr("x as b", "'t' as a"), str(tmp_path / "json"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "json")).collect()] == ['{"a": "t", "b": 0.5}']
+
+
+def test_stream_emits_closed_windows_once_and_drops_late_rows(spark, tmp_path):
+    import datetime as dt
+    import os
+    import time
+
+    from tidemark.streaming import windows as streaming
+
+    at = lambda minute: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)
+    (tmp_path / "in").mkdir()
+    # A watermark bears on late rows from the second batch after it on.
+    batches = [[(at(1), 5.0), (at(2), 50.0)], [(at(130), 1.0)], [(at(131), 1.0)], [(at(3), 99.0), (at(132), 2.0)], [(at(300), 1.0)]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, "ts timestamp, value double").coalesce(1).write.parquet(str(tmp_path / f"w{n}"))
+        part = next((tmp_path / f"w{n}").glob("*.parquet"))
+        os.utime(part, (time.time() - 100 + n,) * 2)
+        part.rename(tmp_path / "in" / f"{n}.parquet")
+    stream = spark.readStream.schema("ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    states = streaming.window_states(stream, "ts", "value", 3600, 30.0)
+    streaming.run_available(states, lambda b, n: b.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={n}")), "append", str(tmp_path / "log"))
+    got = sorted((r.rows, r.maximum, r.cnt) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(2, 50.0, 1), (3, 2.0, 0)]
+
+
+def test_delayed_search_against_a_loop(spark):
+    rng, rows, keys = random.Random(4), [], {}
+    for key in range(12):
+        keys[key] = [(round(rng.random(), 1), int(rng.random() < 0.3)) for _ in range(20)]
+        rows += [(key, e, p, y, 15) for e, (p, y) in enumerate(keys[key])]
+    df = spark.createDataFrame(rows, "key long, epoch long, p double, target long, train long")
+    for kind in ("predictive", "hybrid"):
+        for h in (1, 3):
+            got = {r.key: (round(r.cost, 9), round(r.action_rate, 9), round(r.threshold, 9)) for r in policy.search_delayed(df, ["key"], h, 10.0, kind).collect()}
+            for key, series in keys.items():
+                tried = []
+                for q in {0.0, 1.0, *np.quantile([p for p, _ in series[: 15 - h]], policy.GRID).tolist()}:
+                    on, lows, dec = False, 0, []
+                    for p, y in series[:15]:
+                        high = p >= q or (kind == "hybrid" and y == 1)
+                        lows = 0 if high or p >= 0.7 * q else lows + 1
+                        on = high or (kind == "hybrid" and on and lows < 2)
+                        dec.append(on)
+                    act, y = [dec[e - h] for e in range(h, 15)], [y for _, y in series[h:15]]
+                    tried.append((round(10 * np.mean([t and not a for t, a in zip(y, act)]) + np.mean(act), 9), round(np.mean(act), 9), round(q, 9)))
+                assert got[key] == min(tried)
+
+
+def test_queue_against_a_heap(spark):
+    import heapq
+
+    rng = random.Random(8)
+    arrivals = [(key, k, a) for key in range(6) for k, a in enumerate(sorted(rng.randint(0, 11) * 1.0 for _ in range(30)))]
+    df = spark.createDataFrame(arrivals, "key long, k long, a double")
+    for servers in (2, 5):
+        free, want = {}, {}
+        for key, k, a in arrivals:
+            own = free.setdefault(key, [0.0] * servers)
+            done = max(a, heapq.heappop(own)) + 1.5
+            heapq.heappush(own, done)
+            want[key, k] = done - a
+        assert all(abs(r.latency - want[r.key, r.k]) < 1e-9 for r in policy.queue_latency(df, ["key"], servers, 1.5).collect())
+
+
+def test_short_repeats_against_a_loop(spark):
+    rng, rows, want = random.Random(2), [], set()
+    for key in range(20):
+        t, last = 0, None
+        for s in range(40):
+            t += rng.choice([-50, 30, 60, 60, 170, 181, 300])
+            payload = rng.choice("aab")
+            rows.append((key, s, t, payload))
+            if last is None or payload != rows[-2][3] or not 0 <= t - last <= 180:
+                want.add((key, s))
+                last = t
+    df = spark.createDataFrame(rows, "key long, s long, t long, payload string")
+    got = {(r.key, r.s) for r in clean.drop_short_repeats(df, ["key"], "s", "t", "payload").collect()}
+    assert got == want
+
+
+def test_seeded_controllers_favour_maximum_and_count(spark):
+    from tidemark import catalog
+
+    q = catalog.queries()["seeded_controllers"](spark, "").where("delay = 0").groupBy("policy").agg(*[F.avg(c).alias(c) for c in ("p95", "sla_violations", "scale_share")])
+    got = {r.policy: r for r in q.collect()}
+    a, b = got["maximum_count"], got["snapshot"]
+    assert a.p95 < b.p95 and a.sla_violations < b.sla_violations and a.scale_share < b.scale_share
+
+
+def test_panel_disjoint_forecast_is_finite(spark):
+    from tidemark import catalog
+
+    got = catalog.queries()["panel_disjoint_forecast"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r.scheme for r in got) == ["maximum", "maximum_count", "snapshot", "two_snapshots"] and all(0 < r.brier < 0.5 and r.rows > 50 for r in got)

@@ -108,9 +108,9 @@ STATES = {
         lambda u: F.col("maximum"),
     ),
     "maximum_count": (
-        lambda x, u: [F.max(x).alias("maximum"), F.count_if(col(x) >= d(u)).alias("n")],
-        lambda: [F.max("maximum").alias("maximum"), F.sum("n").alias("n")],
-        lambda u: F.col("maximum"),
+        lambda x, u: [F.max(x).alias("top"), F.count_if(col(x) >= d(u)).alias("over")],
+        lambda: [F.max("top").alias("top"), F.sum("over").alias("over")],
+        lambda u: F.struct(F.col("top").alias("maximum"), F.col("over").alias("n")),
     ),
 }
 
@@ -124,14 +124,16 @@ def quantile_of(values: Col, q: float) -> Column:
     return a + (b - a) * (at - low)
 
 
-def window_state(samples: DataFrame, keys: list[str], method: str, threshold: float = 0.9, x: str = "x") -> DataFrame:
-    return samples.groupBy(*keys).agg(*STATES[method][0](x, threshold))
+def window_states(samples: DataFrame, keys: list[str], methods: list[str], threshold: float = 0.9, x: str = "x") -> DataFrame:
+    """States of windows under all methods, from one grouping; no two methods name a column alike."""
+    return samples.groupBy(*keys).agg(*[c for m in methods for c in STATES[m][0](x, threshold)])
 
 
-def merge_states(a: DataFrame, b: DataFrame, keys: list[str], method: str) -> DataFrame:
+def merge_states(a: DataFrame, b: DataFrame, keys: list[str], methods: list[str]) -> DataFrame:
     """States of the same windows merged, as Spark's partial aggregation does between tasks."""
-    return a.unionByName(b).groupBy(*keys).agg(*STATES[method][1]())
+    return a.unionByName(b).groupBy(*keys).agg(*[c for m in methods for c in STATES[m][1]()])
 
 
-def finish_state(states: DataFrame, keys: list[str], method: str, threshold: float = 0.9) -> DataFrame:
-    return states.select(*keys, STATES[method][2](threshold).alias("value"))
+def finish_states(states: DataFrame, keys: list[str], methods: list[str], threshold: float = 0.9) -> DataFrame:
+    """(keys, a column per method); that of maximum_count has both, as (maximum, n)."""
+    return states.select(*keys, *[STATES[m][2](threshold).alias(m) for m in methods])

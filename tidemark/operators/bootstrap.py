@@ -55,6 +55,22 @@ def cluster_mean(clusters: DataFrame, key: str, value: str, replicates: int) ->
     return cluster_ratio(clusters.withColumn("__one", d(1)), key, value, "__one", replicates)
 
 
+def seed_means(runs: DataFrame, key: str, by: list[str], values: list[str], replicates: int) -> DataFrame:
+    """(by, metric, seeds, mean, low, high) of each value's mean over resampled runs, a row per (by, key); all groups draw alike.
+
+    Runs are numbered within their group; a replicate joins those numbers only, and means are over whole replicates.
+    """
+    long = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values]))
+    at = (F.row_number().over(W.partitionBy(*by).orderBy(key)) - 1).cast("long")
+    c = runs.withColumns({"pick": at, "seeds": F.count("*").over(W.partitionBy(*by))})
+    c = c.select(*by, "pick", "seeds", long.alias("v")).select(*by, "pick", "seeds", "v.*")
+    reps = c.select(*by, "seeds").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    reps = reps.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("seeds") - 1).cast("int"))))
+    m = reps.select(*by, "rep", draw(F.col("rep"), F.col("k"), F.col("seeds")).alias("pick")).groupBy(*by, "rep", "pick").agg(F.count("*").alias("times"))
+    r = m.join(c, [*by, "pick"]).groupBy(*by, "metric", "seeds", "rep").agg((F.sum(F.col("times") * F.col("value")) / F.sum("times")).alias("value"))
+    return interval(r, [*by, "metric", "seeds"], "value")
+
+
 def pooled_precision(scored: DataFrame, cluster: str, replicates: int) -> DataFrame:
     """(mean, low, high) of the pooled average precision; rows are weighted by multiplicity, not repeated.
 
@@ -77,32 +93,34 @@ def precision_gain(scored: DataFrame, cluster: str, left: str, right: str, repli
     return cluster_mean(gain, cluster, "gain", replicates)
 
 
-def block_draws(spark: SparkSession, replicates: int, n: int, length: int = 12) -> DataFrame:
-    """(rep, at): places of a circular series of n, in blocks of `length` from drawn starts, n in all."""
-    blocks = -(-n // length)
-    starts = draws(spark, replicates, blocks).withColumn("start", draw(F.col("rep"), F.col("k"), F.lit(n)))
-    each = starts.select("rep", "k", "start", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("j"))
-    return each.where(F.col("k") * length + F.col("j") < n).select("rep", F.pmod(F.col("start") + F.col("j"), F.lit(n)).alias("at"))
-
-
-def block_multiplicities(spark: SparkSession, replicates: int, n: int, length: int = 12) -> DataFrame:
-    return block_draws(spark, replicates, n, length).groupBy("rep", "at").agg(F.count("*").alias("times"))
-
+def block_multiplicities(series: DataFrame, key: str, order: str, replicates: int, length: int = 12) -> tuple[DataFrame, DataFrame]:
+    """The series with `at`, their places, and (key, rep, at, times) of circular blocks of `length` from drawn starts, as long as the series.
 
-def block_recall(series: DataFrame, at: str, hit: Column, event: str, replicates: int, length: int = 12) -> DataFrame:
-    """(mean, low, high) of event recall over resampled blocks of one series."""
-    n = series.count()
-    m = block_multiplicities(series.sparkSession, replicates, n, length).join(
-        series.select(F.col(at).alias("at"), F.col(event).alias("__e"), hit.cast("double").alias("__h")), "at"
-    )
-    r = m.groupBy("rep").agg(F.try_divide(F.sum(F.col("times") * F.col("__h") * F.col("__e")), F.sum(F.col("times") * F.col("__e"))).alias("value"))
-    return interval(r, [], "value")
-
-
-def block_precision_gain(series: DataFrame, at: str, left: str, right: str, replicates: int, length: int = 12) -> DataFrame:
-    """(mean, low, high) of the difference of average precision over resampled blocks of one series."""
-    s = series.select(F.col(at).alias("at"), F.col(left).alias("__l"), F.col(right).alias("__r"), "target")
-    m = block_multiplicities(series.sparkSession, replicates, series.count(), length).join(s, "at")
-    ap = lambda c, name: average_precision(m.withColumn("p", F.col(c)), ["rep"], "times").withColumnRenamed("average_precision", name)
-    r = ap("__l", "l").join(ap("__r", "r"), "rep").withColumn("value", F.col("r") - F.col("l"))
-    return interval(r, [], "value")
+    Every key's series is numbered and drawn by itself, so no task sees more than one.
+    """
+    by = W.partitionBy(key)
+    s = series.withColumn("at", (F.row_number().over(by.orderBy(order)) - 1).cast("long"))
+    n = series.groupBy(key).agg(F.count("*").alias("__n"))
+    reps = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    reps = reps.withColumn("__k", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("__n") / length) - 1).cast("int"))))
+    starts = reps.withColumn("start", draw(F.col("rep"), F.col("__k"), F.col("__n")))
+    each = starts.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).where(F.col("__k") * length + F.col("j") < F.col("__n"))
+    at = each.select(key, "rep", F.pmod(F.col("start") + F.col("j"), F.col("__n")).alias("at"))
+    return s, at.groupBy(key, "rep", "at").agg(F.count("*").alias("times"))
+
+
+def block_recall(series: DataFrame, key: str, order: str, hit: Column, event: str, replicates: int, length: int = 12) -> DataFrame:
+    """(key, mean, low, high) of event recall over resampled blocks of each key's series."""
+    s, m = block_multiplicities(series, key, order, replicates, length)
+    m = m.join(s.select(key, "at", F.col(event).alias("__e"), hit.cast("double").alias("__h")), [key, "at"])
+    r = m.groupBy(key, "rep").agg(F.try_divide(F.sum(F.col("times") * F.col("__h") * F.col("__e")), F.sum(F.col("times") * F.col("__e"))).alias("value"))
+    return interval(r, [key], "value")
+
+
+def block_precision_gain(series: DataFrame, key: str, order: str, left: str, right: str, replicates: int, length: int = 12) -> DataFrame:
+    """(key, mean, low, high) of the difference of average precision over resampled blocks of each key's series."""
+    s, m = block_multiplicities(series, key, order, replicates, length)
+    m = m.join(s.select(key, "at", F.col(left).alias("__l"), F.col(right).alias("__r"), "target"), [key, "at"])
+    ap = lambda c, name: average_precision(m.withColumn("p", F.col(c)), [key, "rep"], "times").withColumnRenamed("average_precision", name)
+    r = ap("__l", "l").join(ap("__r", "r"), [key, "rep"]).withColumn("value", F.col("r") - F.col("l"))
+    return interval(r, [key], "value")

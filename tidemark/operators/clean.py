@@ -55,9 +55,13 @@ def burst_thresholds(ordered: DataFrame, keys: list[str], x: str = "x", share: f
 
 
 def normalise_bursts(ordered: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
-    """x over its key's training threshold, within [0, 100]; a key without positive training values has 1."""
-    t = burst_thresholds(ordered, keys, x)
-    out = ordered.join(t, keys, "left").withColumn("threshold", F.coalesce("threshold", d(1)))
+    """x over its key's training threshold, within [0, 100]; a key without positive training values has 1.
+
+    The threshold is a window aggregate over the key, whose rows in_order() has brought together already.
+    """
+    early = (F.col("i") < F.greatest(cut_index("n", 0.7), F.lit(1))) & (F.col(x) > 0)
+    threshold = F.percentile(F.when(early, F.col(x)), 0.99).over(W.partitionBy(*keys))
+    out = ordered.withColumn("threshold", F.coalesce(threshold, d(1)))
     return out.withColumn(x, clip(F.col(x) / F.greatest(F.col("threshold"), d(1e-12)), 0, BURST_CAP))
 
 
@@ -80,11 +84,13 @@ def drop_exact_repeats(df: DataFrame, keys: list[str], order: list[str], payload
 def drop_short_repeats(df: DataFrame, keys: list[str], seq: str, t: str, payload: str, within: int = SHORT_INTERVAL) -> DataFrame:
     """Drop a row whose payload is that of the last kept row, 0 to `within` seconds before it. (keys, seq) of kept rows.
 
-    What is kept depends on what was kept, but only within a run of equal payloads: a change of payload always
-    keeps. So the ordered fold runs over one run at a time, not over a key's whole history.
+    What is kept depends on what was kept, but only within a run of equal payloads, none over `within` after the one
+    before: either ends a run, for the row that ends it is kept whatever went before. So the ordered fold
+    runs over one such run at a time; a machine that is idle for a month has a run per sample.
     """
     by = W.partitionBy(*keys).orderBy(seq)
-    new = (~F.lag(payload).over(by).eqNullSafe(F.col(payload))).cast("int")
+    far = F.coalesce(F.col(t).cast("long") - F.lag(F.col(t).cast("long")).over(by) > within, F.lit(False))
+    new = (~F.lag(payload).over(by).eqNullSafe(F.col(payload)) | far).cast("int")
     runs = df.withColumn("__new", new).withColumn("__run", F.sum("__new").over(by))
     rows = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(t).cast("long").alias("t"))))
     state = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))

@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, d, flag
 
-#: Cost ratios of a miss to an action, grid of trigger quantiles.
+#: Cost ratios of a miss to an action; quantiles of the training scores that a threshold is searched among.
 COST_RATIOS = (1, 2, 5, 10, 20, 50, 100)
-GRID = (0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 0.975, 0.99)
+GRID = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.975, 0.99)
 UTIL_CAPACITY = 5.0
+#: Fixed values of the simulated service: workers without and with an action, service time and limit in milliseconds.
+LOW_WORKERS, HIGH_WORKERS = 2, 5
+SERVICE_MS, SLA_MS, SLOT_MS = 1.5, 12.0, 1.0
+#: Fixed value: the training epochs' share of a schedule (30 of 80).
+TRAIN_SHARE = 0.375
 LOW_FACTOR = 0.7
 
 
@@ -92,6 +97,35 @@ def search_threshold(train: DataFrame, keys: list[str], ratio: float, grid: tupl
     return r.withColumn("__b", best).where("__b").select(*keys, "threshold", "cost", "action_rate")
 
 
+def search_delayed(
+    epochs: DataFrame, keys: list[str], horizon: int, ratio: float, kind: str, grid: tuple[float, ...] = GRID, tie: float = 1e-12
+) -> DataFrame:
+    """(keys, threshold, cost, action_rate): the threshold of least training cost when actions take effect `horizon` epochs on.
+
+    epochs: keys, epoch, p, target, train (its key's number of training epochs). Candidates are 0, the grid's quantiles of
+    the p that have a training target, and 1. kind `predictive` acts where p reaches the threshold; `hybrid` also where
+    the target is on, and stays on until two successive p under LOW_FACTOR of it. Of equal cost the least action, then the
+    least threshold. Every key brings a bounded number of candidates, each tried on that key's training epochs only.
+    """
+    t = epochs.where((F.col("epoch") < F.col("train")) & (F.col("train") > horizon))
+    known = F.when(F.col("epoch") < F.col("train") - horizon, F.col("p"))
+    cand = t.groupBy(*keys).agg(F.percentile(known, list(grid)).alias("c"))
+    cand = cand.select(*keys, F.explode(F.array_distinct(F.concat(F.array(d(0)), F.coalesce("c", F.array().cast("array<double>")), F.array(d(1))))).alias("threshold"))
+    each = t.join(cand, keys)
+    by = [*keys, "threshold"]
+    if kind == "hybrid":
+        high = (F.col("p") >= F.col("threshold")) | (F.col("target") == 1)
+        each = hysteresis(each, by, high, ~high & (F.col("p") < LOW_FACTOR * F.col("threshold"))).withColumnRenamed("active", "on")
+    else:
+        each = each.withColumn("on", flag(F.col("p") >= F.col("threshold")))
+    acted = each.withColumn("act", delayed("on", by, horizon)).where(F.col("epoch") >= horizon)
+    miss = F.avg((F.col("target") * (1 - F.col("act"))).cast("double"))
+    r = acted.groupBy(*by).agg(miss.alias("miss"), F.avg(F.col("act").cast("double")).alias("action_rate"))
+    r = r.withColumn("cost", d(ratio) * F.col("miss") + F.col("action_rate"))
+    best = F.row_number().over(W.partitionBy(*keys).orderBy(F.round(F.col("cost") / d(tie * 1000)), "action_rate", "threshold")) == 1
+    return r.withColumn("__b", best).where("__b").select(*keys, "threshold", "cost", "action_rate")
+
+
 def queue_latency(requests: DataFrame, keys: list[str], servers: int, service: float) -> DataFrame:
     """First-come queue with equal service times: latency of each request; the queue is empty when a key begins.
 
@@ -111,6 +145,27 @@ def run_metrics(latencies: DataFrame, keys: list[str], sla: float) -> DataFrame:
     )
 
 
+def simulate(requests: DataFrame, decided: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """A row per (by, keys) of what requests meet when an epoch's action decides between LOW_WORKERS and HIGH_WORKERS.
+
+    requests: keys, epoch, k, a (milliseconds); decided: by, keys, epoch, event, act, of the epochs that count. Latencies
+    under either number of workers are found once per request; a decision picks one of the two.
+    """
+    at = [*keys, "epoch"]
+    low = queue_latency(requests, at, LOW_WORKERS, SERVICE_MS).withColumnRenamed("latency", "low")
+    both = queue_latency(low, at, HIGH_WORKERS, SERVICE_MS).withColumnRenamed("latency", "high").select(*at, "low", "high")
+    met = decided.join(both, at).withColumn("latency", F.when(F.col("act") == 1, F.col("high")).otherwise(F.col("low")))
+    own = run_metrics(met, [*by, *keys], SLA_MS)
+    p95 = met.groupBy(*by, *at).agg(F.percentile("latency", 0.95).alias("p95"))
+    epochs = decided.join(p95, [*by, *at], "left").groupBy(*by, *keys).agg(
+        F.count("*").alias("epochs"), F.avg(F.coalesce("p95", d(0))).alias("mean_epoch_p95"), F.avg(F.col("act").cast("double")).alias("scale_share"),
+        (F.sum(F.col("event") * F.col("act")) / F.greatest(F.sum("event"), F.lit(1))).alias("coverage"),
+        F.avg((F.col("event") * (1 - F.col("act"))).cast("double")).alias("missed"),
+        F.sum(F.when(F.col("act") == 1, HIGH_WORKERS).otherwise(LOW_WORKERS)).cast("long").alias("worker_epochs"),
+    )
+    return epochs.join(own, [*by, *keys], "left")
+
+
 def severe_epochs(p95: DataFrame, keys: list[str], train: Column, q: float = 0.9) -> DataFrame:
     """p95 rows with severe: above the q-quantile of the training epochs."""
     limit = p95.where(train).groupBy(*keys).agg(F.percentile("p95", q).alias("__limit"))
@@ -138,11 +193,19 @@ def _newton(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
     return b
 
 
+def controller_features(kind: str, slots: int = 12, threshold: float = 0.9) -> list[Column]:
+    """Features x0, x1, .. of a controller over arrivals_telemetry's columns: by the snapshot alone, or by maximum and count."""
+    top = lambda c: flag(F.col(c) >= d(threshold))
+    own = [F.col("snapshot"), top("snapshot")] if kind == "snapshot" else [F.col("maximum"), F.col("cnt") / slots, top("maximum")]
+    return [c.cast("double").alias(f"x{i}") for i, c in enumerate(own)]
+
+
 def fit_controllers(epochs: DataFrame, key: str, names: list[str], train: int, horizon: int = 1) -> DataFrame:
     """(key, epoch, p, trigger): per key a small penalised logistic model on raw features, all keys in one job.
 
     Trained on the pairs (epoch, event `horizon` on) within the first `train` epochs; with one class only, p is its
-    rate. trigger: p reaches the training p's quantile at 1 - event rate. A key is one schedule of bounded length.
+    rate. trigger: p reaches the training p's quantile at 1 - the event rate of the epochs that have a training target.
+    A key is one schedule of bounded length.
     """
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("epoch")
@@ -155,7 +218,7 @@ def fit_controllers(epochs: DataFrame, key: str, names: list[str], train: int, h
         else:
             b = _newton(xs, ys)
             p = 1 / (1 + np.exp(-(b[0] + x @ b[1:])))
-        rate = ys.mean() if len(ys) else 0.0
+        rate = e[: train - horizon].mean() if len(ys) else 0.0
         limit = np.quantile(p[: max(1, train - horizon)], 1 - rate) if rate > 0 else 1.0
         return pd.DataFrame({key: pdf[key], "epoch": pdf["epoch"], "p": p, "trigger": (p >= limit).astype("int64")})
 

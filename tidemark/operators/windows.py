@@ -74,6 +74,33 @@ def complete(df: DataFrame, keys: list[str], x: str = "x", threshold: float = 0.
     return w.where(F.col("rows") == F.col("minutes") * 60 / SAMPLE_SECONDS)
 
 
+def width_recall(samples: DataFrame, keys: list[str], minutes: list[int], thresholds: list[float]) -> DataFrame:
+    """(minutes, threshold, event_windows, fixed_recall, random_recall, p95_recall, maximum_recall) over complete windows.
+
+    samples: keys, i (place), x. A window of m minutes is m / 5 samples in their order; its first is the fixed snapshot.
+    Windows are summarised once per width; thresholds are tried on the summaries' counts.
+    """
+    w = samples.withColumn("minutes", F.explode(F.array(*[F.lit(m) for m in minutes])))
+    size = F.col("minutes") * 60 / SAMPLE_SECONDS
+    w = w.withColumn("window_id", F.floor(F.col("i") / size)).withColumn("pos", F.pmod(F.col("i"), size.cast("long")))
+    over = [F.count_if(F.col("x") >= d(u)).alias(f"c{k}") for k, u in enumerate(thresholds)]
+    s = w.groupBy(*keys, "minutes", "window_id").agg(
+        F.count("*").alias("rows"), F.max(F.when(F.col("pos") == 0, F.col("x"))).alias("first"), F.percentile("x", 0.95).alias("p95"), *over
+    ).where(F.col("rows") == size)
+    each = F.array(*[F.struct(d(u).alias("threshold"), F.col(f"c{k}").alias("count")) for k, u in enumerate(thresholds)])
+    e = s.select("minutes", "rows", "first", "p95", F.explode(each).alias("e")).select("minutes", "rows", "first", "p95", "e.*").where("count > 0")
+    share = lambda c: F.avg((F.col(c) >= F.col("threshold")).cast("double"))
+    return e.groupBy("minutes", "threshold").agg(
+        F.count("*").alias("event_windows"), share("first").alias("fixed_recall"), F.avg(F.col("count") / F.col("rows")).alias("random_recall"),
+        share("p95").alias("p95_recall"), F.avg(d(1)).alias("maximum_recall"),
+    )
+
+
+def first_windows(blocks: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The first `most` windows in the order of their files and places: a bounded sample by definition."""
+    return blocks.orderBy(*order).limit(most)
+
+
 def contiguous(blocks: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
     """Each window with its successor's columns next_*, where that is the very next window."""
     by = W.partitionBy(*keys).orderBy("window_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share; a temporary folder where that is unset and all is one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or tempfile.mkdtemp(prefix="tidemark-")).rstrip("/")
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to six digits: sums of doubles depend on their order."""
     return df.select(*[F.round(c, digits).alias(c) if k in ("double", "float") else F.col(c) for c, k in df.dtypes])
@@ -61,18 +71,24 @@ def line_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resource_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["panel", "resource"]
-    o = clean.in_order(clean.at_least(line_resources(spark, sf_dir), keys), keys, ["seq"])
-    burst = clean.normalise_bursts(o.where("resource in ('disk', 'network')"), keys)
-    ratio = o.where("resource in ('cpu', 'memory')").withColumn("x", F.least(F.col("x"), d(1))).withColumn("threshold", d(RESOURCE_LIMIT))
-    out = burst.withColumn("limit", d(1)).unionByName(ratio.withColumn("limit", d(RESOURCE_LIMIT)))
-    # One scale for all: a sample exceeds at 1.
-    return windows.positional(out.withColumn("x", F.col("x") / F.col("limit")), K)
+    o = clean.in_order(clean.at_least(line_resources(spark, sf_dir), keys), keys, ["seq"]).withColumn("raw", F.col("x"))
+    burst = clean.normalise_bursts(o, keys)
+    # One scale for all: a sample exceeds at 1. Ratios have a fixed limit, rates their key's threshold.
+    x = F.when(F.col("resource").isin("cpu", "memory"), F.least(F.col("raw"), d(1)) / d(RESOURCE_LIMIT)).otherwise(F.col("x"))
+    return windows.positional(burst.withColumn("x", x).drop("raw"), K)
 
 
 def resource_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.summarise(resource_windows(spark, sf_dir), ["panel", "resource"], K)
 
 
+def core_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events by user, with the median of a size that varies by event."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("panel"), "ts", "event_id", F.col("value").alias("x"), (1 + F.col("event_id") % 8).cast("double").alias("cores"))
+    x = windows.positional(clean.in_order(e, ["panel"], ["ts", "event_id"]), K)
+    return windows.summarise(x, ["panel"], K, 50.0, extra=[F.median("cores").alias("cores")])
+
+
 def cpu_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = clean.in_order(line_resources(spark, sf_dir).where("resource = 'cpu'"), ["panel"], ["seq"])
     return windows.positional(o.withColumn("x", F.least(F.col("x"), d(1))), K)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clip, d, logit, smoothed_rate
-from ..operators import bootstrap, features, metrics, models
-from .adapters import DRAW, E_P, E_T, K, event_blocks, event_scored, event_split, resource_blocks, rounded, table
+from ..functions.scalar import clip, core_feature, d, logit, smoothed_rate
+from ..operators import bootstrap, features, metrics, models, windows
+from .adapters import DRAW, E_P, E_T, K, core_blocks, event_blocks, event_scored, event_split, resource_blocks, rounded, table
 
 QUERIES: dict = {}
 
@@ -43,26 +43,43 @@ def panel_disjoint(spark, sf_dir):
 
 
 _LATE = "(cast(snapshot >= 1 as int) + cast(snapshot_late >= 1 as int))"
+_PAIR = ["snapshot", "snapshot_late", "greatest(snapshot, snapshot_late)", f"{_LATE} / 2.0"]
+_COUNT, _TOP = "cnt / 12.0", "cast(maximum >= 1 as int)"
+_flagged = lambda v: [v, f"cast({v} >= 1 as int)"]
+#: Columns of every scheme in SQL, by family. The first of a family keeps the family's name as its query's.
 _FEATURES = {
-    "offset": ("two_snapshots", ["snapshot", "snapshot_late", "greatest(snapshot, snapshot_late)", f"{_LATE} / 2.0", f"cast({_LATE} > 0 as int)"]),
-    "multi": ("maximum_count", ["maximum", "cnt / 12.0", "cast(maximum >= 1 as int)"]),
-    "ablation": ("full", ["maximum", "cnt / 12.0", "cast(maximum >= 1 as int)"]),
-    "external": ("snapshot", ["snapshot", "cast(snapshot >= 1 as int)"]),
-}
-
-
-def _feature_query(family: str, scheme: str, sql: list[str]) -> None:
-    text = ", ".join(f"round(cast({x} as double), 6) as f{i}" for i, x in enumerate(sql))
+    "offset": {
+        "two_snapshots": [*_PAIR, f"cast({_LATE} > 0 as int)"], "snapshot": _flagged("snapshot"), "mean": _flagged("mean"), "p95": _flagged("p95"),
+        "maximum": _flagged("maximum"), "maximum_count": ["maximum", _COUNT, _TOP],
+    },
+    "multi": {
+        "maximum_count": ["maximum", _COUNT, _TOP], "persistence": ["event"], "snapshot": _flagged("snapshot"), "two_snapshots": _PAIR,
+        "maximum": ["maximum"], "count": [_COUNT],
+    },
+    "ablation": {
+        "full": ["maximum", _COUNT, _TOP], "persistence": ["event"], "snapshot": ["snapshot"], "two_snapshots": _PAIR[:2], "maximum": ["maximum"],
+        "count": [_COUNT], "maximum_event": ["maximum", _TOP], "maximum_count": ["maximum", _COUNT],
+    },
+    "external": {
+        "snapshot": _flagged("snapshot"), "prior": [], "persistence": ["event"], "two_snapshots": _PAIR, "maximum": ["maximum"], "count": [_COUNT],
+        "maximum_count": ["maximum", _COUNT], "full": ["maximum", _COUNT, _TOP],
+    },
+}
+
+
+def _feature_query(family: str, scheme: str, sql: list[str], name: str) -> None:
+    text = "".join(f", round(cast({x} as double), 6) as f{i}" for i, x in enumerate(sql))
 
     def run(spark, sf_dir):
         return event_split(spark, sf_dir).select("panel", "window_id", "target", *features.features(family, scheme))
 
-    run.__name__ = f"features_{family}"
-    query(E_T + f" select panel, window_id, target, {text} from t")(run)
+    run.__name__ = name
+    query(E_T + f" select panel, window_id, target{text} from t")(run)
 
 
-for _family, (_scheme, _sql) in _FEATURES.items():
-    _feature_query(_family, _scheme, _sql)
+for _family, _schemes in _FEATURES.items():
+    for _n, (_scheme, _sql) in enumerate(_schemes.items()):
+        _feature_query(_family, _scheme, _sql, f"features_{_family}_{_scheme}" if _n else f"features_{_family}")
 
 
 @query(E_T + ", k as (select panel, cast(sum(target) as bigint) as k, count(*) as n from t where split = 'train' group by panel) select panel, k, n, round((k + 0.5::double) / (n + 1), 6) as rate from k")
@@ -154,7 +171,9 @@ def gain_summary(spark, sf_dir):
     return metrics.gain_summary(metrics.entity_gain(_two(spark, sf_dir), "panel", "prior", "p"))
 
 
-@query(None)
+@query(_TWO + _GAIN + """, sg as (select cast(count(*) filter (where gain > 0) as bigint) as wins, count(*) as entities from g where positives > 0),
+tg as (select wins, entities, i from sg, range(1000) r(i) where i <= least(wins, entities - wins))
+select wins, entities, round(least(1, 2 * sum(exp(lgamma(entities + 1) - lgamma(i + 1) - lgamma(entities - i + 1) - entities * ln(cast(2 as double))))), 6) as p_value from tg group by all""")
 def sign_test(spark, sf_dir):
     g = metrics.gain_summary(metrics.entity_gain(_two(spark, sf_dir), "panel", "prior", "p")).first()
     return spark.createDataFrame([(g.wins, g.entities, metrics.sign_test(g.wins, g.entities))], "wins long, entities long, p_value double")
@@ -196,26 +215,20 @@ def precision_gain_bootstrap(spark, sf_dir):
     return bootstrap.precision_gain(t, "panel", "other", "p", _REPS)
 
 
-_ONE = ", z as (select *, row_number() over (order by window_id) - 1 as at from y where panel = 'click'), nz as (select count(*) as n from z)"
-_BLOCKS = (", st as (select rep, k, " + DRAW.format(a="rep", b="k", n="n") + " as pick0, n from range(100) a(rep), nz, range(1000) b(k) where k < ceil(n / 12.0)),"
-           " st2 as (select rep, k, n, " + DRAW.format(a="rep", b="k", n="n") + " as start from st), bl as (select rep, (start + j) % n as at from st2, range(12) c(j) where k * 12 + j < n)")
+_ONE = ", z as (select *, row_number() over (partition by panel order by window_id) - 1 as at from y), nz as (select panel, count(*) as n from z group by panel)"
+_BLOCKS = (", st as (select panel, rep, n, unnest(range(cast(ceil(n / 12.0) as bigint))) as k from range(100) a(rep), nz),"
+           " st2 as (select panel, rep, k, n, " + DRAW.format(a="rep", b="k", n="n") + " as start from st), bl as (select panel, rep, (start + j) % n as at from st2, range(12) c(j) where k * 12 + j < n)")
 
 
-@query(_TWO + _ONE + _BLOCKS + f", r as (select rep, sum(case when event = 1 and snapshot >= 1 then 1.0 else 0 end) / nullif(sum(event), 0) as v from bl join z on bl.at = z.at group by rep) select {_CI} from r")
+@query(_TWO + _ONE + _BLOCKS + f", r as (select bl.panel, rep, sum(case when event = 1 and snapshot >= 1 then 1.0 else 0 end) / nullif(sum(event), 0) as v from bl join z on bl.at = z.at and bl.panel = z.panel group by all) select panel, {_CI} from r group by panel")
 def moving_block_recall(spark, sf_dir):
-    from pyspark.sql import Window as W
+    return bootstrap.block_recall(_two(spark, sf_dir), "panel", "window_id", F.col("snapshot") >= 1, "event", 100)
 
-    z = _two(spark, sf_dir).where("panel = 'click'").withColumn("at", F.row_number().over(W.orderBy("window_id")) - 1)
-    return bootstrap.block_recall(z, "at", F.col("snapshot") >= 1, "event", 100)
 
-
-@query(_TWO + _ONE + _BLOCKS + ", m as (select rep, p, prior, target from bl join z on bl.at = z.at), h as (" + _AP.format(k="rep,", w="partition by rep", t="m", g="group by rep") + "), l as ("
-       + _AP.format(k="rep,", w="partition by rep", t="(select rep, prior as p, target from m)", g="group by rep") + f"), r as (select h.v - l.v as v from h join l on h.rep = l.rep) select {_CI} from r")
+@query(_TWO + _ONE + _BLOCKS + ", m as (select bl.panel, rep, p, prior, target from bl join z on bl.at = z.at and bl.panel = z.panel), h as (" + _AP.format(k="panel, rep,", w="partition by panel, rep", t="m", g="group by panel, rep") + "), l as ("
+       + _AP.format(k="panel, rep,", w="partition by panel, rep", t="(select panel, rep, prior as p, target from m)", g="group by panel, rep") + f"), r as (select h.panel, h.v - l.v as v from h join l on h.rep = l.rep and h.panel = l.panel) select panel, {_CI} from r group by panel")
 def moving_block_precision(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    z = _two(spark, sf_dir).where("panel = 'click'").withColumn("at", F.row_number().over(W.orderBy("window_id")) - 1)
-    return bootstrap.block_precision_gain(z, "at", "prior", "p", 100)
+    return bootstrap.block_precision_gain(_two(spark, sf_dir), "panel", "window_id", "prior", "p", 100)
 
 
 def _fit_frame(spark, sf_dir, scheme="maximum_count", family="multi"):
@@ -242,10 +255,28 @@ def logistic_coefficients(spark, sf_dir):
     return models.coefficient_table(spark, rows)
 
 
+@query(None)
+def panel_disjoint_forecast(spark, sf_dir):
+    """Entities of the test share are never trained on; every scheme has the size as a further feature."""
+    pairs = windows.contiguous(core_blocks(spark, sf_dir), ["panel"], ["event"]).withColumnRenamed("next_event", "target")
+    t = features.disjoint_split(pairs, "panel")
+    rate = t.where("split = 'train'").agg(logit(smoothed_rate(F.sum("target"), F.count("*"))).alias("offset"))
+    t, out = t.join(F.broadcast(rate)).persist(), None  # one row
+    for scheme in ("snapshot", "maximum", "two_snapshots", "maximum_count"):
+        f = [*features.features("offset", scheme, 50.0), core_feature("cores").alias("size")]
+        s = t.select("split", "target", "offset", *f)
+        names = [c for c in s.columns if c not in ("split", "target", "offset")]
+        m = models.fit_logistic(s.where("split = 'train'"), names, offset="offset")
+        scored = s.where("split = 'test'").withColumn("p", m.score(names, F.col("offset"))).withColumn("scheme", F.lit(scheme))
+        row = metrics.point_scores(scored, ["scheme"]).join(metrics.average_precision(scored, ["scheme"]), "scheme")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(None)
 def frozen_transfer(spark, sf_dir):
     """Fitted on the events' panels, scored on the orders' without any refit."""
-    from ..operators import clean, windows
+    from ..operators import clean
 
     t, names = _fit_frame(spark, sf_dir)
     m = models.fit_mean_loss(t.where("split = 'train'"), names)
@@ -260,7 +291,17 @@ def frozen_transfer(spark, sf_dir):
     return out
 
 
-@query(None)
+def _newton_sql(steps: int = 12) -> str:
+    """Newton's steps for intercept a and slope b of the target's logit on the score's, a table each."""
+    out = ", z as (select target, ln(greatest(least(p, 1 - 1e-8), 1e-8) / (1 - greatest(least(p, 1 - 1e-8), 1e-8))) as z from y), n0 as (select cast(0 as double) as a, cast(0 as double) as b)"
+    for i in range(steps):
+        out += f""", g{i} as (select n.a, n.b, sum(target - q) as ga, sum((target - q) * z) as gb, sum(q * (1 - q)) as haa, sum(q * (1 - q) * z) as hab, sum(q * (1 - q) * z * z) as hbb
+ from (select n0.*, z.*, 1 / (1 + exp(-(n0.a + n0.b * z.z))) as q from z, n{i} as n0) as n group by all),
+n{i + 1} as (select a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) as a, b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) as b from g{i})"""
+    return out + f" select round(a, 6) as intercept, round(b, 6) as slope from n{steps}"
+
+
+@query(_T + _newton_sql())
 def calibration_line(spark, sf_dir):
     a, b = models.calibration_line(_test(spark, sf_dir))
     return spark.createDataFrame([(a, b)], "intercept double, slope double")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import d, flag
-from ..operators import fidelity, policy
+from ..functions.scalar import d
+from ..operators import bootstrap, fidelity, policy
 from ..sources import readers
-from .adapters import E_P, event_scored, rounded, table
+from .adapters import DRAW, E_P, event_scored, rounded, table
 
 QUERIES: dict = {}
 
@@ -133,11 +133,109 @@ def threshold_search(spark, sf_dir):
     return policy.search_threshold(event_scored(spark, sf_dir).where("split = 'train'"), ["panel"], 10.0)
 
 
+#: Epochs with the number of each key's training epochs; policies with their action's delay.
+_TRAINED = _SLOTS + f", t as (select *, cast(floor({policy.TRAIN_SHARE} * count(*) over (partition by key)) as bigint) as train from e)"
+_POLICIES = {"no_action": "0", "always_on": "1", "reactive": "coalesce(lag(event, 1 + {d}) over (partition by key order by epoch), 0)"}
+_ACTS = ", d as (" + " union all ".join(
+    f"select key, epoch, event, train, '{p}' as policy, {d} as delay, {x.format(d=d)} as act from t" for p, x in _POLICIES.items() for d in (0, 1, 2)) + ")"
+#: Requests of an epoch stand at the beginning of their slots; one service time, so servers take turns.
+_BOTH = f""", a as (select key, epoch, slot * cast({policy.SLOT_MS} as double) as a, j from s0, range(9) g(j) where j < n),
+k as (select *, row_number() over (partition by key, epoch order by a, j) - 1 as k from a),
+z as (select key, epoch, {", ".join(f"cast({policy.SERVICE_MS} as double) * (floor(k / {w}) + 1) + max(a - cast({policy.SERVICE_MS} as double) * floor(k / {w})) over (partition by key, epoch, k % {w} order by k) - a as l{w}" for w in (policy.LOW_WORKERS, policy.HIGH_WORKERS))} from k),
+m as (select d.*, case when act = 1 then l{policy.HIGH_WORKERS} else l{policy.LOW_WORKERS} end as latency from d join z using (key, epoch) where epoch >= train),
+o as (select policy, delay, key, count(*) as requests, quantile_cont(latency, 0.5) as p50, quantile_cont(latency, 0.95) as p95, quantile_cont(latency, 0.99) as p99, avg(cast(latency > {policy.SLA_MS} as int)) as sla_violations from m group by all),
+pe as (select policy, delay, key, epoch, quantile_cont(latency, 0.95) as p95 from m group by all),
+ee as (select policy, delay, d.key, count(*) as epochs, avg(coalesce(p95, 0)) as mean_epoch_p95, cast(avg(act) as double) as scale_share, cast(sum(event * act) as double) / greatest(sum(event), 1) as coverage,
+  avg(event * (1 - act)) as missed, cast(sum(case when act = 1 then {policy.HIGH_WORKERS} else {policy.LOW_WORKERS} end) as bigint) as worker_epochs
+  from d left join pe using (policy, delay, key, epoch) where d.epoch >= train group by all),
+runs as (select ee.*, requests, p50, o.p95, p99, sla_violations from ee left join o using (policy, delay, key))"""
+
+
+def _trained(spark, sf_dir):
+    train = F.floor(d(policy.TRAIN_SHARE) * F.count("*").over(W.partitionBy("key"))).cast("long")
+    return _epochs(spark, sf_dir).withColumn("train", train)
+
+
+def _runs(spark, sf_dir):
+    t = _trained(spark, sf_dir)
+    decided = t.withColumns(policy.simple_decisions(["key"]))
+    order = W.partitionBy("key").orderBy("epoch")
+    acts = [
+        F.struct(F.lit(p).alias("policy"), F.lit(k).alias("delay"), (F.col(p) if p != "reactive" else F.coalesce(F.lag("event", 1 + k).over(order), F.lit(0))).cast("long").alias("act"))
+        for p in _POLICIES for k in (0, 1, 2)
+    ]
+    decided = decided.select("key", "epoch", "event", "train", F.array(*acts).alias("acts")).where("epoch >= train")
+    decided = decided.select("key", "epoch", "event", F.explode("acts").alias("x")).select("key", "epoch", "event", "x.*")
+    s = _slots(spark, sf_dir).where("n > 0").withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    a = s.select("key", "epoch", "j", (F.col("slot") * d(policy.SLOT_MS)).alias("a"))
+    k = a.withColumn("k", (F.row_number().over(W.partitionBy("key", "epoch").orderBy("a", "j")) - 1).cast("long"))
+    return policy.simulate(k, decided, ["key"], ["policy", "delay"])
+
+
+_RUN = ["p50", "p95", "p99", "sla_violations", "mean_epoch_p95", "scale_share", "coverage", "missed"]
+
+
+@query(_TRAINED + _ACTS + _BOTH + " select policy, delay, key, epochs, requests, worker_epochs, " + ", ".join(f"round({c}, 6) as {c}" for c in _RUN) + " from runs")
+def policy_latency(spark, sf_dir):
+    """Decision, workers, queue and what requests meet, per policy, delay and schedule."""
+    return _runs(spark, sf_dir).select("policy", "delay", "key", "epochs", "requests", "worker_epochs", *_RUN)
+
+
+_BOOT = ["p95", "sla_violations", "scale_share", "coverage", "worker_epochs"]
+
+
+@query(_TRAINED + _ACTS + _BOTH + """, lr as (select policy, delay, row_number() over (partition by policy, delay order by key) - 1 as pick, count(*) over (partition by policy, delay) as seeds, """
+       + ", ".join(f"cast({c} as double) as {c}" for c in _BOOT) + " from runs where p95 is not null), ll as (unpivot lr on " + ", ".join(_BOOT) + """ into name metric value v),
+sd as (select distinct policy, delay, seeds from lr), dw as (select policy, delay, rep, """ + DRAW.format(a="rep", b="k", n="seeds") + """ as pick from sd, range(200) a(rep), range(200) b(k) where k < seeds),
+rr as (select ll.policy, ll.delay, metric, seeds, rep, avg(v) as v from dw join ll on dw.policy = ll.policy and dw.delay = ll.delay and dw.pick = ll.pick group by all)
+select policy, delay, metric, seeds, round(avg(v), 6) as mean, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high from rr group by all""")
+def seed_bootstrap(spark, sf_dir):
+    """Schedules resampled within each policy and delay."""
+    return bootstrap.seed_means(_runs(spark, sf_dir).where("p95 is not null"), "key", ["policy", "delay"], _BOOT, 200)
+
+
+def _search_sql(kind: str, delay: int) -> str:
+    h = 1 + delay
+    on = "cast(p >= threshold as int)" if kind == "predictive" else "cast(coalesce(hi > coalesce(pa, -1), false) as int)"
+    return f"""select key, '{kind}' as kind, {delay} as delay, threshold, cost, action_rate from (select *, row_number() over (partition by key order by round(cost / 1e-9), action_rate, threshold) as b from (
+ select key, threshold, 10 * avg(event * (1 - act)) + avg(act) as cost, avg(act) as action_rate from (
+ select *, lag(dec, {h}, 0) over (partition by key, threshold order by epoch) as act from (select *, {on} as dec from (
+ select *, max(case when high then epoch end) over (partition by key, threshold order by epoch) as hi, max(case when low and coalesce(plow, false) then epoch end) over (partition by key, threshold order by epoch) as pa from (
+ select *, lag(low) over (partition by key, threshold order by epoch) as plow from (
+ select *, p >= threshold or event = 1 as high, not (p >= threshold or event = 1) and p < {policy.LOW_FACTOR} * threshold as low from (
+ select s.*, threshold from s join (select distinct key, unnest(list_concat([cast(0 as double)], coalesce(quantile_cont(p, [{_GRID_VALUES}]) filter (where epoch < train - {h}), []), [cast(1 as double)])) as threshold
+   from s where train > {h} group by key) c on s.key = c.key where train > {h})))))) where epoch >= {h} group by key, threshold)) where b = 1"""
+
+
+_KINDS = [(kind, delay) for kind in ("predictive", "hybrid") for delay in (0, 1, 2)]
+
+
+@query(_TRAINED + ", s as (select key, epoch, event, train, (cnt + cast(0.5 as double)) / 13.0 as p from t where epoch < train), f as (" + " union all ".join(_search_sql(*x) for x in _KINDS)
+       + ") select key, kind, delay, round(threshold, 6) as threshold, round(cost, 6) as cost, round(action_rate, 6) as action_rate from f")
+def threshold_search_delayed(spark, sf_dir):
+    """The least-cost threshold of a closed-form score, by kind of policy and by the delay of its actions."""
+    t = _trained(spark, sf_dir).select("key", "epoch", F.col("event").alias("target"), "train", ((F.col("cnt") + d(0.5)) / d(13)).alias("p"))
+    out = None
+    for kind, delay in _KINDS:
+        found = policy.search_delayed(t, ["key"], 1 + delay, 10.0, kind).withColumns({"kind": F.lit(kind), "delay": F.lit(delay)})
+        out = found if out is None else out.unionByName(found)
+    return out.select("key", "kind", "delay", "threshold", "cost", "action_rate")
+
+
 @query(None)
 def seeded_controllers(spark, sf_dir):
-    """Seeded schedules, a model per seed, and its policy's coverage with no delay."""
-    e = policy.arrivals_telemetry(readers.arrival_schedules(spark, 100), ["seed", "epoch"])
-    fit = policy.fit_controllers(e, "seed", ["maximum", "cnt"], 30)
-    order = W.partitionBy("seed").orderBy("epoch")
-    acted = fit.withColumn("a", F.coalesce(F.lag("trigger").over(order), F.lit(0))).join(e, ["seed", "epoch"]).where("epoch >= 30")
-    return policy.coverage(acted.withColumn("a", flag(F.col("a") == 1)), ["seed"], "event", "a")
+    """Seeded schedules, two models per seed, and what their policies' requests meet at each delay."""
+    slots = readers.arrival_schedules(spark, 100).persist()
+    e = policy.arrivals_telemetry(slots, ["seed", "epoch"])
+    order, decided = W.partitionBy("seed").orderBy("epoch"), None
+    for kind in ("snapshot", "maximum_count"):
+        x = policy.controller_features(kind)
+        fit = policy.fit_controllers(e.select("seed", "epoch", "event", *x), "seed", [f"x{i}" for i in range(len(x))], 30)
+        acts = F.array(*[F.struct(F.lit(k).alias("delay"), F.coalesce(F.lag("trigger", 1 + k).over(order), F.lit(0)).alias("act")) for k in (0, 1, 2)])
+        acted = fit.join(e, ["seed", "epoch"]).select("seed", "epoch", "event", acts.alias("acts")).where("epoch >= 30")
+        acted = acted.select("seed", "epoch", "event", F.explode("acts").alias("x")).select("seed", "epoch", "event", "x.*", F.lit(kind).alias("policy"))
+        decided = acted if decided is None else decided.unionByName(acted)
+    a = slots.where("n > 0").withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    a = a.select("seed", "epoch", "j", (F.col("slot") * d(policy.SLOT_MS)).alias("a"))
+    k = a.withColumn("k", (F.row_number().over(W.partitionBy("seed", "epoch").orderBy("a", "j")) - 1).cast("long"))
+    return policy.simulate(k, decided, ["seed"], ["policy", "delay"])

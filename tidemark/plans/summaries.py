@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sketch
@@ -14,7 +15,7 @@ from ..sources import readers
 from ..streaming import windows as streaming
 from .adapters import (
     C_X, E_W, E_X, K, L_W, L_X, THRESHOLDS, cpu_windows, event_blocks, event_samples, event_windows, line_resources,
-    resource_blocks, rounded, table,
+    core_blocks, resource_blocks, rounded, shared_folder, table,
 )
 
 QUERIES: dict = {}
@@ -81,6 +82,32 @@ def window_width_sensitivity(spark, sf_dir):
     return windows.complete(windows.widths(e, [30, 60, 120]), ["panel"], "x", 30.0)
 
 
+@query(E_X + """, wx as (select panel, m as minutes, cast(floor(i / (m / 5)) as bigint) as window_id, i % (m // 5) as pos, raw as x from x, (values (30), (60), (120)) v(m)),
+ws as (select panel, minutes, window_id, count(*) as n, max(case when pos = 0 then x end) as first, quantile_cont(x, 0.95) as p95, list(x) as xs from wx group by all having count(*) = minutes / 5),
+we as (select minutes, u as threshold, n, first, p95, len(list_filter(xs, lambda v: v >= u)) as c from ws, (values (cast(50.0 as double)), (100.0), (150.0), (200.0)) t(u))
+select minutes, threshold, count(*) as event_windows, round(avg(cast(first >= threshold as int)), 6) as fixed_recall, round(avg(c / cast(n as double)), 6) as random_recall,
+  round(avg(cast(p95 >= threshold as int)), 6) as p95_recall, cast(1.0 as double) as maximum_recall from we where c > 0 group by all""")
+def width_threshold_recall(spark, sf_dir):
+    x = event_samples(spark, sf_dir).select("panel", "i", F.col("raw").alias("x"))
+    return windows.width_recall(x, ["panel"], [30, 60, 120], [50.0, 100.0, 150.0, 200.0])
+
+
+@query(E_W + " select panel, window_id, round(maximum, 6) as maximum, cnt from w order by panel, window_id limit 40")
+def first_windows(spark, sf_dir):
+    return windows.first_windows(event_blocks(spark, sf_dir).select("panel", "window_id", "maximum", "cnt"), ["panel", "window_id"], 40)
+
+
+#: Entities of the events with a size: panel is the user, cores vary by event.
+_CORES = """with s as (select user_id as panel, row_number() over (partition by user_id order by ts, event_id) - 1 as i, value as x, cast(1 + event_id % 8 as double) as cores from events),
+c as (select panel, cast(floor(i / 12.0) as bigint) as window_id, max(x) as maximum, quantile_cont(cores, 0.5) as cores from s group by all having count(*) = 12)"""
+
+
+@query(_CORES + " select panel, window_id, round(maximum, 6) as maximum, round(cores, 6) as cores, round(log2(greatest(cores, 1)), 6) as core_feature from c")
+def window_cores(spark, sf_dir):
+    b = core_blocks(spark, sf_dir)
+    return b.select("panel", "window_id", "maximum", "cores", core_feature("cores").alias("core_feature"))
+
+
 @query("select cast(floor((event_id % 1000) / 20.0) as bigint) as window_id, count(*) as samples, round(max(value), 6) as maximum from events group by 1")
 def count_windows(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("window_id", floor_id(F.col("event_id") % 1000, 20))
@@ -293,17 +320,18 @@ def sketch_merge(spark, sf_dir):
     rows = merged.groupBy(*keys).agg(F.sum("n").alias("samples"), F.count("*").alias("bins"))
     pairs = sketch.sketch_payload("m")
     same = maps.select(*keys, F.size(pairs).cast("long").alias("map_bins"))
-    return rows.join(same, keys).where("bins = map_bins").select(*keys, "samples", "bins")
+    agree = F.when(F.col("bins") != F.col("map_bins"), F.raise_error(F.lit("rows and map disagree")).cast("long")).otherwise(F.col("bins"))
+    return rows.join(same, keys, "left").select(*keys, "samples", agree.alias("bins"))
 
 
-@query(E_W + " select panel, window_id, round(mean, 6) as mean, round(p95, 6) as exact_p95, round(maximum, 6) as maximum from w")
+@query(E_W + " select panel, window_id, round(mean, 6) as mean, round(p95, 6) as exact_p95, round(maximum, 6) as maximum, round(maximum, 6) as maximum_of_two, cnt as count_of_two from w")
 def state_merge(spark, sf_dir):
-    x = event_windows(spark, sf_dir)
-    keys, out = ["panel", "window_id"], event_blocks(spark, sf_dir).select("panel", "window_id")
-    for m in ("mean", "exact_p95", "maximum"):
-        halves = [sketch.window_state(x.where(c), keys, m) for c in ("pos < 6", "pos >= 6")]
-        out = out.join(sketch.finish_state(sketch.merge_states(*halves, keys, m), keys, m).withColumnRenamed("value", m), keys)
-    return out
+    keys, methods = ["panel", "window_id"], ["mean", "exact_p95", "maximum", "maximum_count"]
+    whole = F.count("*").over(W.partitionBy(*keys)) == K
+    x = event_windows(spark, sf_dir).withColumn("whole", whole).where("whole")
+    merged = sketch.merge_states(*[sketch.window_states(x.where(c), keys, methods, 1.0) for c in ("pos < 6", "pos >= 6")], keys, methods)
+    out = sketch.finish_states(merged, keys, methods)
+    return out.select(*keys, "mean", "exact_p95", "maximum", F.col("maximum_count.maximum").alias("maximum_of_two"), F.col("maximum_count.n").alias("count_of_two"))
 
 
 @query(C_X + _SKETCH + """, b as (select panel, window_id, greatest(count(*) filter (where bucket <> -10000), 1) as bins from k group by all having sum(n) = 12)
@@ -317,7 +345,8 @@ def payload_bytes(spark, sf_dir):
     return t.withColumn("max_count_reduction", fidelity.reduction("max_count_bytes", "raw_bytes")).withColumn("sketch_reduction", fidelity.reduction("sketch_bytes", "raw_bytes"))
 
 
-@query(None)
+@query(E_W + """, j as (select panel, window_id, '{"count":' || cnt || ',"v_max":' || round(maximum, 6) || ',"vm":"' || panel || '","window":' || window_id || '}' as payload from w)
+select panel, window_id, payload, cast(length(payload) as bigint) as bytes from j""")
 def payload_json(spark, sf_dir):
     b = event_blocks(spark, sf_dir)
     text = sketch.json_payload({"vm": "panel", "window": "window_id", "v_max": "maximum", "count": "cnt"})
@@ -357,21 +386,22 @@ def scalar_functions(spark, sf_dir):
     return e.agg(F.avg(logit((v + 1) / 1000)).alias("logit"), F.avg(expit(v / 100)).alias("expit"), F.avg(softplus(v)).alias("softplus"), F.avg(core_feature(v)).alias("cores"), F.avg(clip(v, 10, 50)).alias("clipped"))
 
 
-_HOURS = """select cast(floor(epoch(ts) / 3600.0) as bigint) as window_id, count(*) as rows, round(max(value), 6) as maximum, cast(count(*) filter (where value >= 30) as bigint) as cnt from events group by 1"""
+#: Windows that the watermark has closed: those whose end is not after the last event less ten minutes.
+_HOURS = """select * from (select cast(floor(epoch(ts) / 3600.0) as bigint) as window_id, count(*) as rows, round(max(value), 6) as maximum, cast(count(*) filter (where value >= 30) as bigint) as cnt
+from events group by 1) where (window_id + 1) * 3600 <= (select floor(epoch(max(ts)) * 1000) / 1000 from events) - 600"""
 
 
 def _streamed(spark, sf_dir):
-    """Window states of the events table as a stream, run to its end."""
+    """Window states of the events table as a stream, run to its end: each window once, when the watermark has passed it."""
     from pyspark.errors import PySparkException
 
-    at = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidemark-stream"
-    at = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     s = streaming.window_states(streaming.read_stream(spark, sf_dir, "events"), "ts", "value", 3600, 30.0)
     try:
-        streaming.run_available(s, lambda b, _: b.write.mode("overwrite").parquet(f"{at}/out"), "complete", f"{at}/log")
+        streaming.run_available(s, lambda b, n: b.write.mode("overwrite").parquet(f"{at}/out/batch={n}"), "append", f"{at}/log")
     except PySparkException as e:
         raise RuntimeError("the stream failed") from e
-    return spark.read.parquet(f"{at}/out")
+    return spark.read.parquet(f"{at}/out").drop("batch")
 
 
 @query(f"select window_id, rows, maximum, cnt, cast(cnt > 0 as bigint) as event from ({_HOURS}) where rows = 12")
