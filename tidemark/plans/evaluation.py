@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, core_feature, d, logit, smoothed_rate
 from ..operators import bootstrap, features, metrics, models, windows
-from .adapters import DRAW, E_P, E_T, K, core_blocks, event_blocks, event_scored, event_split, resource_blocks, rounded, table
+from . import newton_sql
+from .adapters import DRAW, E_P, E_T, L_W, K, core_blocks, event_blocks, event_scored, event_split, resource_blocks, rounded, table
 
 QUERIES: dict = {}
 
@@ -238,7 +239,14 @@ def _fit_frame(spark, sf_dir, scheme="maximum_count", family="multi"):
     return t.select("panel", "window_id", "split", "target", logit(clip("prior", 1e-6, 1 - 1e-6)).alias("offset"), *f), names
 
 
-@query(None)
+_OFFSET_X = _FEATURES["offset"]["maximum_count"]
+
+
+@query(E_T + """, kk as (select panel, (sum(target) + 0.5::double) / (count(*) + 1) as prior from t where split = 'train' group by panel),
+sa as (select t.panel, split, target, cast(target as double) as y, ln(prior / (1 - prior)) as o""" + newton_sql.scaled_by(_OFFSET_X, "split = 'train'") + """ from t join kk on t.panel = kk.panel),
+sr as (select * from sa where split = 'train')""" + newton_sql.fit("fit", "sr", 3, offset=True) + f""", y as (select target, 1 / (1 + exp(-({newton_sql.linear(3, True)}))) as p from sa join fit on true where split = 'test'),
+ap as (""" + _AP.format(k="", w="", t="y", g="") + """) select count(*) as rows, cast(sum(target) as bigint) as positives, round(avg(target), 6) as prevalence, round(avg((target - p) * (target - p)), 6) as brier,
+round(avg(target * ln(p) + (1 - target) * ln(1 - p)), 6) as mean_log_score, round(max(v), 6) as average_precision from y, ap""")
 def offset_logistic(spark, sf_dir):
     t, names = _fit_frame(spark, sf_dir, "maximum_count", "offset")
     m = models.fit_logistic(t.where("split = 'train'"), names, offset="offset")
@@ -246,13 +254,20 @@ def offset_logistic(spark, sf_dir):
     return metrics.point_scores(scored, []).join(F.broadcast(metrics.average_precision(scored, [])))
 
 
-@query(None)
+_COEFFICIENTS = {s: _FEATURES["multi"][s] for s in ("persistence", "snapshot", "maximum", "maximum_count")}
+
+
+@query(E_T + ", tt as (select * from t where split = 'train')" + "".join(
+    f", s_{s} as (select cast(target as double) as y{newton_sql.scaled(x)} from tt)" + newton_sql.fit(f"f_{s}", f"s_{s}", len(x)) for s, x in _COEFFICIENTS.items())
+    + " " + " union all ".join(f"select '{s}' as scheme, {i} as term, round(b{i}, 6) as value from f_{s}" for s, x in _COEFFICIENTS.items() for i in range(len(x) + 1)))
 def logistic_coefficients(spark, sf_dir):
+    """(scheme, term, value): term 0 is the intercept."""
     rows = []
-    for scheme in ("persistence", "snapshot", "maximum", "maximum_count"):
+    for scheme in _COEFFICIENTS:
         t, names = _fit_frame(spark, sf_dir, scheme)
         rows.append(models.fit_logistic(t.where("split = 'train'"), names).row(scheme=scheme))
-    return models.coefficient_table(spark, rows)
+    t = models.coefficient_table(spark, rows)
+    return t.select("scheme", F.posexplode(F.concat(F.array("intercept"), "values")).alias("term", "value"))
 
 
 @query(None)
@@ -273,7 +288,23 @@ def panel_disjoint_forecast(spark, sf_dir):
     return out
 
 
-@query(None)
+_RESOURCE_X = _FEATURES["multi"]["maximum_count"]
+#: The same transitions of the orders, by priority.
+_ORDERS_T = E_T.replace("event_type", "o_orderpriority").replace("ts, event_id", "o_orderdate, o_orderkey").replace("value as raw", "o_totalprice as raw").replace("from events", "from orders")
+_MOVED = ", ".join(f"avg(cast({c} as double)) as m{i + 1}, case when coalesce(stddev_pop(cast({c} as double)), 0) = 0 then 1 else stddev_pop(cast({c} as double)) end as v{i + 1}" for i, c in enumerate(_RESOURCE_X))
+_BINS = " + ".join(f"cast(p > {i / 10}::double as int)" for i in range(1, 10))
+
+
+@query(E_T + ", tt as (select * from t where split = 'train'), sr as (select cast(target as double) as y" + newton_sql.scaled(_RESOURCE_X) + " from tt)" + newton_sql.fit("fit", "sr", 3)
+       + f", sc as (select {_MOVED} from tt), oth as ({_ORDERS_T} select * from t where split = 'test'), xs as (select panel, target, "
+       + ", ".join(f"(cast({c} as double) - m{i + 1}) / v{i + 1} as x{i + 1}" for i, c in enumerate(_RESOURCE_X))
+       + f" from oth, sc), y as (select panel, target, 1 / (1 + exp(-({newton_sql.linear(3, False)}))) as p from xs join fit on true), ap as (" + _AP.format(k="panel,", w="partition by panel", t="y", g="group by panel")
+       + f"""), rk as (select *, rank() over (partition by panel order by p) + (count(*) over (partition by panel, p) - 1) / 2.0 as r from y),
+au as (select panel, (sum(case when target = 1 then r end) - sum(target) * (sum(target) + 1) / 2.0) / nullif(sum(target) * (count(*) - sum(target)), 0) as roc_auc from rk group by panel),
+be as (select panel, count(*) as n, abs(avg(p) - avg(target)) as gap from y group by panel, {_BINS}), ec as (select panel, sum(n * gap) / sum(n) as ece_10 from be group by panel),
+ps as (select panel, count(*) as rows, cast(sum(target) as bigint) as positives, avg(target) as prevalence, avg((target - p) * (target - p)) as brier, avg(target * ln(p) + (1 - target) * ln(1 - p)) as mls from y group by panel)
+select panel, rows, positives, round(prevalence, 6) as prevalence, round(brier, 6) as brier, round(mls, 6) as mean_log_score, round(v, 6) as average_precision, round(cast(roc_auc as double), 6) as roc_auc, round(ece_10, 6) as ece_10
+from ps join ap using (panel) join au using (panel) join ec using (panel)""")
 def frozen_transfer(spark, sf_dir):
     """Fitted on the events' panels, scored on the orders' without any refit."""
     from ..operators import clean
@@ -314,7 +345,14 @@ def boosted_trees(spark, sf_dir):
     return metrics.point_scores(score(t.where("split = 'test'")), ["panel"])
 
 
-@query(None)
+@query(L_W + """, o as (select *, row_number() over (partition by panel, resource order by window_id) - 1 as ord, count(*) over (partition by panel, resource) as nw,
+  lead(event) over (partition by panel, resource order by window_id) as target, lead(window_id) over (partition by panel, resource order by window_id) as nxt from w),
+t0 as (select *, case when ord + 1 < floor(cast(0.7 as double) * nw) then 'train' else 'test' end as split from o where nxt = window_id + 1 and nw >= 20),
+t as (select * from t0 where (panel, resource) in (select (panel, resource) from t0 group by panel, resource having count(*) filter (where split = 'train') >= 10 and count(*) filter (where split = 'test') >= 3)),
+sa as (select resource, split, target, cast(target as double) as y""" + newton_sql.scaled_by(_RESOURCE_X, "split = 'train'", "resource") + """ from t),
+sr as (select * from sa where split = 'train')""" + newton_sql.fit("fit", "sr", 3, by="resource") + f""", y as (select resource, target, 1 / (1 + exp(-({newton_sql.linear(3, False)}))) as p from sa join fit using (resource) where split = 'test')
+select resource, count(*) as rows, cast(sum(target) as bigint) as positives, round(avg(target), 6) as prevalence, round(avg((target - p) * (target - p)), 6) as brier,
+round(avg(target * ln(p) + (1 - target) * ln(1 - p)), 6) as mean_log_score from y group by resource""")
 def resource_forecast(spark, sf_dir):
     """Per resource: a model on the training transitions, scored on the test ones."""
     b = features.temporal_split(resource_blocks(spark, sf_dir), ["panel", "resource"], windows=20, train=10, test=3).persist()
