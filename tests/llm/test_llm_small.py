@@ -271,7 +271,7 @@ def test_runs_name_their_source_at_the_greatest_depth(spark):
 def test_hot_keys_are_joined_in_parts(spark):
     many = spark.range(2000).select(F.when(F.col("id") < 1500, 1).otherwise(F.col("id")).alias("k"), "id")
     one = stash(many.groupBy("k").agg(F.count("*").alias("c"), F.max("id").alias("top")), "one")
-    got = join_hot(many, one, ["k"], "c", F.col("id")).collect()
+    got = join_hot(many, one, ["k"], "c", F.col("id"), 2000).collect()
     assert len(got) == 2000 and {(r.k, r.top) for r in got} == {(1, 1499)} | {(i, i) for i in range(1500, 2000)}
 
 

@@ -96,16 +96,16 @@ def from_row(docs: DataFrame, row: str) -> list[Column]:
     return [F.col(f"{row}.c{i}").alias(c) for i, c in enumerate(docs.columns)]
 
 
-def join_hot(many: DataFrame, one: DataFrame, keys: list[str], count: str, spread: Column) -> DataFrame:
-    """Inner join of many with one, which has a row per key and in `count` how many rows of many it meets.
+def join_hot(many: DataFrame, one: DataFrame, keys: list[str], count: str, spread: Column, total: int) -> DataFrame:
+    """Inner join of many with one, which has a row per key and in `count` how many rows of many it meets; total: rows of many, or more.
 
     Hot keys are cut into parts of a thousandth of all rows: rows of many go to one by `spread`, and one's row is
-    repeated for each. Hot keys are at most HOT_SHARE, so their list is broadcast. one should be written or cached.
+    repeated for each. The HOT_SHARE keys of most rows hold all that are hot; their parts, one for those that aren't, are broadcast.
     """
-    each = F.greatest(F.lit(64), F.ceil((one.agg(F.sum(count)).first()[0] or 0) / F.lit(HOT_SHARE)))
+    each = F.lit(max(64, -(-total // HOT_SHARE)))
     parts = F.when(F.col(count) > each, F.ceil(F.col(count) / each)).otherwise(1).cast("int")
     one = one.withColumn("__parts", parts)
-    hot = F.broadcast(one.where("__parts > 1").select(*keys, F.col("__parts").alias("__of")))
+    hot = F.broadcast(one.select(*keys, F.col("__parts").alias("__of"), count).orderBy(F.desc(count)).limit(HOT_SHARE).drop(count))
     many = many.join(hot, keys, "left").withColumn("__part", F.pmod(spread, F.coalesce("__of", F.lit(1)))).drop("__of")
     one = one.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts", count)
     return many.withColumn("__part", F.col("__part").cast("int")).join(one, [*keys, "__part"]).drop("__part")

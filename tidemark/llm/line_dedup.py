@@ -1,6 +1,6 @@
 """Line dedup: a suffix array over line ids by distributed prefix doubling (native).
 
-Lines get ranks in the order of their digests; ranks of twice as many lines follow by ranking pairs, until no suffix
+Lines get ranks by their digests; ranks of twice as many lines follow by ranking pairs, until no suffix
 shares its prefix with another. Suffixes of one rank at a depth are a longest-common-prefix interval: a run of so many
 lines that occurs more than once. All but the first of an interval are later copies, and the lines they cover go.
 """
@@ -30,16 +30,16 @@ def _lines(docs: DataFrame, long_words: int | None) -> DataFrame:
     return e.select(*DOC, "no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), F.col("line")).alias("b"), long.alias("long"))
 
 
-def _ranked(df: DataFrame) -> DataFrame:
-    """df (id, digest, no, a, b, ..) with a rank per distinct (a, b) in their order, and the first place that has it.
+def _ranked(df: DataFrame, total: int) -> DataFrame:
+    """df (id, digest, no, a, b, ..) with a rank per distinct (a, b), and the first place that has it; total: rows of df, or more.
 
     Rows whose pair occurs once are left out. Pairs are counted before the shuffle, and hot ones are joined in parts,
-    so a line that a third of all rows hold is no task of its own. A rank is the number of a range and the place in it.
+    so a line that a third of all rows hold is no task of its own. Ranks order pairs by their hash partition and in that by
+    value: equal prefixes are neighbours in that order, which is all that common prefixes need.
     """
     found = df.groupBy("a", "b").agg(F.count("*").alias("times"), F.min(_at()).alias("first")).where("times > 1")
-    found = found.repartitionByRange("a", "b").sortWithinPartitions("a", "b").withColumn("rank", F.monotonically_increasing_id())
-    ranked = join_hot(df, stash(found, "ranks"), ["a", "b"], "times", F.xxhash64("id", "digest", "no"))
-    return ranked.drop("a", "b")
+    found = found.sortWithinPartitions("a", "b").withColumn("rank", F.monotonically_increasing_id())
+    return join_hot(df, found, ["a", "b"], "times", F.xxhash64("id", "digest", "no"), total).drop("a", "b")
 
 
 def _pairs(cur: DataFrame, step: int) -> DataFrame:
@@ -61,18 +61,20 @@ def copies(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None =
     cover the maximal runs. Depths under min_lines make no copies, but for single lines of long_words words.
     """
     # Splitting the texts is the dear part: lines are written once, as digests.
-    cur = _ranked(stash(_lines(docs, long_words), "lines")).distinct()
+    lines = stash(_lines(docs, long_words), "lines")
+    cur = _ranked(lines, lines.count()).distinct()
     out, depth = [], 1
     while True:
         cur = stash(cur, "suffixes")
-        if cur.isEmpty():
+        left = cur.count()
+        if not left:
             break
         if depth >= min_lines:
             out.append(_later(cur, depth))
         elif depth == 1 and long_words is not None:
             out.append(_later(cur.where("long"), 1))
         step = depth if depth >= min_lines else min(depth, min_lines - depth)
-        cur = _ranked(_pairs(cur, step))
+        cur = _ranked(_pairs(cur, step), left)
         depth += step
     if not out:
         return _later(cur, depth)

@@ -113,14 +113,13 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = lambda d: tuple(d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     last = mark(e)
-    star = lambda d, least: join_hot(d, least, ["u"], "times", F.xxhash64("v"))
+    star = lambda d, least, n: join_hot(d, least, ["u"], "times", F.xxhash64("v"), n)
     while last[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("times")))
-        large = star(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times")))
-        small_star = star(large, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("times"))
+        large = star(both, least, 2 * last[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times"))
+        small_star = star(large, least, 2 * last[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small_star.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = mark(e)
         if now == last:
@@ -278,7 +277,7 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
         "key", "times", F.col("top.root").alias("most"), blocks(F.col("top.n"), F.col("top.bytes")).alias("ours"),
         blocks(F.col("times") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("others"),
     )
-    at = join_hot(rows, cut(groups.where("others > 0")), ["key"], "times", F.xxhash64("id"))
+    at = join_hot(rows, cut(groups.where("others > 0")), ["key"], "times", F.xxhash64("id"), rows.count())
     ours = F.col("root") == F.col("most")
     at = at.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(ours, F.col("ours")).otherwise(F.col("others"))).cast("int"))
     pair = lambda a, b: F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
@@ -347,14 +346,14 @@ def near_duplicates(
 
     keys = _keys(reps, chunks)
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
-    shared = stash(join_hot(keys, stash(buckets, "keys"), ["key"], "size", F.xxhash64("id")).select("key", "hub", "id"), "buckets")
+    shared = stash(join_hot(keys, stash(buckets, "keys"), ["key"], "size", F.xxhash64("id"), SIZE * reps.count()).select("key", "hub", "id"), "buckets")
     # First each member is tried against the hub that it shares most buckets with; the rest comes below.
     stars = shared.where("hub <> id").groupBy("hub", "id").agg(F.count("*").alias("times"))
     stars = stars.groupBy("id").agg(F.max(F.struct("times", -F.col("hub"))).alias("best")).select("id", (-F.col("best")["col2"]).alias("hub"))
     sig = reps.select("id", "sig")
     stars = cut(stars)
     hubs = stars.groupBy("hub").agg(F.count("*").alias("times")).join(sig.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-    stars = cut(_near(join_hot(stars.join(sig, "id"), stash(hubs, "hubs"), ["hub"], "times", F.xxhash64("id")), bound))
+    stars = cut(_near(join_hot(stars.join(sig, "id"), cut(hubs), ["hub"], "times", F.xxhash64("id"), stars.count()), bound))
     sets = _sets(d, stars.select("id").union(stars.select("hub")).distinct(), words)
     links = cut(_confirm(stars, sets, num, den))
     roots = components(links)
@@ -362,7 +361,7 @@ def near_duplicates(
     # Buckets that still hold several components, in blocks where they are large.
     at = stash(shared.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "open")
     split = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
-    open_ = join_hot(at, stash(split, "split"), ["key"], "size", F.xxhash64("id")).withColumn("bytes", F.lit(SIZE * 2))
+    open_ = join_hot(at, cut(split), ["key"], "size", F.xxhash64("id"), at.count()).withColumn("bytes", F.lit(SIZE * 2))
     near = cut(_candidates(_in_blocks(open_).join(sig, "id"), bound).distinct())
     # What is near by any bucket is one cluster; each of its members brings its set once.
     clusters = components(near).withColumnRenamed("root", "key")
