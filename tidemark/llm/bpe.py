@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding.
 
 Texts are cut into pieces by the vocabulary's pattern; a piece that is a token needs no merges. The other distinct
-pieces of the corpus are folded once each by Spark higher-order functions, which look up ranks of byte strings in a
-map that is read once, as a scalar subquery, and reaches tasks as a literal: plans stay small whatever the vocabulary.
+pieces of the corpus are folded once each by Spark higher-order functions, from their bytes on, which look up ranks of
+joined pairs in a map that is read once, as a scalar subquery, and reaches tasks as a literal: plans stay small whatever
+the vocabulary.
 A block of documents then meets the ids of its own pieces only, so no dictionary grows with the corpus.
 Decoding concatenates the tokens' bytes.
 """
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import blocks_of, give_back, packed, parts_for, received, same_on_every_reading, shipped, unpacked
+from .common import quoted
 
 #: Text of a block, in bytes. A block's texts and pieces are in one task's memory together; one longer text is a block.
 BLOCK_BYTES = 12 << 20
@@ -126,63 +128,63 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in parts if x is not None]
 
 
-def slots_of(ranks: dict[bytes, int]) -> int:
-    return 1 << max(1, len(ranks).bit_length() - 2)
+def byte_ids(ranks: dict[bytes, int]) -> list[int]:
+    """The id of each single byte; a byte-level vocabulary has them all."""
+    return [ranks[bytes((b,))] for b in range(256)]
+
+
+#: Slots of the rank map, and the factor that spreads pairs over them.
+SLOTS, SPREAD = 1 << 17, 40503
 
 
 def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    """array<map<string, int>>: small maps by CRC-32 of their strings of bytes (a character each), as a scalar subquery."""
-    size = slots_of(ranks)
-    slots: list[dict[str, int]] = [{} for _ in range(size)]
+    """array<map<bigint, int>>: by slot, the rank of every pair of tokens that join to a token; a scalar subquery."""
+    slots: list[dict[int, int]] = [{} for _ in range(SLOTS)]
     for token, rank in ranks.items():
-        key = token.decode("latin-1")
-        slots[zlib.crc32(key.encode()) & (size - 1)][key] = rank
-    one = spark.createDataFrame([(json.dumps(slots, separators=(",", ":")),)], "ranks string")
-    return one.select(F.from_json("ranks", "array<map<string,int>>").alias("ranks")).scalar()
+        for cut in range(1, len(token)):
+            a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if a is not None and b is not None:
+                slots[(a * SPREAD + b) & (SLOTS - 1)][a << 32 | b] = rank
+    one = spark.createDataFrame([(json.dumps(slots, separators=(",", ":")),)], "ranks string").select(F.from_json("ranks", "array<map<string,int>>").alias("ranks"))
+    return one.select(F.transform("ranks", lambda m: F.transform_keys(m, lambda k, _: k.cast("bigint"))).alias("ranks")).scalar()
+
 
+def rank_lookup(slots: Column) -> Callable[[Column, Column], Column]:
+    """Rank of two tokens joined, null where they are no token or one is missing."""
+    def rank(a: Column, b: Column) -> Column:
+        slot = (a * F.lit(SPREAD).cast("bigint") + b).bitwiseAND(F.lit(SLOTS - 1).cast("bigint")).cast("int")
+        return F.try_element_at(F.get(slots, slot), a * F.lit(1 << 32) + b)
 
-def rank_lookup(slots: Column, size: int) -> Callable[[Column], Column]:
-    """Rank of a string of bytes, null where it has none."""
-    return lambda x: F.try_element_at(F.get(slots, F.crc32(x.cast("binary")).bitwiseAND(F.lit(size - 1)).cast("int")), x)
+    return rank
 
 
-def fold_merges(text: Column, rank: Callable[[Column], Column]) -> Column:
-    """Ids of a string of bytes (a character each), folded by merging the pair of least rank, leftmost first, until none has one.
+def fold_merges(start: Column, rank: Callable[[Column, Column], Column]) -> Column:
+    """Ids of a piece from those of its bytes, folded by joining the pair of least rank, leftmost first, until none has one.
 
-    The state is where each part starts, with the end last, and the rank of each part joined to the next. text should be
-    a column or a lambda's value, for an expression would be computed anew at each look-up.
+    The state is the parts' ids and the rank of each part joined to the next, none for the last; a joined pair's id is
+    its rank. start should be a column or a lambda's value, for an expression would be computed anew at each look-up.
     """
     none = F.lit(2**31 - 1)
-    empty = F.array().cast("array<int>")
     # The one-element transforms name a value, so that it is computed once.
     let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    pair = lambda ids, i: F.coalesce(rank(F.get(ids, i - 1), F.get(ids, i)), none)  # noqa: E731  the i-th part, from 1, and the next
 
-    def pair_rank(starts: Column, i: Column) -> Column:
-        """Of the i-th part (from 1) and the one after it; there is none after the last."""
-        begin, end = F.get(starts, i - 1), F.get(starts, i + 1)
-        return F.coalesce(rank(F.substring(text, begin, end - begin)), none)
-
-    def merged(state: Column, k: Column) -> Column:
+    def merged(state: Column, k: Column, least: Column) -> Column:
         old = state["ranks"]
-        starts = F.concat(F.slice(state["starts"], F.lit(1), k), F.slice(state["starts"], k + 2, F.size(old)))
+        ids = F.concat(F.slice(state["ids"], F.lit(1), k - 1), F.array(least), F.slice(state["ids"], k + 2, F.size(old)))
         around = F.when(k > 1, F.array(k - 1, k)).otherwise(F.array(k))
-        return let(starts, lambda s: F.struct(
-            s.alias("starts"),
-            F.concat(F.slice(old, F.lit(1), F.greatest(k - 2, F.lit(0))), F.transform(around, lambda i: pair_rank(s, i)),
-                     F.slice(old, k + 2, F.size(old))).alias("ranks"),
+        return let(ids, lambda now: F.struct(
+            now.alias("ids"),
+            F.concat(F.slice(old, F.lit(1), F.greatest(k - 2, F.lit(0))), F.transform(around, lambda i: pair(now, i)), F.slice(old, k + 2, F.size(old))).alias("ranks"),
         ))
 
     def step(state: Column, _: Column) -> Column:
         return let(F.array_min(state["ranks"]), lambda least: F.when(least == none, state).otherwise(
-            let(F.array_position(state["ranks"], least).cast("int"), lambda k: merged(state, k))))
+            let(F.array_position(state["ranks"], least).cast("int"), lambda k: merged(state, k, least))))
 
-    n = F.length(text)
-    places = F.sequence(F.lit(1), n + 1)
-    pairs = F.transform(F.slice(places, F.lit(1), n - 1), lambda i: F.coalesce(rank(F.substring(text, i, F.lit(2))), none))
-    start = F.struct(places.alias("starts"), F.concat(pairs, F.array(none)).alias("ranks"))
-    rounds = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(empty)
-    ends = F.aggregate(rounds, start, step, lambda s: s["starts"])
-    return let(ends, lambda s: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda b, i: rank(F.substring(text, b, F.get(s, i + 1) - b))))
+    first = F.struct(start.alias("ids"), F.transform(start, lambda x, i: F.coalesce(rank(x, F.get(start, i + 1)), none)).alias("ranks"))
+    rounds = F.when(F.size(start) > 1, F.sequence(F.lit(2), F.size(start))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(rounds, first, step, lambda s: s["ids"])
 
 
 def _put(items: list[bytes]) -> bytes:
@@ -325,10 +327,13 @@ def _folded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     A part holds a share of the distinct pieces, each with at most one row per block, never one per occurrence.
     """
 
+    single = byte_ids(ranks)
+
     def meet(rows: pa.Table) -> pa.Table:
-        """Rows of FOLD_ROWS distinct pieces, and who has each: (block, its sum, place in the block's list), packed."""
+        """Rows of FOLD_ROWS distinct pieces as ids of their bytes, and who has each: (block, its sum, place in the block's list), packed."""
         import numpy as np
 
+        of_byte = np.array(single, np.int32)
         seen: dict[bytes, int] = {}
         codes = [np.array([seen.setdefault(p, len(seen)) for p in _taken(b)], np.int64) for b in rows.column("blob").to_pylist()]
         sizes = [len(c) for c in codes]
@@ -343,7 +348,9 @@ def _folded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             for i, j in zip(cuts, cuts[1:], strict=False)
         ]
         part = pa.array([rows.column("part")[0].as_py()] * len(owners), pa.int32())
-        lists = pa.ListArray.from_arrays(pa.array(cuts[: len(owners)] + [len(seen)] if owners else [0], pa.int32()), pa.array(list(seen), pa.binary()))
+        begin = np.cumsum([0, *map(len, seen)])
+        each = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(of_byte[np.frombuffer(b"".join(seen), np.uint8)]))
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), each)
         out = pa.table([part, lists, pa.array(owners, pa.binary())], names=["part", "pieces", "owners"])
         del seen, codes, code, order
         give_back()
@@ -374,14 +381,11 @@ def _folded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["block", "part", "sum", "blob"])
         give_back()
 
-    distinct = pieces.groupBy("part").applyInArrow(meet, "part int, pieces array<binary>, owners binary")
-    size = slots_of(ranks)
+    distinct = pieces.groupBy("part").applyInArrow(meet, "part int, pieces array<array<int>>, owners binary")
     # The map is a column of these rows, each with many pieces: a subquery can't stand within a higher-order function.
-    texts = distinct.select(
-        "part", "owners", F.transform("pieces", lambda p: F.decode(p, "ISO-8859-1")).alias("texts"), rank_map(pieces.sparkSession, ranks).alias("ranks")
-    )
-    ids = F.transform("texts", lambda t: fold_merges(t, rank_lookup(F.col("ranks"), size)))
-    return texts.select("part", "owners", ids.alias("ids")).mapInArrow(pack, "block long, part int, sum long, blob binary")
+    rows = distinct.select("part", "owners", "pieces", rank_map(pieces.sparkSession, ranks).alias("ranks"))
+    ids = F.transform("pieces", lambda p: fold_merges(p, rank_lookup(F.col("ranks"))))
+    return rows.select("part", "owners", ids.alias("ids")).mapInArrow(pack, "block long, part int, sum long, blob binary")
 
 
 def encode(
@@ -397,8 +401,8 @@ def encode(
     a further column with the ids' bytes, made by the same worker.
     """
     carried = [c for c in docs.columns if c != text]
-    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)]) if carried else F.struct(F.lit(0).alias("c0"))
-    docs = same_on_every_reading(docs.select(F.col(text).cast("string").alias("__text"), row.alias("__row")))
+    row = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(carried)]) if carried else F.struct(F.lit(0).alias("c0"))
+    docs = same_on_every_reading(docs.select(quoted(text).cast("string").alias("__text"), row.alias("__row")))
     parts, spaced = parts_for(docs, "__text", PART_BYTES), pattern in SPACED_PATTERNS
     words = _folded(_pieces(docs, list(ranks), pattern, parts), ranks)
     fields = [T.StructField("__row", docs.schema["__row"].dataType), T.StructField(ids, T.ArrayType(T.IntegerType()))]

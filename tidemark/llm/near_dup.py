@@ -105,26 +105,28 @@ def chunk_keys(sig: np.ndarray, chunks: int) -> np.ndarray:
     return _mix(whole[:, of] - each + _constants(size, 4)[None, :])
 
 
+def _unfinished(e: DataFrame) -> int:
+    """The edges (u, v) with u > v if they are no stars yet, else 0: in stars a u has one edge and is no v."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("n")
+    nodes = e.select(ends).groupBy("n.x").agg(F.sum("n.up").alias("ups"), F.min("n.up").alias("least"))
+    wrong, twice = nodes.agg(F.count_if((F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("least") == 0))), F.sum("ups")).first()
+    return int(twice) if wrong else 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the least id of each connected component, from edges (a, b), by alternating large and small stars.
 
     Every round is written to the checkpoint folder; hubs are aggregated before the shuffle and nothing is collected.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = lambda d: tuple(d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-    last = mark(e)
     star = lambda d, least, n: join_hot(d, least, ["u"], "times", F.xxhash64("v"), n)
-    while last[0]:
+    while (n := _unfinished(e)):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("times"))
-        large = star(both, least, 2 * last[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = star(both, least, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times"))
-        small_star = star(large, least, 2 * last[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small_star = star(large, least, 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small_star.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = mark(e)
-        if now == last:
-            break
-        last = now
     return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
@@ -339,9 +341,10 @@ def near_duplicates(
     profile = stash(_profile(d, words), "profile")
     known = profile.where("id is not null")
     # Documents of equal sets are one class, named by its least id; copies go no further.
-    classes = known.where("n > 0").groupBy("digest").agg(F.min("id").alias("class"))
-    members = known.join(classes, "digest", "left").select("id", F.coalesce("class", "id").alias("class"), "n")
-    members = members.dropDuplicates(["id"])
+    some = known.where("n > 0")
+    classes = some.groupBy("digest").agg(F.min("id").alias("class"), F.count("*").alias("times"))
+    members = join_hot(some.select("id", "n", "digest"), classes, ["digest"], "times", F.xxhash64("id"), profile.count()).select("id", "class", "n")
+    members = members.unionByName(known.where("n = 0").select("id", F.col("id").alias("class"), "n")).dropDuplicates(["id"])
     reps = stash(known.join(classes.select(F.col("class").alias("id")), "id").dropDuplicates(["id"]).select("id", "sig", "n"), "reps")
 
     keys = _keys(reps, chunks)
