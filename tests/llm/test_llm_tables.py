@@ -136,7 +136,7 @@ def test_op10_packs_as_by_hand(spark, texts):
 
 def test_very_long_texts(spark):
     rng = random.Random(31)
-    long = "\n".join(prose(rng, 8) for _ in range(16_000))
+    long = "\n".join(prose(rng, 8) for _ in range(20_000))
     assert len(long) > 1_000_000
     docs = {0: long, 1: "own words " + long[:600_000] + "\npassword: hunter22", 2: prose(rng, 30), 3: long, 4: None}
     df = frame(spark, list(docs.values()))
@@ -148,7 +148,7 @@ def test_very_long_texts(spark):
     assert {r.doc_id: (r.text or "", r.n_lines, r.n_removed) for r in line_dedup.line_dedup(df).collect()} == lines
     items = spark.createDataFrame([(1, " ".join(long.split()[5000:5012])), (2, prose(rng, 12))], "item_id long, text string")
     hits = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.contamination(df, items).collect()}
-    assert hits == {0: (128_000, 12), 1: (len(docs[1].split()), 12), 2: (30, 0), 3: (128_000, 12), 4: (0, 0)}
+    assert hits == {0: (160_000, 12), 1: (len(docs[1].split()), 12), 2: (30, 0), 3: (160_000, 12), 4: (0, 0)}
     found = {r.doc_id: r.spans for r in secret_scan.secret_report(secret_scan.find_secrets(df)).collect()}
     at = docs[1].index("password")
     assert found == {0: "", 1: f"assign:{at}:{at + 18}", 2: "", 3: "", 4: ""}
