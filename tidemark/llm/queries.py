@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
+from .alignment import aligned_texts, alignment_report, read_byte_level
 from .common import shared_path, stash, table
 from .decontaminate import contamination, contamination_report
 from .line_dedup import line_dedup
 from .lm import score_texts
 from .near_dup import near_duplicates
 from .packing import read_packed, tokenised, write_packed
+from .periodic import periodic_runs, planted_tail, run_report
 from .quality import quality_rules
 from .secret_scan import find_secrets, secret_report
 from .suffix_dedup import suffix_dedup
@@ -82,6 +84,19 @@ def op10_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packed(spark, path)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = read_byte_level(P.path("byte_bpe_50k.json"))
+    return alignment_report(aligned_texts(docs, ranks, P.PATTERN, P.path("piece_bpe_32k.model")), docs.select("doc_id", "text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return run_report(periodic_runs(docs, rewrite=planted_tail), docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
