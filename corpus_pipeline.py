@@ -12,7 +12,7 @@ from tidemark.llm import bpe
 from tidemark.llm.common import as_row, cut, from_row, shared_path, small, table
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.line_dedup import dedup_rows, rows_of
-from tidemark.llm.near_dup import near_duplicates
+from tidemark.llm.near_dup import near_rows
 from tidemark.llm.quality import kept_rows
 
 #: A line of so many words is a repeated passage by itself.
@@ -34,15 +34,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in gone (doc_id); null ids stay."""
-    gone = small(cut(gone.select(F.col("doc_id").alias("gone")).distinct()))
-    rows = docs.select(as_row(docs).alias("row"), F.col("doc_id").alias("id"))
-    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select(*from_row(docs, "row"))
+    """docs without the rows whose doc_id and text's mark (xxhash64) are in gone (id, mark); null ids stay."""
+    gone = small(cut(gone.select(F.col("id").alias("gone"), F.col("mark").alias("gone_mark")).distinct()))
+    rows = docs.select(as_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
+    same = (F.col("id") == F.col("gone")) & (F.col("mark") == F.col("gone_mark"))
+    return rows.join(gone, same, "left_anti").select(*from_row(docs, "row"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with five-word shingles of similarity 0.8 or more stays: that of the least id."""
-    return _without(docs, near_duplicates(docs, words=5, num=80, den=100).where(~F.col("kept")))
+    """One document of each group with five-word shingles of similarity 0.8 or more stays: that of the least id.
+
+    Rows go one by one: another text under the id of a copy stays. An id that is no number fails the run.
+    """
+    return _without(docs, near_rows(docs, words=5, num=80, den=100).where("id <> component_id"))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ def test_matches_sql(spark, name):
 
 
 def test_each_operator_has_one_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
 
 
 def test_pipeline(spark, tmp_path):

@@ -130,8 +130,14 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
+def keyed(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(id, mark, text): rows of one id with different texts differ in their mark."""
+    d = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    return d.select("id", F.xxhash64("text").alias("mark"), "text")
+
+
 def _profile(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n, digest, sig) per row."""
+    """(id, mark, n, digest, sig) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -140,16 +146,40 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = [shingles(t) for t in part.column(1).to_pylist()]
+                sets = [shingles(t) for t in part.column(2).to_pylist()]
                 sig = signatures(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                    [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                      pa.array([s.tobytes() for s in sig], pa.binary())],
-                    ["id", "n", "digest", "sig"],
+                    ["id", "mark", "n", "digest", "sig"],
                 )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, digest binary, sig binary")
+    return docs.select("id", "mark", "text").mapInArrow(run, "id long, mark long, n long, digest binary, sig binary")
+
+
+def classes_of(profile: DataFrame, carry: list[str]) -> DataFrame:
+    """(id, digest, times, least, mark, carry): a number for each set that rows with an id have, and the row that stands for it.
+
+    profile: id, mark, n, digest and what equal sets have in common (carry). Numbers are fixed by writing them.
+    """
+    some = profile.where("n > 0 and id is not null")
+    c = some.groupBy("digest").agg(
+        F.min(F.struct("id", "mark")).alias("at"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in carry])
+    number = F.monotonically_increasing_id().alias("id")
+    return stash(c.select(number, "digest", "times", F.col("at.id").alias("least"), F.col("at.mark").alias("mark"), *carry), "classes")
+
+
+def labelled(profile: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, mark, n_shingles, component_id) per row of profile, from classes and the roots (id, root) of those that are linked."""
+    at = classes.select("id", "digest", "times", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    at = cut(at)
+    least = cut(at.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("many")))
+    labels = join_hot(at, least, ["root"], "many", F.xxhash64("id"), at.count()).select("digest", "times", "component_id")
+    some = profile.where("n > 0 and id is not null").select("id", "mark", "n", "digest")
+    found = join_hot(some, cut(labels), ["digest"], "times", F.xxhash64("id", "mark"), profile.count())
+    rest = profile.where("n = 0 or id is null").select("id", "mark", "n", F.col("id").alias("component_id"))
+    return found.select("id", "mark", "n", "component_id").union(rest).withColumnRenamed("n", "n_shingles")
 
 
 def _keys(reps: DataFrame, chunks: int) -> DataFrame:
@@ -166,8 +196,8 @@ def _keys(reps: DataFrame, chunks: int) -> DataFrame:
     return reps.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, set) of the given documents; an id that repeats does no harm below."""
+def sets_of(docs: DataFrame, ids: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(id, set) of the given classes, from the rows that stand for them; rows that repeat do no harm below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
@@ -175,8 +205,9 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             sets = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
-    found = docs.select("id", "text").join(small(ids), "id").mapInArrow(run, "id long, set binary")
-    return stash(found, "sets")
+    rows = classes.select(F.col("id").alias("class"), F.col("least").alias("id"), "mark").join(ids.select(F.col("id").alias("class")), "class")
+    found = docs.join(small(cut(rows)), ["id", "mark"]).select(F.col("class").alias("id"), "text")
+    return stash(found.mapInArrow(run, "id long, set binary"), "sets")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -184,7 +215,7 @@ def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(a) + len(b) - common)
 
 
-def _confirm(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def confirm(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): the pairs (hub, id) that are links. A hub's set comes before its members' and is held alone.
 
     A hub with many members is dealt to several tasks, each with a copy of its set.
@@ -213,7 +244,7 @@ def _confirm(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return near.mapInArrow(run, "a long, b long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+def groups_in(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Runs of rows with equal first `keys` columns, from sorted batches."""
     held: list[pa.RecordBatch] = []
     last = None
@@ -240,7 +271,7 @@ def _candidates(rows: DataFrame, bound: int) -> DataFrame:
     """(a, b): within each block pair of a bucket, spanning links of the members of different components that are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, 3):
+        for t in groups_in(batches, 3):
             root, ids = t.column("root").to_numpy(), t.column("id").to_numpy()
             if len(root) < 2 or (root == root[0]).all():
                 continue
@@ -264,7 +295,7 @@ def _candidates(rows: DataFrame, bound: int) -> DataFrame:
     return at.select("key", "lo", "hi", "id", "root", "sig").mapInArrow(run, "a long, b long")
 
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
+def in_blocks(rows: DataFrame) -> DataFrame:
     """Rows (key, id, root, bytes) with lo and hi: blocks of a group that meet.
 
     Members of a group's commonest root need not meet each other: each of their blocks meets each block of the others, and
@@ -293,7 +324,7 @@ def _within(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): links that join the components within each block pair, at most one for each member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, 3):
+        for t in groups_in(batches, 3):
             ids, roots = t.column("id").to_pylist(), t.column("root").to_pylist()
             sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
             lead = {r: r for r in roots}
@@ -326,26 +357,15 @@ def _within(rows: DataFrame, num: int, den: int) -> DataFrame:
     return at.select("key", "lo", "hi", "id", "root", "set").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """(doc, n_shingles, component_id, kept) per row of docs.
-
-    Linked are documents whose sets of `words`-word shingles have den * common >= num * united. component_id is the
-    least id that can be reached, kept says that it is the row's own. Texts without words (or null) have an empty set
-    and no links. Rows of one id are one document; rows with a null id have no links, a null component and are kept.
-    """
+def near_rows(docs: DataFrame, words: int, num: int, den: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, mark, n_shingles, component_id) per row of docs, as near_duplicates() says; mark: xxhash64 of the row's text."""
     bound = distance_bound(num / den)
     chunks = bound // 2 + 1
-    d = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    d = keyed(docs, doc, text)
     profile = stash(_profile(d, words), "profile")
-    known = profile.where("id is not null")
-    # Documents of equal sets are one class, named by its least id; copies go no further.
-    some = known.where("n > 0")
-    classes = some.groupBy("digest").agg(F.min("id").alias("class"), F.count("*").alias("times"))
-    members = join_hot(some.select("id", "n", "digest"), classes, ["digest"], "times", F.xxhash64("id"), profile.count()).select("id", "class", "n")
-    members = members.unionByName(known.where("n = 0").select("id", F.col("id").alias("class"), "n")).dropDuplicates(["id"])
-    reps = stash(known.join(classes.select(F.col("class").alias("id")), "id").dropDuplicates(["id"]).select("id", "sig", "n"), "reps")
+    # Rows of equal sets are one class; copies go no further.
+    classes = classes_of(profile, ["sig", "n"])
+    reps = classes.select("id", "sig", "n")
 
     keys = _keys(reps, chunks)
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
@@ -357,32 +377,42 @@ def near_duplicates(
     stars = cut(stars)
     hubs = stars.groupBy("hub").agg(F.count("*").alias("times")).join(sig.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
     stars = cut(_near(join_hot(stars.join(sig, "id"), cut(hubs), ["hub"], "times", F.xxhash64("id"), stars.count()), bound))
-    sets = _sets(d, stars.select("id").union(stars.select("hub")).distinct(), words)
-    links = cut(_confirm(stars, sets, num, den))
+    sets = sets_of(d, stars.select("id").union(stars.select("hub")).distinct(), classes, words)
+    links = cut(confirm(stars, sets, num, den))
     roots = components(links)
 
     # Buckets that still hold several components, in blocks where they are large.
     at = stash(shared.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "open")
     split = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
     open_ = join_hot(at, cut(split), ["key"], "size", F.xxhash64("id"), at.count()).withColumn("bytes", F.lit(SIZE * 2))
-    near = cut(_candidates(_in_blocks(open_).join(sig, "id"), bound).distinct())
+    near = cut(_candidates(in_blocks(open_).join(sig, "id"), bound).distinct())
+    more = within_clusters(near, roots, d, classes, words, num, den)
+    return labelled(profile, classes, components(links.union(more)))
+
+
+def within_clusters(near: DataFrame, roots: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(a, b): links that join components of clusters, which are what the pairs `near` (a, b) connect."""
     # What is near by any bucket is one cluster; each of its members brings its set once.
     clusters = components(near).withColumnRenamed("root", "key")
     clusters = clusters.union(clusters.select(F.col("key").alias("id"), "key").distinct())
     clusters = clusters.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    clusters = cut(clusters.join(reps.select("id", (F.col("n") * 8).alias("bytes")), "id"))
-    sets = _sets(d, clusters.select("id"), words)
-    more = _within(_in_blocks(clusters).join(sets, "id"), num, den)
-    roots = components(links.union(more))
-
-    found = members.join(roots.withColumnRenamed("id", "class"), "class", "left")
-    found = found.select("id", F.col("n").alias("n_shingles"), F.coalesce("root", "class").alias("component_id"))
-    rows = profile.select(F.col("id").alias("row"), F.col("n").alias("row_n"))
-    out = rows.join(found, rows["row"] == found["id"], "left")
-    return out.select(
-        F.col("row").alias(doc), F.coalesce("n_shingles", "row_n").alias("n_shingles"), "component_id",
-        F.coalesce(F.col("row") == F.col("component_id"), F.lit(True)).alias("kept"),
-    )
+    clusters = cut(clusters.join(classes.select("id", (F.col("n") * 8).alias("bytes")), "id"))
+    sets = sets_of(docs, clusters.select("id"), classes, words)
+    return _within(in_blocks(clusters).join(sets, "id"), num, den)
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(doc, n_shingles, component_id, kept) per row of docs.
+
+    Linked are rows whose sets of `words`-word shingles have den * common >= num * united. component_id is the least id
+    that can be reached, kept says that it is the row's own. Texts without words (or null) have an empty set and no
+    links. Rows of one id with different texts are linked and judged each by its text; rows that repeat both are kept or
+    not together. Rows with a null id have no links, a null component and are kept. Ids that are no numbers fail the query.
+    """
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return near_rows(docs, words, num, den, doc, text).select(F.col("id").alias(doc), "n_shingles", "component_id", kept)
 
 
 def _near(pairs: DataFrame, bound: int) -> DataFrame:

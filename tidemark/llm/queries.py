@@ -16,6 +16,7 @@ from .lm import score_texts
 from .near_dup import near_duplicates
 from .packing import read_packed, tokenised, write_packed
 from .periodic import periodic_runs, planted_tail, run_report
+from .prefix_join import jaccard_components
 from .quality import quality_rules
 from .secret_scan import find_secrets, secret_report
 from .suffix_dedup import suffix_dedup
@@ -92,6 +93,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_report(aligned_texts(docs, ranks, P.PATTERN, P.path("piece_bpe_32k.model")), docs.select("doc_id", "text"))
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return run_report(periodic_runs(docs, rewrite=planted_tail), docs)
