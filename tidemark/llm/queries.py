@@ -156,15 +156,16 @@ select doc_id, {k} as ord, '{kind}' as kind, m, list_sum(list_transform(g[1:i],
 from (select doc_id, ms, g, unnest(ms) as m, unnest(vs) as val, generate_subscripts(ms, 1) as i from (
   select doc_id, regexp_extract_all(text, '{p}') as ms, regexp_extract_all(text, '{p}', {group}) as vs,
          string_split_regex(text, '{p}') as g from t))
-where length(val) >= {least}"""
+where length(val) >= {least}{whole}"""
+
+_OP7_JWT = r" and regexp_matches(m, '^eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.*$')"
 
 OP7_SQL = f"""
 with t as (select doc_id, coalesce(text, '') as text from documents),
-s as ({" union all ".join(_OP7_KIND.format(k=k, kind=kind, p=p.replace("'", "''"), group=group, least=least) for k, (kind, p, group, least) in enumerate((
+s as ({" union all ".join(_OP7_KIND.format(k=k, kind=kind, p=p.replace("'", "''"), group=group, least=least, whole=_OP7_JWT if kind == "jwt" else "") for k, (kind, p, group, least) in enumerate((
     ("assign", r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6),
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20), ("hex", r"[0-9a-f]{24,}", 0, 24),
-    ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1), ("jwt", r"[A-Za-z0-9_.-]{35,}", 0, 35),
     ("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1), ("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
     ("maps", r"AIza[A-Za-z0-9_-]{35}", 0, 1), ("payment", r"[rs]k_live_[A-Za-z0-9]{16,}", 0, 1),
     ("login_url", r"(?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/@]+@", 0, 1),

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,13 +20,16 @@ from .common import extract_all, quoted, shared_path
 class Rule:
     """A kind of secret. pattern: Java syntax without capturing what `least` measures; matches are leftmost and do not overlap.
 
-    tail: pattern of the measured end of a match (None: the whole match); least: its fewest characters.
+    tail: pattern of the measured end of a match (None: the whole match); least: its fewest characters. whole: what the
+    match must be as a whole, or it is none. Patterns must read a text in time proportional to its length: no repeated
+    group, and no open-ended run that can begin anew inside itself without matching.
     """
 
     kind: str
     pattern: str
     tail: str | None
     least: int
+    whole: str | None = None
 
 
 VALUE = r"[A-Za-z0-9+/_.=-]+"
@@ -40,8 +42,9 @@ BASE = (
 )
 #: Kinds beyond the base ones; the formats are fixed values.
 MORE = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", None, 1),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", None, 1),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", None, 1),
+    # A maximal run of its characters, dots after it included: 35 are the fewest of three parts.
+    Rule("jwt", r"[A-Za-z0-9_.-]{35,}", None, 35, r"^eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.*$"),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}", None, 1),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", None, 1),
     Rule("maps", r"AIza[A-Za-z0-9_-]{35}", None, 1),
@@ -51,7 +54,7 @@ MORE = (
 RULES = BASE + MORE
 RULE_VERSION = "1"
 #: Rule versions in the ledger; a changed or added rule is a new version, and only that is scanned anew.
-RULE_SETS = (("base-1", BASE), ("more-1", MORE))
+RULE_SETS = (("base-1", BASE), ("more-2", MORE))
 
 
 def _any_rule(rules: tuple[Rule, ...]) -> Column:
@@ -99,7 +102,11 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, fenced: bool =
     least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("rule") + 1)
     kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("rule") + 1)
     m = m.withColumn("start", start.cast("long"))
-    return m.where(F.length("value") >= least).select(
+    good = F.length("value") >= least
+    for n, r in enumerate(rules):
+        if r.whole:
+            good &= (F.col("rule") != n) | F.col("value").rlike(r.whole)
+    return m.where(good).select(
         "blob", kind.alias("kind"), F.col("rule").alias("order"), "start", (F.col("start") + length).alias("end")
     )
 
@@ -139,10 +146,10 @@ def _listed(spans: Column) -> Column:
 
 
 def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # nothing was scanned yet
-        return None
+    """The table at path, or None if nothing was scanned yet; one that stands there but can't be read fails the scan."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.parquet(path) if there else None
 
 
 def scan_history(versions: DataFrame, ledger: str, rule_sets: tuple[tuple[str, tuple[Rule, ...]], ...] = RULE_SETS) -> DataFrame:
