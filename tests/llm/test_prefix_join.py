@@ -26,7 +26,7 @@ def near_texts(rng):
     return texts + [prose(rng, 50) for _ in range(20)] + texts[7:12]
 
 
-@pytest.mark.parametrize(("words", "num", "block", "counters"), [(3, 90, 4096, 1 << 18), (3, 90, 8, 4), (5, 80, 4096, 1 << 18), (1, 70, 16, 16)])
+@pytest.mark.parametrize(("words", "num", "block", "counters"), [(3, 90, 8, 4), (5, 80, 4096, 1 << 18)])
 def test_components(spark, monkeypatch, words, num, block, counters):
     monkeypatch.setattr(near_dup, "BLOCK", block)
     monkeypatch.setattr(prefix_join, "COUNTERS", counters)

@@ -9,6 +9,8 @@ multiple of a shorter one's merge into that one's run. Nothing spans documents:
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +24,8 @@ from .common import as_row, from_row, quoted
 BATCH_WORDS = 400_000
 #: Leaves looked at together.
 LEAVES = 1 << 21
+#: Depths of the tree that are taken one by one.
+SHALLOW = 12
 #: Words by which all repeats are rotated together before the few longer ones go on alone.
 ROTATED = 24
 
@@ -80,14 +84,38 @@ def suffix_array(doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order, rank, shared
 
 
-def _smaller_before(v: np.ndarray) -> np.ndarray:
-    """The nearest place to the left with a smaller value, of all but the ends of v, which are smaller than all. Pointers are doubled."""
+def _doubled(v: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For the places `of`: the nearest place to the left with a smaller value, by doubling pointers."""
     at = np.arange(-1, len(v) - 1)
-    todo = 1 + np.flatnonzero(v[:-2] >= v[1:-1])
+    todo = of[v[of - 1] >= v[of]]
     while len(todo):
         at[todo] = at[at[todo]]
         todo = todo[v[at[todo]] >= v[todo]]
-    return at
+    return at[of]
+
+
+def _nearest_smaller(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest places to the left and right with a smaller value, where v > 0; both ends of v are smaller than all.
+
+    Small values go one after another, each over what lies between places of smaller ones; the few large ones together.
+    """
+    before, after, at = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64), np.arange(len(v))
+    for depth in range(1, SHALLOW + 1):
+        # Only deeper places and their neighbours matter.
+        deep = v >= depth
+        near = deep.copy()
+        near[1:] |= deep[:-1]
+        near[:-1] |= deep[1:]
+        v, at, deep = v[near], at[near], deep[near]
+        if not len(v):
+            return before, after
+        here, place = np.flatnonzero(v == depth), np.arange(len(v))
+        before[at[here]] = at[np.maximum.accumulate(np.where(deep, 0, place))[here]]
+        after[at[here]] = at[np.minimum.accumulate(np.where(deep, len(v) - 1, place)[::-1])[::-1][here]]
+    of = np.flatnonzero(v > SHALLOW)
+    before[at[of]] = at[_doubled(v, of)]
+    after[at[of]] = at[len(v) - 1 - _doubled(v[::-1], (len(v) - 1 - of)[::-1])[::-1]]
+    return before, after
 
 
 def _children(shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,7 +123,7 @@ def _children(shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     n = len(shared)
     v = np.concatenate([[-1], shared[1:], [-1]])  # v[k] stands between slots k - 1 and k
     at = np.flatnonzero(v > 0)
-    lo, hi = _smaller_before(v)[at], (len(v) - 1 - _smaller_before(v[::-1])[::-1])[at]
+    lo, hi = (x[at] for x in _nearest_smaller(v))
     by = np.argsort(lo * (n + 1) + hi, kind="stable")
     at, lo, hi = at[by], lo[by], hi[by]
     first = np.ones(len(at), bool)
@@ -212,10 +240,10 @@ def periodic_runs(docs: DataFrame, text: str = "text", least: int = 12, doc: str
     kind = rows.schema["row"].dataType.simpleString()
 
     def flush(held: list[tuple[pa.RecordBatch, list[list[bytes]]]]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        known: dict[bytes, int] = defaultdict(itertools.count().__next__)
         texts = [w for _, part in held for w in part]
         sizes = np.array([len(w) for w in texts], np.int64)
-        word = np.fromiter((known.setdefault(x, len(known)) for w in texts for x in w), np.int64, int(sizes.sum()))
+        word = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(texts)), np.int64, int(sizes.sum()))
         del known
         runs = runs_of(np.repeat(np.arange(len(texts)), sizes), word, least)
         base = np.cumsum(sizes) - sizes
