@@ -66,7 +66,7 @@ def test_capacity_zero_has_no_ratio(spark):
 
 
 def test_no_positive_training_value_gives_threshold_one(spark):
-    df = clean.in_order(spark.createDataFrame([(1, i, 0.0 if i < 8 else 5.0) for i in range(10)], "k long, s long, x double"), ["k"], ["s"])
+    df = clean.in_order(spark.createDataFrame([(1, i, 0.0 if i < 8 else 5.0) for i in range(10)], "k long, s long, x double"), ["k"], ["s"], keep=True)
     assert {r.threshold for r in clean.normalise_bursts(df, ["k"]).collect()} == {1.0}
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import d
 from .metrics import average_precision
+from .ranges import placed
 
 
 def draw(replicate: Column, k: Column, n: Column) -> Column:
@@ -98,8 +99,7 @@ def block_multiplicities(series: DataFrame, key: str, order: str, replicates: in
 
     Every key's series is numbered and drawn by itself, so no task sees more than one.
     """
-    by = W.partitionBy(key)
-    s = series.withColumn("at", (F.row_number().over(by.orderBy(order)) - 1).cast("long"))
+    s = placed(series, [key], [order]).withColumnRenamed("i", "at").drop("n")
     n = series.groupBy(key).agg(F.count("*").alias("__n"))
     reps = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     reps = reps.withColumn("__k", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("__n") / length) - 1).cast("int"))))

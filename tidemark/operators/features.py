@@ -5,28 +5,27 @@ from __future__ import annotations
 import random
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col, core_feature, cut_index, d, flag, smoothed_rate
+from . import ranges
+from .selection import quantiles
 
 #: Least windows of an entity, and least transitions for training and test.
 MIN_WINDOWS, MIN_TRAIN, MIN_TEST = 50, 20, 5
 TRAIN_SHARE = 0.7
 
 
-def transitions(blocks: DataFrame, keys: list[str], event: str = "event") -> DataFrame:
+def transitions(blocks: DataFrame, keys: list[str], event: str = "event", keep: bool = False) -> DataFrame:
     """Each window with ord, the entity's number of windows nw, and target: the event of the very next window.
 
-    All windows of an entity share one sort; rows without a contiguous successor go.
+    Places come from range partitions, and the next window from a join on its number, so an entity may have any number
+    of windows; rows without a contiguous successor go. keep: leave the columns of ranges.totals_by_part().
     """
-    by = W.partitionBy(*keys)
-    order = by.orderBy("window_id")
-    t = blocks.withColumns({
-        "ord": (F.row_number().over(order) - 1).cast("long"), "nw": F.count("*").over(by),
-        "target": F.lead(event).over(order), "__next": F.lead("window_id").over(order),
-    })
-    return t.where(F.col("__next") == F.col("window_id") + 1).drop("__next")
+    t = ranges.placed(blocks, keys, ["window_id"], keep=True).withColumnsRenamed({"i": "ord", "n": "nw"})
+    following = t.select(*keys, (F.col("window_id") - 1).alias("window_id"), F.col(event).alias("target"))
+    t = ranges.joined(t, following, [*keys, "window_id"])
+    return t if keep else t.drop(ranges.PART, ranges.AT)
 
 
 def temporal_split(
@@ -34,19 +33,18 @@ def temporal_split(
     train: int = MIN_TRAIN, test: int = MIN_TEST,
 ) -> DataFrame:
     """transitions() with split: the target's window decides, and entities with few rows on a side go."""
-    t = transitions(blocks, keys, event).where(F.col("nw") >= windows)
+    t = transitions(blocks, keys, event, keep=True).where(F.col("nw") >= windows)
     t = t.withColumn("split", F.when(F.col("ord") + 1 < cut_index("nw", share), "train").otherwise("test"))
-    by = W.partitionBy(*keys)
-    enough = (F.count_if(F.col("split") == "train").over(by) >= train) & (F.count_if(F.col("split") == "test").over(by) >= test)
-    return t.withColumn("__ok", enough).where("__ok").drop("__ok")
+    sides = {f"__{s}": (F.col("split") == s).cast("long") for s in ("train", "test")}
+    t = ranges.totals_by_part(t, keys, sides).where((F.col("__train") >= train) & (F.col("__test") >= test))
+    return t.drop("__train", "__test", ranges.PART, ranges.AT)
 
 
 def ordered_split(pairs: DataFrame, keys: list[str], share: float = TRAIN_SHARE, least: int = MIN_TRAIN) -> DataFrame:
     """Split of transitions themselves, cut at max(least, int(share * transitions))."""
-    by = W.partitionBy(*keys)
-    t = pairs.withColumn("k", F.row_number().over(by.orderBy("window_id")) - 1).withColumn("nt", F.count("*").over(by))
-    cut = F.greatest(F.lit(least), cut_index("nt", share))
-    return t.withColumn("split", F.when(F.col("k") < cut, "train").otherwise("test")).drop("k", "nt")
+    t = ranges.placed(pairs, keys, ["window_id"])
+    cut = F.greatest(F.lit(least), cut_index("n", share))
+    return t.withColumn("split", F.when(F.col("i") < cut, "train").otherwise("test")).drop("i", "n")
 
 
 def disjoint_entities(entities: list, seed: int, share: float = TRAIN_SHARE) -> tuple[list, list]:
@@ -104,7 +102,7 @@ def features(family: str, scheme: str, u: float = 1.0, m: int = 12) -> list[Colu
 
 def leaky_snapshot_threshold(pairs: DataFrame, q: float = 0.95) -> DataFrame:
     """Quantile of `maximum` over all transitions, test included: only for comparison with results made so."""
-    return pairs.agg(F.percentile("maximum", q).alias("threshold"))
+    return quantiles(pairs, [], "maximum", {"threshold": q})
 
 
 def priors(split: DataFrame, keys: list[str], target: str = "target") -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip_p, d
+from .ranges import placed
+from .selection import quantiles
 
 
 def _grouped(df: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
@@ -20,25 +21,22 @@ def _grouped(df: DataFrame, keys: list[str], weight: str | None = None) -> DataF
 
 def average_precision(df: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
     """Precision at each distinct score, weighted by its positives; ties are one step. weight: multiplicity of rows."""
-    upto = W.partitionBy(*keys).orderBy(F.col("p").desc()).rowsBetween(W.unboundedPreceding, 0)
-    g = _grouped(df, keys, weight).withColumns({"__tp": F.sum("__k").over(upto), "__nn": F.sum("__n").over(upto)})
+    g = placed(_grouped(df, keys, weight), keys, [F.col("p").desc()], sums={"__tp": F.col("__k"), "__nn": F.col("__n")})
     step = F.try_divide(F.col("__k") * F.col("__tp").cast("double"), F.col("__nn"))
     return g.groupBy(*keys).agg(F.try_divide(F.sum(step), F.sum("__k")).alias("average_precision"))
 
 
 def average_precision_stable(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Precision at each positive row in order of score and then `order`: ties are not one step."""
-    upto = W.partitionBy(*keys).orderBy(F.col("p").desc(), *order).rowsBetween(W.unboundedPreceding, 0)
-    r = df.withColumn("__tp", F.sum("target").over(upto)).withColumn("__n", F.count("*").over(upto))
-    at = F.when(F.col("target") == 1, F.col("__tp") / F.col("__n"))
+    r = placed(df.select(*keys, "p", "target", *order), keys, [F.col("p").desc(), *order], sums={"__tp": F.col("target")})
+    at = F.when(F.col("target") == 1, F.col("__tp") / (F.col("i") + 1))
     return r.groupBy(*keys).agg(F.avg(at).alias("average_precision_stable"))
 
 
 def roc_auc(df: DataFrame, keys: list[str]) -> DataFrame:
     """By average ranks, from counts per distinct score."""
-    below = W.partitionBy(*keys).orderBy("p").rowsBetween(W.unboundedPreceding, -1)
     g = _grouped(df, keys).withColumn("__neg", F.col("__n") - F.col("__k"))
-    g = g.withColumn("__below", F.coalesce(F.sum("__neg").over(below), F.lit(0)))
+    g = placed(g, keys, ["p"], sums={"__upto": F.col("__neg")}).withColumn("__below", F.col("__upto") - F.col("__neg"))
     wins = F.sum(F.col("__k") * (F.col("__below") + d(0.5) * F.col("__neg")))
     return g.groupBy(*keys).agg(F.try_divide(wins, F.sum("__k") * F.sum("__neg").cast("double")).alias("roc_auc"))
 
@@ -70,7 +68,10 @@ def calibration_error(df: DataFrame, keys: list[str], bins: int = 10) -> DataFra
 
 def reliability_bins(df: DataFrame, keys: list[str], order: list[str], bins: int = 10) -> DataFrame:
     """Equal-frequency bins by score, the larger first: rows, mean score, observed rate."""
-    b = df.withColumn("bin", F.ntile(bins).over(W.partitionBy(*keys).orderBy("p", *order)).cast("long"))
+    b = placed(df.select(*keys, "p", "target", *order), keys, ["p", *order])
+    size, more = F.floor(F.col("n") / bins), F.col("n") % bins
+    late = more + F.floor((F.col("i") - more * (size + 1)) / size)
+    b = b.withColumn("bin", (1 + F.when(F.col("i") < more * (size + 1), F.floor(F.col("i") / (size + 1))).otherwise(late)).cast("long"))
     return b.groupBy(*keys, "bin").agg(
         F.count("*").alias("rows"), F.avg("p").alias("mean_p"), F.avg(F.col("target").cast("double")).alias("observed")
     )
@@ -78,9 +79,8 @@ def reliability_bins(df: DataFrame, keys: list[str], order: list[str], bins: int
 
 def alerts(df: DataFrame, keys: list[str], order: list[str], fraction: float = 0.01) -> DataFrame:
     """The top ceil(fraction * rows) scores, ties by `order`: alerts, recall and precision."""
-    r = df.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("p").desc(), *order)))
-    r = r.withColumn("__n", F.count("*").over(W.partitionBy(*keys)))
-    hit = F.col("__r") <= F.ceil(d(fraction) * F.col("__n"))
+    r = placed(df.select(*keys, "p", "target", *order), keys, [F.col("p").desc(), *order])
+    hit = F.col("i") < F.ceil(d(fraction) * F.col("n"))
     g = r.groupBy(*keys).agg(
         F.count_if(hit).alias("alerts"), F.sum(F.when(hit, F.col("target")).otherwise(0)).alias("__tp"), F.sum("target").alias("__k")
     )
@@ -103,7 +103,8 @@ def entity_gain(df: DataFrame, entity: str, left: str, right: str, eps: float =
 
 def gain_summary(gains: DataFrame) -> DataFrame:
     g = gains.where("positives > 0")
-    return g.agg(F.count("*").alias("entities"), F.count_if(F.col("gain") > 0).alias("wins"), F.percentile("gain", 0.5).alias("median_gain"))
+    middle = F.broadcast(quantiles(g, [], "gain", {"median_gain": 0.5}))  # one row
+    return g.agg(F.count("*").alias("entities"), F.count_if(F.col("gain") > 0).alias("wins")).join(middle)
 
 
 def sign_test(wins: int, n: int) -> float:

@@ -1,4 +1,4 @@
-"""Penalised logistic models by Newton steps over aggregates; transfer, trees and coefficient tables."""
+"""Penalised logistic models by Newton steps over aggregates; transfer, calibration and coefficient tables."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import d, expit
+from ..functions.scalar import d, expit, softplus
+from .scratch import written
 
 STEPS, TOLERANCE = 25, 1e-9
 
@@ -89,31 +90,61 @@ def fit_mean_loss(train: DataFrame, names: list[str], target: str = "target") ->
     return fit_logistic(train, names, target, floor=5e-324)
 
 
-def calibration_line(scored: DataFrame, p: str = "p", target: str = "target", eps: float = 1e-8) -> tuple[float, float]:
-    """Intercept and slope of the target's logit on the score's, unpenalised."""
-    z = scored.select(F.ln(F.least(F.greatest(F.col(p), d(eps)), d(1 - eps)) / (1 - F.least(F.greatest(F.col(p), d(eps)), d(1 - eps)))).alias("z"), target)
-    m = fit_logistic(z, ["z"], target, l2=0.0, standardised=False)
-    return m.intercept, m.coefficients[0]
-
+@dataclass(frozen=True)
+class Line:
+    """A calibration line; state: converged, separated (no finite optimum), constant (no slope) or stopped."""
 
-def coefficient_table(spark: SparkSession, models: list[dict]) -> DataFrame:
-    """Rows (keys, intercept, coefficients as JSON text) with the array beside it."""
-    t = spark.createDataFrame(models)
-    return t.withColumn("values", F.from_json("coefficients", "array<double>"))
+    state: str
+    intercept: float | None = None
+    slope: float | None = None
 
 
-def fit_trees(train: DataFrame, names: list[str], target: str = "target", iterations: int = 20, depth: int = 3, rate: float = 0.05):
-    """Boosted trees of Spark ML: like histogram boosting, without numerical parity. Returns (names, score)."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+def calibration_fit(scored: DataFrame, p: str = "p", target: str = "target", eps: float = 1e-8, steps: int = 50) -> Line:
+    """Intercept and slope of the target's logit on the score's, unpenalised, by Newton's steps with a line search.
 
-    assemble = VectorAssembler(inputCols=names, outputCol="__features")
-    tree = GBTClassifier(featuresCol="__features", labelCol=target, maxIter=iterations, maxDepth=depth, stepSize=rate, seed=7)
-    model = tree.fit(assemble.transform(train))
+    Whether an optimum exists is read from the classes' ranges first: both must overlap. eps: scores are clipped to
+    [eps, 1 - eps]. Rows of equal scores are summed once, so a step reads distinct scores only.
+    """
+    q = F.least(F.greatest(F.col(p), d(eps)), d(1 - eps))
+    z = scored.select(F.ln(q / (1 - q)).alias("z"), F.col(target).cast("double").alias("y")).where("z is not null and y is not null")
+    z = written(z.groupBy("z").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("k")), "scores")
+    of = lambda f, c: f(F.when(c, F.col("z")))
+    zero, one = F.col("k") < F.col("n"), F.col("k") > 0
+    r = z.agg(F.min("z").alias("lo"), F.max("z").alias("hi"), *[of(f, c).alias(f"{k}{s}") for s, c in (("0", zero), ("1", one)) for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    if r.lo is None or r.lo == r.hi:
+        return Line("constant")
+    if r.lo0 is None or r.lo1 is None or r.hi0 <= r.lo1 or r.hi1 <= r.lo0:
+        return Line("separated")
+
+    def at(a: float, b: float) -> list[float]:
+        """Loss, gradient and Hessian."""
+        eta = d(a) + d(b) * F.col("z")
+        mu = expit(eta)
+        w = F.col("n") * mu * (1 - mu)
+        g = F.col("n") * mu - F.col("k")
+        sums = [F.col("n") * softplus(eta) - F.col("k") * eta, g, g * F.col("z"), w, w * F.col("z"), w * F.col("z") * F.col("z")]
+        return [float(v) for v in z.agg(*[F.sum(s).alias(f"v{i}") for i, s in enumerate(sums)]).first()]
+
+    beta, now = np.array([0.0, 1.0]), None
+    for _ in range(steps):
+        now = now or at(*beta)
+        step = np.linalg.lstsq(np.array([[now[3], now[4]], [now[4], now[5]]]), np.array(now[1:3]), rcond=None)[0]
+        if np.abs(step).max() < TOLERANCE * max(1.0, np.abs(beta).max()):
+            return Line("converged", *beta.tolist())
+        size = 1.0
+        while (new := at(*(beta - size * step)))[0] > now[0] + 1e-9 * abs(now[0]) and size > 1e-6:
+            size /= 2
+        beta, now = beta - size * step, new
+    return Line("stopped")
+
+
+def calibration_line(scored: DataFrame, p: str = "p", target: str = "target", eps: float = 1e-8) -> tuple[float | None, float | None]:
+    """Intercept and slope of calibration_fit(), null where there is no optimum."""
+    m = calibration_fit(scored, p, target, eps)
+    return m.intercept, m.slope
 
-    def score(df: DataFrame) -> DataFrame:
-        out = model.transform(assemble.transform(df)).withColumn("p", vector_to_array("probability")[1])
-        return out.drop("__features", "rawPrediction", "probability", "prediction")
 
-    return score
+def coefficient_table(spark: SparkSession, models: list[dict]) -> DataFrame:
+    """Rows (keys, intercept, coefficients as JSON text) with the array beside it."""
+    t = spark.createDataFrame(models)
+    return t.withColumn("values", F.from_json("coefficients", "array<double>"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, d, flag
+from .selection import quantiles
 
 #: Cost ratios of a miss to an action; quantiles of the training scores that a threshold is searched among.
 COST_RATIOS = (1, 2, 5, 10, 20, 50, 100)
@@ -27,7 +28,7 @@ def adaptive_retention(split: DataFrame, keys: list[str], base: float, full: flo
 
     (keys, trigger_fraction, mean_scalars, storage_reduction, event_capture, precision) over the test rows.
     """
-    limit = split.where("split = 'train'").groupBy(*keys).agg(F.percentile("p", q).alias("limit"))
+    limit = quantiles(split.where("split = 'train'"), keys, "p", {"limit": q})
     t = split.where("split = 'test'").join(limit, keys).withColumn("on", F.col("p") >= F.col("limit"))
     out = t.groupBy(*keys).agg(
         F.avg(F.col("on").cast("double")).alias("trigger_fraction"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a temporary folder where that is unset and all is one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (found or tempfile.mkdtemp(prefix="tidemark-")).rstrip("/")
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to six digits: sums of doubles depend on their order."""
     return df.select(*[F.round(c, digits).alias(c) if k in ("double", "float") else F.col(c) for c, k in df.dtypes])
@@ -35,7 +25,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events by type in order of time: panel, i, n, raw, x (over the burst threshold)."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("panel"), "ts", "event_id", F.col("value").alias("raw"))
-    o = clean.in_order(e, ["panel"], ["ts", "event_id"]).withColumn("x", F.col("raw"))
+    o = clean.in_order(e, ["panel"], ["ts", "event_id"], keep=True).withColumn("x", F.col("raw"))
     return clean.normalise_bursts(o, ["panel"])
 
 
@@ -71,7 +61,7 @@ def line_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resource_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["panel", "resource"]
-    o = clean.in_order(clean.at_least(line_resources(spark, sf_dir), keys), keys, ["seq"]).withColumn("raw", F.col("x"))
+    o = clean.in_order(clean.at_least(line_resources(spark, sf_dir), keys), keys, ["seq"], keep=True).withColumn("raw", F.col("x"))
     burst = clean.normalise_bursts(o, keys)
     # One scale for all: a sample exceeds at 1. Ratios have a fixed limit, rates their key's threshold.
     x = F.when(F.col("resource").isin("cpu", "memory"), F.least(F.col("raw"), d(1)) / d(RESOURCE_LIMIT)).otherwise(F.col("x"))

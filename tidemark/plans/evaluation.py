@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, core_feature, d, logit, smoothed_rate
-from ..operators import bootstrap, features, metrics, models, windows
+from ..operators import boosting, bootstrap, features, metrics, models, windows
 from . import newton_sql
 from .adapters import DRAW, E_P, E_T, L_W, K, core_blocks, event_blocks, event_scored, event_split, resource_blocks, rounded, table
 
@@ -312,7 +312,7 @@ def frozen_transfer(spark, sf_dir):
     t, names = _fit_frame(spark, sf_dir)
     m = models.fit_mean_loss(t.where("split = 'train'"), names)
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("panel"), "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("x"))
-    o = clean.normalise_bursts(clean.in_order(o, ["panel"], ["o_orderdate", "o_orderkey"]), ["panel"])
+    o = clean.normalise_bursts(clean.in_order(o, ["panel"], ["o_orderdate", "o_orderkey"], keep=True), ["panel"])
     blocks = windows.summarise(windows.positional(o, K), ["panel"], K)
     other = features.temporal_split(blocks, ["panel"]).where("split = 'test'").select("panel", "target", *features.features("multi", "maximum_count"))
     scored = other.withColumn("p", m.score(names))
@@ -338,11 +338,56 @@ def calibration_line(spark, sf_dir):
     return spark.createDataFrame([(a, b)], "intercept double, slope double")
 
 
+#: Clipping bounds of the fits' variants: fixed values.
+_BOUNDS = {"eight": 1e-8, "six": 1e-6, "machine": 2.220446049250313e-16}
+
+
+def _line_sql(name: str, score: str, eps: float, steps: int = 12) -> str:
+    """Newton's steps from (0, 1) where the classes' scores overlap on both sides, no row else."""
+    q = f"greatest(least({score}, 1 - cast({eps!r} as double)), cast({eps!r} as double))"
+    out = f", z_{name} as (select target, ln({q} / (1 - {q})) as z from y), ok_{name} as (select max(z) filter (where target = 0) > min(z) filter (where target = 1) and max(z) filter (where target = 1) > min(z) filter (where target = 0) as ok from z_{name})"
+    out += f", n_{name}0 as (select cast(0 as double) as a, cast(1 as double) as b from ok_{name} where ok)"
+    for i in range(steps):
+        out += f""", g_{name}{i} as (select a, b, sum(target - q) as ga, sum((target - q) * z) as gb, sum(q * (1 - q)) as haa, sum(q * (1 - q) * z) as hab, sum(q * (1 - q) * z * z) as hbb
+ from (select n0.*, z.*, 1 / (1 + exp(-(n0.a + n0.b * z.z))) as q from z_{name} as z, n_{name}{i} as n0) group by all),
+n_{name}{i + 1} as (select a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) as a, b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) as b from g_{name}{i})"""
+    return out + f", r_{name} as (select '{name}' as variant, round(max(a), 6) as intercept, round(max(b), 6) as slope from n_{name}{steps})"
+
+
+@query(_T + "".join(_line_sql(k, "p", e) for k, e in _BOUNDS.items()) + _line_sql("separated", "0.2::double + 0.6::double * target", 1e-8, 1)
+       + " " + " union all ".join(f"select * from r_{k}" for k in (*_BOUNDS, "separated")))
+def calibration_fits(spark, sf_dir):
+    """Every variant of the fit, and one whose score separates the classes: it has no optimum, and is null."""
+    t = _test(spark, sf_dir).select("p", "target")
+    lines = [(k, models.calibration_fit(t, eps=e)) for k, e in _BOUNDS.items()]
+    lines.append(("separated", models.calibration_fit(t.withColumn("p", d(0.2) + d(0.6) * F.col("target")))))
+    return spark.createDataFrame([(k, m.intercept, m.slope) for k, m in lines], "variant string, intercept double, slope double")
+
+
 @query(None)
 def boosted_trees(spark, sf_dir):
+    """200 trees of depth 3 on the training transitions, scored on the test ones."""
+    t, names = _fit_frame(spark, sf_dir)
+    model = boosting.fit_boosted(t.where("split = 'train'"), names)
+    return metrics.point_scores(model.score(t.where("split = 'test'")), ["panel"])
+
+
+_SHARES = "[" + ", ".join(f"{i / 255!r}" for i in range(1, 255)) + "]"
+_LONG = " union all ".join(f"select 'f{i}' as feature, cast({x} as double) as x, target from tt" for i, x in enumerate(_FEATURES["multi"]["maximum_count"]))
+
+
+@query(E_T + f""", tt as (select * from t where split = 'train'), lg as ({_LONG}), dv as (select feature, x from lg group by all), dn as (select feature, count(*) as c from dv group by feature),
+ed as (select feature, (x + nx) / 2 as edge from (select feature, x, lead(x) over (partition by feature order by x) as nx from dv) join dn using (feature) where c <= 255 and nx is not null
+  union all select distinct feature, edge from (select feature, unnest(quantile_cont(x, {_SHARES})) as edge from lg join dn using (feature) where c > 255 group by feature)),
+nk as (select cast(count(*) as double) as n, cast(sum(target) as double) as k from tt),
+sl as (select feature, edge, cast(count(*) filter (where x <= edge) as double) as nl, cast(coalesce(sum(target) filter (where x <= edge), 0) as double) as kl from ed join lg using (feature) group by all),
+gh as (select feature, edge, nl, n, nl * (k / n) - kl as gl, (n - nl) * (k / n) - (k - kl) as gr, nl * (k / n) * (1 - k / n) as hl, (n - nl) * (k / n) * (1 - k / n) as hr from sl, nk)
+select feature, round(edge, 6) as edge, cast(nl as bigint) as rows_left, round(gl * gl / (hl + 1) + gr * gr / (hr + 1) - (gl + gr) * (gl + gr) / (hl + hr + 1), 6) as gain
+from gh where nl >= 20 and n - nl >= 20 and hl >= 1e-3 and hr >= 1e-3""")
+def boosted_root_gains(spark, sf_dir):
+    """The first round's search: the gain of every split of the root."""
     t, names = _fit_frame(spark, sf_dir)
-    score = models.fit_trees(t.where("split = 'train'").withColumn("target", F.col("target").cast("double")), names)
-    return metrics.point_scores(score(t.where("split = 'test'")), ["panel"])
+    return boosting.root_gains(t.where("split = 'train'"), names)
 
 
 @query(L_W + """, o as (select *, row_number() over (partition by panel, resource order by window_id) - 1 as ord, count(*) over (partition by panel, resource) as nw,

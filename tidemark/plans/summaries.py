@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import sketch
 from ..functions.scalar import clip, core_feature, d, expit, flag, floor_id, logit, near, softplus
 from ..operators import clean, fidelity, windows
+from ..operators.scratch import shared_folder
 from ..sources import readers
 from ..streaming import windows as streaming
 from .adapters import (
     C_X, E_W, E_X, K, L_W, L_X, THRESHOLDS, cpu_windows, event_blocks, event_samples, event_windows, line_resources,
-    core_blocks, resource_blocks, rounded, shared_folder, table,
+    core_blocks, resource_blocks, rounded, table,
 )
 
 QUERIES: dict = {}
