@@ -51,33 +51,40 @@ def _constants(n: int, seed: int) -> np.ndarray:
     return _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(seed))
 
 
+class WordHashes(dict):
+    """64-bit hashes of words; those of a million at most are remembered."""
+
+    def __missing__(self, w: bytes) -> int:
+        import xxhash
+
+        if len(self) > 1_000_000:
+            self.clear()
+        self[w] = h = xxhash.xxh3_64_intdigest(w)
+        return h
+
+
 class Shingler:
     """Distinct shingles of texts as sorted arrays of 64-bit hashes. Fewer words than a shingle: all of them are one."""
 
     def __init__(self, words: int) -> None:
-        self.n, self.known = words, {}
+        self.n, self.known = words, WordHashes()
         self.odd = _constants(words, 1) | np.uint64(1)
 
-    def word(self, w: bytes) -> int:
-        import xxhash
-
-        if len(self.known) > 1_000_000:
-            self.known.clear()
-        self.known[w] = h = xxhash.xxh3_64_intdigest(w)
-        return h
-
     def __call__(self, text: str | None) -> np.ndarray:
+        return np.unique(self.every(text))
+
+    def every(self, text: str | None) -> np.ndarray:
+        """All shingles in their order, repeats included."""
         # bytes.lower() and bytes.split() know ASCII only: A-Z, and \x20 and \x09-\x0D.
         words = (text or "").encode().lower().split()
         if not words:
             return np.empty(0, np.uint64)
-        known = self.known
-        h = np.array([known[w] if w in known else self.word(w) for w in words], np.uint64)
+        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         n = min(self.n, len(h))
         total = np.zeros(len(h) - n + 1, np.uint64)
         for i in range(n):
             total += _mix(h[i : len(h) - n + 1 + i] * self.odd[i] + np.uint64(n))
-        return np.unique(_mix(total))
+        return _mix(total)
 
 
 def signatures(sets: list[np.ndarray], size: int = SIZE) -> np.ndarray:
@@ -161,13 +168,14 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
 def classes_of(profile: DataFrame, carry: list[str]) -> DataFrame:
     """(id, digest, times, least, mark, carry): a number for each set that rows with an id have, and the row that stands for it.
 
-    profile: id, mark, n, digest and what equal sets have in common (carry). Numbers are fixed by writing them.
+    profile: id, mark, n, digest, what equal sets have in common (carry) and perhaps `no`, a number of the row, which is
+    then kept for the row that stands. Numbers are fixed by writing them.
     """
-    some = profile.where("n > 0 and id is not null")
+    some, tie = profile.where("n > 0 and id is not null"), [c for c in ("mark", "no") if c in profile.columns]
     c = some.groupBy("digest").agg(
-        F.min(F.struct("id", "mark")).alias("at"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in carry])
+        F.min(F.struct("id", *tie)).alias("at"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in carry])
     number = F.monotonically_increasing_id().alias("id")
-    return stash(c.select(number, "digest", "times", F.col("at.id").alias("least"), F.col("at.mark").alias("mark"), *carry), "classes")
+    return stash(c.select(number, "digest", "times", F.col("at.id").alias("least"), *[F.col(f"at.{t}").alias(t) for t in tie], *carry), "classes")
 
 
 def labelled(profile: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@
 
 Two sets that are similar enough share at least one element of their prefixes under any order of all elements, and the
 longer the prefixes the more. The first order puts rare shingles first: its minimal prefixes are an inverted index that
-yields candidates. Further orders, by hash, have longer prefixes; a candidate must share as many elements of each as the
+yields candidates. A further order, by hash, has longer prefixes; a candidate must share as many elements of it as the
 pair's sizes demand, so the filters are intersected before anything is verified on the full sets. Buckets of one key
-emit no pairs among all members: each is tried against the bucket's hub, and only what the hub did not join is compared,
-in blocks.
+emit no pairs among all members: each is tried against the bucket's hub, what the hub did not join against a few further
+hubs, and only what is left is compared, in blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import packed, unpacked
-from .common import cut, join_hot, stash
+from .common import cut, join_hot, small, stash
 from .near_dup import Shingler, _constants, _mix, classes_of, components, confirm, groups_in, in_blocks, keyed, labelled, sets_of, within_clusters
 
 #: Counters of shingles by hash, summed over the corpus; their number does not grow with it. They only rank shingles.
 COUNTERS = 1 << 18
 #: Orders by hash beside that by rarity.
-HASHED = 2
+HASHED = 1
+#: Further hubs that each bucket tries.
+MORE_HUBS = 2
 #: Rows of counters are summed in so many tasks, then in one.
 SUMS = 32
 
@@ -40,8 +43,8 @@ def common_of(x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def long_prefix(n: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Length of the prefixes under the orders by hash: twice what may differ, and one."""
-    return np.minimum(n, 2 * (n - least_common(n, num, den)) + 1)
+    """Length of the prefixes under the orders by hash: three times what may differ, and one."""
+    return np.minimum(n, 3 * (n - least_common(n, num, den)) + 1)
 
 
 def _counted(docs: DataFrame, words: int) -> np.ndarray:
@@ -51,7 +54,7 @@ def _counted(docs: DataFrame, words: int) -> np.ndarray:
         shingles, total = Shingler(words), np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                found = [shingles(t) for t in batch.column(0).slice(at, 500).to_pylist()]
+                found = [shingles.every(t) for t in batch.column(0).slice(at, 500).to_pylist()]
                 total += np.bincount((np.concatenate(found) >> np.uint64(20)).astype(np.int64) % COUNTERS, minlength=COUNTERS)
         yield pa.RecordBatch.from_arrays([pa.array([packed(total)], pa.binary())], ["counts"])
 
@@ -76,8 +79,10 @@ def prefixes(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[byt
     n = len(s)
     if not n:
         return b"", b""
-    seen = counts[(s >> np.uint64(20)).astype(np.int64) % COUNTERS]
-    first = s[np.lexsort((_mix(s), seen))[: n - int(least_common(n, num, den)) + 1]]
+    # Ties of an order's value, which are hardly ever met, all belong to the prefix.
+    seen = np.minimum(counts[(s >> np.uint64(20)).astype(np.int64) % COUNTERS], (1 << 24) - 1).astype(np.uint64)
+    place, last = seen << np.uint64(40) | _mix(s) >> np.uint64(24), n - int(least_common(n, num, den))
+    first = s[place <= np.partition(place, last)[last]]
     size, other = int(long_prefix(n, num, den)), []
     for k in range(HASHED):
         h = _hashed(s, k)
@@ -107,7 +112,7 @@ def may_link(n: np.ndarray, m: np.ndarray, size: np.ndarray, shared: np.ndarray,
 
 
 def _index(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(id, mark, n, digest, first, others) per row."""
+    """(id, mark, n, digest, first, others, no) per row, which `no` numbers."""
     counts = _counted(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,22 +131,21 @@ def _index(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 )
 
     rows = docs.select("id", "mark", "text").mapInArrow(run, "id long, mark long, n long, digest binary, first binary, others binary")
-    return stash(rows, "prefixes")
+    return stash(rows.withColumn("no", F.monotonically_increasing_id()), "prefixes")
 
 
-def _keys(classes: DataFrame) -> DataFrame:
-    """(key, id, n): a row for each element of the first order's prefixes."""
+def _keys(reps: DataFrame) -> DataFrame:
+    """(key, id): a row for each element of the first order's prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                keys = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
-                sizes = [len(k) for k in keys]
-                both = (np.repeat(part.column(c).to_numpy(), sizes) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *map(pa.array, both)], ["key", "id", "n"])
+                keys = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+                ids = np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids)], ["key", "id"])
 
-    return classes.select("id", "n", "first").mapInArrow(run, "key long, id long, n long")
+    return reps.select("id", "first").mapInArrow(run, "key long, id long")
 
 
 def _passing(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -216,34 +220,53 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     """
     d = keyed(docs, doc, text)
     index = _index(d, words, num, den)
-    # Rows of equal sets are one class; copies go no further.
-    classes = classes_of(index, ["n", "first", "others"])
-    keys = _keys(classes)
-    hub = F.min(F.struct("id", "n")).alias("hub")
-    # Buckets of the very same members are one.
-    same = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), hub, *same).where("size > 1")
-    buckets = buckets.groupBy("size", "x1", "x2", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")).agg(F.min("key").alias("key"))
-    buckets = stash(buckets.select("key", "size", "hub", "hub_n"), "keys")
+    # Rows of equal sets are one class; copies go no further. Prefixes stay where they were written, and are read by class.
+    classes = classes_of(index, ["n"])
+    reps = index.select("no", "first", "others").join(small(classes.select("id", "no")), "no").select("id", "first", "others")
+    sizes = classes.select("id", "n")
+    keys = _keys(reps)
+    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
+    buckets = stash(buckets.join(small(sizes.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"))), "hub").select("key", "size", "hub", "hub_n"), "keys")
     total = buckets.agg(F.sum("size")).first()[0] or 0
-    shared = stash(join_hot(keys, buckets, ["key"], "size", F.xxhash64("id"), total).where("id <> hub"), "buckets")
-
-    # Every member is tried against every hub it meets: sizes, then each hashed order, then the full sets.
-    fits = num * (F.col("n") + F.col("hub_n")) <= (num + den) * F.least("n", "hub_n")
-    pairs = cut(shared.where(fits).select("hub", "hub_n", "id", "n").distinct())
-    own = classes.select("id", "others")
-    hubs = pairs.groupBy("hub").agg(F.count("*").alias("times"))
-    hubs = cut(hubs.join(own.select(F.col("id").alias("hub"), F.col("others").alias("hub_others")), "hub"))
-    stars = cut(_passing(join_hot(pairs.join(own, "id"), hubs, ["hub"], "times", F.xxhash64("id"), pairs.count()), num, den))
-    sets = sets_of(d, stars.select("id").union(stars.select("hub")).distinct(), classes, words)
-    links = cut(confirm(stars, sets, num, den))
+    met = join_hot(keys, buckets, ["key"], "size", F.xxhash64("id"), total).where("id <> hub")
+    shared = stash(met.join(small(sizes), "id").select("key", "id", "n", "hub", "hub_n"), "buckets")
+
+    own = reps.select("id", "others")
+
+    def tried(pairs: DataFrame) -> DataFrame:
+        """(a, b): links among pairs (hub, hub_n, id, n), by sizes, then each hashed order, then the full sets."""
+        fits = num * (F.col("n") + F.col("hub_n")) <= (num + den) * F.least("n", "hub_n")
+        pairs = cut(pairs.where(fits).select("hub", "hub_n", "id", "n").distinct())
+        hubs = pairs.groupBy("hub").agg(F.count("*").alias("times"))
+        hubs = cut(hubs.join(own.select(F.col("id").alias("hub"), F.col("others").alias("hub_others")), "hub"))
+        stars = cut(_passing(join_hot(pairs.join(own, "id"), hubs, ["hub"], "times", F.xxhash64("id"), pairs.count()), num, den))
+        sets = sets_of(d, stars.select("id").union(stars.select("hub")).distinct(), classes, words)
+        return cut(confirm(stars, sets, num, den))
+
+    # Every member is tried against every hub it meets.
+    links = tried(shared)
     roots = components(links)
 
-    # Buckets whose members, but for the hub, still are of several components.
-    at = stash(shared.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")), "open")
-    split = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
-    open_ = join_hot(at, cut(split), ["key"], "size", F.xxhash64("id"), at.count()).withColumn("bytes", F.col("n") * 2)
-    near = cut(_candidates(in_blocks(open_).join(classes.select("id", "n", "others"), "id"), num, den).distinct())
+    # Buckets whose members, but for the hub, still are of several components. Similar sets are of one band of sizes or of
+    # neighbouring ones, so a bucket is split by bands, each member in two; buckets of the very same members are one.
+    # Bands are a little wider than the ratio of sizes that can be similar, so that rounding parts no pair.
+    band = F.floor(F.ln("n") / max(1.001 * math.log(den / num), 0.01))
+    rest = shared.select("key", "id", "n", F.explode(F.array(band, band + 1)).alias("band")).select(F.xxhash64("key", "band").alias("key"), "id", "n")
+    same = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    for turn in range(MORE_HUBS + 1):
+        at = stash(rest.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")), "open")
+        split = at.groupBy("key").agg(
+            F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size"), F.min(F.struct("id", "n", "root")).alias("hub"), *same).where("x <> y")
+        split = split.groupBy("size", "x", "y", "x1", "x2", "hub").agg(F.min("key").alias("key"))
+        split = cut(split.select("key", "size", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.root").alias("hub_root")))
+        open_ = join_hot(at, split, ["key"], "size", F.xxhash64("id"), at.count())
+        if turn == MORE_HUBS:
+            break
+        rest = stash(open_.where("id <> hub"), "rest")
+        links = cut(links.union(tried(rest.where("root <> hub_root"))))
+        roots, rest = components(links), rest.select("key", "id", "n")
+    blocks = in_blocks(open_.select("key", "id", "root", (F.col("n") * 2).alias("bytes")))
+    near = cut(_candidates(blocks.join(small(sizes), "id").join(own, "id"), num, den).distinct())
     more = within_clusters(near, roots, d, classes, words, num, den)
     out = labelled(index, classes, components(links.union(more)))
     return out.select(F.col("id").alias(doc), "n_shingles", "component_id")
