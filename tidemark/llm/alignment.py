@@ -24,7 +24,7 @@ from .blocks import blocks_of, give_back, packed, unpacked
 from .common import as_row, from_row, quoted, stash
 
 #: Text of a block, in bytes; one longer text is a block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Bytes of units that are tokenised by one call.
 CALL_BYTES = 1 << 18
 #: Links expanded together; a group of more links than this is counted by its distinct ids.
@@ -83,12 +83,16 @@ class Tokenizers:
         sized = (str(i) + mark for n, marks in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for mark in marks for i in range(n))
         self.texts = pa.array(sized, pa.large_binary())
 
-    def ids_a(self, units: list[bytes]) -> np.ndarray:
-        """Ids of all units one after another. Units that follow each other are cut as they would be alone."""
-        out = []
-        for text in _calls(units):
-            out.append(np.array(self.a.encode_ordinary(text.decode()), np.int64))
-        return np.concatenate([np.zeros(0, np.int64), *out])
+    def ids_a(self, units: bytes, ends: np.ndarray) -> np.ndarray:
+        """Ids of all units, which stand one after another and end at `ends`; a call takes units between which cuts are sure."""
+        data = np.frombuffer(units, np.uint8)
+        sure = _visible(data[ends - 1], data[np.maximum(ends - 2, 0)])
+        full = ends[np.minimum(np.searchsorted(ends, np.arange(CALL_BYTES, len(data) + CALL_BYTES, CALL_BYTES)), len(ends) - 1)] if len(ends) else ends
+        out, at = [np.zeros(0, np.int64)], 0
+        for end in np.unique(np.concatenate([ends[~sure], full])).tolist():
+            out.append(np.array(self.a.encode_ordinary(units[at:end].decode()), np.int64))
+            at = end
+        return np.concatenate(out)
 
     def ids_b(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each unit); the unit's first space is the one that B adds."""
@@ -105,20 +109,6 @@ def _visible(byte: np.ndarray, before: np.ndarray) -> np.ndarray:
     return ascii_one | ((byte >= 0x80) & ~white)
 
 
-def _calls(units: list[bytes]) -> Iterator[bytes]:
-    """Units joined as far as cuts between them are sure: one that ends in white space or a control character stands last."""
-    held, size = [], 0
-    for u in units:
-        held.append(u)
-        size += len(u)
-        end = np.frombuffer(u[-2:].rjust(2, b"\0"), np.uint8)
-        if size >= CALL_BYTES or not _visible(end[1:], end[:1])[0]:
-            yield b"".join(held)
-            held, size = [], 0
-    if held:
-        yield b"".join(held)
-
-
 def cut_units(texts: list[str | None], apart: bool) -> tuple[pa.Array, np.ndarray]:
     """(units, units of each text): each text after a space, cut at spaces after visible characters; null and empty have none."""
     whole = [b" " + t.encode() if t else b"" for t in texts]
@@ -261,8 +251,8 @@ def align_block(texts: list[str | None], tok: Tokenizers) -> tuple[dict[str, np.
         b = b[np.repeat(~bad, n_b)]
     del joined
     good = [u for u, x in zip(distinct, bad.tolist(), strict=True) if not x]
-    a = tok.ids_a(good)
     unit_ends = np.cumsum(lengths[~bad])
+    a = tok.ids_a(b"".join(good), unit_ends)
     ends_a, ends_b = np.cumsum(tok.length_a[a]), np.cumsum(tok.length_b[b])
     if len(good) and not (np.isin(unit_ends, ends_a).all() and np.isin(unit_ends, ends_b).all()):
         raise ValueError("a token spans a unit's end")
