@@ -109,7 +109,7 @@ def numpy_boosted(x, y, edges, rounds, rate, l2, least, leaves, depth):
     return 1 / (1 + np.exp(-raw))
 
 
-@pytest.mark.parametrize(("leaves", "depth", "bins"), [(31, 3, 255), (5, None, 12)])
+@pytest.mark.parametrize(("leaves", "depth", "bins"), [(31, 3, 255), (5, None, 12), (5, 3, 255)])
 def test_boosted_trees_equal_numpy(spark, leaves, depth, bins):
     rng = np.random.default_rng(11)
     x = np.stack([rng.integers(0, 9, 400), rng.normal(size=400).round(2), rng.integers(0, 2, 400)], 1).astype(float)

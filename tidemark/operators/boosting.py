@@ -8,6 +8,7 @@ number of leaves cannot bind. What reaches the driver is bounded by nodes, featu
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import expit
 from .scratch import written
-from .selection import quantiles
+from .selection import order_statistics
 
 BINS = 255
 #: Trees between two writings of the cells' scores; until then scores are expressions.
@@ -103,12 +104,20 @@ def bin_edges(train: DataFrame, names: list[str], bins: int = BINS) -> list[list
         out[f] = [(a + b) / 2 for a, b in zip(out[f], out[f][1:], strict=False)]
     rest = [f for f in range(len(names)) if f not in few]
     if rest:
-        shares = {f"q{i}": i / bins for i in range(1, bins)}
-        for r in quantiles(long.where(F.col("f").isin(rest)), ["f"], "x", shares).collect():
-            out[r.f] = sorted({r[c] for c in shares})
+        at = F.transform(F.lit([i / bins for i in range(1, bins)]), lambda q: (F.col("n") - 1) * q)
+        ranks = F.concat(F.transform(at, lambda a: F.floor(a).cast("bigint")), F.transform(at, lambda a: F.ceil(a).cast("bigint")))
+        for r in order_statistics(long.where(F.col("f").isin(rest)), ["f"], "x", ranks).collect():
+            value = {v.rank: v.value for v in r.ranks}
+            out[r.f] = sorted({_between(value, (r.n - 1) * (i / bins)) for i in range(1, bins)})
     return out
 
 
+def _between(value: dict[int, float], at: float) -> float:
+    """Linear interpolation between the places around `at`."""
+    a, b = value[math.floor(at)], value[math.ceil(at)]
+    return a if a == b else a + (b - a) * (at - math.floor(at))
+
+
 def cells_of(train: DataFrame, names: list[str], edges: list[list[float]], target: str) -> DataFrame:
     """(bins, n, k): rows and positives of each combination of bins."""
     return train.select(bins_of(names, edges).alias("bins"), F.col(target).cast("long").alias("y")).groupBy("bins").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
@@ -127,6 +136,7 @@ class Split:
     gain: float
     feature: int
     cut: int
+    sides: tuple[np.ndarray, np.ndarray]
 
 
 def gains(hist: np.ndarray, l2: float, least: int) -> np.ndarray:
@@ -145,7 +155,9 @@ def best_split(hist: dict[int, np.ndarray], l2: float, least: int) -> Split | No
     for f in sorted(hist):
         g = gains(hist[f], l2, least)
         if len(g) and g.max() > 1e-12 and (best is None or g.max() > best.gain + 1e-12):
-            best = Split(float(g.max()), f, int(np.argmax(g)))
+            cut = int(np.argmax(g))
+            left = hist[f][: cut + 1].sum(0)
+            best = Split(float(g.max()), f, cut, (left, hist[f].sum(0) - left))
     return best
 
 
@@ -156,11 +168,11 @@ def grow(cells: DataFrame, sizes: list[int], rate: float, l2: float, least: int,
     fresh, sums = [0], {}
     while True:
         got: dict[int, dict[int, np.ndarray]] = {n: {f: np.zeros((s, 3)) for f, s in enumerate(sizes)} for n in fresh}
-        for r in histograms(cells, leaf_of(tree.arrays(), F.col("bins")), fresh).collect():
+        for r in histograms(cells, leaf_of(tree.arrays(), F.col("bins")), fresh).collect() if fresh else ():
             got[r.node][r.f][r.b] = (r.n, r.g, r.h)
         for n, hist in got.items():
             sums[n] = hist[0].sum(0)
-            open_[n] = best_split(hist, l2, least) if depth is None or tree.depth[n] < depth else None
+            open_[n] = best_split(hist, l2, least)
         able = sorted((n for n, s in open_.items() if s), key=lambda n: (-open_[n].gain, n))
         able = able[: min(len(able) if level else 1, leaves - len(open_))]
         if not able:
@@ -168,8 +180,12 @@ def grow(cells: DataFrame, sizes: list[int], rate: float, l2: float, least: int,
         fresh = []
         for n in able:
             s = open_.pop(n)
-            fresh += tree.split(n, s.feature, s.cut)
-            open_ |= dict.fromkeys(fresh[-2:])
+            both = tree.split(n, s.feature, s.cut)
+            open_ |= dict.fromkeys(both)
+            sums |= dict(zip(both, s.sides, strict=True))
+            fresh += both
+        # Sums of nodes that can't be split further are known from their parents' histograms.
+        fresh = [n for n in fresh if (depth is None or tree.depth[n] < depth) and len(open_) < leaves]
     for n in open_:
         _, g, h = sums[n]
         tree.value[n] = float(-rate * g / (h + l2))
