@@ -311,15 +311,6 @@ def test_short_repeats_against_a_loop(spark):
     assert got == want
 
 
-def test_seeded_controllers_favour_maximum_and_count(spark):
-    from tidemark import catalog
-
-    q = catalog.queries()["seeded_controllers"](spark, "").where("delay = 0").groupBy("policy").agg(*[F.avg(c).alias(c) for c in ("p95", "sla_violations", "scale_share")])
-    got = {r.policy: r for r in q.collect()}
-    a, b = got["maximum_count"], got["snapshot"]
-    assert a.p95 < b.p95 and a.sla_violations < b.sla_violations and a.scale_share < b.scale_share
-
-
 def test_panel_disjoint_forecast_is_finite(spark):
     from tidemark import catalog
 

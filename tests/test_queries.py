@@ -32,7 +32,3 @@ def test_manifest_holds_every_file(spark):
     want = {str(p.relative_to(SF)): (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in Path(SF).rglob("*.parquet")}
     got = catalog.queries()["table_manifest"](spark, SF).collect()
     assert len(got) == len(want) and {r.file: (r.length, r.sha256) for r in got} == want
-
-
-def test_controllers_have_as_many_seeds_as_the_reference(spark):
-    assert {r.seed for r in catalog.queries()["seeded_controllers"](spark, SF).collect()} == set(range(100))

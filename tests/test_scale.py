@@ -169,3 +169,11 @@ def test_calibration_fits_that_fail(spark):
     assert models.calibration_fit(df.withColumn("p", F.lit(0.3))).state == "constant" and models.calibration_fit(df.limit(0)).state == "constant"
     wide = df.withColumn("p", F.when(F.col("p") < 0.2, 0.0).when(F.col("p") > 0.8, 1.0).otherwise(F.col("p")))
     assert {models.calibration_fit(wide, eps=e).state for e in (1e-6, 1e-8, 2.2e-16)} == {"converged"}
+
+
+def test_generated_windows(spark):
+    from tidemark.sources import readers
+
+    x = readers.beta_windows(spark, 2500, block=1000)
+    r = x.agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.avg((F.col("x") >= 0.9).cast("double")).alias("b"), F.count_distinct("window_id").alias("w")).first()
+    assert (r.n, r.w) == (30_000, 2500) and abs(r.m - (0.975 * 2 / 9 + 0.025 * 0.95)) < 0.01 and abs(r.b - 0.025) < 0.005

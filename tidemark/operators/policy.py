@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -180,48 +178,3 @@ def coverage(decided: DataFrame, keys: list[str], target: str, action: str) -> D
         F.avg((F.col(target) * (1 - F.col(action))).cast("double")).alias("missed"), F.avg(F.col(action).cast("double")).alias("action_rate"),
         F.avg(F.when(F.col(target) == 1, F.col(action).cast("double"))).alias("coverage"),
     )
-
-
-def _newton(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
-    x = np.column_stack([np.ones(len(x)), x])
-    ridge, b = np.diag([0.0] + [l2] * (x.shape[1] - 1)), np.zeros(x.shape[1])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(b)), x.T @ (p - y) + ridge @ b)
-        b -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-10:
-            break
-    return b
-
-
-def controller_features(kind: str, slots: int = 12, threshold: float = 0.9) -> list[Column]:
-    """Features x0, x1, .. of a controller over arrivals_telemetry's columns: by the snapshot alone, or by maximum and count."""
-    top = lambda c: flag(F.col(c) >= d(threshold))
-    own = [F.col("snapshot"), top("snapshot")] if kind == "snapshot" else [F.col("maximum"), F.col("cnt") / slots, top("maximum")]
-    return [c.cast("double").alias(f"x{i}") for i, c in enumerate(own)]
-
-
-def fit_controllers(epochs: DataFrame, key: str, names: list[str], train: int, horizon: int = 1) -> DataFrame:
-    """(key, epoch, p, trigger): per key a small penalised logistic model on raw features, all keys in one job.
-
-    Trained on the pairs (epoch, event `horizon` on) within the first `train` epochs; with one class only, p is its
-    rate. trigger: p reaches the training p's quantile at 1 - the event rate of the epochs that have a training target.
-    A key is one schedule of bounded length.
-    """
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("epoch")
-        x, e = pdf[names].to_numpy(float), pdf["event"].to_numpy(float)
-        xs, ys = x[: train - horizon], e[horizon:train]
-        if not len(ys):
-            p = np.zeros(len(x))
-        elif ys.min() == ys.max():
-            p = np.full(len(x), ys.mean())
-        else:
-            b = _newton(xs, ys)
-            p = 1 / (1 + np.exp(-(b[0] + x @ b[1:])))
-        rate = e[: train - horizon].mean() if len(ys) else 0.0
-        limit = np.quantile(p[: max(1, train - horizon)], 1 - rate) if rate > 0 else 1.0
-        return pd.DataFrame({key: pdf[key], "epoch": pdf["epoch"], "p": p, "trigger": (p >= limit).astype("int64")})
-
-    kind = epochs.schema[key].dataType.simpleString()
-    return epochs.select(key, "epoch", "event", *names).groupBy(key).applyInPandas(one, f"{key} {kind}, epoch long, p double, trigger long")

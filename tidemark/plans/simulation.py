@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import d
 from ..operators import bootstrap, fidelity, policy
-from ..sources import readers
 from .adapters import DRAW, E_P, event_scored, rounded, table
 
 QUERIES: dict = {}
@@ -220,22 +219,3 @@ def threshold_search_delayed(spark, sf_dir):
         found = policy.search_delayed(t, ["key"], 1 + delay, 10.0, kind).withColumns({"kind": F.lit(kind), "delay": F.lit(delay)})
         out = found if out is None else out.unionByName(found)
     return out.select("key", "kind", "delay", "threshold", "cost", "action_rate")
-
-
-@query(None)
-def seeded_controllers(spark, sf_dir):
-    """Seeded schedules, two models per seed, and what their policies' requests meet at each delay."""
-    slots = readers.arrival_schedules(spark, 100).persist()
-    e = policy.arrivals_telemetry(slots, ["seed", "epoch"])
-    order, decided = W.partitionBy("seed").orderBy("epoch"), None
-    for kind in ("snapshot", "maximum_count"):
-        x = policy.controller_features(kind)
-        fit = policy.fit_controllers(e.select("seed", "epoch", "event", *x), "seed", [f"x{i}" for i in range(len(x))], 30)
-        acts = F.array(*[F.struct(F.lit(k).alias("delay"), F.coalesce(F.lag("trigger", 1 + k).over(order), F.lit(0)).alias("act")) for k in (0, 1, 2)])
-        acted = fit.join(e, ["seed", "epoch"]).select("seed", "epoch", "event", acts.alias("acts")).where("epoch >= 30")
-        acted = acted.select("seed", "epoch", "event", F.explode("acts").alias("x")).select("seed", "epoch", "event", "x.*", F.lit(kind).alias("policy"))
-        decided = acted if decided is None else decided.unionByName(acted)
-    a = slots.where("n > 0").withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    a = a.select("seed", "epoch", "j", (F.col("slot") * d(policy.SLOT_MS)).alias("a"))
-    k = a.withColumn("k", (F.row_number().over(W.partitionBy("seed", "epoch").orderBy("a", "j")) - 1).cast("long"))
-    return policy.simulate(k, decided, ["seed"], ["policy", "delay"])

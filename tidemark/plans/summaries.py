@@ -420,9 +420,3 @@ def table_manifest(spark, sf_dir):
     """All files of the tables, by their path below sf_dir."""
     below = rf".*/{re.escape(sf_dir.rstrip('/').rpartition('/')[2])}/(.+)$"
     return readers.inventory(spark, sf_dir, "*.parquet").select(F.regexp_extract("path", below, 1).alias("file"), "length", "sha256")
-
-
-@query(None)
-def generated_windows(spark, sf_dir):
-    x = readers.beta_windows(spark, 20_000)
-    return fidelity.event_fidelity(windows.summarise(x, [], K, 0.9), [], 0.9)

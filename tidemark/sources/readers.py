@@ -128,31 +128,3 @@ def beta_windows(spark: SparkSession, windows: int, samples: int = 12, seed: int
                 yield pd.DataFrame({"window_id": w, "pos": np.tile(np.arange(samples), n), "x": x.ravel()})
 
     return spark.range(-(-windows // block)).mapInPandas(make, "window_id long, pos long, x double")
-
-
-#: Fixed values of the schedules: first seed; start, factor, deviation and surge of the log rate, and the surge's chance;
-#: least and greatest rate; chance of a burst in one slot, and its least and greatest arrivals.
-FIRST_SEED = 20260727
-START, FACTOR, DEVIATION, SURGE, SURGE_CHANCE = -0.5, 0.82, 0.6, 2.0, 0.08
-LEAST_RATE, GREATEST_RATE = 0.4, 6.0
-BURST_CHANCE, LEAST_BURST, GREATEST_BURST = 0.12, 4, 8
-
-
-def arrival_schedules(spark: SparkSession, seeds: int, epochs: int = 80, slots: int = 12) -> DataFrame:
-    """(seed, epoch, slot, n): Poisson arrivals whose log rate is autoregressive with surges, and bursts in single slots."""
-    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for seed in frame["id"]:
-                rng = np.random.default_rng(FIRST_SEED + int(seed))
-                load, n = START, np.zeros((epochs, slots), np.int64)
-                for own in n:
-                    noise, surge = rng.normal(0, DEVIATION), SURGE * (rng.random() < SURGE_CHANCE)
-                    load = FACTOR * load + noise + surge
-                    own[:] = rng.poisson(min(max(np.exp(load), LEAST_RATE), GREATEST_RATE), slots)
-                    if rng.random() < BURST_CHANCE:
-                        at = rng.integers(slots)
-                        own[at] += rng.integers(LEAST_BURST, GREATEST_BURST + 1)
-                yield pd.DataFrame({"seed": seed, "epoch": np.repeat(np.arange(epochs), slots), "slot": np.tile(np.arange(slots), epochs), "n": n.ravel()})
-
-    return spark.range(seeds).mapInPandas(make, "seed long, epoch long, slot long, n long")
-
