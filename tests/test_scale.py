@@ -1,10 +1,14 @@
 """Ranges, selection, boosted trees and repeats over keys of any size, against pandas and NumPy."""
 
+import math
+import struct
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import sketch
 from tidemark.operators import boosting, clean, metrics, models, ranges, selection
 
 
@@ -177,3 +181,37 @@ def test_generated_windows(spark):
     x = readers.beta_windows(spark, 2500, block=1000)
     r = x.agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.avg((F.col("x") >= 0.9).cast("double")).alias("b"), F.count_distinct("window_id").alias("w")).first()
     assert (r.n, r.w) == (30_000, 2500) and abs(r.m - (0.975 * 2 / 9 + 0.025 * 0.95)) < 0.01 and abs(r.b - 0.025) < 0.005
+
+
+def encoded(values, error, most):
+    """A sketch's bytes, field by field."""
+    gamma = (1 + error) / (1 - error)
+    keys = [math.ceil(math.log(v) / math.log(gamma)) for v in values if v > 0]
+
+    def varint(n):
+        out = b""
+        while n >= 128:
+            out, n = out + bytes((n % 128 + 128,)), n // 128
+        return out + bytes((n,))
+
+    field = lambda tag, body: bytes((tag,)) + varint(len(body)) + body
+    store, counts = b"", []
+    if keys:
+        low = max(min(keys), max(keys) - most + 1)
+        counts = [sum(max(k, low) == at for k in keys) for at in range(low, max(keys) + 1)]
+        store = field(0x12, b"".join(struct.pack("<d", c) for c in counts))
+        store += b"\x18" + varint(2 * low if low >= 0 else -2 * low - 1) if low else b""
+    zeros = len(values) - len(keys)
+    return field(0x0A, b"\x09" + struct.pack("<d", gamma)) + field(0x12, store) + (b"\x21" + struct.pack("<d", zeros) if zeros else b""), counts
+
+
+@pytest.mark.parametrize("most", [2048, 40])
+def test_native_sketch_has_the_size_of_its_encoding(spark, most):
+    rng = np.random.default_rng(6)
+    sets = [[0.0] * 3, [1.0] * 12, [0.0, 1.0], [1e-9, 1.0], [50.0, 60.0], [1e-30, 1e30]] + [list(rng.gamma(2, 10.0 ** rng.integers(-3, 3), 12)) for _ in range(60)]
+    df = spark.createDataFrame([(i, float(v)) for i, s in enumerate(sets) for v in s], "w long, x double")
+    rows = sketch.sketch_rows(df, ["w"], error=sketch.NATIVE_ERROR)
+    got = sketch.contiguous_store(rows, ["w"], most).withColumn("bins", F.size("counts").cast("long"))
+    for r in got.withColumn("bytes", sketch.native_bytes("bins", "offset", "zeros")).collect():
+        body, counts = encoded(sets[r.w], sketch.NATIVE_ERROR, most)
+        assert list(r.counts) == counts and r.bytes == len(body) and len(counts) <= most

@@ -137,3 +137,51 @@ def merge_states(a: DataFrame, b: DataFrame, keys: list[str], methods: list[str]
 def finish_states(states: DataFrame, keys: list[str], methods: list[str], threshold: float = 0.9) -> DataFrame:
     """(keys, a column per method); that of maximum_count has both, as (maximum, n)."""
     return states.select(*keys, *[STATES[m][2](threshold).alias(m) for m in methods])
+
+
+#: Fixed values of the native sketch: relative accuracy, and bins after which the lowest collapse into one.
+NATIVE_ERROR, MOST_BINS = 0.00775, 2048
+
+
+def contiguous_store(rows: DataFrame, keys: list[str], most: int = MOST_BINS) -> DataFrame:
+    """(keys, zeros, offset, counts) of sketch rows: counts of consecutive buckets from `offset` on, at most `most` of them.
+
+    Lower buckets are collapsed into the lowest one kept. A sketch of zeros only has no buckets, and a null offset.
+    """
+    top = rows.groupBy(*keys).agg(
+        F.sum(F.when(F.col("bucket") == ZERO_KEY, F.col("n")).otherwise(0)).alias("zeros"),
+        F.min(F.when(F.col("bucket") != ZERO_KEY, F.col("bucket"))).alias("__lo"), F.max(F.when(F.col("bucket") != ZERO_KEY, F.col("bucket"))).alias("__hi"),
+        F.collect_list(F.when(F.col("bucket") != ZERO_KEY, F.struct("bucket", "n"))).alias("__b"),
+    )
+    lo = F.greatest("__lo", F.col("__hi") - (most - 1))
+    # Buckets of a window are few, or as many as `most` after collapsing.
+    held = F.transform("__b", lambda b: F.struct(F.greatest(b["bucket"], F.col("offset")).alias("k"), b["n"].alias("n")))
+
+    def count(at: Column) -> Column:
+        return F.aggregate(F.filter(F.col("__h"), lambda b: b["k"] == at), F.lit(0).cast("bigint"), lambda acc, b: acc + b["n"])
+
+    top = top.withColumn("offset", lo).withColumn("__h", held)
+    counts = F.when(F.col("offset").isNotNull(), F.transform(F.sequence("offset", "__hi"), count)).otherwise(F.array().cast("array<bigint>"))
+    return top.select(*keys, "zeros", "offset", counts.alias("counts"))
+
+
+def varint_bytes(n: Col) -> Column:
+    """Bytes of a non-negative number as a varint: seven bits each."""
+    return sum((F.when(col(n) >= F.lit(1 << 7 * k), 1).otherwise(0) for k in range(1, 9)), F.lit(1))
+
+
+def zigzag(n: Col) -> Column:
+    """Signed to non-negative numbers, small ones first."""
+    return F.when(col(n) >= 0, 2 * col(n)).otherwise(-2 * col(n) - 1)
+
+
+def native_bytes(bins: Col, offset: Col, zeros: Col) -> Column:
+    """Wire bytes of a native sketch: its mapping (one double), the store of positive values, and a count of zeros.
+
+    Fields are tags of one byte before a double, a varint or a message with its length; zero fields are left out. The
+    store has its counts as packed doubles and the offset as a signed varint.
+    """
+    message = lambda size: 1 + varint_bytes(size) + size
+    store = F.when(col(bins) > 0, 1 + varint_bytes(8 * col(bins)) + 8 * col(bins)).otherwise(0)
+    store = store + F.when(F.coalesce(col(offset), F.lit(0)) != 0, 1 + varint_bytes(zigzag(offset))).otherwise(0)
+    return (F.lit(2 + 9) + message(store) + F.when(col(zeros) > 0, 9).otherwise(0)).cast("long")

@@ -346,6 +346,24 @@ def payload_bytes(spark, sf_dir):
     return t.withColumn("max_count_reduction", fidelity.reduction("max_count_bytes", "raw_bytes")).withColumn("sketch_reduction", fidelity.reduction("sketch_bytes", "raw_bytes"))
 
 
+def _varint(n: str) -> str:
+    return "(1 + " + " + ".join(f"cast({n} >= {1 << 7 * k} as int)" for k in range(1, 6)) + ")"
+
+
+@query(E_X + f""", b as (select panel, window_id, case when x > 0 then cast(ceil(ln(x) / ln({sketch.gamma_of(sketch.NATIVE_ERROR)!r}::double)) as bigint) end as k from x),
+g as (select panel, window_id, cast(count(*) filter (where k is null) as bigint) as zeros, greatest(min(k), max(k) - 2047) as "offset", coalesce(max(k) - greatest(min(k), max(k) - 2047) + 1, 0) as bins from b group by all having count(*) = 12),
+z as (select *, case when "offset" >= 0 then 2 * "offset" else -2 * "offset" - 1 end as zz from g),
+st as (select *, case when bins > 0 then 1 + {_varint("8 * bins")} + 8 * bins else 0 end + case when coalesce("offset", 0) <> 0 then 1 + {_varint("zz")} else 0 end as store from z)
+select panel, window_id, zeros, "offset", bins, cast(11 + 1 + {_varint("store")} + store + case when zeros > 0 then 9 else 0 end as bigint) as bytes from st""")
+def native_sketch_bytes(spark, sf_dir):
+    """The native sketch of every complete window: its store of consecutive buckets, and what it takes on the wire."""
+    x = event_windows(spark, sf_dir)
+    rows = sketch.sketch_rows(x, ["panel", "window_id"], error=sketch.NATIVE_ERROR)
+    s = sketch.contiguous_store(rows, ["panel", "window_id"]).withColumn("bins", F.size("counts").cast("long"))
+    whole = F.col("zeros") + F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, n: a + n) == K
+    return s.where(whole).select("panel", "window_id", "zeros", "offset", "bins", sketch.native_bytes("bins", "offset", "zeros").alias("bytes"))
+
+
 @query(E_W + """, j as (select panel, window_id, '{"count":' || cnt || ',"v_max":' || round(maximum, 6) || ',"vm":"' || panel || '","window":' || window_id || '}' as payload from w)
 select panel, window_id, payload, cast(length(payload) as bigint) as bytes from j""")
 def payload_json(spark, sf_dir):
