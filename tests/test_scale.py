@@ -215,3 +215,12 @@ def test_native_sketch_has_the_size_of_its_encoding(spark, most):
     for r in got.withColumn("bytes", sketch.native_bytes("bins", "offset", "zeros")).collect():
         body, counts = encoded(sets[r.w], sketch.NATIVE_ERROR, most)
         assert list(r.counts) == counts and r.bytes == len(body) and len(counts) <= most
+
+
+def test_exact_split_has_exact_sizes_and_depends_on_the_seed(spark):
+    from tidemark.operators import features
+
+    ids = spark.createDataFrame([(i % 97,) for i in range(300)] + [(None,)], "e long")
+    one, same, other = ({r.e: r.split for r in features.exact_split(ids, "e", s).collect()} for s in (1, 1, 2))
+    assert one == same != other and set(one) == set(range(97)) and list(one.values()).count("train") == int(0.7 * 97)
+    assert features.exact_split(ids.limit(0), "e", 1).count() == 0

@@ -61,6 +61,18 @@ def disjoint_split(pairs: DataFrame, entity: str, share: float = TRAIN_SHARE) ->
     return pairs.withColumn("split", F.when(part < int(share * 1000), "train").otherwise("test"))
 
 
+def exact_split(entities: DataFrame, entity: str, seed: int, share: float = TRAIN_SHARE) -> DataFrame:
+    """(entity, split): a seeded shuffle of the distinct entities, of which exactly int(share * entities) train.
+
+    The shuffle orders entities by a digest of seed and id, ties by id; places come from range partitions, so no list of
+    entities is collected or sorted in one task, and any engine shuffles alike. A null is no entity.
+    """
+    e = entities.where(F.col(entity).isNotNull()).select(entity).distinct()
+    e = e.withColumn("__d", F.md5(F.concat(F.lit(f"{seed}-"), F.col(entity).cast("string"))))
+    e = ranges.placed(e, [], ["__d", entity])
+    return e.select(entity, F.when(F.col("i") < cut_index("n", share), "train").otherwise("test").alias("split"))
+
+
 def _with_flag(v: str, u: float) -> list[Column]:
     return [F.col(v), flag(F.col(v) >= d(u)).cast("double")]
 

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import d, flag, floor_id
+from .ranges import joined
+from .scratch import written
 
 SAMPLE_SECONDS = 300
 
@@ -103,6 +105,6 @@ def first_windows(blocks: DataFrame, order: list[str], most: int) -> DataFrame:
 
 def contiguous(blocks: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
     """Each window with its successor's columns next_*, where that is the very next window."""
-    by = W.partitionBy(*keys).orderBy("window_id")
-    out = blocks.withColumns({f"next_{c}": F.lead(c).over(by) for c in carry} | {"__next": F.lead("window_id").over(by)})
-    return out.where(F.col("__next") == F.col("window_id") + 1).drop("__next")
+    b = written(blocks, "windows")
+    following = b.select(*keys, (F.col("window_id") - 1).alias("window_id"), *[F.col(c).alias(f"next_{c}") for c in carry])
+    return joined(b, following, [*keys, "window_id"])

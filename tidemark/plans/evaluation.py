@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, core_feature, d, logit, smoothed_rate
 from ..operators import boosting, bootstrap, features, metrics, models, windows
+from ..operators.scratch import written
 from . import newton_sql
 from .adapters import DRAW, E_P, E_T, L_W, K, core_blocks, event_blocks, event_scored, event_split, resource_blocks, rounded, table
 
@@ -43,6 +44,18 @@ def panel_disjoint(spark, sf_dir):
     return s.groupBy("split").agg(F.count("*").alias("entities"), F.sum("s_suppkey").alias("checksum"))
 
 
+#: The seed of the entities' shuffle.
+_SHUFFLE = 17
+_SHUFFLED = "(select {e}, case when row_number() over (order by md5('" + str(_SHUFFLE) + "-' || cast({e} as varchar)), {e}) - 1 < floor(0.7::double * count(*) over ()) then 'train' else 'test' end as split from (select distinct {e} from {t} where {e} is not null))"
+
+
+@query("select split, count(*) as entities, cast(sum(s_suppkey) as bigint) as checksum from " + _SHUFFLED.format(e="s_suppkey", t="supplier") + " group by split")
+def panel_disjoint_exact(spark, sf_dir):
+    """Disjoint sets of exact size."""
+    s = features.exact_split(table(spark, sf_dir, "supplier"), "s_suppkey", _SHUFFLE)
+    return s.groupBy("split").agg(F.count("*").alias("entities"), F.sum("s_suppkey").alias("checksum"))
+
+
 _LATE = "(cast(snapshot >= 1 as int) + cast(snapshot_late >= 1 as int))"
 _PAIR = ["snapshot", "snapshot_late", "greatest(snapshot, snapshot_late)", f"{_LATE} / 2.0"]
 _COUNT, _TOP = "cnt / 12.0", "cast(maximum >= 1 as int)"
@@ -270,14 +283,47 @@ def logistic_coefficients(spark, sf_dir):
     return t.select("scheme", F.posexplode(F.concat(F.array("intercept"), "values")).alias("term", "value"))
 
 
+_DISJOINT = {k: [c.replace(">= 1", ">= 50") for c in _FEATURES["offset"][k]] + ["log2(greatest(cores, 1))"] for k in ("snapshot", "maximum", "two_snapshots", "maximum_count")}
+_BY_USER = """with s as (select user_id as panel, row_number() over (partition by user_id order by ts, event_id) - 1 as i, value as x, cast(1 + event_id % 8 as double) as cores from events),
+wp as (select *, cast(floor(i / 12.0) as bigint) as window_id, i % 12 as pos from s),
+w as (select panel, window_id, max(case when pos = 0 then x end) as snapshot, max(case when pos = 6 then x end) as snapshot_late, max(x) as maximum,
+  cast(count(*) filter (where x >= 50) as bigint) as cnt, cast(max(case when x >= 50 then 1 else 0 end) as bigint) as event, quantile_cont(cores, 0.5) as cores from wp group by panel, window_id having count(*) = 12),
+t0 as (select w.*, n.event as target from w join w as n on n.panel = w.panel and n.window_id = w.window_id + 1),
+t as (select t0.*, split from t0 join """ + _SHUFFLED.format(e="panel", t="t0") + """ as sh using (panel)),
+pr as (select (sum(target) + 0.5::double) / (count(*) + 1) as r from t where split = 'train')"""
+
+
+def _disjoint_sql(scheme: str, x: list[str]) -> str:
+    return (f", sa_{scheme} as (select split, target, cast(target as double) as y, ln(r / (1 - r)) as o" + newton_sql.scaled_by(x, "split = 'train'") + f" from t, pr), sr_{scheme} as (select * from sa_{scheme} where split = 'train')"
+            + newton_sql.fit(f"f_{scheme}", f"sr_{scheme}", len(x), offset=True)
+            + f", y_{scheme} as (select target, 1 / (1 + exp(-({newton_sql.linear(len(x), True)}))) as p from sa_{scheme} join f_{scheme} on true where split = 'test'), ap_{scheme} as (" + _AP.format(k="", w="", t=f"y_{scheme}", g="") + ")")
+
+
+#: Schemes whose fit SQL can follow: a factor of more columns, written out, outgrows it.
+_FEW = ("snapshot", "maximum")
+
+
+@query(_BY_USER + "".join(_disjoint_sql(k, _DISJOINT[k]) for k in _FEW) + " " + " union all ".join(
+    f"select '{k}' as scheme, count(*) as rows, cast(sum(target) as bigint) as positives, round(avg(target), 6) as prevalence, round(avg((target - p) * (target - p)), 6) as brier, round(avg(target * ln(p) + (1 - target) * ln(1 - p)), 6) as mean_log_score, round(max(v), 6) as average_precision from y_{k}, ap_{k}"
+    for k in _FEW))
+def panel_disjoint_pair(spark, sf_dir):
+    """panel_disjoint_forecast() of two schemes."""
+    return _disjoint(spark, sf_dir, _FEW)
+
+
 @query(None)
 def panel_disjoint_forecast(spark, sf_dir):
     """Entities of the test share are never trained on; every scheme has the size as a further feature."""
+    return _disjoint(spark, sf_dir, tuple(_DISJOINT))
+
+
+def _disjoint(spark, sf_dir, schemes):
     pairs = windows.contiguous(core_blocks(spark, sf_dir), ["panel"], ["event"]).withColumnRenamed("next_event", "target")
-    t = features.disjoint_split(pairs, "panel")
+    pairs = written(pairs, "pairs")
+    t = pairs.join(features.exact_split(pairs, "panel", _SHUFFLE), "panel")
     rate = t.where("split = 'train'").agg(logit(smoothed_rate(F.sum("target"), F.count("*"))).alias("offset"))
-    t, out = t.join(F.broadcast(rate)).persist(), None  # one row
-    for scheme in ("snapshot", "maximum", "two_snapshots", "maximum_count"):
+    t, out = written(t.join(F.broadcast(rate)), "transitions"), None  # one row
+    for scheme in schemes:
         f = [*features.features("offset", scheme, 50.0), core_feature("cores").alias("size")]
         s = t.select("split", "target", "offset", *f)
         names = [c for c in s.columns if c not in ("split", "target", "offset")]
