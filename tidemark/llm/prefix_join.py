@@ -238,8 +238,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         fits = num * (F.col("n") + F.col("hub_n")) <= (num + den) * F.least("n", "hub_n")
         pairs = cut(pairs.where(fits).select("hub", "hub_n", "id", "n").distinct())
         hubs = pairs.groupBy("hub").agg(F.count("*").alias("times"))
-        hubs = cut(hubs.join(own.select(F.col("id").alias("hub"), F.col("others").alias("hub_others")), "hub"))
-        stars = cut(_passing(join_hot(pairs.join(own, "id"), hubs, ["hub"], "times", F.xxhash64("id"), pairs.count()), num, den))
+        # Only the prefixes of what stands in a pair are moved.
+        met = own.join(small(cut(pairs.select("id").union(pairs.select("hub")).distinct())), "id", "left_semi")
+        hubs = cut(hubs.join(met.select(F.col("id").alias("hub"), F.col("others").alias("hub_others")), "hub"))
+        stars = cut(_passing(join_hot(pairs.join(met, "id"), hubs, ["hub"], "times", F.xxhash64("id"), pairs.count()), num, den))
         sets = sets_of(d, stars.select("id").union(stars.select("hub")).distinct(), classes, words)
         return cut(confirm(stars, sets, num, den))
 
