@@ -228,7 +228,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
     buckets = stash(buckets.join(small(sizes.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"))), "hub").select("key", "size", "hub", "hub_n"), "keys")
     total = buckets.agg(F.sum("size")).first()[0] or 0
-    met = join_hot(keys, buckets, ["key"], "size", F.xxhash64("id"), total).where("id <> hub")
+    # Sides that grow with the corpus are joined by shuffles at every size: hints keep them from being broadcast while they are little.
+    met = join_hot(keys, buckets.hint("merge"), ["key"], "size", F.xxhash64("id"), total).where("id <> hub")
     shared = stash(met.join(small(sizes), "id").select("key", "id", "n", "hub", "hub_n"), "buckets")
 
     own = reps.select("id", "others")
@@ -240,8 +241,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         hubs = pairs.groupBy("hub").agg(F.count("*").alias("times"))
         # Only the prefixes of what stands in a pair are moved.
         met = own.join(small(cut(pairs.select("id").union(pairs.select("hub")).distinct())), "id", "left_semi")
-        hubs = cut(hubs.join(met.select(F.col("id").alias("hub"), F.col("others").alias("hub_others")), "hub"))
-        stars = cut(_passing(join_hot(pairs.join(met, "id"), hubs, ["hub"], "times", F.xxhash64("id"), pairs.count()), num, den))
+        hubs = cut(hubs.join(met.select(F.col("id").alias("hub"), F.col("others").alias("hub_others")).hint("merge"), "hub"))
+        stars = cut(_passing(join_hot(pairs.join(met.hint("merge"), "id"), hubs.hint("merge"), ["hub"], "times", F.xxhash64("id"), pairs.count()), num, den))
         sets = sets_of(d, stars.select("id").union(stars.select("hub")).distinct(), classes, words)
         return cut(confirm(stars, sets, num, den))
 
@@ -267,8 +268,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         rest = stash(open_.where("id <> hub"), "rest")
         links = cut(links.union(tried(rest.where("root <> hub_root"))))
         roots, rest = components(links), rest.select("key", "id", "n")
-    blocks = in_blocks(open_.select("key", "id", "root", (F.col("n") * 2).alias("bytes")))
-    near = cut(_candidates(blocks.join(small(sizes), "id").join(own, "id"), num, den).distinct())
+    blocks = cut(in_blocks(open_.select("key", "id", "root", (F.col("n") * 2).alias("bytes"))))
+    met = own.join(small(cut(blocks.select("id").distinct())), "id", "left_semi")
+    near = cut(_candidates(blocks.join(small(sizes), "id").join(met.hint("merge"), "id"), num, den).distinct())
     more = within_clusters(near, roots, d, classes, words, num, den)
     out = labelled(index, classes, components(links.union(more)))
     return out.select(F.col("id").alias(doc), "n_shingles", "component_id")
