@@ -44,9 +44,10 @@ class Tree:
         return a, a + 1
 
     def arrays(self) -> Column:
-        """The nodes as one literal, so that trees share their generated code."""
-        parts = {"feature": self.feature, "cut": self.cut, "left": self.left, "right": self.right, "value": self.value}
-        return F.struct(*[F.lit(v).alias(k) for k, v in parts.items()], F.lit(max(1, *self.depth)).alias("depth"))
+        """The nodes as one literal, so that trees share their generated code; parsed at once, not built by a call for each number."""
+        parts = {"feature": self.feature, "cut": self.cut, "left": self.left, "right": self.right, "value": [f"{v!r}D" for v in self.value]}
+        fields = [f"'{k}', array({', '.join(map(str, v))})" for k, v in parts.items()]
+        return F.expr(f"named_struct({', '.join(fields)}, 'depth', {max(1, *self.depth)})")
 
 
 def leaf_of(tree: Column, bins: Column) -> Column:

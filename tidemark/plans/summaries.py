@@ -13,6 +13,7 @@ from ..functions.scalar import clip, core_feature, d, expit, flag, floor_id, log
 from ..operators import clean, fidelity, windows
 from ..operators.scratch import shared_folder
 from ..sources import readers
+from ..streaming import export
 from ..streaming import windows as streaming
 from .adapters import (
     C_X, E_W, E_X, K, L_W, L_X, THRESHOLDS, cpu_windows, event_blocks, event_samples, event_windows, line_resources,
@@ -410,27 +411,49 @@ _HOURS = """select * from (select cast(floor(epoch(ts) / 3600.0) as bigint) as w
 from events group by 1) where (window_id + 1) * 3600 <= (select floor(epoch(max(ts)) * 1000) / 1000 from events) - 600"""
 
 
-def _streamed(spark, sf_dir):
-    """Window states of the events table as a stream, run to its end: each window once, when the watermark has passed it."""
+def _streamed(spark, states):
+    """Results of a stream run to its end, each once, when the watermark has passed it."""
     from pyspark.errors import PySparkException
 
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    s = streaming.window_states(streaming.read_stream(spark, sf_dir, "events"), "ts", "value", 3600, 30.0)
     try:
-        streaming.run_available(s, lambda b, n: b.write.mode("overwrite").parquet(f"{at}/out/batch={n}"), "append", f"{at}/log")
+        streaming.run_available(states, lambda b, n: export.export_batch(b, n, f"{at}/out"), "append", f"{at}/log")
     except PySparkException as e:
         raise RuntimeError("the stream failed") from e
-    return spark.read.parquet(f"{at}/out").drop("batch")
+    return export.exported(spark, f"{at}/out", states.schema)
+
+
+def _hours(spark, sf_dir):
+    return _streamed(spark, streaming.window_states(streaming.read_stream(spark, sf_dir, "events"), "ts", "value", 3600, 30.0))
 
 
 @query(f"select window_id, rows, maximum, cnt, cast(cnt > 0 as bigint) as event from ({_HOURS}) where rows = 12")
 def stream_window_max_count(spark, sf_dir):
-    return streaming.complete_windows(_streamed(spark, sf_dir), 12)
+    return streaming.complete_windows(_hours(spark, sf_dir), 12)
 
 
 @query(f"select window_id, rows as raw_messages, cast(1 as bigint) as summary_messages, rows * 20 as raw_bytes, cast(24 as bigint) as summary_bytes from ({_HOURS})")
 def stream_export(spark, sf_dir):
-    return streaming.flushed(_streamed(spark, sf_dir), 20, 24)
+    return streaming.flushed(_hours(spark, sf_dir), 20, 24)
+
+
+@query("""with e as (select event_type as panel, cast(floor(epoch(ts)) as bigint) as t, value from events),
+w as (select panel, t // 1800 - k as window_id, value from e, (values (0), (1), (2), (3)) v(k))
+select panel, window_id, count(*) as rows, round(max(value), 6) as maximum, cast(count(*) filter (where value >= 30) as bigint) as cnt from w group by 1, 2
+having window_id * 1800 + 7200 <= (select floor(epoch(max(ts)) * 1000) / 1000 from events) - 600""")
+def stream_sliding_windows(spark, sf_dir):
+    e = streaming.read_stream(spark, sf_dir, "events").withColumnRenamed("event_type", "panel")
+    return _streamed(spark, streaming.window_states(e, "ts", "value", 7200, 30.0, keys=["panel"], slide=1800))
+
+
+@query("""with e as (select user_id, epoch_us(ts) as t, value from events),
+s as (select *, case when t - lag(t) over (partition by user_id order by t) <= 86400000000 then 0 else 1 end as fresh from e),
+n as (select *, sum(fresh) over (partition by user_id order by t rows unbounded preceding) as no from s)
+select user_id, min(t) as first_us, max(t) as last_us, count(*) as rows, round(max(value), 6) as maximum from n group by user_id, no
+having max(t) + 86400000000 <= (select epoch_us(max(ts)) // 1000 * 1000 from events) - 600000000""")
+def stream_sessions(spark, sf_dir):
+    """Sessions of users: events at most a day apart."""
+    return _streamed(spark, streaming.session_states(streaming.read_stream(spark, sf_dir, "events"), "ts", "value", 86400, keys=["user_id"]))
 
 
 @query(None)
