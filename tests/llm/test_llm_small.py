@@ -521,3 +521,11 @@ def test_packing_is_lossless(spark, tmp_path):
         assert [x for k in range(-(-len(want) // 64)) for x in got[i, k]] == want
         assert all(times[i, k] == 1 + (i == 5) for k in range(-(-len(want) // 64)))
     assert packing.pack(packing.tokenised(df.limit(0), RANKS, P.PATTERN)).count() == 0
+
+
+def test_packing_spreads_rows_of_one_id_and_text(spark):
+    df = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text of some words " * 10).alias("text"))
+    rows = packing.pack(packing.tokenised(df, RANKS, P.PATTERN), row=256, bin_tokens=1000).groupBy("bin").agg(F.sum("n_tokens").alias("n")).collect()
+    whole = sum(r.n for r in rows)
+    assert whole == 2000 * packing.tokenised(df.limit(1), RANKS, P.PATTERN).first().n
+    assert len(rows) > 0.9 * whole / 1000 and max(r.n for r in rows) < 4000

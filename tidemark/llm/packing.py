@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import packed, unpacked
+from .blocks import packed, same_on_every_reading, unpacked
 
 ROW = 2048
 PAD = 50256
@@ -91,12 +91,14 @@ def pack(tokens: DataFrame, row: int = ROW, pad: int = PAD, bin_tokens: int = BI
     ids: `row` numbers of 32 bits, least byte first, padded at the end; cu_seqlens: 0 and the end of each segment;
     positions: like ids, from 0 again in each segment, 0 in the padding; doc_ids and pieces: the document of each segment
     and which of its pieces it is. Documents without ids take no place; a null id is carried; rows that repeat an id
-    are packed one by one, in the order of their ids' bytes, so equal input gives equal output. The number of bins follows
+    are packed one by one, in the order of their ids' bytes. Rows are dealt to bins by their place in the table too, so that
+    any number of rows of one id and length is spread; the same files give the same output. The number of bins follows
     the number of tokens. Empty table: empty result.
     """
+    tokens = same_on_every_reading(tokens)
     total = tokens.agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-int(total) // bin_tokens))
-    dealt = tokens.where("n > 0").withColumn("bin", F.pmod(F.xxhash64("doc", "n"), F.lit(bins)).cast("int"))
+    dealt = tokens.where("n > 0").withColumn("bin", F.pmod(F.xxhash64("doc", "n", F.monotonically_increasing_id()), F.lit(bins)).cast("int"))
 
     def run(t: pa.Table) -> pa.Table:
         docs = t.column("doc").to_pylist()
