@@ -94,33 +94,62 @@ def precision_gain(scored: DataFrame, cluster: str, left: str, right: str, repli
     return cluster_mean(gain, cluster, "gain", replicates)
 
 
+def block_starts(s: DataFrame, key: str, replicates: int, length: int) -> DataFrame:
+    """(key, rep, start, whole): starts drawn for circular blocks of `length`, as long together as the series; s: rows of placed().
+
+    A series that is no multiple of `length` has a last block of its rest, which is not whole. Replicates are dealt to all
+    tasks before their draws are made.
+    """
+    parts = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reps = s.groupBy(key).agg(F.first("n").alias("n")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    reps = reps.repartition(parts, key, "rep").withColumn("__k", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / length) - 1).cast("int"))))
+    return reps.select(key, "rep", draw(F.col("rep"), F.col("__k"), F.col("n")).alias("start"), ((F.col("__k") + 1) * length <= F.col("n")).alias("whole"))
+
+
+def in_blocks(s: DataFrame, length: int) -> DataFrame:
+    """Rows of placed() once for each circular block that holds them: its start, j (the place within), rest (rows of a last block)."""
+    b = s.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
+    return b.withColumns({"start": F.pmod(F.col("i") - F.col("j"), F.col("n")), "rest": F.col("n") % length})
+
+
 def block_multiplicities(series: DataFrame, key: str, order: str, replicates: int, length: int = 12) -> tuple[DataFrame, DataFrame]:
-    """The series with `at`, their places, and (key, rep, at, times) of circular blocks of `length` from drawn starts, as long as the series.
+    """The series with `at`, their places, and (key, rep, at, times): how often each place is in a replicate's blocks.
 
     Every key's series is numbered and drawn by itself, so no task sees more than one.
     """
-    s = placed(series, [key], [order]).withColumnRenamed("i", "at").drop("n")
-    n = series.groupBy(key).agg(F.count("*").alias("__n"))
-    reps = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    reps = reps.withColumn("__k", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("__n") / length) - 1).cast("int"))))
-    starts = reps.withColumn("start", draw(F.col("rep"), F.col("__k"), F.col("__n")))
-    each = starts.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).where(F.col("__k") * length + F.col("j") < F.col("__n"))
-    at = each.select(key, "rep", F.pmod(F.col("start") + F.col("j"), F.col("__n")).alias("at"))
-    return s, at.groupBy(key, "rep", "at").agg(F.count("*").alias("times"))
+    s = placed(series, [key], [order])
+    b = in_blocks(s.select(key, "i", "n"), length).select(key, "start", F.col("i").alias("at"), (F.col("j") < F.col("rest")).alias("cut"))
+    m = block_starts(s, key, replicates, length).join(b, [key, "start"]).where(F.col("whole") | F.col("cut"))
+    return s.withColumnRenamed("i", "at").drop("n"), m.groupBy(key, "rep", "at").agg(F.count("*").alias("times"))
 
 
 def block_recall(series: DataFrame, key: str, order: str, hit: Column, event: str, replicates: int, length: int = 12) -> DataFrame:
-    """(key, mean, low, high) of event recall over resampled blocks of each key's series."""
-    s, m = block_multiplicities(series, key, order, replicates, length)
-    m = m.join(s.select(key, "at", F.col(event).alias("__e"), hit.cast("double").alias("__h")), [key, "at"])
-    r = m.groupBy(key, "rep").agg(F.try_divide(F.sum(F.col("times") * F.col("__h") * F.col("__e")), F.sum(F.col("times") * F.col("__e"))).alias("value"))
-    return interval(r, [key], "value")
+    """(key, mean, low, high) of event recall over resampled blocks of each key's series.
+
+    Every block is summed once, whole and cut; draws join these sums, so a replicate has a row per block, not per place.
+    """
+    s = placed(series.select(key, order, F.col(event).alias("__e"), (hit.cast("double") * F.col(event)).alias("__h")), [key], [order])
+    cut = {c: F.when(F.col("j") < F.col("rest"), F.col(f"__{c}")) for c in "eh"}
+    sums = [F.sum(x).alias(name) for c in "eh" for x, name in ((F.col(f"__{c}"), f"__{c}_whole"), (cut[c], f"__{c}_cut"))]
+    b = in_blocks(s, length).groupBy(key, "start").agg(*sums)
+    m = block_starts(s, key, replicates, length).join(b, [key, "start"])
+    of = lambda c: F.sum(F.when(F.col("whole"), F.col(f"__{c}_whole")).otherwise(F.col(f"__{c}_cut")))
+    return interval(m.groupBy(key, "rep").agg(F.try_divide(of("h"), of("e")).alias("value")), [key], "value")
 
 
 def block_precision_gain(series: DataFrame, key: str, order: str, left: str, right: str, replicates: int, length: int = 12) -> DataFrame:
-    """(key, mean, low, high) of the difference of average precision over resampled blocks of each key's series."""
-    s, m = block_multiplicities(series, key, order, replicates, length)
-    m = m.join(s.select(key, "at", F.col(left).alias("__l"), F.col(right).alias("__r"), "target"), [key, "at"])
-    ap = lambda c, name: average_precision(m.withColumn("p", F.col(c)), [key, "rep"], "times").withColumnRenamed("average_precision", name)
-    r = ap("__l", "l").join(ap("__r", "r"), [key, "rep"]).withColumn("value", F.col("r") - F.col("l"))
-    return interval(r, [key], "value")
+    """(key, mean, low, high) of the difference of average precision over resampled blocks of each key's series.
+
+    Draws join blocks as arrays of their `length` rows; a replicate's rows are summed per distinct score as they are unpacked.
+    """
+    s = placed(series.select(key, order, F.col(left).alias("__l"), F.col(right).alias("__r"), "target"), [key], [order])
+    b = in_blocks(s, length).groupBy(key, "start").agg(F.first("rest").alias("rest"), F.collect_list(F.struct("j", "__l", "__r", "target")).alias("__rows"))
+    m = block_starts(s, key, replicates, length).join(b, [key, "start"])
+    taken = F.when(F.col("whole"), F.col("__rows")).otherwise(F.filter("__rows", lambda x: x["j"] < F.col("rest")))
+    m = m.select(key, "rep", F.explode(taken).alias("__x"))
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(f"__x.__{c}").alias("p")) for c in "lr"]))
+    m = m.select(key, "rep", F.col("__x.target").alias("target"), both.alias("__y")).select(key, "rep", "__y.*", "target")
+    by = [key, "rep", "side"]
+    ap = average_precision(m.groupBy(*by, "p", "target").agg(F.count("*").alias("times")), by, "times")
+    of = lambda c: F.max(F.when(F.col("side") == c, F.col("average_precision")))
+    return interval(ap.groupBy(key, "rep").agg((of("r") - of("l")).alias("value")), [key], "value")
