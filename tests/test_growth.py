@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import bootstrap
+from tests.oracle import compare
+from tidemark import catalog
+from tidemark.operators import bootstrap, ranges
 
 
 def figures(spark, run):
@@ -43,3 +45,17 @@ def test_resampled_blocks_of_short_series(spark):
         want = bootstrap.interval(j, [], "v").first()
         got = bootstrap.block_recall(s, "k", "t", F.col("p") >= 3, "e", 20).first()
         assert got["mean"] == want["mean"] and got["low"] == want["low"] and got["high"] == want["high"]
+
+
+def test_resource_windows_move_lines_once(spark):
+    """The four resources' places, thresholds and windows of 60,000 lines need the lines' one shuffle."""
+    query = catalog.queries()["duration_mae"]
+    assert figures(spark, lambda: query(spark, "/root/testdata/sf0.01").collect())[1] < 6_000_000
+
+
+def test_large_suppliers_go_by_range_partitions(spark, monkeypatch):
+    """With suppliers on either side of the limit, and with all beyond it, results are those of SQL."""
+    for most in (590, 1):
+        monkeypatch.setattr(ranges, "KEY_ROWS", most)
+        for name in ("kish_concentration", "sketch_merge"):
+            compare(spark, catalog.queries()[name], catalog.oracle_sql()[name])

@@ -38,8 +38,9 @@ def summed_rate(a: Col, b: Col) -> Column:
 
 def to_resources(df: DataFrame, keys: list[str], resources: dict[str, Column]) -> DataFrame:
     """Long form (keys, resource, x): each resource by its own validity, not only complete rows."""
-    named = df.select(*keys, *[v.alias(k) for k, v in resources.items()])
-    return named.unpivot(keys, list(resources), "resource", "x").where(finite("x"))
+    # Exploded and not unpivoted: rows stay where their keys were dealt to.
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("resource"), v.cast("double").alias("x")) for k, v in resources.items()]))
+    return df.select(*keys, each.alias("__r")).select(*keys, "__r.*").where(finite("x"))
 
 
 def valid_resources(long: DataFrame, ratios: tuple[str, ...] = ("cpu", "memory")) -> DataFrame:
@@ -51,18 +52,26 @@ def at_least(df: DataFrame, keys: list[str], n: int = MIN_SAMPLES) -> DataFrame:
     return df.withColumn("__n", F.count("*").over(W.partitionBy(*keys))).where(F.col("__n") >= n).drop("__n")
 
 
+def early(share: float = 0.7, x: str = "x") -> Column:
+    """Whether a row with i (from 0) and n is one of its key's first samples and positive."""
+    return (F.col("i") < F.greatest(cut_index("n", share), F.lit(1))) & (F.col(x) > 0)
+
+
 def burst_thresholds(ordered: DataFrame, keys: list[str], x: str = "x", share: float = 0.7, q: float = 0.99) -> DataFrame:
     """(keys, threshold): quantile of the positive values of each key's first samples; ordered has i (from 0) and n."""
-    early = ordered.where((F.col("i") < F.greatest(cut_index("n", share), F.lit(1))) & (F.col(x) > 0))
-    return quantiles(early, keys, x, {"threshold": q})
+    return quantiles(ordered.where(early(share, x)), keys, x, {"threshold": q})
 
 
-def normalise_bursts(ordered: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
+def normalise_bursts(ordered: DataFrame, keys: list[str], x: str = "x", in_task: bool = False) -> DataFrame:
     """x over its key's training threshold, within [0, 100]; a key without positive training values has 1.
 
     ordered: rows of in_order(.., keep=True); the threshold reaches them by their partitions, and no task holds a key.
+    in_task: rows of ranges.placed_in_task() instead.
     """
-    out = ranges.with_key_values(ordered, keys, burst_thresholds(ordered, keys, x)).drop(ranges.PART, ranges.AT)
+    if in_task:
+        out = ordered.withColumn("threshold", F.percentile(F.when(early(x=x), F.col(x)), 0.99).over(W.partitionBy(*keys)))
+    else:
+        out = ranges.with_key_values(ordered, keys, burst_thresholds(ordered, keys, x)).drop(ranges.PART, ranges.AT)
     out = out.withColumn("threshold", F.coalesce("threshold", d(1)))
     return out.withColumn(x, clip(F.col(x) / F.greatest(F.col("threshold"), d(1e-12)), 0, BURST_CAP))
 

@@ -18,6 +18,8 @@ from .scratch import written
 PART_BIT = 33
 #: Columns that placed() leaves for further use by totals().
 PART, AT = "__part", "__at"
+#: Rows of the largest key that one task orders by itself, and about how many rows a task is dealt.
+KEY_ROWS, TASK_ROWS = 100_000, 250_000
 
 
 def joined(rows: DataFrame, per: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
@@ -65,6 +67,27 @@ def placed(
     return out.drop(*gone, *([] if keep else [PART, AT]))
 
 
+def by_size(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of keys that one task may hold, dealt by key to as many tasks as there are rows for, and those of larger keys, if any.
+
+    What is grouped or ordered by the key needs no further shuffle then. Null is a key.
+    """
+    sizes = df.groupBy(key).agg(F.count("*").alias("__n"))
+    rows, most = sizes.agg(F.sum("__n"), F.max("__n")).first()
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // TASK_ROWS))
+    if (most or 0) <= KEY_ROWS:
+        return df.repartition(parts, key), None
+    large = sizes.where(F.col("__n") > KEY_ROWS).select(F.col(key).alias("__key"))
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    return df.join(large, same, "left_anti").repartition(parts, key), df.join(large, same, "left_semi")
+
+
+def placed_in_task(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """placed() for keys that one task may hold."""
+    by = W.partitionBy(*keys)
+    return df.withColumns({"i": (F.row_number().over(by.orderBy(*order)) - 1).cast("long"), "n": F.count("*").over(by)})
+
+
 def totals_by_part(df: DataFrame, keys: list[str], totals: dict[str, Column]) -> DataFrame:
     """Rows of placed(.., keep=True) with further sums over their key, by way of the key's sums in each partition."""
     seg = df.groupBy(*keys, PART).agg(*[F.sum(c).alias(k) for k, c in totals.items()])

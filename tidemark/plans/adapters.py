@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import d, smoothed_rate
-from ..operators import clean, features, windows
+from ..operators import clean, features, ranges, windows
 
 K = 12
 RESOURCE_LIMIT = 0.9
@@ -46,30 +48,53 @@ def event_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_split(spark, sf_dir).withColumn("p", smoothed_rate("cnt", F.lit(K)))
 
 
+_LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+
+
+def _by_supplier(spark: SparkSession, sf_dir: str, then: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """then(resources, True) of suppliers whose lines one task may hold, with then(resources, False) of larger ones, if any.
+
+    resources: lineitem by supplier as four resources in long form: panel, seq, resource, x; each by its own validity.
+    """
+    li = table(spark, sf_dir, "lineitem").withColumn("panel", F.col("l_suppkey"))
+    li = li.select("panel", *_LINE_ORDER, "l_quantity", "l_discount", "l_tax")
+
+    def resources(lines: DataFrame) -> DataFrame:
+        return clean.valid_resources(clean.to_resources(lines.withColumnRenamed("i", "seq"), ["panel", "seq"], {
+            "cpu": F.col("l_quantity") / d(50),
+            "memory": clean.used_ratio("l_discount", F.lit(0.10)),
+            "disk": clean.summed_rate("l_extendedprice", F.col("l_extendedprice") * F.col("l_discount")),
+            "network": clean.summed_rate(F.col("l_extendedprice") * F.col("l_tax"), "l_quantity"),
+        }))
+
+    small, large = ranges.by_size(li, "panel")
+    out = then(resources(ranges.placed_in_task(small, ["panel"], _LINE_ORDER)), True)
+    return out if large is None else out.unionByName(then(resources(clean.in_order(large, ["panel"], _LINE_ORDER)), False))
+
+
 def line_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem by supplier as four resources in long form: panel, seq, resource, x; each by its own validity."""
-    li = table(spark, sf_dir, "lineitem")
-    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-    li = clean.in_order(li.withColumn("panel", F.col("l_suppkey")), ["panel"], order).withColumnRenamed("i", "seq")
-    return clean.valid_resources(clean.to_resources(li, ["panel", "seq"], {
-        "cpu": F.col("l_quantity") / d(50),
-        "memory": clean.used_ratio("l_discount", F.lit(0.10)),
-        "disk": clean.summed_rate("l_extendedprice", F.col("l_extendedprice") * F.col("l_discount")),
-        "network": clean.summed_rate(F.col("l_extendedprice") * F.col("l_tax"), "l_quantity"),
-    }))
+    return _by_supplier(spark, sf_dir, lambda r, _: r)
 
 
-def resource_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _resource_windows(r: DataFrame, in_task: bool) -> DataFrame:
     keys = ["panel", "resource"]
-    o = clean.in_order(clean.at_least(line_resources(spark, sf_dir), keys), keys, ["seq"], keep=True).withColumn("raw", F.col("x"))
-    burst = clean.normalise_bursts(o, keys)
+    if in_task:
+        o = ranges.placed_in_task(r, keys, ["seq"]).where(F.col("n") >= clean.MIN_SAMPLES)
+    else:
+        o = clean.in_order(clean.at_least(r, keys), keys, ["seq"], keep=True)
+    burst = clean.normalise_bursts(o.withColumn("raw", F.col("x")), keys, in_task=in_task)
     # One scale for all: a sample exceeds at 1. Ratios have a fixed limit, rates their key's threshold.
     x = F.when(F.col("resource").isin("cpu", "memory"), F.least(F.col("raw"), d(1)) / d(RESOURCE_LIMIT)).otherwise(F.col("x"))
     return windows.positional(burst.withColumn("x", x).drop("raw"), K)
 
 
+def resource_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_supplier(spark, sf_dir, _resource_windows)
+
+
 def resource_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.summarise(resource_windows(spark, sf_dir), ["panel", "resource"], K)
+    return _by_supplier(spark, sf_dir, lambda r, in_task: windows.summarise(_resource_windows(r, in_task), ["panel", "resource"], K))
 
 
 def core_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +105,8 @@ def core_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cpu_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = clean.in_order(line_resources(spark, sf_dir).where("resource = 'cpu'"), ["panel"], ["seq"])
+    place = lambda r, in_task: (ranges.placed_in_task if in_task else clean.in_order)(r.where("resource = 'cpu'"), ["panel"], ["seq"])
+    o = _by_supplier(spark, sf_dir, place).where(F.col("n") >= clean.MIN_SAMPLES)
     return windows.positional(o.withColumn("x", F.least(F.col("x"), d(1))), K)
 
 
