@@ -47,6 +47,17 @@ def sketch_map(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.map_from_entries(entries).alias("sketch"))
 
 
+def merged_halves(samples: DataFrame, first: Column, keys: list[str], x: str = "x", error: float = RELATIVE_ERROR) -> DataFrame:
+    """(keys, samples, bins, a, b): what two sketches of a window, of its samples with `first` and of the rest, have when merged; a and b are theirs as maps.
+
+    Both are grouped at once, by bucket and then by window, so neither is joined to the other.
+    """
+    half = lambda c: F.count_if(c).alias("a" if c is first else "b")
+    rows = samples.groupBy(*keys, bucket_key(x, error).alias("bucket")).agg(F.count("*").alias("n"), half(first), half(~first))
+    held = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(c) > 0, F.struct("bucket", F.col(c).alias("n"))))))
+    return rows.groupBy(*keys).agg(F.sum("n").alias("samples"), F.count("*").alias("bins"), held("a").alias("a"), held("b").alias("b"))
+
+
 def merge_maps(a: Col, b: Col) -> Column:
     return F.map_zip_with(col(a), col(b), lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
 

@@ -313,17 +313,11 @@ def snapshot_confusion(spark, sf_dir):
 def sketch_merge(spark, sf_dir):
     x = cpu_windows(spark, sf_dir)
     keys = ["panel", "window_id"]
-    halves = [sketch.sketch_rows(x.where(c), keys) for c in ("pos < 6", "pos >= 6")]
-    merged = sketch.merge_rows(*halves, keys)
+    rows = sketch.merged_halves(x, F.col("pos") < 6, keys)
     # The map form must agree with the rows.
-    a, b = (sketch.sketch_map(h, keys).withColumnRenamed("sketch", n) for h, n in zip(halves, "ab", strict=True))
-    none = F.expr("cast(map() as map<bigint, bigint>)")
-    maps = a.join(b, keys, "full_outer").select(*keys, sketch.merge_maps(F.coalesce("a", none), F.coalesce("b", none)).alias("m"))
-    rows = merged.groupBy(*keys).agg(F.sum("n").alias("samples"), F.count("*").alias("bins"))
-    pairs = sketch.sketch_payload("m")
-    same = maps.select(*keys, F.size(pairs).cast("long").alias("map_bins"))
-    agree = F.when(F.col("bins") != F.col("map_bins"), F.raise_error(F.lit("rows and map disagree")).cast("long")).otherwise(F.col("bins"))
-    return rows.join(same, keys, "left").select(*keys, "samples", agree.alias("bins"))
+    same = F.size(sketch.sketch_payload(sketch.merge_maps("a", "b"))) == F.col("bins")
+    agree = F.when(~same, F.raise_error(F.lit("rows and map disagree")).cast("long")).otherwise(F.col("bins"))
+    return rows.select(*keys, "samples", agree.alias("bins"))
 
 
 @query(E_W + " select panel, window_id, round(mean, 6) as mean, round(p95, 6) as exact_p95, round(maximum, 6) as maximum, round(maximum, 6) as maximum_of_two, cnt as count_of_two from w")
