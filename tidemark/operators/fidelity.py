@@ -7,6 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import Col, col, d, flag
+from .ranges import joined
+from .scratch import written
+from .selection import quantiles
 
 STATISTICS = ("snapshot", "mean", "p95", "maximum")
 
@@ -97,10 +100,10 @@ def markov_diagnostic(counts: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count("*").alias("rows"),
-        F.percentile(value, 0.025).alias("low"), F.percentile(value, 0.975).alias("high"),
-    )
+    """(keys, mean, sd, rows, low, high); the quantiles by selection, for a group may have any number of distinct values."""
+    v = written(df.select(*keys, value), "spread")
+    of = v.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count("*").alias("rows"))
+    return joined(of, quantiles(v, keys, value, {"low": 0.025, "high": 0.975}), keys, "left")
 
 
 def least_per_group(df: DataFrame, keys: list[str], cost: str, tie: str) -> DataFrame:
