@@ -59,3 +59,10 @@ def test_large_suppliers_go_by_range_partitions(spark, monkeypatch):
         monkeypatch.setattr(ranges, "KEY_ROWS", most)
         for name in ("kish_concentration", "sketch_merge"):
             compare(spark, catalog.queries()[name], catalog.oracle_sql()[name])
+
+
+def test_delayed_searches_do_not_share_a_task(spark):
+    """Six searches of 40 schedules: no stage holds the sorts and tables of all."""
+    query = catalog.queries()["threshold_search_delayed"]
+    print(most := figures(spark, lambda: query(spark, "/root/testdata/sf0.001").collect())[0])
+    assert most < 600_000_000

@@ -110,8 +110,9 @@ def search_delayed(
     known = F.when(F.col("epoch") < F.col("train") - horizon, F.col("p"))
     cand = t.groupBy(*keys).agg(F.percentile(known, list(grid)).alias("c"))
     cand = cand.select(*keys, F.explode(F.array_distinct(F.concat(F.array(d(0)), F.coalesce("c", F.array().cast("array<double>")), F.array(d(1))))).alias("threshold"))
-    each = t.join(cand, keys)
     by = [*keys, "threshold"]
+    # Dealt by threshold too, so that few keys are many tasks' work.
+    each = t.join(cand, keys).repartition(int(epochs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
     if kind == "hybrid":
         high = (F.col("p") >= F.col("threshold")) | (F.col("target") == 1)
         each = hysteresis(each, by, high, ~high & (F.col("p") < LOW_FACTOR * F.col("threshold"))).withColumnRenamed("active", "on")

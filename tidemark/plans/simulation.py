@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import d
 from ..operators import bootstrap, fidelity, policy
+from ..operators.scratch import written
 from .adapters import DRAW, E_P, event_scored, rounded, table
 
 QUERIES: dict = {}
@@ -214,8 +215,10 @@ _KINDS = [(kind, delay) for kind in ("predictive", "hybrid") for delay in (0, 1,
 def threshold_search_delayed(spark, sf_dir):
     """The least-cost threshold of a closed-form score, by kind of policy and by the delay of its actions."""
     t = _trained(spark, sf_dir).select("key", "epoch", F.col("event").alias("target"), "train", ((F.col("cnt") + d(0.5)) / d(13)).alias("p"))
+    # Written, as is each search's result: else the union's task would hold what all six need.
+    t = written(t, "epochs")
     out = None
     for kind, delay in _KINDS:
-        found = policy.search_delayed(t, ["key"], 1 + delay, 10.0, kind).withColumns({"kind": F.lit(kind), "delay": F.lit(delay)})
+        found = written(policy.search_delayed(t, ["key"], 1 + delay, 10.0, kind), "search").withColumns({"kind": F.lit(kind), "delay": F.lit(delay)})
         out = found if out is None else out.unionByName(found)
     return out.select("key", "kind", "delay", "threshold", "cost", "action_rate")
