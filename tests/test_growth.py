@@ -66,3 +66,9 @@ def test_delayed_searches_do_not_share_a_task(spark):
     query = catalog.queries()["threshold_search_delayed"]
     print(most := figures(spark, lambda: query(spark, "/root/testdata/sf0.001").collect())[0])
     assert most < 600_000_000
+
+
+def test_resource_forecast_moves_what_it_fits(spark):
+    query = catalog.queries()["resource_forecast"]
+    print(moved := figures(spark, lambda: query(spark, "/root/testdata/sf0.01").collect())[1])
+    assert moved < 14_000_000

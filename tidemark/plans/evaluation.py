@@ -446,11 +446,14 @@ select resource, count(*) as rows, cast(sum(target) as bigint) as positives, rou
 round(avg(target * ln(p) + (1 - target) * ln(1 - p)), 6) as mean_log_score from y group by resource""")
 def resource_forecast(spark, sf_dir):
     """Per resource: a model on the training transitions, scored on the test ones."""
-    b = features.temporal_split(resource_blocks(spark, sf_dir), ["panel", "resource"], windows=20, train=10, test=3).persist()
+    names = ["f0", "f1", "f2"]
+    b = resource_blocks(spark, sf_dir).select("panel", "resource", "window_id", "event", *features.features("multi", "maximum_count"))
+    b = features.temporal_split(written(b, "blocks"), ["panel", "resource"], windows=20, train=10, test=3)
+    # Written, narrow: the fits read it many times.
+    b = written(b.select("resource", "split", "target", *names), "forecast")
     out = None
     for r in ("cpu", "memory", "disk", "network"):
-        t = b.where(F.col("resource") == r).select("resource", "split", "target", *features.features("multi", "maximum_count"))
-        names = ["f0", "f1", "f2"]
+        t = b.where(F.col("resource") == r)
         m = models.fit_logistic(t.where("split = 'train'"), names)
         s = metrics.point_scores(t.where("split = 'test'").withColumn("p", m.score(names)), ["resource"])
         out = s if out is None else out.unionByName(s)
