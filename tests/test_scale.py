@@ -126,6 +126,20 @@ def test_boosted_trees_equal_numpy(spark, leaves, depth, bins):
     assert max(len(t.feature) for t in m.trees) <= 2 * min(leaves, 8 if depth else leaves) - 1
 
 
+def test_a_level_of_a_boosted_tree_is_one_stage(spark):
+    """Rounds neither shuffle nor aggregate rows: three stages a tree of depth 3, whatever the trees before it."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 2)).round(1)
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "target": (x.sum(1) + rng.normal(size=300) > 0).astype(int)}))
+
+    def stages(rounds):
+        before = spark.sparkContext._jsc.sc().dagScheduler().nextStageId()
+        assert len(boosting.fit_boosted(df, ["a", "b"], rounds=rounds, least=5).trees) == rounds
+        return spark.sparkContext._jsc.sc().dagScheduler().nextStageId() - before
+
+    assert stages(9) - stages(3) == 18
+
+
 def test_boosted_trees_of_odd_tables(spark):
     df = spark.createDataFrame([(None, 1), (float("nan"), 0), (1.0, 1), (2.0, 0)], "a double, target int")
     m = boosting.fit_boosted(df, ["a"], rounds=2, least=1)

@@ -1,26 +1,34 @@
 """Histogram boosted trees for a binary target.
 
 Features are binned once. Trees see bins only, so rows of equal bins keep equal scores through all rounds: they are
-summed to cells of (bins, rows, positives) first. A round sums gradients and Hessians per (node, feature, bin) over the cells
-and searches splits by prefix sums over those few numbers; leaves are split best first, or level by level where the
-number of leaves cannot bind. What reaches the driver is bounded by nodes, features and bins, never by rows.
+summed to cells of (bins, rows, positives) first, which are written as blocks of arrays. A level of a tree is one pass over
+the blocks: each task sums gradients and Hessians per (node, feature, bin) with NumPy, and the sums are reduced in a tree of
+tasks. Splits are searched by prefix sums over those few numbers; leaves are split best first, or level by level where
+the number of leaves cannot bind. What reaches the driver is bounded by nodes, features and bins, never by rows.
 """
 
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import RDD, cloudpickle
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.scalar import expit
 from .scratch import written
 from .selection import order_statistics
 
+# Functions given to Python workers travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BINS = 255
-#: Trees between two writings of the cells' scores; until then scores are expressions.
+#: Trees between two writings of the cells' scores; until then tasks add the trees since.
 KEPT = 10
 MIN_HESSIAN = 1e-3
 
@@ -43,28 +51,28 @@ class Tree:
             parts += [new, new]
         return a, a + 1
 
-    def arrays(self) -> Column:
-        """The nodes as one literal, so that trees share their generated code; parsed at once, not built by a call for each number."""
-        parts = {"feature": self.feature, "cut": self.cut, "left": self.left, "right": self.right, "value": [f"{v!r}D" for v in self.value]}
-        fields = [f"'{k}', array({', '.join(map(str, v))})" for k, v in parts.items()]
-        return F.expr(f"named_struct({', '.join(fields)}, 'depth', {max(1, *self.depth)})")
-
-
-def leaf_of(tree: Column, bins: Column) -> Column:
-    """The leaf of a row by its array of bins; tree: Tree.arrays()."""
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """What leaf_of() reads, the values, and the depth."""
+        parts = (self.feature, self.cut, self.left, self.right)
+        return (*(np.array(x, np.int32) for x in parts), np.array(self.value), np.int32(max(self.depth)))
 
-    def step(at: Column, _: Column) -> Column:
-        of = F.get(tree["feature"], at)
-        return F.when(of < 0, at).when(F.get(bins, of) <= F.get(tree["cut"], at), F.get(tree["left"], at)).otherwise(F.get(tree["right"], at))
 
-    return F.aggregate(F.sequence(F.lit(1), tree["depth"]), F.lit(0), step)
+def leaf_of(tree: tuple[np.ndarray, ...], bins: np.ndarray) -> np.ndarray:
+    """The leaves of rows by their bins (row, feature); tree: Tree.arrays()."""
+    feature, cut, left, right, _, depth = tree
+    at, rows = np.zeros(len(bins), np.int32), np.arange(len(bins))
+    for _ in range(depth):
+        of = feature[at]
+        at = np.where(of < 0, at, np.where(bins[rows, of] <= cut[at], left[at], right[at]))
+    return at
 
 
-def summed(trees: list[Tree], bins: Column, base: Column) -> Column:
-    """base and the values of a row's leaves."""
-    if not trees:
-        return base
-    return F.aggregate(F.array(*[t.arrays() for t in trees]), base, lambda acc, t: acc + F.get(t["value"], leaf_of(t, bins)))
+def summed(trees: list[tuple[np.ndarray, ...]], bins: np.ndarray, base: np.ndarray | float) -> np.ndarray:
+    """base and the values of the rows' leaves."""
+    out = np.zeros(len(bins)) + base
+    for tree in trees:
+        out += tree[4][leaf_of(tree, bins)]
+    return out
 
 
 @dataclass
@@ -76,8 +84,13 @@ class Boosted:
 
     def score(self, df: DataFrame) -> DataFrame:
         """df with p. Bins are one array column, so that no feature is binned twice."""
-        out = df.withColumn("__bins", bins_of(self.names, self.edges))
-        return out.withColumn("p", expit(summed(self.trees, F.col("__bins"), F.lit(self.base)))).drop("__bins")
+        base, trees, width = self.base, [t.arrays() for t in self.trees], len(self.names)
+
+        @F.arrow_udf("double")
+        def raw(bins: pa.Array) -> pa.Array:
+            return pa.array(summed(trees, bins.flatten().to_numpy().reshape(-1, width), base))
+
+        return df.withColumn("p", expit(raw(bins_of(self.names, self.edges)) if trees else F.lit(base)))
 
 
 def bins_of(names: list[str], edges: list[list[float]]) -> Column:
@@ -124,12 +137,60 @@ def cells_of(train: DataFrame, names: list[str], edges: list[list[float]], targe
     return train.select(bins_of(names, edges).alias("bins"), F.col(target).cast("long").alias("y")).groupBy("bins").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
 
 
-def histograms(cells: DataFrame, node: Column, nodes: list[int]) -> DataFrame:
-    """(node, f, b, n, g, h): rows, gradients and Hessians of the log loss per node, feature and bin; cells have raw."""
-    p = expit("raw")
-    rows = cells.withColumn("node", node).where(F.col("node").isin(nodes))
-    rows = rows.select("node", "n", (F.col("n") * p - F.col("k")).alias("g"), (F.col("n") * p * (1 - p)).alias("h"), F.posexplode("bins").alias("f", "b"))
-    return rows.groupBy("node", "f", "b").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("h").alias("h"))
+def blocks_of(cells: DataFrame, base: float) -> DataFrame:
+    """(bins, n, k, raw): the arrays of an Arrow batch of cells, and their scores."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bins = batch.column(0).flatten().to_numpy().astype(np.int32)
+                n, k = (batch.column(i).to_numpy().astype(np.float64) for i in (1, 2))
+                arrays = (bins, n, k, np.full(len(n), base))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], ["bins", "n", "k", "raw"])
+
+    return cells.select("bins", "n", "k").mapInArrow(pack, "bins binary, n binary, k binary, raw binary")
+
+
+def _arrays(block: Row) -> tuple[np.ndarray, ...]:
+    n, k, raw = (np.frombuffer(block[c]) for c in ("n", "k", "raw"))
+    return np.frombuffer(block["bins"], np.int32).reshape(len(n), -1), n, k, raw
+
+
+def advanced(blocks: DataFrame, trees: list[Tree]) -> DataFrame:
+    """The blocks with the trees' values added to their scores."""
+    since = [t.arrays() for t in trees]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = []
+            for block in batch.to_pylist():
+                bins, _, _, raw = _arrays(block)
+                raws.append(summed(since, bins, raw).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(raws, pa.binary())], batch.schema.names)
+
+    return blocks.mapInArrow(add, blocks.schema)
+
+
+def histograms(blocks: RDD[Row], trees: list[Tree], tree: Tree, nodes: list[int], sizes: list[int]) -> dict[int, dict[int, np.ndarray]]:
+    """Per node of `tree` and feature (bin, (n, g, h)): rows, gradients and Hessians of the log loss; trees: those not yet in the scores."""
+    since, own, edge = [t.arrays() for t in trees], tree.arrays(), np.cumsum([0, *sizes])
+    width, place = int(edge[-1]), np.full(len(tree.feature), -1)
+    place[nodes] = np.arange(len(nodes))
+
+    def count(part: Iterator[Row]) -> Iterator[np.ndarray]:
+        total = np.zeros((3, len(nodes) * width))
+        for block in part:
+            bins, n, k, raw = _arrays(block)
+            p = 1 / (1 + np.exp(-summed(since, bins, raw)))
+            at = place[leaf_of(own, bins)]
+            here = at >= 0
+            code = (at[here, None] * width + edge[None, :-1] + bins[here]).ravel()
+            for i, x in enumerate((n, n * p - k, n * p * (1 - p))):
+                total[i] += np.bincount(code, np.repeat(x[here], len(sizes)), len(nodes) * width)
+        yield total
+
+    total = blocks.mapPartitions(count).treeReduce(np.add).reshape(3, len(nodes), width)
+    return {n: {f: total[:, i, edge[f] : edge[f + 1]].T for f in range(len(sizes))} for i, n in enumerate(nodes)}
 
 
 @dataclass
@@ -162,16 +223,13 @@ def best_split(hist: dict[int, np.ndarray], l2: float, least: int) -> Split | No
     return best
 
 
-def grow(cells: DataFrame, sizes: list[int], rate: float, l2: float, least: int, leaves: int, depth: int | None) -> Tree:
-    """One tree on the cells' gradients."""
+def grow(blocks: RDD[Row], trees: list[Tree], sizes: list[int], rate: float, l2: float, least: int, leaves: int, depth: int | None) -> Tree:
+    """One tree on the cells' gradients; trees: those not yet in the blocks' scores."""
     tree, open_ = Tree(), {0: None}
     level = depth is not None and 2**depth <= leaves
     fresh, sums = [0], {}
     while True:
-        got: dict[int, dict[int, np.ndarray]] = {n: {f: np.zeros((s, 3)) for f, s in enumerate(sizes)} for n in fresh}
-        for r in histograms(cells, leaf_of(tree.arrays(), F.col("bins")), fresh).collect() if fresh else ():
-            got[r.node][r.f][r.b] = (r.n, r.g, r.h)
-        for n, hist in got.items():
+        for n, hist in (histograms(blocks, trees, tree, fresh, sizes) if fresh else {}).items():
             sums[n] = hist[0].sum(0)
             open_[n] = best_split(hist, l2, least)
         able = sorted((n for n, s in open_.items() if s), key=lambda n: (-open_[n].gain, n))
@@ -209,15 +267,16 @@ def fit_boosted(
     model = Boosted(list(names), edges, float(np.log(share / (1 - share))), [])
     if not n or k in (0, n) or not names:
         return model
-    cells, since = cells.withColumn("raw", F.lit(model.base)), 0
+    blocks, since = written(blocks_of(cells, model.base), "blocks"), 0
+    held = blocks.rdd
     for i in range(1, rounds + 1):
-        now = cells.withColumn("raw", summed(model.trees[since:], F.col("bins"), F.col("raw")))
-        tree = grow(now, [len(e) + 1 for e in edges], rate, l2, least, leaves, depth)
+        tree = grow(held, model.trees[since:], [len(e) + 1 for e in edges], rate, l2, least, leaves, depth)
         model.trees.append(tree)
         if tree.feature[0] < 0:
             break  # no split is left, and none comes again
         if i % KEPT == 0:
-            cells, since = written(cells.withColumn("raw", summed(model.trees[since:], F.col("bins"), F.col("raw"))), "cells"), i
+            blocks, since = written(advanced(blocks, model.trees[since:]), "blocks"), i
+            held = blocks.rdd
     return model
 
 
@@ -228,10 +287,8 @@ def root_gains(train: DataFrame, names: list[str], target: str = "target", l2: f
     n, k = cells.agg(F.sum("n"), F.sum("k")).first()
     rows = []
     if n and 0 < k < n:
-        hist = [np.zeros((len(e) + 1, 3)) for e in edges]
-        for r in histograms(cells.withColumn("raw", F.lit(float(np.log(k / (n - k))))), F.lit(0), [0]).collect():
-            hist[r.f][r.b] = (r.n, r.g, r.h)
-        for f, h in enumerate(hist):
+        blocks = blocks_of(cells, float(np.log(k / (n - k)))).rdd
+        for f, h in histograms(blocks, [], Tree(), [0], [len(e) + 1 for e in edges])[0].items():
             left = np.cumsum(h[:, 0])
             rows += [(names[f], edges[f][b], int(left[b]), float(g)) for b, g in enumerate(gains(h, l2, least)) if g > -np.inf]
     return train.sparkSession.createDataFrame(rows, "feature string, edge double, rows_left long, gain double")

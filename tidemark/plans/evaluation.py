@@ -410,10 +410,16 @@ def calibration_fits(spark, sf_dir):
     return spark.createDataFrame([(k, m.intercept, m.slope) for k, m in lines], "variant string, intercept double, slope double")
 
 
+def _binned_frame(spark, sf_dir):
+    """Written, narrow: edges, cells and scores are each made from it."""
+    t, names = _fit_frame(spark, sf_dir)
+    return written(t.select("panel", "split", "target", *names), "transitions"), names
+
+
 @query(None)
 def boosted_trees(spark, sf_dir):
     """200 trees of depth 3 on the training transitions, scored on the test ones."""
-    t, names = _fit_frame(spark, sf_dir)
+    t, names = _binned_frame(spark, sf_dir)
     model = boosting.fit_boosted(t.where("split = 'train'"), names)
     return metrics.point_scores(model.score(t.where("split = 'test'")), ["panel"])
 
@@ -432,7 +438,7 @@ select feature, round(edge, 6) as edge, cast(nl as bigint) as rows_left, round(g
 from gh where nl >= 20 and n - nl >= 20 and hl >= 1e-3 and hr >= 1e-3""")
 def boosted_root_gains(spark, sf_dir):
     """The first round's search: the gain of every split of the root."""
-    t, names = _fit_frame(spark, sf_dir)
+    t, names = _binned_frame(spark, sf_dir)
     return boosting.root_gains(t.where("split = 'train'"), names)
 
 
