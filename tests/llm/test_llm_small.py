@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -79,6 +81,26 @@ def test_plans_of_encode_are_small(spark):
     assert len(q._jdf.queryExecution().toString()) < 100_000
 
 
+def test_a_block_lays_out_its_ids_once():
+    """Two million entries of a block, five million ids: NumPy holds no index of all ids."""
+    rng = np.random.default_rng(4)
+    made = [np.arange(k % 4 + 1, dtype=np.int32).tobytes() for k in range(1000)]
+    codes, sizes = rng.integers(0, 1000, 2_000_000), np.full(500, 4000)
+    tracemalloc.start()
+    values, ends = bpe._laid_out(made, codes, sizes)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [list(range(c % 4 + 1)) for c in codes[:4000].tolist()]
+    assert values[: ends[1]].to_pylist() == [x for w in want for x in w] and len(ends) == 501 and ends[-1] == len(values)
+    assert held < 60_000_000, held
+
+
+def test_ids_tell_the_bytes_of_empty_lists():
+    by_id = pa.array([b"a", b"", b"bcd"], pa.binary())
+    assert bpe._bytes_of(pa.array([2, 0, 1], pa.int32()), np.array([0, 2, 2, 3]), by_id).to_pylist() == [b"bcda", b"", b""]
+    assert bpe._bytes_of(pa.array([], pa.int32()), np.array([0, 0, 0]), by_id).to_pylist() == [b"", b""]
+
+
 def test_portable_pattern():
     assert bpe.portable(r"[^\s\p{L}]\s\S$") == rf"[^{bpe.WHITE}\p{{L}}][{bpe.WHITE}][^{bpe.WHITE}]\Z"
     with pytest.raises(ValueError):

@@ -76,18 +76,6 @@ def cutter(pattern: str) -> Callable[[str], list[bytes]]:
     return lambda unit: [x.encode() for x in find(unit)]
 
 
-def remembered(cut: Callable[[str], list[bytes]]) -> Callable[[str], list[bytes]]:
-    """The same, for a block whose units are cut twice."""
-    known: dict[str, list[bytes]] = {}
-
-    def again(unit: str) -> list[bytes]:
-        if unit not in known:
-            known[unit] = cut(unit)
-        return known[unit]
-
-    return again
-
-
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -298,13 +286,8 @@ def _dealt(pieces: list[bytes], parts: int) -> dict[int, list[bytes]]:
     return out
 
 
-def _sum(pieces: list[bytes]) -> int:
-    """A checksum of a list of pieces: ids are matched to pieces by place, so both readings of a block must have the same."""
-    return zlib.crc32(b"".join(bytes((len(x),)) + x for x in pieces))
-
-
 def _pieces(docs: DataFrame, known: list[bytes], pattern: str, parts: int) -> DataFrame:
-    """(part, block, sum, blob): a block's distinct pieces that are no tokens and short enough to fold, dealt by CRC-32."""
+    """(part, block, blob): a block's distinct pieces that are no tokens and short enough to fold, dealt by CRC-32."""
     spaced = pattern in SPACED_PATTERNS
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,17 +295,16 @@ def _pieces(docs: DataFrame, known: list[bytes], pattern: str, parts: int) -> Da
         for block, rows in blocks_of(batches, 0, BLOCK_BYTES):
             dealt = _dealt(Units(rows.column(0).combine_chunks(), spaced).unknown(cut, tokens), parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(dealt), pa.int32()), pa.array([block] * len(dealt), pa.int64()), pa.array(map(_sum, dealt.values()), pa.int64()),
-                 pa.array(map(_put, dealt.values()), pa.binary())],
-                ["part", "block", "sum", "blob"],
+                [pa.array(list(dealt), pa.int32()), pa.array([block] * len(dealt), pa.int64()), pa.array(map(_put, dealt.values()), pa.binary())],
+                ["part", "block", "blob"],
             )
             give_back()
 
-    return docs.select("__text").mapInArrow(find, "part int, block long, sum long, blob binary")
+    return docs.select("__text").mapInArrow(find, "part int, block long, blob binary")
 
 
 def _folded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(block, part, sum, blob): places of a block's pieces within the part, and their ids. Each distinct piece is folded once.
+    """(block, blob): the ids of a block's pieces of one part. Each distinct piece is folded once.
 
     A part holds a share of the distinct pieces, each with at most one row per block, never one per occurrence.
     """
@@ -330,7 +312,7 @@ def _folded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     single = byte_ids(ranks)
 
     def meet(rows: pa.Table) -> pa.Table:
-        """Rows of FOLD_ROWS distinct pieces as ids of their bytes, and who has each: (block, its sum, place in the block's list), packed."""
+        """Rows of FOLD_ROWS distinct pieces as ids of their bytes, and the blocks that have each, packed."""
         import numpy as np
 
         of_byte = np.array(single, np.int32)
@@ -340,18 +322,13 @@ def _folded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         code = np.concatenate(codes)
         order = np.argsort(code, kind="stable")
         ends = np.searchsorted(code[order], np.arange(len(seen) + 1))
-        block, sums = (np.repeat(rows.column(c).to_numpy(), sizes)[order] for c in ("block", "sum"))
-        place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])[order]
+        block = np.repeat(rows.column("block").to_numpy(), sizes)[order]
         cuts = [*range(0, len(seen), FOLD_ROWS), len(seen)]
-        owners = [
-            packed(np.diff(ends[i : j + 1]).astype(np.int64), *(x[ends[i] : ends[j]] for x in (block, sums, place)))
-            for i, j in zip(cuts, cuts[1:], strict=False)
-        ]
-        part = pa.array([rows.column("part")[0].as_py()] * len(owners), pa.int32())
+        owners = [packed(np.diff(ends[i : j + 1]).astype(np.int64), block[ends[i] : ends[j]]) for i, j in zip(cuts, cuts[1:], strict=False)]
         begin = np.cumsum([0, *map(len, seen)])
         each = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(of_byte[np.frombuffer(b"".join(seen), np.uint8)]))
         lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), each)
-        out = pa.table([part, lists, pa.array(owners, pa.binary())], names=["part", "pieces", "owners"])
+        out = pa.table([lists, pa.array(owners, pa.binary())], names=["pieces", "owners"])
         del seen, codes, code, order
         give_back()
         return out
@@ -362,11 +339,10 @@ def _folded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
         for batch in batches:
             out = []
-            for part, owners, ids in zip(*(batch.column(i) for i in range(3)), strict=True):
-                count, blocks, sums, places = unpacked(owners.as_py(), np.int64, np.int64, np.int64, np.int32)
-                row = np.repeat(np.arange(len(count)), count)
-                order = np.lexsort((places, blocks))
-                row, block, place, own = row[order], blocks[order], places[order], sums[order]
+            for owners, ids in zip(*(batch.column(i) for i in range(2)), strict=True):
+                count, blocks = unpacked(owners.as_py(), np.int64, np.int64)
+                order = np.argsort(blocks, kind="stable")
+                row, block = np.repeat(np.arange(len(count)), count)[order], blocks[order]
                 values, ends = ids.values.flatten().to_numpy().astype(np.uint32), np.cumsum(np.diff(ids.values.offsets.to_numpy()), dtype=np.int64)
                 length = np.diff(ends, prepend=0)
                 size = length[row]
@@ -375,17 +351,15 @@ def _folded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 begin = upto - size
                 new = np.flatnonzero(np.diff(block, prepend=-1) != 0)
                 for i, j in zip(new.tolist(), [*new[1:].tolist(), len(row)], strict=True):
-                    blob = packed(place[i:j], size[i:j].astype(np.uint8), flat[begin[i] : upto[j - 1]])
-                    out.append((int(block[i]), part.as_py(), int(own[i]), blob))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["block", "part", "sum", "blob"])
+                    out.append((int(block[i]), packed(size[i:j].astype(np.uint8), flat[begin[i] : upto[j - 1]])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.binary()))], ["block", "blob"])
         give_back()
 
-    distinct = pieces.groupBy("part").applyInArrow(meet, "part int, pieces array<array<int>>, owners binary")
+    distinct = pieces.groupBy("part").applyInArrow(meet, "pieces array<array<int>>, owners binary")
     # The map is a column of these rows, each with many pieces: a subquery can't stand within a higher-order function.
-    rows = distinct.select("part", "owners", "pieces", rank_map(pieces.sparkSession, ranks).alias("ranks"))
+    rows = distinct.select("owners", "pieces", rank_map(pieces.sparkSession, ranks).alias("ranks"))
     ids = F.transform("pieces", lambda p: fold_merges(p, rank_lookup(F.col("ranks"))))
-    return rows.select("part", "owners", ids.alias("ids")).mapInArrow(pack, "block long, part int, sum long, blob binary")
+    return rows.select("owners", ids.alias("ids")).mapInArrow(pack, "block long, blob binary")
 
 
 def encode(
@@ -396,7 +370,7 @@ def encode(
     Null or empty texts have no ids. Any other columns are carried, whatever their names; rows are independent, so
     repeated rows and ids, or nulls in them, need no care. Empty table: empty result. The rows are read twice, once for
     the pieces and once for the ids; a frame that shuffles is written to the shared folder first, so that both
-    readings have the same blocks, and pieces that differ between them all the same fail the query. Blocks travel
+    readings have the same blocks, and a piece that differs between them all the same is merged by the worker. Blocks travel
     compressed. By a pattern that is not among SPACED_PATTERNS texts are cut whole, which takes longer. decoded: name of
     a further column with the ids' bytes, made by the same worker.
     """
@@ -411,35 +385,25 @@ def encode(
     def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
         import numpy as np
 
-        tokens, tables = pa.array(list(ranks), pa.binary()), []
+        tables, token = [], {v: k for k, v in ranks.items()}
+        by_id = pa.array([token.get(i, b"") for i in range(max(token, default=-1) + 1)], pa.binary())
         long = lambda p: np.array(merge_long(p, ranks), np.int32).tobytes()
         for rows in received(docs):
-            cut = remembered(cutter(pattern)) if spaced else cutter(pattern)
             units = Units(rows.column("__text").combine_chunks(), spaced)
-            dealt = _dealt(units.unknown(cut, tokens), parts)
             at = {k: struct.pack("<i", v) for k, v in ranks.items()}
-            sums = {part: _sum(own) for part, own in dealt.items()}
-            for part, total, blob in zip(*(words.column(c).to_pylist() for c in ("part", "sum", "blob")), strict=True):
-                if sums.get(part) != total:
-                    raise ValueError("two readings of a block differ: write the table first")
-                places, lengths, values = unpacked(blob, np.int32, np.uint8, np.uint32)
-                raw, ends = values.tobytes(), np.cumsum(lengths, dtype=np.int64) * 4
-                own = dealt[part]
-                for k, a, b in zip(places.tolist(), (ends - lengths.astype(np.int64) * 4).tolist(), ends.tolist(), strict=True):
-                    at[own[k]] = raw[a:b]
-            made = units.coded(cut, at, long)
-            del at, dealt
-            values = np.frombuffer(b"".join(made), np.int32)
-            lengths = np.array([len(x) for x in made], np.int64) // 4
-            del made
-            begin, size = (np.cumsum(lengths) - lengths)[units.codes], lengths[units.codes]
-            upto = np.cumsum(size)
-            values = values[np.repeat(begin - upto + size, size) + np.arange(int(size.sum()))]
-            ends = np.append(0, upto)[np.append(0, np.cumsum(units.sizes))]
-            del units, begin, size, upto, cut
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-            out = [rows.column("__row").combine_chunks(), lists]
-            out += [pa.array(_bytes_of(values, ends, {v: k for k, v in ranks.items()}), pa.binary())] if decoded else []
+            for blob in words.column("blob").to_pylist():
+                # The ids of a piece tell its bytes.
+                lengths, values = unpacked(blob, np.uint8, np.int32)
+                raw, ends = values.tobytes(), np.append(0, np.cumsum(lengths, dtype=np.int64))
+                own = _bytes_of(pa.array(values), ends, by_id).to_pylist()
+                at.update((p, raw[a:b]) for p, a, b in zip(own, (ends[:-1] * 4).tolist(), (ends[1:] * 4).tolist(), strict=True))
+            made = units.coded(cutter(pattern), at, long)
+            del at
+            values, ends = _laid_out(made, units.codes, units.sizes)
+            del made, units
+            out = [rows.column("__row").combine_chunks(), pa.ListArray.from_arrays(pa.array(ends), values)]
+            out += [_bytes_of(values, ends, by_id)] if decoded else []
+            del values
             tables.append(pa.table(out, names=[f.name for f in fields]))
         del rows
         give_back()
@@ -449,10 +413,27 @@ def encode(
     return done.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(carried)], *[f.name for f in fields[1:]])
 
 
-def _bytes_of(values, ends, token: dict[int, bytes]) -> Iterator[bytes]:
-    """The concatenated tokens of each list of ids."""
-    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        yield b"".join(map(token.__getitem__, values[a:b].tolist()))
+def _laid_out(made: list[bytes], codes, sizes):
+    """The ids of a block's texts one after another, and where each text's end, after a 0; made: of each entry, codes and sizes: of Units.
+
+    Arrow takes the entries' lists; an index of all ids would hold 8 bytes of each several times.
+    """
+    import numpy as np
+
+    begin = np.cumsum([0, *(len(x) // 4 for x in made)], dtype=np.int32)
+    entries = pa.ListArray.from_arrays(pa.array(begin), pa.array(np.frombuffer(b"".join(made), np.int32)))
+    whole = entries.take(pa.array(codes))
+    return whole.values, whole.offsets.to_numpy()[np.append(0, np.cumsum(sizes))]
+
+
+def _bytes_of(values: pa.Array, ends, by_id: pa.Array) -> pa.Array:
+    """The concatenated tokens of each list of ids; ends: where lists end, after a 0. Arrow lays taken tokens end to end."""
+    import numpy as np
+
+    taken = by_id.take(values)
+    _, offsets, data = taken.buffers()
+    at = np.frombuffer(offsets, np.int32, len(taken) + 1)[ends]
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.tobytes()), data])
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into: str = "decoded") -> DataFrame:
