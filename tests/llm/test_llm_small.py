@@ -101,6 +101,32 @@ def test_ids_tell_the_bytes_of_empty_lists():
     assert bpe._bytes_of(pa.array([], pa.int32()), np.array([0, 0, 0]), by_id).to_pylist() == [b"", b""]
 
 
+def test_edges_of_one_task_need_no_star_rounds(spark, monkeypatch):
+    """A path of 3,000 nodes and random edges: components by a plain search; in one partition no round of stars follows."""
+    rng = random.Random(8)
+    pairs = [(i + 10_000, i + 10_001) for i in range(3000)] + [(rng.randrange(900), rng.randrange(900)) for _ in range(700)]
+    lead = {x: x for p in pairs for x in p}
+
+    def top(x):
+        while lead[x] != x:
+            x = lead[x]
+        return x
+
+    for a, b in pairs:
+        lead[max(top(a), top(b))] = min(top(a), top(b))
+    want = {x: top(x) for x in lead if top(x) != x}
+    edges = spark.createDataFrame(rng.sample(pairs, len(pairs)), "a long, b long")
+    calls, unfinished = [], near_dup._unfinished
+    monkeypatch.setattr(near_dup, "_unfinished", lambda e: calls.append(1) or unfinished(e))
+    assert {r.id: r.root for r in near_dup.components(edges).collect()} == want and len(calls) == 1
+    monkeypatch.setattr(near_dup, "EDGES", 1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {r.id: r.root for r in near_dup.components(edges).collect()} == want and len(calls) > 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_portable_pattern():
     assert bpe.portable(r"[^\s\p{L}]\s\S$") == rf"[^{bpe.WHITE}\p{{L}}][{bpe.WHITE}][^{bpe.WHITE}]\Z"
     with pytest.raises(ValueError):

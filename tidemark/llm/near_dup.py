@@ -26,6 +26,8 @@ MISS = 1e-6
 BLOCK = 4096
 #: The same for the bytes of their shingle sets.
 BLOCK_BYTES = 32 << 20
+#: Edges that a task joins at once.
+EDGES = 1 << 20
 #: Members that share a hub's row in one task.
 HUB_ROWS = 20_000
 
@@ -120,12 +122,50 @@ def _unfinished(e: DataFrame) -> int:
     return int(twice) if wrong else 0
 
 
+def _least_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the nodes that are not their component's least, from edges a - b."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while (apart := root[a] != root[b]).any():
+        a, b = a[apart], b[apart]
+        least = np.minimum(root[a], root[b])
+        for ends in (root[a], root[b]):
+            np.minimum.at(root, ends, least)
+        while (root[root] != root).any():
+            root = root[root]
+    below = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[below], nodes[root[below]]
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """(u, v): stars with the edges' components, of at most EDGES edges of a partition each; few edges are then done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def stars() -> pa.RecordBatch:
+            ends = _least_of(*(np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], ["u", "v"])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= EDGES:
+                yield stars()
+                held, size = [], 0
+        if held:
+            yield stars()
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the least id of each connected component, from edges (a, b), by alternating large and small stars.
 
-    Every round is written to the checkpoint folder; hubs are aggregated before the shuffle and nothing is collected.
+    Each task first joins its own edges. Every round is written to the checkpoint folder; hubs are aggregated before the
+    shuffle and nothing is collected.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = cut(_joined(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()))
     star = lambda d, least, n: join_hot(d, least, ["u"], "times", F.xxhash64("v"), n)
     while (n := _unfinished(e)):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
