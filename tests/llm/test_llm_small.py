@@ -536,6 +536,26 @@ def test_filter_grows_with_its_entries_whatever_the_parts():
     assert (level[4][1::2] > 0).mean() < 0.03
 
 
+def test_block_is_counted_in_little_memory():
+    h = np.random.default_rng(3).integers(0, 2**63, 300_000).astype(np.uint64) << np.uint64(1)
+    codes = np.arange(len(h), dtype=np.int32)
+    want = np.unique(lm._sequences_of(codes, np.array([len(h)]), h))
+    tracemalloc.start()
+    try:
+        g = lm._sequences_of(codes, np.array([len(h)]), h).ravel()
+        n, top = len(g), np.uint64(0)
+        for own, seen, back in lm._distinct(g):
+            assert (seen[back] == g[own]).all() and (not len(seen) or seen[0] >= top)
+            top = seen[-1]
+            n -= len(own)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # 16 bytes a token are the hashes themselves; sorted at once with their numbers they took 114.
+    assert n == 0 and peak < 80 * len(h), peak / len(h)
+    assert (np.concatenate([x for _, x, _ in lm._distinct(g)]) == want).all()
+
+
 # 10
 
 def test_best_fit_decreasing_against_a_list():

@@ -35,6 +35,8 @@ LEVEL_BASE = 1.6
 PART_BITS = 24
 #: Weight of the order below against a sequence's count.
 PRIOR_WEIGHT = 4.0
+#: High bits of hashes by which a block's sequences are cut into ranges.
+RANGE_BITS = 3
 END = b""
 
 
@@ -73,35 +75,51 @@ def _sequences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _places_in(lengths: np.ndarray) -> np.ndarray:
     """The place of each token in its text."""
-    return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return np.arange(int(lengths.sum()), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
 
 
 def _sequences_of(codes: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Hashes of the sequences of 2 to ORDER tokens that end at each token, order by order; before a text stand ends."""
-    h, at = hashes[codes], _places_in(lengths)
-    out, last = [], h
+    """Hashes of the sequences of 2 to ORDER tokens that end at each token, a row for each order; before a text stand ends."""
+    at = _places_in(lengths)
+    out, last = np.empty((ORDER - 1, len(codes)), np.uint64), hashes[codes]
     for m in range(1, ORDER):
-        before = np.full_like(h, hashes[0])
-        before[at >= m] = h[np.flatnonzero(at >= m) - m]
-        last = _mix(last * np.uint64(0x9FB21C651E98DF25) + before + np.uint64(m))
-        out.append(last)
-    return np.concatenate(out)
+        h, inside = last * np.uint64(0x9FB21C651E98DF25), np.flatnonzero(at >= m)
+        before = np.full(len(codes), hashes[0])
+        before[inside] = hashes[codes[inside - m]]
+        h += before
+        del before, inside
+        h += np.uint64(m)
+        out[m - 1] = last = _mix(h)
+    return out
+
+
+def _distinct(h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, distinct hashes in order, the number of each place's among them): h by rising ranges of hashes, which bound what is sorted at once."""
+    top = (h >> np.uint64(64 - RANGE_BITS)).astype(np.uint8)
+    for k in range(1 << RANGE_BITS):
+        own = np.flatnonzero(top == k)
+        yield own, *np.unique(h[own], return_inverse=True)
 
 
 def _dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(part, places), in order of the parts and of places."""
-    by = np.argsort(part, kind="stable")
-    there, begin = np.unique(part[by], return_index=True)
-    edges = [*begin.tolist(), len(by)]
+    by = np.argsort(part, kind="stable").astype(np.int32)
+    many = np.bincount(part)
+    there = np.flatnonzero(many)
+    edges = np.append(0, np.cumsum(many[there])).tolist()
     for p, a, b in zip(there.tolist(), edges, edges[1:], strict=False):
         yield p, by[a:b]
 
 
-def _named(h: np.ndarray, kind: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(part, name in the part) of increasing hashes of tokens (kind 0) or sequences (1); names increase in a part."""
-    if kind == 0:
-        return (h % np.uint64(parts)).astype(np.int64), h
-    return ((h & np.uint64((1 << PART_BITS) - 1)) % np.uint64(parts)).astype(np.int64), h >> np.uint64(PART_BITS)
+def _part(h: np.ndarray, kind: int, parts: int) -> np.ndarray:
+    """The part of each hash of a token (kind 0) or sequence (1)."""
+    own = h % np.uint64(parts) if kind == 0 else (h & np.uint64((1 << PART_BITS) - 1)) % np.uint64(parts)
+    return own.astype(np.uint16 if parts <= 1 << 16 else np.int32)
+
+
+def _name(h: np.ndarray, kind: int) -> np.ndarray:
+    """The names that hashes of one part have there; names of increasing hashes increase."""
+    return h if kind == 0 else h >> np.uint64(PART_BITS)
 
 
 def _count_blocks(docs: DataFrame, parts: int) -> DataFrame:
@@ -109,22 +127,33 @@ def _count_blocks(docs: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in blocks_of(batches, 0, BLOCK_BYTES):
-            codes, lengths, hashes = _sequences(rows.column(0).to_pylist())
-            train = np.repeat([not held_out(i) for i in rows.column(1).to_pylist()], lengths)
-            counts = np.bincount(codes[train], minlength=len(hashes))
-            order = np.argsort(hashes)
-            grams, back = np.unique(_sequences_of(codes, lengths, hashes), return_inverse=True)
-            times = np.bincount(back[np.tile(train, ORDER - 1)], minlength=len(grams))
-            out = []
-            for kind, h, c in ((0, hashes[order], counts[order]), (1, grams, times)):
-                part, name = _named(h, kind, parts)
-                for p, own in _dealt(part):
-                    out.append((kind, p, block, packed(planes(np.diff(name[own], prepend=np.uint64(0))), c[own].astype(np.uint32))))
+            out = counted(block, rows)
             give_back()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)],
-                ["kind", "part", "block", "blob"],
-            )
+            yield out
+            del out, rows
+
+    def counted(block: int, rows: pa.Table) -> pa.RecordBatch:
+        codes, lengths, hashes = _sequences(rows.column(0).to_pylist())
+        train = np.repeat([not held_out(i) for i in rows.column(1).to_pylist()], lengths)
+        counts = np.bincount(codes[train], minlength=len(hashes)).astype(np.uint32)
+        order, out = np.argsort(hashes), []
+
+        def deal(kind: int, h: np.ndarray, c: np.ndarray) -> None:
+            for p, own in _dealt(_part(h, kind, parts)):
+                out.append((kind, p, block, packed(planes(np.diff(_name(h[own], kind), prepend=np.uint64(0))), c[own])))
+
+        deal(0, hashes[order], counts[order])
+        h, grams, times = _sequences_of(codes, lengths, hashes).ravel(), [], []
+        del codes, counts, order
+        for own, seen, back in _distinct(h):
+            grams.append(seen)
+            times.append(np.bincount(back[train[own % len(train)]], minlength=len(seen)).astype(np.uint32))
+        del h, own, back
+        deal(1, np.concatenate(grams), np.concatenate(times))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)],
+            ["kind", "part", "block", "blob"],
+        )
 
     return docs.select("__text", "__id").mapInArrow(run, "kind int, part int, block long, blob binary")
 
@@ -255,21 +284,27 @@ def score_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
             codes, lengths, hashes = _sequences(rows.column(0).to_pylist())
             ids = rows.column(1)
             order = np.argsort(hashes)
-            grams, back = np.unique(_sequences_of(codes, lengths, hashes), return_inverse=True)
-            c, level = np.zeros(len(hashes), np.int64), np.zeros(len(grams), np.uint8)
-            own = [dict(_dealt(_named(h, kind, parts)[0])) for kind, h in enumerate((hashes[order], grams))]
+            h = _sequences_of(codes, lengths, hashes).ravel()
+            at, back, part = 0, np.empty(len(h), np.int32), []
+            for own, seen, number in _distinct(h):
+                back[own] = number + at
+                part.append(_part(seen, 1, parts))
+                at += len(seen)
+            del h, own, seen, number
+            c, level = np.zeros(len(hashes), np.int64), np.zeros(at, np.uint8)
+            own = [dict(_dealt(x)) for x in (_part(hashes[order], 0, parts), np.concatenate(part))]
             for kind, p, blob in zip(*[counts.column(x).to_pylist() for x in ("kind", "part", "blob")], strict=True):
                 if kind == 0:
                     c[order[own[0][p]]] = unpacked(blob, np.int64)[0]
                 else:
                     level[own[1][p]] = unpacked(blob, np.uint8)[0]
-            own = (c + 1) / (n + v + 1)
+            own, middle = (c + 1) / (n + v + 1), _counts(np.arange(64))
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             first = np.zeros(len(codes), bool)
             first[starts] = True
             p, beginning = own[codes], c[np.concatenate([[0], codes[:-1]])].astype(float)
-            for times in _counts(level)[back].reshape(ORDER - 1, -1):
-                times = np.minimum(times, beginning)
+            for numbers_of in back.reshape(ORDER - 1, -1):
+                times = np.minimum(middle[level[numbers_of]], beginning)
                 p = (times + PRIOR_WEIGHT * p) / (beginning + PRIOR_WEIGHT)
                 # Nothing begins before a text but with its end token.
                 beginning = np.where(first, 0.0, np.concatenate([[0.0], times[:-1]]))
