@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,35 @@ def test_pipeline_removes_rows_not_ids(spark):
 
     df, a, b = repeated(spark)
     assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, df, "").collect()) == [(1, a), (7, b)]
+
+
+def test_parities_keep_every_similar_pair_and_few_others():
+    rng, num, den = np.random.default_rng(12), 90, 100
+    for n in (1, 3, 20, 300, 5000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        n = len(a)
+        for gone, new in ((0, n // 20), (n // 20, 0), (n // 40, n // 40)):
+            b = np.concatenate([a[gone:], rng.integers(0, 2**63, new).astype(np.uint64)])
+            c, m = n - gone, len(b)
+            if den * c < num * (n + m - c):
+                continue
+            x, y = (pa.array([prefix_join.parities(s, num, den)], pa.list_(pa.int64())) for s in (a, b))
+            w = min(len(x[0]), len(y[0]))
+            apart = np.bitwise_count(prefix_join._folded(x, np.array([0]), w) ^ prefix_join._folded(y, np.array([0]), w)).sum()
+            assert prefix_join.alike(apart, n, m, num, den), (n, m)
+        other = prefix_join.parities(rng.integers(0, 2**63, n).astype(np.uint64), num, den).view(np.uint64)
+        apart = np.bitwise_count(prefix_join.parities(a, num, den).view(np.uint64) ^ other).sum()
+        assert n < 20 or not prefix_join.alike(apart, n, n, num, den)
+
+
+def test_small_groups_meet_in_one_block(spark):
+    # Two members of different roots came twice: with their own block, and with the other's.
+    rows = [(1, i, i, 8) for i in range(2)] + [(2, 10 + i, 10 + i // 2, 8) for i in range(6)] + [(3, 20 + i, 20 if i < 4 else 30 + i, 8) for i in range(6)]
+    got = near_dup.in_blocks(spark.createDataFrame(rows, "key long, id long, root long, bytes long")).collect()
+    count = {k: sum(r.key == k for r in got) for k in (1, 2, 3)}
+    assert count[1] == 2 and count[2] == 6
+    met = {(r.key, r.lo, r.hi) for r in got}
+    for key, i, root, _ in rows:
+        for other, j, that, _ in rows:
+            if key == other and root != that:
+                assert any({(key, lo, hi, i), (key, lo, hi, j)} <= {(r.key, r.lo, r.hi, r.id) for r in got} for _, lo, hi in met)

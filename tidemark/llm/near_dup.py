@@ -347,7 +347,8 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     """Rows (key, id, root, bytes) with lo and hi: blocks of a group that meet.
 
     Members of a group's commonest root need not meet each other: each of their blocks meets each block of the others, and
-    those meet one another. A group with few others is thus no more than its size and the others once a block.
+    those meet one another. A group with few others is thus no more than its size and the others once a block. A group
+    that fits one block and has no root of more than half its members is one block, each member once.
     """
     rows = cut(rows)
     roots = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
@@ -357,12 +358,15 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     groups = groups.select(
         "key", "times", F.col("top.root").alias("most"), blocks(F.col("top.n"), F.col("top.bytes")).alias("ours"),
         blocks(F.col("times") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("others"),
+        ((F.col("top.n") * 2 <= F.col("times")) & (F.col("times") <= BLOCK) & (F.col("bytes") <= BLOCK_BYTES)).alias("one"),
     )
     at = join_hot(rows, cut(groups.where("others > 0")), ["key"], "times", F.xxhash64("id"), rows.count())
-    ours = F.col("root") == F.col("most")
-    at = at.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(ours, F.col("ours")).otherwise(F.col("others"))).cast("int"))
+    ours = (F.col("root") == F.col("most")) & ~F.col("one")
+    at = at.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(ours, F.col("ours")).when(F.col("one"), 1).otherwise(F.col("others"))).cast("int"))
     pair = lambda a, b: F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
-    others, above = F.sequence(F.lit(0), F.col("others") - 1), F.sequence(F.col("others"), F.col("others") + F.col("ours") - 1)
+    others = F.sequence(F.lit(0), F.when(F.col("one"), 0).otherwise(F.col("others") - 1))
+    above = F.sequence(F.col("others"), F.col("others") + F.col("ours") - 1)
+    above = F.when(F.col("one"), F.array().cast("array<int>")).otherwise(above)
     mine = F.when(ours, F.transform(others, lambda i: pair(i, F.col("others") + F.col("mine")))).otherwise(
         F.transform(F.concat(others, above), lambda i: pair(F.col("mine"), i)))
     return at.withColumn("at", F.explode(mine)).select("key", "at.lo", "at.hi", "id", "root")

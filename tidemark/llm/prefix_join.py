@@ -3,18 +3,19 @@
 Two sets that are similar enough share at least one element of their prefixes under any order of all elements, and the
 longer the prefixes the more. The first order puts rare shingles first: its minimal prefixes are an inverted index that
 yields candidates. A further order, by hash, has longer prefixes; a candidate must share as many elements of it as the
-pair's sizes demand, so the filters are intersected before anything is verified on the full sets. Buckets of one key
-emit no pairs among all members: each is tried against the bucket's hub, what the hub did not join against a few further
-hubs, and only what is left is compared, in blocks.
+pair's sizes demand, so the filters are intersected before anything is verified on the full sets. Before prefixes are moved,
+pairs are told apart by their sets' parities, a few words a set, whose distance is never more than what the sets differ in.
+Buckets of one key emit no pairs among all members: each is tried against the bucket's hub, and only what the hub did
+not join is compared, by parities, in blocks.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ from .near_dup import Shingler, _constants, _mix, classes_of, components, confir
 COUNTERS = 1 << 18
 #: Orders by hash beside that by rarity.
 HASHED = 1
-#: Further hubs that each bucket tries.
-MORE_HUBS = 2
+#: Words of 64 bits of a set's parities, at least; larger sets have more.
+PARITIES = 8
 #: Rows of counters are summed in so many tasks, then in one.
 SUMS = 32
 
@@ -70,6 +71,33 @@ def _counted(docs: DataFrame, words: int) -> np.ndarray:
     return unpacked(bytes(found.counts), np.int64)[0] if found else np.zeros(COUNTERS, np.int64)
 
 
+def parities(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each bin by hash whether an odd number of the set's elements is in it: each element by which two sets differ changes one.
+
+    Three bins or more for each element by which similar sets may differ, so that other sets are further apart.
+    """
+    bins, differ = 64 * PARITIES, 2 * (len(s) - int(common_of(len(s), len(s), num, den)))
+    while bins < 3 * differ:
+        bins *= 2
+    odd = np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def _folded(column: pa.ChunkedArray | pa.Array, rows: np.ndarray, words: int) -> np.ndarray:
+    """Parities of rows that have one length, as if they had `words` words: bins are by low bits."""
+    found = column.take(pa.array(rows))
+    x = (found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found).flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
+    while x.shape[1] > words:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
+
+
+def alike(apart: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of n and m elements whose parities differ in so many bins can be similar."""
+    c = common_of(n, m, num, den)
+    return (c <= np.minimum(n, m)) & (apart <= n + m - 2 * c)
+
+
 def _hashed(shingles: np.ndarray, order: int) -> np.ndarray:
     return _mix(shingles * (_constants(HASHED, 11)[order] | np.uint64(1)))
 
@@ -112,7 +140,7 @@ def may_link(n: np.ndarray, m: np.ndarray, size: np.ndarray, shared: np.ndarray,
 
 
 def _index(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(id, mark, n, digest, first, others, no) per row, which `no` numbers."""
+    """(id, mark, n, digest, first, others, bits, no) per row, which `no` numbers."""
     counts = _counted(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,11 +154,12 @@ def _index(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 both = [prefixes(s, counts, num, den) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
-                     *[pa.array(v, pa.binary()) for v in ([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [x for x, _ in both], [y for _, y in both])]],
-                    ["id", "mark", "n", "digest", "first", "others"],
+                     *[pa.array(v, pa.binary()) for v in ([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [x for x, _ in both], [y for _, y in both])],
+                     pa.array([parities(s, num, den) for s in sets], pa.list_(pa.int64()))],
+                    ["id", "mark", "n", "digest", "first", "others", "bits"],
                 )
 
-    rows = docs.select("id", "mark", "text").mapInArrow(run, "id long, mark long, n long, digest binary, first binary, others binary")
+    rows = docs.select("id", "mark", "text").mapInArrow(run, "id long, mark long, n long, digest binary, first binary, others binary, bits array<long>")
     return stash(rows.withColumn("no", F.monotonically_increasing_id()), "prefixes")
 
 
@@ -148,6 +177,24 @@ def _keys(reps: DataFrame) -> DataFrame:
     return reps.select("id", "first").mapInArrow(run, "key long, id long")
 
 
+def _alike(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows (hub, hub_n, hub_bits, id, n, bits) whose parities let them be similar, without these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            keep = np.zeros(t.num_rows, bool)
+            n, m = t.column(1).to_numpy(), t.column(4).to_numpy()
+            one, two = (pc.list_value_length(t.column(c)).to_numpy() for c in (2, 5))
+            for x, y in np.unique(np.stack([one, two]), axis=1).T.tolist():
+                rows = np.flatnonzero((one == x) & (two == y))
+                apart = np.bitwise_count(_folded(t.column(2), rows, min(x, y)) ^ _folded(t.column(5), rows, min(x, y))).sum(1, dtype=np.int64)
+                keep[rows] = alike(apart, n[rows], m[rows], num, den)
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([t.column(c).filter(mask) for c in (0, 1, 3, 4)], ["hub", "hub_n", "id", "n"])
+
+    return pairs.select("hub", "hub_n", "hub_bits", "id", "n", "bits").mapInArrow(run, "hub long, hub_n long, id long, n long")
+
+
 def _passing(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """(hub, id) of the rows (hub, hub_n, hub_others, id, n, others) that pass every hashed order's filter."""
 
@@ -172,42 +219,37 @@ def _passing(pairs: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): within each block pair of a bucket, spanning pairs of members of different components that pass all filters."""
+    """(a, b): within each block pair of a bucket, spanning pairs of members of different components that their parities let be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_in(batches, 3):
             root, ids, n = (t.column(c).to_numpy() for c in ("root", "id", "n"))
             if len(root) < 2 or (root == root[0]).all():
                 continue
-            blobs = [_split(b) for b in t.column("others").to_pylist()]
-            # Common values with all members before are counted at once, over an index of the group's values.
-            index = []
-            for k in range(HASHED):
-                own = [b[k] for b in blobs]
-                sizes = np.array([len(v) for v in own], np.int64)
-                code = np.unique(np.concatenate(own), return_inverse=True)[1]
-                order = np.argsort(code, kind="stable")
-                first = np.searchsorted(code[order], np.arange(code.max() + 2))
-                index.append((sizes, code, np.append(0, np.cumsum(sizes)), np.repeat(np.arange(len(ids)), sizes)[order], first))
             label, a, b = np.arange(len(ids)), [], []
-            for i in range(1, len(ids)):
-                near = root[:i] != root[i]
-                for sizes, code, ends, holders, first in index:
-                    if near.any():
-                        held = [holders[first[c] : first[c + 1]] for c in code[ends[i] : ends[i + 1]].tolist()]
-                        shared = np.bincount(np.concatenate(held), minlength=len(ids))[:i]
-                        near &= may_link(n[:i], np.full(i, n[i]), sizes[:i], shared, num, den)
-                others = np.flatnonzero(near)
-                for j in others[np.unique(label[others], return_index=True)[1]].tolist():
-                    if label[i] != label[j]:
-                        label[label == label[i]] = label[j]
-                        a.append(ids[i])
-                        b.append(ids[j])
+            length = pc.list_value_length(t.column("bits")).to_numpy()
+            widths = np.unique(length)
+            for k, w in enumerate(widths.tolist()):
+                # Sets of this width meet those that follow them, and all wider ones.
+                at = [np.flatnonzero(length == v) for v in widths[k:]]
+                bits, own, at = np.concatenate([_folded(t.column("bits"), x, w) for x in at]), len(at[0]), np.concatenate(at)
+                step = max(1, 2_000_000 // (len(at) * w))
+                for lo in range(0, own, step):
+                    some, rest = at[lo : min(lo + step, own)], at[lo:]
+                    apart = np.bitwise_count(bits[lo : lo + len(some), None, :] ^ bits[None, lo:, :]).sum(2, dtype=np.int64)
+                    near = alike(apart, n[some, None], n[None, rest], num, den) & (root[some, None] != root[None, rest])
+                    for i, row in zip(some[near.any(1)].tolist(), near[near.any(1)], strict=True):
+                        others = rest[row]
+                        for j in others[np.unique(label[others], return_index=True)[1]].tolist():
+                            if label[i] != label[j]:
+                                label[label == label[i]] = label[j]
+                                a.append(ids[i])
+                                b.append(ids[j])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     at = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return at.select("key", "lo", "hi", "id", "root", "n", "others").mapInArrow(run, "a long, b long")
+    return at.select("key", "lo", "hi", "id", "root", "n", "bits").mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,7 +263,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     d = keyed(docs, doc, text)
     index = _index(d, words, num, den)
     # Rows of equal sets are one class; copies go no further. Prefixes stay where they were written, and are read by class.
-    classes = classes_of(index, ["n"])
+    classes = classes_of(index, ["n", "bits"])
     reps = index.select("no", "first", "others").join(small(classes.select("id", "no")), "no").select("id", "first", "others")
     sizes = classes.select("id", "n")
     keys = _keys(reps)
@@ -232,45 +274,32 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     met = join_hot(keys, buckets.hint("merge"), ["key"], "size", F.xxhash64("id"), total).where("id <> hub")
     shared = stash(met.join(small(sizes), "id").select("key", "id", "n", "hub", "hub_n"), "buckets")
 
-    own = reps.select("id", "others")
-
-    def tried(pairs: DataFrame) -> DataFrame:
-        """(a, b): links among pairs (hub, hub_n, id, n), by sizes, then each hashed order, then the full sets."""
-        fits = num * (F.col("n") + F.col("hub_n")) <= (num + den) * F.least("n", "hub_n")
-        pairs = cut(pairs.where(fits).select("hub", "hub_n", "id", "n").distinct())
-        hubs = pairs.groupBy("hub").agg(F.count("*").alias("times"))
-        # Only the prefixes of what stands in a pair are moved.
-        met = own.join(small(cut(pairs.select("id").union(pairs.select("hub")).distinct())), "id", "left_semi")
-        hubs = cut(hubs.join(met.select(F.col("id").alias("hub"), F.col("others").alias("hub_others")).hint("merge"), "hub"))
-        stars = cut(_passing(join_hot(pairs.join(met.hint("merge"), "id"), hubs.hint("merge"), ["hub"], "times", F.xxhash64("id"), pairs.count()), num, den))
-        sets = sets_of(d, stars.select("id").union(stars.select("hub")).distinct(), classes, words)
-        return cut(confirm(stars, sets, num, den))
-
-    # Every member is tried against every hub it meets.
-    links = tried(shared)
+    own, bits = reps.select("id", "others"), classes.select("id", "bits")
+    # Every member is tried against every hub it meets: by sizes, then parities, then each hashed order, then the full sets.
+    total = F.col("n") + F.col("hub_n")
+    fits = num * total <= (num + den) * F.least("n", "hub_n")
+    pairs = cut(shared.where(fits).select("hub", "hub_n", "id", "n").distinct())
+    hubs = pairs.groupBy("hub").agg(F.count("*").alias("times"))
+    hubs = cut(hubs.join(bits.select(F.col("id").alias("hub"), F.col("bits").alias("hub_bits")).hint("merge"), "hub"))
+    tried = join_hot(pairs.join(bits.hint("merge"), "id"), hubs.hint("merge"), ["hub"], "times", F.xxhash64("id"), pairs.count())
+    tried = cut(_alike(tried, num, den))
+    # Only the prefixes of what stands in a pair are moved.
+    met = own.join(small(cut(tried.select("id").union(tried.select("hub")).distinct())), "id", "left_semi")
+    hubs = tried.groupBy("hub").agg(F.count("*").alias("times"))
+    hubs = cut(hubs.join(met.select(F.col("id").alias("hub"), F.col("others").alias("hub_others")).hint("merge"), "hub"))
+    stars = cut(_passing(join_hot(tried.join(met.hint("merge"), "id"), hubs.hint("merge"), ["hub"], "times", F.xxhash64("id"), tried.count()), num, den))
+    sets = sets_of(d, stars.select("id").union(stars.select("hub")).distinct(), classes, words)
+    links = cut(confirm(stars, sets, num, den))
     roots = components(links)
 
-    # Buckets whose members, but for the hub, still are of several components. Similar sets are of one band of sizes or of
-    # neighbouring ones, so a bucket is split by bands, each member in two; buckets of the very same members are one.
-    # Bands are a little wider than the ratio of sizes that can be similar, so that rounding parts no pair.
-    band = F.floor(F.ln("n") / max(1.001 * math.log(den / num), 0.01))
-    rest = shared.select("key", "id", "n", F.explode(F.array(band, band + 1)).alias("band")).select(F.xxhash64("key", "band").alias("key"), "id", "n")
+    # Buckets whose members, but for the hub, still are of several components; buckets of the very same members are one.
+    at = stash(shared.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "open")
     same = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    for turn in range(MORE_HUBS + 1):
-        at = stash(rest.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")), "open")
-        split = at.groupBy("key").agg(
-            F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size"), F.min(F.struct("id", "n", "root")).alias("hub"), *same).where("x <> y")
-        split = split.groupBy("size", "x", "y", "x1", "x2", "hub").agg(F.min("key").alias("key"))
-        split = cut(split.select("key", "size", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.root").alias("hub_root")))
-        open_ = join_hot(at, split, ["key"], "size", F.xxhash64("id"), at.count())
-        if turn == MORE_HUBS:
-            break
-        rest = stash(open_.where("id <> hub"), "rest")
-        links = cut(links.union(tried(rest.where("root <> hub_root"))))
-        roots, rest = components(links), rest.select("key", "id", "n")
-    blocks = cut(in_blocks(open_.select("key", "id", "root", (F.col("n") * 2).alias("bytes"))))
-    met = own.join(small(cut(blocks.select("id").distinct())), "id", "left_semi")
-    near = cut(_candidates(blocks.join(small(sizes), "id").join(met.hint("merge"), "id"), num, den).distinct())
+    split = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size"), *same).where("x <> y")
+    split = cut(split.groupBy("size", "x", "y", "x1", "x2").agg(F.min("key").alias("key")).select("key", "size"))
+    open_ = join_hot(at, split, ["key"], "size", F.xxhash64("id"), at.count())
+    blocks = in_blocks(open_.join(small(classes.select("id", (F.size("bits") * 8).alias("bytes"))), "id").select("key", "id", "root", "bytes"))
+    near = cut(_candidates(cut(blocks).join(classes.select("id", "n", "bits").hint("merge"), "id"), num, den).distinct())
     more = within_clusters(near, roots, d, classes, words, num, den)
     out = labelled(index, classes, components(links.union(more)))
     return out.select(F.col("id").alias(doc), "n_shingles", "component_id")
