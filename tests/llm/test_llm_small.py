@@ -475,6 +475,21 @@ def test_small_groups_are_judged_by_a_pooled_estimate(spark):
     assert sorted(r.doc_id for r in quality.quality_rules(many).where("not kept").collect()) == list(range(len(rows) - 4, len(rows)))
 
 
+def test_pooled_estimates_add_no_jobs(spark):
+    rng = random.Random(28)
+    rows = [(prose(rng, 60), "en", "large") for _ in range(60)]
+    pooled = [*rows, *[(prose(rng, 60), "en", "tiny") for _ in range(5)], (prose(rng, 60), "de", None)]
+
+    def jobs(rows: list) -> int:
+        last = lambda: max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=-1)
+        before = last()
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+        assert len(quality.quality_rules(df).collect()) == len(rows)
+        return last() - before
+
+    assert jobs(pooled) <= jobs(rows) + 2
+
+
 def test_chi2_quantile():
     assert abs(quality.chi2_quantile(0.95, 5) - 11.0705) < 1e-3
 
