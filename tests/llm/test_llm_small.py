@@ -51,6 +51,29 @@ def test_units_and_merges_match_the_library():
         assert [i for p in pieces for i in ([RANKS[p]] if p in RANKS else bpe.merge_long(p, RANKS))] == TOKENS.encode_ordinary(t), repr(t)
 
 
+def test_pieces_of_a_block_are_cut_in_one_call():
+    rng = random.Random(31)
+    letters = [*"abé漢1#'.,\n\t ", " ", " ", "'s", "thhoro"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(300)]
+    calls, cut = [], bpe.cutter(P.PATTERN)
+    found = bpe.Units(pa.array(texts), True).unknown(lambda u: calls.append(u) or cut(u), pa.array(list(RANKS), pa.binary()))
+    want = {p for t in texts for p in cut(t)} - set(RANKS)
+    assert found == sorted(found) and want <= set(found)
+    units = bpe.Units(pa.array(texts), True)
+    # Beside it, each beginning and each unit of an odd text once.
+    assert len(calls) == 1 + len(units.begin) + sum(1 + len(bpe.units(t)[1]) for t in units.odd)
+
+
+def test_folds_start_from_ranks_of_byte_pairs(spark):
+    rng = random.Random(32)
+    pieces = [bytes(rng.choices(b" thoraenq\xc3\xa9", k=rng.randint(1, 20))) for _ in range(60)]
+    near, single = dict(bpe.byte_pairs(RANKS)), bpe.byte_ids(RANKS)
+    rows = [(i, ([single[b] for b in p], [*[near.get(a << 8 | b, bpe.NO_RANK) for a, b in zip(p, p[1:])], bpe.NO_RANK])) for i, p in enumerate(pieces)]
+    df = spark.createDataFrame(rows, "k int, first struct<ids:array<int>,ranks:array<int>>").select("*", bpe.rank_map(spark, RANKS).alias("slots"))
+    got = {r.k: list(r.ids) for r in df.select("k", bpe.fold_merges(F.col("first"), bpe.rank_lookup(F.col("slots"))).alias("ids")).collect()}
+    assert got == {i: bpe.merge_long(p, RANKS) for i, p in enumerate(pieces)}
+
+
 def test_encode_and_decode(spark):
     texts = [None, "", " ", "  x  y\n\n z ", "x" * 5000 + " #$%" * 30, "it's they'll a.b, é.", "unseenword " * 3, "\x1c a\x85b", "thhorontea ndthe.\nThore"]
     df = clashing(frame(spark, texts))

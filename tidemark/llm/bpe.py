@@ -121,6 +121,11 @@ def byte_ids(ranks: dict[bytes, int]) -> list[int]:
     return [ranks[bytes((b,))] for b in range(256)]
 
 
+def byte_pairs(ranks: dict[bytes, int]) -> list[tuple[int, int]]:
+    """(place, rank) of every token of two bytes; its place is that of the pair among all 65,536."""
+    return [(token[0] << 8 | token[1], rank) for token, rank in ranks.items() if len(token) == 2]
+
+
 #: Slots of the rank map, and the factor that spreads pairs over them.
 SLOTS, SPREAD = 1 << 17, 40503
 
@@ -146,13 +151,17 @@ def rank_lookup(slots: Column) -> Callable[[Column, Column], Column]:
     return rank
 
 
-def fold_merges(start: Column, rank: Callable[[Column, Column], Column]) -> Column:
-    """Ids of a piece from those of its bytes, folded by joining the pair of least rank, leftmost first, until none has one.
+#: The rank of a pair that joins to no token.
+NO_RANK = 2**31 - 1
+
+
+def fold_merges(first: Column, rank: Callable[[Column, Column], Column]) -> Column:
+    """Ids of a piece from its bytes on, folded by joining the pair of least rank, leftmost first, until none has one.
 
-    The state is the parts' ids and the rank of each part joined to the next, none for the last; a joined pair's id is
-    its rank. start should be a column or a lambda's value, for an expression would be computed anew at each look-up.
+    The state, which starts as `first`, is a struct of the parts' ids and the `ranks` of each part joined to the next,
+    NO_RANK where that is no token and for the last; a joined pair's id is its rank.
     """
-    none = F.lit(2**31 - 1)
+    none = F.lit(NO_RANK)
     # The one-element transforms name a value, so that it is computed once.
     let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
     pair = lambda ids, i: F.coalesce(rank(F.get(ids, i - 1), F.get(ids, i)), none)  # noqa: E731  the i-th part, from 1, and the next
@@ -170,8 +179,8 @@ def fold_merges(start: Column, rank: Callable[[Column, Column], Column]) -> Colu
         return let(F.array_min(state["ranks"]), lambda least: F.when(least == none, state).otherwise(
             let(F.array_position(state["ranks"], least).cast("int"), lambda k: merged(state, k, least))))
 
-    first = F.struct(start.alias("ids"), F.transform(start, lambda x, i: F.coalesce(rank(x, F.get(start, i + 1)), none)).alias("ranks"))
-    rounds = F.when(F.size(start) > 1, F.sequence(F.lit(2), F.size(start))).otherwise(F.array().cast("array<int>"))
+    size = F.size(first["ids"])
+    rounds = F.when(size > 1, F.sequence(F.lit(2), size)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(rounds, first, step, lambda s: s["ids"])
 
 
@@ -250,11 +259,12 @@ class Units:
         word, stop = self._kinds()
         words = pa.concat_arrays([self.after.filter(word), pc.utf8_slice_codeunits(self.after.filter(stop), 0, -1)])
         words = pc.unique(pc.binary_join_element_wise(pa.scalar(" "), words, pa.scalar("")).cast(pa.binary()))
-        rest = {p for u in self.after.filter(pc.invert(pc.or_(word, stop))).to_pylist() for p in cut(" " + u)}
+        # Cut as one text: units are cut alike wherever they stand, and pieces of those of odd texts come with these texts.
+        rest = set(cut(" " + " ".join(self.after.filter(pc.invert(pc.or_(word, stop))).to_pylist())))
         rest.update(p for own in self._others(cut) for p in own)
         found = pc.unique(pa.concat_arrays([words, pa.array(list(rest), pa.binary())]))
         found = found.filter(pc.and_(pc.invert(pc.is_in(found, value_set=known)), pc.less_equal(pc.binary_length(found), FOLD_BYTES)))
-        return sorted(found.to_pylist())
+        return found.take(pc.array_sort_indices(found)).to_pylist()
 
     def coded(self, cut: Callable[[str], list[bytes]], at: dict[bytes, bytes], long: Callable[[bytes], bytes]) -> list[bytes]:
         """The packed ids of each entry, in turn; long: of a piece that was not folded."""
@@ -309,13 +319,14 @@ def _folded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     A part holds a share of the distinct pieces, each with at most one row per block, never one per occurrence.
     """
 
-    single = byte_ids(ranks)
+    single, double = byte_ids(ranks), byte_pairs(ranks)
 
     def meet(rows: pa.Table) -> pa.Table:
-        """Rows of FOLD_ROWS distinct pieces as ids of their bytes, and the blocks that have each, packed."""
+        """Rows of FOLD_ROWS distinct pieces as ids of their bytes and ranks of neighbours, and the blocks that have each, packed."""
         import numpy as np
 
-        of_byte = np.array(single, np.int32)
+        of_byte, of_pair = np.array(single, np.int32), np.full(1 << 16, NO_RANK, np.int32)
+        of_pair[[place for place, _ in double]] = [rank for _, rank in double]
         seen: dict[bytes, int] = {}
         codes = [np.array([seen.setdefault(p, len(seen)) for p in _taken(b)], np.int64) for b in rows.column("blob").to_pylist()]
         sizes = [len(c) for c in codes]
@@ -326,8 +337,11 @@ def _folded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         cuts = [*range(0, len(seen), FOLD_ROWS), len(seen)]
         owners = [packed(np.diff(ends[i : j + 1]).astype(np.int64), block[ends[i] : ends[j]]) for i, j in zip(cuts, cuts[1:], strict=False)]
         begin = np.cumsum([0, *map(len, seen)])
-        each = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(of_byte[np.frombuffer(b"".join(seen), np.uint8)]))
-        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), each)
+        flat = np.frombuffer(b"".join(seen), np.uint8)
+        beside = np.append(of_pair[flat[:-1].astype(np.uint16) << 8 | flat[1:]], np.int32(NO_RANK))
+        beside[begin[1:] - 1] = NO_RANK
+        ids, near = (pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(x)) for x in (of_byte[flat], beside))
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([ids, near], ["ids", "ranks"]))
         out = pa.table([lists, pa.array(owners, pa.binary())], names=["pieces", "owners"])
         del seen, codes, code, order
         give_back()
@@ -355,7 +369,7 @@ def _folded(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.binary()))], ["block", "blob"])
         give_back()
 
-    distinct = pieces.groupBy("part").applyInArrow(meet, "pieces array<array<int>>, owners binary")
+    distinct = pieces.groupBy("part").applyInArrow(meet, "pieces array<struct<ids:array<int>,ranks:array<int>>>, owners binary")
     # The map is a column of these rows, each with many pieces: a subquery can't stand within a higher-order function.
     rows = distinct.select("owners", "pieces", rank_map(pieces.sparkSession, ranks).alias("ranks"))
     ids = F.transform("pieces", lambda p: fold_merges(p, rank_lookup(F.col("ranks"))))
