@@ -1,5 +1,6 @@
 """Operators on small cases whose results can be computed by hand, and against plain Python loops."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -316,3 +317,19 @@ def test_panel_disjoint_forecast_is_finite(spark):
 
     got = catalog.queries()["panel_disjoint_forecast"](spark, "/root/testdata/sf0.01").collect()
     assert sorted(r.scheme for r in got) == ["maximum", "maximum_count", "snapshot", "two_snapshots"] and all(0 < r.brier < 0.5 and r.rows > 50 for r in got)
+
+
+def test_large_files_are_hashed_slice_by_slice(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    noise = rng.integers(0, 256, 300_000, dtype=np.uint8).tobytes()
+    files = {"noise": noise, "ended": noise + b"\n", "marked": b"\xef\xbb\xbf" + noise, "lines": b"\n" * 90_000, "cr": b"a\r\n\r" * 30_000, "run": b"\0" * 100_000, "small": b"ab\n", "packed.gz": noise}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        got = readers.inventory(spark, str(tmp_path), slice_bytes=1 << 16).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in files.items()}
+    assert len(got) == len(want) and {r.path.rpartition("/")[2]: (r.length, r.sha256) for r in got} == want

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import io
 import json
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import finite, number, stem_id
+from ..operators.scratch import _remove, shared_folder
 
 #: Columns of a sample file by position; the third and fourth are not used.
 POSITIONS = {"t": 0, "cores": 1, "cpu_percent": 4, "capacity": 5, "used": 6, "disk_read": 7, "disk_write": 8, "net_in": 9, "net_out": 10}
@@ -103,10 +108,116 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.sparkSession.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, length, sha256) of files below a folder."""
+#: Files over so many bytes are read in splits and hashed slice by slice; no task has more of a file.
+SLICE = 256 << 20
+#: Names that Spark's text reader would decompress; such a file is read whole.
+CODEC = r"\.(gz|bz2|deflate|snappy|lz4|zst|zstd)$"
+
+
+def inventory(spark: SparkSession, path: str, glob: str = "*", slice_bytes: int = SLICE) -> DataFrame:
+    """(path, length, sha256) of files below a folder; files over slice_bytes by sliced_sha256. Spark leaves out empty files."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return r.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    sliced = (F.col("length") > slice_bytes) & ~F.col("path").rlike(CODEC)
+    large = [(x.path, x.length) for x in r.select("path", "length").where(sliced).collect()]
+    # By its length a file is left out before it is read; by its name only after.
+    out = r.where(F.col("length") <= slice_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    whole = [x.path for x in r.select("path", "length").where((F.col("length") > slice_bytes) & F.col("path").rlike(CODEC)).collect()]
+    if whole:
+        out = out.unionByName(spark.read.format("binaryFile").load(whole).select("path", "length", F.sha2("content", 256).alias("sha256")))
+    return out.unionByName(sliced_sha256(spark, large, slice_bytes)) if large else out
+
+
+def sliced_sha256(spark: SparkSession, files: list[tuple[str, int]], slice_bytes: int) -> DataFrame:
+    """(path, length, sha256) of large files (path, length).
+
+    SHA-256 is one chain over a file's bytes, so slices follow one another: a round hashes every file's next slice from the
+    state that the last one left (112 bytes a file, by OpenSSL's structure, for hashlib gives none out). Spark's binary
+    files come whole and end at 2 GB; its text reader splits files, and its lines, with their ends put back, are all
+    bytes. They are written once, by slice. A line is one value: a run of 2 GB without a line feed fails. A file whose
+    bytes don't add up to its length fails the query.
+    """
+    piece = min(8 << 20, slice_bytes)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces of the splits' bytes: file, start of the split, number within it, slice, data."""
+        at, n, done, held = None, 0, 0, bytearray()
+
+        def out() -> pa.RecordBatch:
+            row = [[at[0]], [at[1]], [n], [(at[1] + done) // slice_bytes], [bytes(held)]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names)
+
+        kinds, names = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], ["file", "start", "n", "slice", "data"]
+        for batch in batches:
+            for file, start, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (file, start) or len(held) >= piece:
+                    if held:
+                        yield out()
+                    n, done = (n + 1, done + len(held)) if at == (file, start) else (0, 0)
+                    at, held = (file, start), bytearray()
+                held += line
+                held += b"\n"
+        if held:
+            yield out()
+
+    parts = None
+    for i, (path, _) in enumerate(files):
+        lines = spark.read.option("lineSep", "\n").text(path).select(F.lit(i).alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+        parts = lines if parts is None else parts.unionByName(lines)
+    folder = f"{shared_folder(spark)}/tidemark-slices-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    schema = "file int, start long, n int, slice int, data binary"
+    parts.mapInArrow(joined, schema).write.option("compression", "none").partitionBy("slice").parquet(folder)
+    pieces = spark.read.schema(schema).parquet(folder)
+    found = {r.file: r.size for r in pieces.groupBy("file").agg(F.sum(F.octet_length("data").cast("long")).alias("size")).collect()}
+    left = {}
+    for i, (path, length) in enumerate(files):
+        # Each line got an end, the last one too; the reader leaves out a byte order mark.
+        mark = b"\xef\xbb\xbf" if found.get(i, 0) - length in (-3, -2) else b""
+        if found.get(i, 0) + len(mark) - length not in (0, 1):
+            raise ValueError(f"{path}: read {found.get(i, 0)} of {length} bytes")
+        left[i] = (None, length, mark)
+
+    def hashed(left: dict) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import _hashlib
+
+            lib = ctypes.CDLL(_hashlib.__file__)  # what it is linked with has the functions
+            states: dict = {}
+
+            def feed(own: list, data: bytes) -> None:
+                lib.SHA256_Update(own[0], data, ctypes.c_size_t(min(len(data), own[1])))
+                own[1] -= min(len(data), own[1])
+
+            for batch in batches:
+                for file, data in zip(batch.column("file").to_pylist(), batch.column("data"), strict=True):
+                    if file not in states:
+                        state, length, mark = left[file]
+                        states[file] = [ctypes.create_string_buffer(state or b"", 256), length]
+                        if state is None:
+                            lib.SHA256_Init(states[file][0])
+                            feed(states[file], mark)
+                    feed(states[file], data.as_py())
+            for own in states.values():
+                own.append(None)
+                if own[1] == 0:
+                    end = ctypes.create_string_buffer(32)
+                    lib.SHA256_Final(end, ctypes.create_string_buffer(own[0].raw, 256))
+                    own[2] = end.raw.hex()
+            rows = [[*states], [bytes(own[0].raw[:112]) for own in states.values()], [own[1] for own in states.values()], [own[2] for own in states.values()]]
+            kinds = (pa.int32(), pa.binary(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds, strict=True)], ["file", "state", "rest", "sha256"])
+
+        return run
+
+    digests: dict[int, str] = {}
+    for k in range(max(length for _, length in files) // slice_bytes + 1):
+        own = pieces.where(F.col("slice") == k).select("file", "start", "n", "data").repartition("file").sortWithinPartitions("file", "start", "n")
+        for r in own.mapInArrow(hashed(left), "file int, state binary, rest long, sha256 string").collect():
+            left[r.file] = (bytes(r.state), r.rest, b"")
+            digests[r.file] = r.sha256
+    if any(digests.get(i) is None for i in range(len(files))):
+        raise ValueError("a file's slices don't end with its last byte")
+    return spark.createDataFrame([(path, length, digests[i]) for i, (path, length) in enumerate(files)], "path string, length long, sha256 string")
 
 
 def verify_sha256(spark: SparkSession, path: str, expected: str) -> None:
